@@ -65,7 +65,7 @@ def inputs(spark: SparkSession, sf: str, long_incidents: bool = False, newlines:
 
 def _cut_rule(rule, **options):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        rows = v.reconciled(inputs(spark, sf, **options))
+        rows = cr.with_rule_columns(v.reconciled(inputs(spark, sf, **options)))
         return evaluate(rows, [rule()], v.KEY, "tipo_reporte", F.col("row"))
 
     return run
@@ -100,7 +100,7 @@ def _rule_3_1(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _outage_block_rule(spark: SparkSession, sf: str) -> DataFrame:
-    rows = v.reconciled(inputs(spark, sf, newlines=True))
+    rows = cr.with_block(v.reconciled(inputs(spark, sf, newlines=True)))
     return evaluate(rows, [cr.outage_text()], v.KEY, "tipo_reporte", F.col("row"))
 
 
@@ -108,6 +108,10 @@ def _prepared(frame: str):
     return lambda spark, sf: getattr(inputs(spark, sf), frame)
 
 
+def _prepared_cut(spark: SparkSession, sf: str) -> DataFrame:
+    return inputs(spark, sf).cut.withColumn("cut_diff_sec", F.col("cut_diff_sec").cast("double"))
+
+
 def _ticket_stops(spark: SparkSession, sf: str) -> DataFrame:
     rows = v.reconciled(inputs(spark, sf, long_incidents=True))
     minutes = F.col("sum_paradas").alias("sum_paradas")
@@ -162,7 +166,7 @@ CUT = ["1.0", "1.1", "1.2", "1.3", "1.4", "1.5", "1.6", "1.7", "1.8", "1.9", "1.
 WORD = ["2.0.1", "2.0.2", "2.1", "2.2"]
 
 QUERIES = {
-    "prepared_cut": _prepared("cut"),
+    "prepared_cut": _prepared_cut,
     "prepared_incidents": _prepared("incidents"),
     "prepared_circuits": _prepared("circuits"),
     "prepared_faults": _prepared("faults"),
@@ -195,7 +199,7 @@ QUERIES = {
 }
 
 SQL = {
-    "prepared_cut": f"{sql.base()}\nselect * from cut",
+    "prepared_cut": f"{sql.base()}\nselect * replace (cast(cut_diff_sec as double) as cut_diff_sec) from cut",
     "prepared_incidents": f"{sql.base()}\nselect * from inc",
     "prepared_circuits": f"{sql.base()}\nselect * from circ",
     "prepared_faults": f"{sql.base()}\nselect * from faults",

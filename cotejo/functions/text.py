@@ -29,6 +29,11 @@ ACCENTED = "ÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝ"
 UNACCENTED = "AAAAAAEEEEIIIIOOOOOUUUUNCY"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once per row, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def strip(c: Column) -> Column:
     """Remove Unicode white space from both ends."""
     return F.btrim(c, F.lit(WHITESPACE))
@@ -125,25 +130,27 @@ def words(c: Column) -> Column:
 
 def short_name(c: Column) -> Column:
     """Four words -> first and third; three -> first and second; else as is."""
-    w = words(c)
-    return (
-        F.when(F.size(w) == 4, F.concat_ws(" ", w[0], w[2]))
+    return let(
+        words(c),
+        lambda w: F.when(F.size(w) == 4, F.concat_ws(" ", w[0], w[2]))
         .when(F.size(w) == 3, F.concat_ws(" ", w[0], w[1]))
-        .otherwise(F.coalesce(strip(c), F.lit("")))
+        .otherwise(F.coalesce(strip(c), F.lit(""))),
     )
 
 
 def surname_first(c: Column) -> Column:
     """Three or more words -> the last two in front of the rest."""
-    w = words(c)
-    return F.when(
-        F.size(w) >= 3,
-        F.concat_ws(
-            " ",
-            F.array_join(F.slice(w, -2, 2), " "),
-            F.array_join(F.slice(w, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))), " "),
-        ),
-    ).otherwise(c)
+    return let(
+        words(c),
+        lambda w: F.when(
+            F.size(w) >= 3,
+            F.concat_ws(
+                " ",
+                F.array_join(F.slice(w, -2, 2), " "),
+                F.array_join(F.slice(w, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))), " "),
+            ),
+        ).otherwise(c),
+    )
 
 
 def shift_start(c: Column) -> Column:
@@ -152,22 +159,29 @@ def shift_start(c: Column) -> Column:
 
 def split_narrative(c: Column, word: str = RECOMMENDS) -> Column:
     """Struct (before, after): the first line holding ``word`` opens ``after``."""
-    ls = F.split(c, "\n")
-    at = F.array_position(F.transform(ls, lambda x: F.contains(F.lower(x), F.lit(word))), F.lit(True))
-    found = at > 0
-    n = F.size(ls)
-    before = F.when(found, F.array_join(F.slice(ls, F.lit(1), (at - 1).cast("int")), "\n")).otherwise(c)
-    after = F.when(
-        found,
-        F.array_join(F.slice(ls, F.greatest(at, F.lit(1)).cast("int"), n), "\n"),
-    ).otherwise(F.lit(""))
-    return F.struct(before.alias("before"), after.alias("after"))
+
+    def parts(at: Column, ls: Column) -> Column:
+        before = F.when(at > 0, F.array_join(F.slice(ls, F.lit(1), at - 1), "\n")).otherwise(c)
+        after = F.when(at > 0, F.array_join(F.slice(ls, at, F.size(ls)), "\n")).otherwise(F.lit(""))
+        return F.struct(before.alias("before"), after.alias("after"))
+
+    def split(ls: Column) -> Column:
+        hits = F.transform(ls, lambda x: F.contains(F.lower(x), F.lit(word)))
+        return let(F.array_position(hits, F.lit(True)).cast("int"), lambda at: parts(at, ls))
+
+    return let(F.split(c, "\n"), split)
 
 
 def drop_trailing(ls: Column, drop) -> Column:
     """Array of lines without the trailing ones for which ``drop`` holds."""
-    kept = F.array_max(F.transform(ls, lambda x, i: F.when(~drop(x), i + 1)))
-    return F.slice(ls, F.lit(1), F.coalesce(kept, F.lit(0)))
+    return let(
+        ls,
+        lambda a: F.slice(
+            a,
+            F.lit(1),
+            F.coalesce(F.array_max(F.transform(a, lambda x, i: F.when(~drop(x), i + 1))), F.lit(0)),
+        ),
+    )
 
 
 def drop_trailing_date_lines(c: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cotejo.functions.text import UNKNOWN, drop_trailing, lines, strip
+from cotejo.functions.text import UNKNOWN, drop_trailing, let, lines, strip
 
 # The patterns of dates, block headers, periods and totals.
 BODY_PAIR = r"(?U)(\d{2}/\d{2}/\d{4})\D{0,10}(\d{1,2}:\d{2})"
@@ -59,16 +59,26 @@ def body_range(c: Column) -> Column:
     Matches come in ascending position, so the first date of the first half can
     only be the first match and the last date of the second half only the last.
     """
-    body = narrative_body(c)
-    found = _all(body, BODY_PAIR)
-    pieces = F.split(body, BODY_PAIR, -1)
-    size = F.length(body)
-    head = F.try_element_at(found, F.lit(1))
-    tail = F.try_element_at(found, F.lit(-1))
-    head_at = F.length(F.try_element_at(pieces, F.lit(1)))
-    tail_at = size - F.length(F.try_element_at(pieces, F.lit(-1))) - F.length(tail)
-    first = F.when(head_at * 2 < size, _pair(head, BODY_PAIR))
-    last = F.when(tail_at * 2 >= size, _pair(tail, BODY_PAIR))
+
+    def ends(body: Column, found: Column, pieces: Column) -> Column:
+        size = F.length(body)
+        head, tail = F.try_element_at(found, F.lit(1)), F.try_element_at(found, F.lit(-1))
+        head_at = F.length(F.try_element_at(pieces, F.lit(1)))
+        tail_at = size - F.length(F.try_element_at(pieces, F.lit(-1))) - F.length(tail)
+        first = F.when(head_at * 2 < size, _pair(head, BODY_PAIR))
+        last = F.when(tail_at * 2 >= size, _pair(tail, BODY_PAIR))
+        return _range(c, first, last)
+
+    def search(body: Column) -> Column:
+        return let(
+            _all(body, BODY_PAIR),
+            lambda found: let(F.split(body, BODY_PAIR, -1), lambda pieces: ends(body, found, pieces)),
+        )
+
+    return let(narrative_body(c), search)
+
+
+def _range(c: Column, first: Column, last: Column) -> Column:
     known = lambda x: F.when(c.isNotNull(), F.coalesce(x, F.lit(UNKNOWN)))
     return F.struct(known(first).alias("first"), known(last).alias("last"))
 
@@ -102,51 +112,57 @@ def _placed(c: Column, pattern: str, kind: str) -> Column:
 
 def body_range_loose(c: Column) -> Column:
     """As ``body_range``, pairing each date with the next time in text order."""
-    body = narrative_body(c)
-    size = F.length(body)
-    days, times = _placed(body, PLAIN_DATE, "d"), _placed(body, PLAIN_TIME, "t")
-    marks = F.array_sort(F.concat(days, times))
     text = F.lit(None).cast("string")
     start = F.struct(text.alias("day"), text.alias("time"), text.alias("first"), text.alias("last"))
 
-    def step(acc: Column, m: Column) -> Column:
-        day = F.when(m["kind"] == "d", m["value"]).otherwise(acc["day"])
-        time = F.when(m["kind"] == "t", m["value"]).otherwise(acc["time"])
-        padded = F.when(F.length(time) == 4, F.concat(F.lit("0"), time)).otherwise(time)
-        full = F.concat(day, F.lit(" "), padded)
-        early = m["at"] * 2 < size
-        return F.struct(
-            F.when(full.isNull(), day).alias("day"),
-            F.when(full.isNull(), time).alias("time"),
-            F.coalesce(acc["first"], F.when(early, full)).alias("first"),
-            F.when(full.isNotNull() & ~early, full).otherwise(acc["last"]).alias("last"),
-        )
+    def step(size: Column):
+        def take(acc: Column, m: Column) -> Column:
+            day = F.when(m["kind"] == "d", m["value"]).otherwise(acc["day"])
+            time = F.when(m["kind"] == "t", m["value"]).otherwise(acc["time"])
+            padded = F.when(F.length(time) == 4, F.concat(F.lit("0"), time)).otherwise(time)
+            full = F.concat(day, F.lit(" "), padded)
+            early = m["at"] * 2 < size
+            return F.struct(
+                F.when(full.isNull(), day).alias("day"),
+                F.when(full.isNull(), time).alias("time"),
+                F.coalesce(acc["first"], F.when(early, full)).alias("first"),
+                F.when(full.isNotNull() & ~early, full).otherwise(acc["last"]).alias("last"),
+            )
 
-    done = F.aggregate(marks, start, step)
-    known = lambda x: F.when(c.isNotNull(), F.coalesce(x, F.lit(UNKNOWN)))
-    return F.struct(known(done["first"]).alias("first"), known(done["last"]).alias("last"))
+        return take
+
+    def search(body: Column) -> Column:
+        marks = F.array_sort(F.concat(_placed(body, PLAIN_DATE, "d"), _placed(body, PLAIN_TIME, "t")))
+        done = F.aggregate(marks, start, step(F.length(body)))
+        return let(done, lambda x: _range(c, x["first"], x["last"]))
+
+    return let(narrative_body(c), search)
 
 
 def closing_range(c: Column, padded: bool = True) -> Column:
     """Struct (first, last) of the last two date-time pairs; both null below two."""
-    found = _all(c, LAST_PAIR)
-    enough = F.size(found) >= 2
-    at = lambda i: F.when(enough, _pair(F.try_element_at(found, F.lit(i)), LAST_PAIR, padded))
-    return F.struct(at(-2).alias("first"), at(-1).alias("last"))
+
+    def ends(found: Column) -> Column:
+        at = lambda i: F.when(
+            F.size(found) >= 2, _pair(F.try_element_at(found, F.lit(i)), LAST_PAIR, padded)
+        )
+        return F.struct(at(-2).alias("first"), at(-1).alias("last"))
+
+    return let(_all(c, LAST_PAIR), ends)
 
 
 def closing_lines_range(c: Column) -> Column:
     """Struct (first, last) read from the last two lines that hold a pair."""
-    ls = F.filter(
-        F.transform(lines(F.replace(c, F.lit("\r"), F.lit(" "))), strip), lambda x: x.rlike(BODY_PAIR)
-    )
-    enough = F.size(ls) >= 2
 
-    def at(i: int) -> Column:
-        line = F.try_element_at(ls, F.lit(i))
-        return F.when(enough, _pair(F.regexp_extract(line, BODY_PAIR, 0), BODY_PAIR))
+    def ends(ls: Column) -> Column:
+        def at(i: int) -> Column:
+            found = F.regexp_extract(F.try_element_at(ls, F.lit(i)), BODY_PAIR, 0)
+            return F.when(F.size(ls) >= 2, _pair(found, BODY_PAIR))
+
+        return F.struct(at(-2).alias("first"), at(-1).alias("last"))
 
-    return F.struct(at(-2).alias("first"), at(-1).alias("last"))
+    stripped = F.transform(lines(F.replace(c, F.lit("\r"), F.lit(" "))), strip)
+    return let(F.filter(stripped, lambda x: x.rlike(BODY_PAIR)), ends)
 
 
 def pad_hours(c: Column) -> Column:
@@ -179,11 +195,14 @@ def _block(header: Column, periods: Column, total: Column) -> Column:
 
 def outage_block(c: Column) -> Column:
     """Struct (header, periods, total): first header, padded period lines, first total."""
-    ls = _block_lines(c)
-    header = F.try_element_at(F.filter(ls, lambda x: x.rlike(BLOCK_HEADER)), F.lit(1))
-    periods = F.transform(F.filter(ls, lambda x: x.rlike(BLOCK_PERIOD)), pad_period)
-    total = F.try_element_at(F.filter(ls, lambda x: x.rlike(BLOCK_TOTAL)), F.lit(1))
-    return _block(header, periods, F.regexp_extract(pad_hours(total), BLOCK_TOTAL, 1))
+
+    def parts(ls: Column) -> Column:
+        header = F.try_element_at(F.filter(ls, lambda x: x.rlike(BLOCK_HEADER)), F.lit(1))
+        periods = F.transform(F.filter(ls, lambda x: x.rlike(BLOCK_PERIOD)), pad_period)
+        total = F.try_element_at(F.filter(ls, lambda x: x.rlike(BLOCK_TOTAL)), F.lit(1))
+        return _block(header, periods, F.regexp_extract(pad_hours(total), BLOCK_TOTAL, 1))
+
+    return let(_block_lines(c), parts)
 
 
 def outage_block_strict(c: Column) -> Column:
@@ -191,18 +210,21 @@ def outage_block_strict(c: Column) -> Column:
 
     A line counts once: as a header, else as a period, else as a total.
     """
-    ls = _block_lines(c)
-    header = F.try_element_at(F.filter(ls, lambda x: x.rlike(FULL_HEADER)), F.lit(-1))
-    rest = F.filter(ls, lambda x: ~x.rlike(FULL_HEADER))
-    periods = F.transform(
-        F.filter(rest, lambda x: x.rlike(FULL_PERIOD)),
-        lambda x: F.concat(
-            pad_date_time(F.regexp_extract(x, FULL_PERIOD, 1)),
-            F.lit(" hasta el día "),
-            pad_date_time(F.regexp_extract(x, FULL_PERIOD, 2)),
-        ),
-    )
-    total = F.try_element_at(
-        F.filter(rest, lambda x: ~x.rlike(FULL_PERIOD) & x.rlike(FULL_TOTAL)), F.lit(-1)
-    )
-    return _block(header, periods, pad_hours(F.regexp_extract(total, FULL_TOTAL, 1)))
+
+    def parts(ls: Column) -> Column:
+        header = F.try_element_at(F.filter(ls, lambda x: x.rlike(FULL_HEADER)), F.lit(-1))
+        rest = F.filter(ls, lambda x: ~x.rlike(FULL_HEADER))
+        periods = F.transform(
+            F.filter(rest, lambda x: x.rlike(FULL_PERIOD)),
+            lambda x: F.concat(
+                pad_date_time(F.regexp_extract(x, FULL_PERIOD, 1)),
+                F.lit(" hasta el día "),
+                pad_date_time(F.regexp_extract(x, FULL_PERIOD, 2)),
+            ),
+        )
+        total = F.try_element_at(
+            F.filter(rest, lambda x: ~x.rlike(FULL_PERIOD) & x.rlike(FULL_TOTAL)), F.lit(-1)
+        )
+        return _block(header, periods, pad_hours(F.regexp_extract(total, FULL_TOTAL, 1)))
+
+    return let(_block_lines(c), parts)

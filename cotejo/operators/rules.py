@@ -40,9 +40,6 @@ class Rule:
             ok = ok & holds(c.ok)
         return ok if self.when is None else ~holds(self.when) | ok
 
-    def message(self) -> Column:
-        return F.concat(*[F.when(holds(c.ok), F.lit("")).otherwise(c.message) for c in self.checks])
-
     def failures(self) -> Column:
         return fail_count(*[c.ok for c in self.checks])
 
@@ -64,23 +61,28 @@ def evaluate(
 
     ``row`` is the place of the input row, used to order findings of one rule.
     """
-    failed = F.filter(
-        F.array(
-            *[
-                F.when(
-                    ~r.passed(),
-                    F.struct(
-                        r.message().alias("mensaje"),
-                        F.lit(r.code).alias("objetivo"),
-                        F.lit(r.seq).cast("int").alias("seq"),
-                    ),
-                )
-                for r in rules
-            ]
-        ),
-        lambda x: x.isNotNull(),
-    )
+    checks = [(r, c) for r in rules for c in r.checks]
     place = (F.lit(0) if row is None else row).cast("bigint")
+    # Every check is worked out once, in one array; outcomes and messages read it.
+    df = df.withColumns({"_row": place, "_ok": F.array(*[holds(c.ok) for _, c in checks])})
+    ok = {id(c): F.get("_ok", F.lit(i)) for i, (_, c) in enumerate(checks)}
+
+    def finding(r: Rule) -> Column:
+        passed = F.lit(True)
+        for c in r.checks:
+            passed = passed & ok[id(c)]
+        failed = ~passed if r.when is None else ~passed & holds(r.when)
+        message = F.concat(*[F.when(ok[id(c)], F.lit("")).otherwise(c.message) for c in r.checks])
+        return F.when(
+            failed,
+            F.struct(
+                message.alias("mensaje"),
+                F.lit(r.code).alias("objetivo"),
+                F.lit(r.seq).cast("int").alias("seq"),
+            ),
+        )
+
+    found = F.filter(F.array(*[finding(r) for r in rules]), lambda x: x.isNotNull())
     return df.select(
-        F.col(key), F.col(kind).alias("TIPO REPORTE"), place.alias("row"), F.explode(failed).alias("_f")
+        F.col(key), F.col(kind).alias("TIPO REPORTE"), F.col("_row").alias("row"), F.explode(found).alias("_f")
     ).select(key, "_f.mensaje", "_f.objetivo", "TIPO REPORTE", "_f.seq", "row")

@@ -5,7 +5,7 @@ Message texts are fixed values.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cotejo.functions.numbers import hour_band, not_negative, same, within
@@ -48,6 +48,22 @@ def text(*parts: str | Column) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
+def with_rule_columns(df: DataFrame) -> DataFrame:
+    """Values that several checks and messages use, worked out once per row."""
+    return df.withColumns(
+        {
+            "cut_body": body_range(c("cut_measures")),
+            "inc_body": body_range(c("inc_measures")),
+            "inc_closing": closing_range(c("inc_measures")),
+            "inc_cause_plain": drop_component_label(c("inc_cause")),
+            "note_expected": expected_note(),
+            "net_minutes": c("inc_span_min") - c("sum_paradas"),
+            "owner_expected": leading_token(shown(c("inc_class"))),
+            "band_expected": hour_band(c("cut_hours")),
+        }
+    )
+
+
 def missing_incident_message() -> Column:
     return text(
         "Nro Incidencia ", c("nro_incidencia"), " con FECHA Y HORA INICIO DE CORTE EXCEL ",
@@ -107,10 +123,6 @@ def stated_span() -> Rule:
     ])
 
 
-def net_minutes() -> Column:
-    return c("inc_span_min") - c("sum_paradas")
-
-
 def minutes_hhmm(minutes: Column) -> Column:
     hours = F.floor(minutes / 60).cast("bigint")
     rest = F.floor(F.pmod(minutes, F.lit(60.0))).cast("bigint")
@@ -123,16 +135,16 @@ def net_time() -> Rule:
             "\n  INTERRUPCION_FIN - INTERRUPCION_INICIO es negativo. \n")),
         Check("stops_not_negative", not_negative(c("sum_paradas")), text(
             "\n  Suma de paradas de reloj es negativa. \n")),
-        Check("net_not_negative", not_negative(net_minutes()), text(
+        Check("net_not_negative", not_negative(c("net_minutes")), text(
             "\n Tiempo efectivo (INTERRUPCION - paradas) es negativo.")),
-        Check("net_match", within(minutes_of(c("cut_time")), net_minutes()), text(
+        Check("net_match", within(minutes_of(c("cut_time")), c("net_minutes")), text(
             "\n EL TIEMPO (HH:MM) en CORTE-EXCEL: \n", shown(c("cut_time")),
-            "\n no coincide con el tiempo efectivo calculado SGA: \n", shown(minutes_hhmm(net_minutes())))),
+            "\n no coincide con el tiempo efectivo calculado SGA: \n", shown(minutes_hhmm(c("net_minutes"))))),
     ])
 
 
 def case_circuit_parent_cause() -> Rule:
-    cause = drop_component_label(c("inc_cause"))
+    cause = c("inc_cause_plain")
     return Rule("1.5", 15, [
         Check("cause_match", same(c("cut_cause"), cause), text(
             " \n No coincide Determinacion de la causa Excel-Corte: \n", c("cut_cause"),
@@ -178,7 +190,7 @@ def report_type(check_monitoring: bool = False) -> Rule:
     claim, proactive = c("tipo_reporte") == CLAIM, c("tipo_reporte") == PROACTIVE
     monitoring = F.endswith(c("inc_case"), F.lit("MONITOREO"))
     opening = c("cut_measures").rlike(PROACTIVE_OPENING)
-    note = expected_note()
+    note = c("note_expected")
     note_ok = same(F.lower(c("cut_note")), F.lower(note))
     no_monitoring = ~claim | ~monitoring if check_monitoring else F.lit(True)
     return Rule("1.7", 17, [
@@ -206,7 +218,7 @@ def report_type(check_monitoring: bool = False) -> Rule:
 
 def narrative_dates() -> Rule:
     mass = c("inc_mass") == "Si"
-    cut, inc, closing = body_range(c("cut_measures")), body_range(c("inc_measures")), closing_range(c("inc_measures"))
+    cut, inc, closing = c("cut_body"), c("inc_body"), c("inc_closing")
     first = lambda s: s["first"]
     last = lambda s: s["last"]
     return Rule("1.8", 18, [
@@ -234,7 +246,7 @@ def narrative_dates() -> Rule:
 
 
 def owner() -> Rule:
-    expected = leading_token(shown(c("inc_class")))
+    expected = c("owner_expected")
     return Rule("1.9", 19, [
         Check("owner_match", same(strip(shown(c("cut_owner"))), expected), text(
             "\n No coincide la columna RESPONSABILIDAD en CORTE-EXCEL: \n", shown(c("cut_owner")),
@@ -243,7 +255,7 @@ def owner() -> Rule:
 
 
 def whole_hours() -> Rule:
-    band = hour_band(c("cut_hours"))
+    band = c("band_expected")
     return Rule("1.10", 20, [
         Check("hours_match", same(c("cut_time_hours").cast("double"), c("cut_hours")), text(
             "\n Duración entero EXCEL-CORTE: \n", shown(c("cut_hours_text")),
@@ -254,8 +266,13 @@ def whole_hours() -> Rule:
     ])
 
 
+def with_block(df: DataFrame) -> DataFrame:
+    """The outage block that rule 1.11 reads."""
+    return df.withColumn("block", outage_block_strict(c("cut_block")))
+
+
 def outage_text() -> Rule:
-    block = outage_block_strict(c("cut_block"))
+    block = c("block")
     ours = lambda part: strip(c(f"stops_{part}"))
     theirs = lambda part: strip(block[part])
     return Rule("1.11", 21, [

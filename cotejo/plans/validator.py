@@ -17,7 +17,15 @@ from cotejo.operators.findings import by_ticket, union_all
 from cotejo.operators.intervals import with_stops
 from cotejo.operators.joins import enrich, matched, only_left
 from cotejo.operators.rules import evaluate
-from cotejo.plans.cut_rules import CLAIM, DATA, VOICE, cut_rules, missing_incident
+from cotejo.plans.cut_rules import (
+    CLAIM,
+    DATA,
+    VOICE,
+    cut_rules,
+    missing_incident,
+    with_block,
+    with_rule_columns,
+)
 from cotejo.plans.word_rules import (
     NOT_FOUND,
     annex_fields,
@@ -82,9 +90,18 @@ def _evaluate(df: DataFrame, rules) -> DataFrame:
     return evaluate(df, rules, KEY, "tipo_reporte", F.col("row"))
 
 
-def cut_findings(matched_rows: DataFrame, unmatched_rows: DataFrame, **options) -> DataFrame:
+def cut_findings(
+    matched_rows: DataFrame,
+    unmatched_rows: DataFrame,
+    outage_block_rule: bool = False,
+    check_monitoring: bool = False,
+) -> DataFrame:
     """Rule set 1."""
-    return union_all([_evaluate(unmatched_rows, [missing_incident()]), _evaluate(matched_rows, cut_rules(**options))])
+    rows = with_rule_columns(matched_rows)
+    if outage_block_rule:
+        rows = with_block(rows)
+    rules = cut_rules(outage_block_rule, check_monitoring)
+    return union_all([_evaluate(unmatched_rows, [missing_incident()]), _evaluate(rows, rules)])
 
 
 def word_findings(cut: DataFrame, faults: DataFrame | None, reports: DataFrame | None) -> DataFrame | None:
