@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cotejo.sources.files import spread
+
 
 
 URGENT, HIGH, MEDIUM, OTHER, LOW = "1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"
@@ -194,7 +196,7 @@ def select_list(columns: dict[str, str], quote: str = '"') -> str:
 
 
 def spark_frame(spark: SparkSession, sf: str, table: str, columns: dict[str, str], where: str | None = None) -> DataFrame:
-    df = spark.read.parquet(f"{sf}/{table}.parquet")
+    df = spread(spark.read.parquet(f"{sf}/{table}.parquet"))
     if where:
         df = df.where(where)
     return df.selectExpr(*[f"{e} as `{n}`" for n, e in columns.items()])

@@ -238,7 +238,7 @@ def _lines(spark: SparkSession, sf: str, lines: tuple[str, ...]) -> DataFrame:
     """One document per customer; each order adds its lines."""
     texts = F.array(*[F.expr(_filled(x, Spark)) for x in lines])
     return (
-        read(spark, sf, "orders")
+        files.spread(read(spark, sf, "orders"))
         .select(F.col("o_custkey").alias("doc_id"), "o_orderkey", F.posexplode(texts).alias("i", "text"))
         .select("doc_id", (F.col("o_orderkey") * 20 + F.col("i") + 1).alias("line_no"), "text")
     )

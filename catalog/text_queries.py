@@ -14,10 +14,11 @@ from cotejo.functions import times as tm
 from cotejo.functions.unicode import canonical, strip_marks
 from cotejo.operators.rules import Check, Rule, flag
 from cotejo.sources.contracts import Contract, conform
+from cotejo.sources.files import spread
 
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf}/{table}.parquet"))
 
 
 # --- contracted scan -------------------------------------------------------

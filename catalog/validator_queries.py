@@ -48,18 +48,43 @@ def _documents(spark: SparkSession, sf: str, columns, prepare) -> DataFrame:
     return prepare(data, DATA).unionByName(prepare(voice, VOICE))
 
 
-def inputs(spark: SparkSession, sf: str, long_incidents: bool = False, newlines: bool = False) -> v.Inputs:
-    incidents = long_incident_columns if long_incidents else incident_columns
+def _cut(spark: SparkSession, sf: str, newlines: bool = False) -> DataFrame:
+    return prepare_cut(spark_frame(spark, sf, "orders", cut_columns(Spark)), "source_row", newlines)
+
+
+def _incidents(spark: SparkSession, sf: str, long_incidents: bool = False, newlines: bool = False) -> DataFrame:
+    columns = long_incident_columns if long_incidents else incident_columns
+    return prepare_incidents(spark_frame(spark, sf, "orders", columns(Spark), INCIDENT_ROWS), newlines)
+
+
+def _circuits(spark: SparkSession, sf: str) -> DataFrame:
+    return prepare_circuits(spark_frame(spark, sf, "customer", circuit_columns(Spark)))
+
+
+def _faults(spark: SparkSession, sf: str) -> DataFrame:
+    return _documents(spark, sf, fault_columns, prepare_faults)
+
+
+def _reports(spark: SparkSession, sf: str) -> DataFrame:
+    return _documents(spark, sf, report_columns, prepare_reports)
+
+
+def _annexes(spark: SparkSession, sf: str) -> DataFrame:
+    return _documents(spark, sf, annex_columns, prepare_annexes)
+
+
+def inputs(
+    spark: SparkSession, sf: str, long_incidents: bool = False, newlines: bool = False, words: bool = False
+) -> v.Inputs:
+    """Prepared inputs; the word documents only where they are needed."""
     return v.Inputs(
-        cut=prepare_cut(spark_frame(spark, sf, "orders", cut_columns(Spark)), "source_row", newlines),
-        incidents=prepare_incidents(
-            spark_frame(spark, sf, "orders", incidents(Spark), INCIDENT_ROWS), newlines
-        ),
+        cut=_cut(spark, sf, newlines),
+        incidents=_incidents(spark, sf, long_incidents, newlines),
         stops=prepare_stops(spark_frame(spark, sf, "lineitem", stop_columns(Spark))),
-        circuits=prepare_circuits(spark_frame(spark, sf, "customer", circuit_columns(Spark))),
-        faults=_documents(spark, sf, fault_columns, prepare_faults),
-        reports=_documents(spark, sf, report_columns, prepare_reports),
-        annexes=_documents(spark, sf, annex_columns, prepare_annexes),
+        circuits=_circuits(spark, sf),
+        faults=_faults(spark, sf) if words else None,
+        reports=_reports(spark, sf) if words else None,
+        annexes=_annexes(spark, sf) if words else None,
     )
 
 
@@ -76,27 +101,24 @@ def _rule_1_0(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate(rows, [cr.missing_incident()], v.KEY, "tipo_reporte", F.col("row"))
 
 
-def _missing(frame: str, rule):
+def _missing(documents, rule):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        i = inputs(spark, sf)
-        rows = v.claims_missing(i.cut, getattr(i, frame))
+        rows = v.claims_missing(_cut(spark, sf), documents(spark, sf))
         return evaluate(rows, [rule()], v.KEY, "tipo_reporte", F.col("row"))
 
     return run
 
 
-def _word(frame: str, rule):
+def _word(documents, rule):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        i = inputs(spark, sf)
-        rows = matched(getattr(i, frame), i.cut, [v.KEY])
+        rows = matched(documents(spark, sf), _cut(spark, sf), [v.KEY])
         return evaluate(rows, [rule()], v.KEY, "tipo_reporte", F.col("row"))
 
     return run
 
 
 def _rule_3_1(spark: SparkSession, sf: str) -> DataFrame:
-    i = inputs(spark, sf, long_incidents=True)
-    return v.annex_findings(v.reconciled(i), i.annexes)
+    return v.annex_findings(v.reconciled(inputs(spark, sf, long_incidents=True)), _annexes(spark, sf))
 
 
 def _outage_block_rule(spark: SparkSession, sf: str) -> DataFrame:
@@ -104,12 +126,8 @@ def _outage_block_rule(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate(rows, [cr.outage_text()], v.KEY, "tipo_reporte", F.col("row"))
 
 
-def _prepared(frame: str):
-    return lambda spark, sf: getattr(inputs(spark, sf), frame)
-
-
 def _prepared_cut(spark: SparkSession, sf: str) -> DataFrame:
-    return inputs(spark, sf).cut.withColumn("cut_diff_sec", F.col("cut_diff_sec").cast("double"))
+    return _cut(spark, sf).withColumn("cut_diff_sec", F.col("cut_diff_sec").cast("double"))
 
 
 def _ticket_stops(spark: SparkSession, sf: str) -> DataFrame:
@@ -124,16 +142,15 @@ def _findings_cut(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _findings_word(spark: SparkSession, sf: str) -> DataFrame:
-    i = inputs(spark, sf)
-    return v.by_ticket(v.word_findings(i.cut, i.faults, i.reports))
+    return v.by_ticket(v.word_findings(_cut(spark, sf), _faults(spark, sf), _reports(spark, sf)))
 
 
 def _validator(spark: SparkSession, sf: str) -> DataFrame:
-    return v.validate(inputs(spark, sf))
+    return v.validate(inputs(spark, sf, words=True))
 
 
 def _observation_count(spark: SparkSession, sf: str) -> DataFrame:
-    return observation_count(v.validate(inputs(spark, sf)))
+    return observation_count(v.validate(inputs(spark, sf, words=True)))
 
 
 def _unmatched(spark: SparkSession, sf: str) -> DataFrame:
@@ -147,8 +164,7 @@ def _three_way(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _annex_defaults(spark: SparkSession, sf: str) -> DataFrame:
-    i = inputs(spark, sf)
-    return v.with_annex(i.cut, i.annexes).select(
+    return v.with_annex(_cut(spark, sf), _annexes(spark, sf)).select(
         "nro_incidencia", "cut_component", "annex_header", "annex_periods", "annex_total"
     )
 
@@ -158,7 +174,7 @@ def _union_findings(spark: SparkSession, sf: str) -> DataFrame:
     i = inputs(spark, sf)
     key, kind, place = v.KEY, "tipo_reporte", F.col("row")
     a = evaluate(v.unmatched(i), [cr.missing_incident()], key, kind, place)
-    b = evaluate(v.claims_missing(i.cut, i.faults), [wr.claim_not_in_faults()], key, kind, place)
+    b = evaluate(v.claims_missing(i.cut, _faults(spark, sf)), [wr.claim_not_in_faults()], key, kind, place)
     return union_all([a, b.drop("TIPO REPORTE")])
 
 
@@ -167,9 +183,9 @@ WORD = ["2.0.1", "2.0.2", "2.1", "2.2"]
 
 QUERIES = {
     "prepared_cut": _prepared_cut,
-    "prepared_incidents": _prepared("incidents"),
-    "prepared_circuits": _prepared("circuits"),
-    "prepared_faults": _prepared("faults"),
+    "prepared_incidents": _incidents,
+    "prepared_circuits": _circuits,
+    "prepared_faults": _faults,
     "cut_without_incident": _unmatched,
     "cut_incident_circuit": _three_way,
     "ticket_stops": _ticket_stops,
@@ -187,10 +203,10 @@ QUERIES = {
     "rule_1_9_owner": _cut_rule(cr.owner),
     "rule_1_10_whole_hours": _cut_rule(cr.whole_hours),
     "rule_1_11_outage_text": _outage_block_rule,
-    "rule_2_0_1_claim_not_in_faults": _missing("faults", wr.claim_not_in_faults),
-    "rule_2_0_2_claim_not_in_reports": _missing("reports", wr.claim_not_in_reports),
-    "rule_2_1_fault_fields": _word("faults", wr.fault_fields),
-    "rule_2_2_report_fields": _word("reports", wr.report_fields),
+    "rule_2_0_1_claim_not_in_faults": _missing(_faults, wr.claim_not_in_faults),
+    "rule_2_0_2_claim_not_in_reports": _missing(_reports, wr.claim_not_in_reports),
+    "rule_2_1_fault_fields": _word(_faults, wr.fault_fields),
+    "rule_2_2_report_fields": _word(_reports, wr.report_fields),
     "rule_3_1_annex_fields": _rule_3_1,
     "findings_cut": _findings_cut,
     "findings_word": _findings_word,

@@ -11,7 +11,7 @@ WHITESPACE = (
     "           "
     "    　"
 )
-LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+LINE_BREAK = "[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
 # The words and patterns the checks look for.
 UNKNOWN = "No disponible"
@@ -39,8 +39,13 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
 
+def starts_like(c: Column, word: str) -> Column:
+    """Cheap look at the first characters, in front of a costlier pattern."""
+    return F.lower(F.substring(c, 1, len(word))) == word
+
+
 def lines(c: Column) -> Column:
-    return F.split(c, LINE_BREAK)
+    return F.split(F.replace(c, F.lit("\r\n"), F.lit("\n")), LINE_BREAK)
 
 
 def clean_cell(c: Column, keep_newlines: bool = True) -> Column:
@@ -97,7 +102,8 @@ def field(c: Column, n: int, sep: str = r"\|") -> Column:
 
 
 def phrase_count(c: Column) -> Column:
-    return F.coalesce(F.regexp_count(c, F.lit(REPEATED_PHRASE)), F.lit(0))
+    possible = F.contains(c, F.lit("través"))
+    return F.when(possible, F.regexp_count(c, F.lit(REPEATED_PHRASE))).otherwise(F.lit(0))
 
 
 def repeats_phrase(c: Column) -> Column:
@@ -105,7 +111,7 @@ def repeats_phrase(c: Column) -> Column:
 
 
 def has_slash_typo(c: Column) -> Column:
-    return F.coalesce(c.rlike(SLASH_TYPO), F.lit(False))
+    return F.coalesce(F.contains(c, F.lit("/")) & c.rlike(SLASH_TYPO), F.lit(False))
 
 
 def has_repetition(c: Column) -> Column:
@@ -173,20 +179,18 @@ def split_narrative(c: Column, word: str = RECOMMENDS) -> Column:
 
 
 def drop_trailing(ls: Column, drop) -> Column:
-    """Array of lines without the trailing ones for which ``drop`` holds."""
-    return let(
-        ls,
-        lambda a: F.slice(
-            a,
-            F.lit(1),
-            F.coalesce(F.array_max(F.transform(a, lambda x, i: F.when(~drop(x), i + 1))), F.lit(0)),
-        ),
-    )
+    """Array of lines without the trailing ones whose stripped text ``drop`` accepts."""
+
+    def kept(a: Column) -> Column:
+        last = F.array_max(F.transform(F.transform(a, strip), lambda x, i: F.when(~drop(x), i + 1)))
+        return F.slice(a, F.lit(1), F.coalesce(last, F.lit(0)))
+
+    return let(ls, kept)
 
 
 def drop_trailing_date_lines(c: Column) -> Column:
-    ls = F.split(c, "\n")
-    return F.array_join(drop_trailing(ls, lambda x: strip(x).rlike(TRAILING_DATE_LINE)), "\n")
+    dated = lambda x: starts_like(x, "fecha") & x.rlike(TRAILING_DATE_LINE)
+    return F.array_join(drop_trailing(F.split(c, "\n"), dated), "\n")
 
 
 def replace_values(c: Column, mapping: dict[str, str]) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cotejo.functions.text import UNKNOWN, drop_trailing, let, lines, strip
+from cotejo.functions.text import UNKNOWN, drop_trailing, let, lines, starts_like, strip
 
 # The patterns of dates, block headers, periods and totals.
 BODY_PAIR = r"(?U)(\d{2}/\d{2}/\d{4})\D{0,10}(\d{1,2}:\d{2})"
@@ -48,9 +48,8 @@ def _all(c: Column, pattern: str) -> Column:
 
 def narrative_body(c: Column) -> Column:
     """The text without trailing blank lines and start/end lines."""
-    return F.array_join(
-        drop_trailing(lines(c), lambda x: (strip(x) == "") | strip(x).rlike(META_LINE)), "\n"
-    )
+    trailing = lambda x: (x == "") | (starts_like(x, "fecha y hora") & x.rlike(META_LINE))
+    return F.array_join(drop_trailing(lines(c), trailing), "\n")
 
 
 def body_range(c: Column) -> Column:

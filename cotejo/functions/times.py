@@ -61,29 +61,37 @@ def micros_between(start: Column, end: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", start, end)
 
 
+def two_digits(n: Column) -> Column:
+    """At least two digits; longer numbers and signs are kept whole."""
+    t = n.cast("string")
+    return F.when(n.between(0, 9), F.concat(F.lit("0"), t)).otherwise(t)
+
+
 def hhmm(seconds: Column) -> Column:
     """``HH:MM`` with floor division, so negative spans keep their sign."""
     hours = F.floor(seconds / 3600).cast("bigint")
     minutes = F.floor(F.pmod(seconds, F.lit(3600)) / 60).cast("bigint")
-    return F.when(seconds.isNotNull(), F.format_string("%02d:%02d", hours, minutes))
+    return F.concat(two_digits(hours), F.lit(":"), two_digits(minutes))
 
 
-def _number(c: Column, pattern: str, group: int) -> Column:
-    return F.coalesce(F.regexp_extract(c, pattern, group).try_cast("bigint"), F.lit(0))
+def _whole_hours(t: Column) -> Column:
+    """Hours of a text already known to fit: days before the comma, hours after it."""
+    days = F.when(F.contains(t, F.lit(",")), F.regexp_extract(t, r"^\d+", 0).try_cast("bigint"))
+    hours = F.split_part(strip(F.split_part(t, F.lit(","), F.lit(-1))), F.lit(":"), F.lit(1))
+    return F.coalesce(days, F.lit(0)) * 24 + F.coalesce(hours.try_cast("bigint"), F.lit(0))
 
 
 def duration_hhmm(c: Column) -> Column:
     """``[N day(s), ]H:MM[:SS][.]`` -> ``HH:MM``; null when it does not fit."""
     t = strip(c)
-    hours = _number(t, DURATION, 1) * 24 + _number(t, DURATION, 2)
-    return F.when(t.rlike(DURATION), F.format_string("%02d:%s", hours, F.regexp_extract(t, DURATION, 3)))
+    minutes = F.substring(F.split_part(t, F.lit(":"), F.lit(2)), 1, 2)
+    return F.when(t.rlike(DURATION), F.concat(two_digits(_whole_hours(t)), F.lit(":"), minutes))
 
 
 def duration_hours(c: Column) -> Column:
     """Whole hours of a duration text; null when it does not fit."""
     t = strip(c)
-    hours = _number(t, DURATION_HOURS, 1) * 24 + _number(t, DURATION_HOURS, 2)
-    return F.when(t.rlike(DURATION_HOURS), hours)
+    return F.when(t.rlike(DURATION_HOURS), _whole_hours(t))
 
 
 def minutes_of(c: Column) -> Column:

@@ -18,7 +18,7 @@ from cotejo.functions.text import (
     strip,
 )
 from cotejo.functions.textdates import body_range, closing_range, outage_block_strict
-from cotejo.functions.times import minutes_of
+from cotejo.functions.times import minutes_of, two_digits
 from cotejo.operators.rules import Check, Rule
 
 CLAIM, PROACTIVE = "RECLAMO", "PROACTIVO"
@@ -126,7 +126,7 @@ def stated_span() -> Rule:
 def minutes_hhmm(minutes: Column) -> Column:
     hours = F.floor(minutes / 60).cast("bigint")
     rest = F.floor(F.pmod(minutes, F.lit(60.0))).cast("bigint")
-    return F.when(minutes.isNotNull(), F.format_string("%02d:%02d", hours, rest))
+    return F.concat(two_digits(hours), F.lit(":"), two_digits(rest))
 
 
 def net_time() -> Rule:

@@ -60,7 +60,9 @@ def reconciled(inputs: Inputs) -> DataFrame:
     """Cut rows found in the incident extract, with circuit data and stops."""
     rows = matched(inputs.cut, inputs.incidents, [KEY])
     rows = enrich(rows, inputs.circuits, ["inc_cid"])
-    return with_stops(rows, inputs.stops, KEY, "inc_start", "inc_end", order=inputs.stop_order)
+    return with_stops(
+        rows, inputs.stops, inputs.incidents, KEY, "inc_start", "inc_end", order=inputs.stop_order
+    )
 
 
 def unmatched(inputs: Inputs) -> DataFrame:
