@@ -120,8 +120,8 @@ def stop_columns(d) -> dict[str, str]:
     end = d.plus_seconds(start, "cast(l_quantity as bigint) * 4 * 3600 + l_partkey % 50")
     return {
         "nro_incidencia": d.text("l_orderkey"),
-        "startdate": d.second_text(start),
-        "enddate": f"case when l_returnflag = 'A' and l_linestatus = 'O' then null else {d.loose_text(end)} end",
+        "startdate": start,
+        "enddate": f"case when l_returnflag = 'A' and l_linestatus = 'O' then null else {end} end",
     }
 
 

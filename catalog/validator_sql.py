@@ -159,11 +159,11 @@ CIRCUITS = f"""circ as (select coalesce("CID", 'nan') as inc_cid, {whole('"CUISM
   from circ_raw)"""
 
 STOPS = f"""clip as (select i.nro_incidencia as k, i.inc_start as lo, i.inc_end as hi,
-    greatest({dayfirst('s.startdate')}, i.inc_start) as s,
-    case when {dayfirst('s.enddate')} is not null then least({dayfirst('s.enddate')}, i.inc_end) end as e
+    greatest(s.startdate, i.inc_start) as s,
+    case when s.enddate is not null then least(s.enddate, i.inc_end) end as e
   from stop_raw s join (select distinct nro_incidencia, inc_start, inc_end from BOUNDS) i
     on s.nro_incidencia = i.nro_incidencia
-  where {dayfirst('s.startdate')} is not null),
+  where s.startdate is not null),
 numbered as (select *, row_number() over (order by k, s, e nulls last) as rn
   from clip where e is null or s < e),
 ends as (select *, coalesce(e, lead(s) over (partition by k order by rn)) as e2 from numbered),

@@ -17,7 +17,12 @@ SLICE_ROWS = 1_000_000
 
 
 def slice_number(order: Column, width: int) -> Column:
-    return F.floor(order / width).cast("bigint")
+    """Number of the slice, never null.
+
+    A nullable join key would get a not-null filter on one side only, and the
+    two branches over one exchange could no longer share it.
+    """
+    return F.coalesce(F.floor(order / width).cast("bigint"), F.lit(0))
 
 
 def carry_forward(
