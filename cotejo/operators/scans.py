@@ -25,6 +25,16 @@ def slice_number(order: Column, width: int) -> Column:
     return F.coalesce(F.floor(order / width).cast("bigint"), F.lit(0))
 
 
+def sliced(df: DataFrame, order: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Adds the slice column ``_slice``, unless an earlier step left it in place.
+
+    Steps that share the column also share the shuffle by (key, slice).
+    """
+    if "_slice" in df.columns:
+        return df
+    return df.withColumn("_slice", slice_number(F.col(order), slice_rows))
+
+
 def carry_forward(
     df: DataFrame,
     keys: Sequence[str],
@@ -36,24 +46,22 @@ def carry_forward(
     """Adds ``out``: the latest non-null ``value`` at or before each row.
 
     ``order`` is a whole number, unique inside ``keys``, such as a line number.
+    Keys must not be null.
     """
-    key = F.struct(*[F.col(k) for k in keys])
-    rows = df.withColumns({"_key": key, "_slice": slice_number(F.col(order), slice_rows), "_value": value})
-    inside = Window.partitionBy("_key", "_slice").orderBy(order)
-    local = rows.withColumn("_local", F.last("_value", ignorenulls=True).over(inside))
-    before = (
-        Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    )
+    by = [*keys, "_slice"]
+    rows = sliced(df, order, slice_rows).withColumn("_value", value)
+    local = rows.withColumn("_local", F.last("_value", ignorenulls=True).over(Window.partitionBy(*by).orderBy(order)))
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     handed = (
-        rows.groupBy("_key", "_slice")
+        rows.groupBy(*by)
         .agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(order))).alias("_tail"))
         .withColumn("_carry", F.last("_tail", ignorenulls=True).over(before))
         .drop("_tail")
     )
     return (
-        local.join(handed, ["_key", "_slice"])
+        local.join(handed, by)
         .withColumn(out, F.coalesce("_local", "_carry"))
-        .drop("_key", "_slice", "_value", "_local", "_carry")
+        .drop("_slice", "_value", "_local", "_carry")
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cotejo.functions.text import lines, strip
 from cotejo.functions.textdates import BLOCK_HEADER, BLOCK_PERIOD, BLOCK_TOTAL, pad_hours, pad_period
-from cotejo.operators.scans import SLICE_ROWS, carry_forward, slice_number
+from cotejo.operators.scans import SLICE_ROWS, carry_forward, sliced
 
 # Headings and field patterns of the two documents.
 REPORT_HEADING = r"(?iU)REPORTE T[EÉ]CNICO Nº\s*(\d+)"
@@ -78,7 +78,7 @@ def with_following(df: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     Lines look ahead inside a slice of line numbers; the last ones of a slice
     take the opening lines of the following slices.
     """
-    rows = df.withColumn("_slice", slice_number(F.col("line_no"), slice_rows))
+    rows = sliced(df, "line_no", slice_rows)
     inside = Window.partitionBy("doc_id", "_slice").orderBy("line_no")
     local = rows.withColumns({"_n1": F.lead("text", 1).over(inside), "_n2": F.lead("text", 2).over(inside)})
     heads = local.groupBy("doc_id", "_slice").agg(
@@ -97,7 +97,7 @@ def with_following(df: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
             "_n2", F.coalesce("_n2", F.when(F.col("_n1").isNull(), F.col("_b")).otherwise(F.col("_a")))
         )
         .withColumn("_n1", F.coalesce("_n1", "_a"))
-        .drop("_slice", "_a", "_b")
+        .drop("_a", "_b")
     )
 
 
@@ -131,13 +131,15 @@ def technical_reports(df: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
         F.min(F.when(title, F.col("line_no"))).alias("_title"),
         F.min(F.when(cause, F.col("line_no"))).alias("_cause"),
     )
-    rows = rows.join(marks, by)
     after_title = F.col("line_no") > F.col("_title")
     ends = F.lit(False)
     for word in MEASURES_END:
         ends = ends | F.startswith(F.lower(t), F.lit(word))
-    stops = rows.groupBy(*by).agg(F.min(F.when(after_title & ends, F.col("line_no"))).alias("_end"))
-    rows = rows.join(stops, by)
+    # Only the closing lines meet the marks before the whole section does.
+    stops = (
+        rows.where(ends).join(marks, by).where(after_title).groupBy(*by).agg(F.min("line_no").alias("_end"))
+    )
+    rows = rows.join(marks.join(stops, by, "left"), by)
 
     inside = after_title & (F.col("_end").isNull() | (F.col("line_no") < F.col("_end"))) & (t != "")
     event = t.rlike(EVENT_LINE)
