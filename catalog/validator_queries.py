@@ -38,14 +38,13 @@ from cotejo.plans.inputs import (
     prepare_stops,
 )
 
-VOICE_ROWS = f"{FAULT_ROWS} and o_orderpriority = '{HIGH}'"
-DATA_ROWS = f"{FAULT_ROWS} and o_orderpriority <> '{HIGH}'"
+COMPONENT = f"case when o_orderpriority = '{HIGH}' then '{VOICE}' else '{DATA}' end"
 
 
 def _documents(spark: SparkSession, sf: str, columns, prepare) -> DataFrame:
-    data = spark_frame(spark, sf, "orders", columns(Spark), DATA_ROWS)
-    voice = spark_frame(spark, sf, "orders", columns(Spark), VOICE_ROWS)
-    return prepare(data, DATA).unionByName(prepare(voice, VOICE))
+    """Both documents in one frame; the priority says which one a row is in."""
+    df = spark_frame(spark, sf, "orders", {**columns(Spark), "component": COMPONENT}, FAULT_ROWS)
+    return prepare(df, F.col("component"))
 
 
 def _cut(spark: SparkSession, sf: str, newlines: bool = False) -> DataFrame:

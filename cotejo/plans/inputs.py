@@ -49,6 +49,10 @@ def _time(df: DataFrame, name: str, *formats: str) -> Column:
     return parse(strip(col), *formats)
 
 
+def _label(component: str | Column) -> Column:
+    return F.lit(component) if isinstance(component, str) else component
+
+
 def _row(df: DataFrame, row: str | None) -> Column:
     return (F.lit(0) if row is None else F.col(f"`{row}`")).cast("bigint").alias("row")
 
@@ -166,8 +170,8 @@ def prepare_circuits(df: DataFrame) -> DataFrame:
     )
 
 
-def prepare_faults(df: DataFrame, component: str) -> DataFrame:
-    """Rows of the fault tables of one document, labelled with its component."""
+def prepare_faults(df: DataFrame, component: str | Column) -> DataFrame:
+    """Fault table rows labelled with the component of their document."""
     df = df.withColumnsRenamed({"Tiempo\nTotal (HH:MM)": "Tiempo Total (HH:MM)"})
     missing = [c for c in (*FAULT_COLUMNS, "responsable") if c not in df.columns]
     if missing:
@@ -175,7 +179,7 @@ def prepare_faults(df: DataFrame, component: str) -> DataFrame:
     cell = lambda c: F.col(f"`{c}`").cast("string")
     return df.select(
         F.coalesce(cell("Número de ticket"), F.lit("nan")).alias("nro_incidencia"),
-        F.lit(component).alias("word_component"),
+        _label(component).alias("word_component"),
         _time(df, "Fecha y Hora Inicio", "d/M/yyyy H:mm").alias("word_start"),
         _time(df, "Fecha y Hora Fin", "d/M/yyyy H:mm").alias("word_end"),
         cell("CUISMP").alias("word_service"),
@@ -188,12 +192,12 @@ def prepare_faults(df: DataFrame, component: str) -> DataFrame:
     )
 
 
-def prepare_reports(df: DataFrame, component: str) -> DataFrame:
-    """Technical reports of one document, labelled with its component."""
+def prepare_reports(df: DataFrame, component: str | Column) -> DataFrame:
+    """Technical reports labelled with the component of their document."""
     cell = lambda c: F.col(f"`{c}`").cast("string")
     return df.select(
         F.coalesce(cell("nro_incidencia"), F.lit("nan")).alias("nro_incidencia"),
-        F.lit(component).alias("word_component"),
+        _label(component).alias("word_component"),
         cell("CUISMP").alias("word_service"),
         cell("Tipo Caso").alias("word_case"),
         cell("Observación").alias("word_note"),
@@ -204,11 +208,11 @@ def prepare_reports(df: DataFrame, component: str) -> DataFrame:
     )
 
 
-def prepare_annexes(df: DataFrame, component: str) -> DataFrame:
-    """Outage annexes of one document, labelled with its component."""
+def prepare_annexes(df: DataFrame, component: str | Column) -> DataFrame:
+    """Outage annexes labelled with the component of their document."""
     return df.select(
         F.coalesce(F.col("ticket").cast("string"), F.lit("nan")).alias("nro_incidencia"),
-        F.lit(component).alias("annex_component"),
+        _label(component).alias("annex_component"),
         F.col("indisponibilidad_header").alias("annex_header"),
         F.col("indisponibilidad_periodos").alias("annex_periods"),
         F.col("indisponibilidad_total").alias("annex_total"),

@@ -21,6 +21,8 @@ def build_session(app: str = "cotejo", master: str | None = None, **conf: str) -
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Call sites of every column expression are not worth their cost here.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.ui.enabled": "false",
         **conf,
     }
