@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from cotejo.functions.numbers import fail_count, holds
 
+MASK_BITS = 60
+
 
 @dataclass(frozen=True)
 class Check:
@@ -61,18 +63,23 @@ def evaluate(
 
     ``row`` is the place of the input row, used to order findings of one rule.
     """
-    checks = [(r, c) for r in rules for c in r.checks]
+    checks = [c for r in rules for c in r.checks]
     place = (F.lit(0) if row is None else row).cast("bigint")
-    # Every check is worked out once, in one array; outcomes and messages read it.
-    df = df.withColumns({"_row": place, "_ok": F.array(*[holds(c.ok) for _, c in checks])})
-    ok = {id(c): F.get("_ok", F.lit(i)) for i, (_, c) in enumerate(checks)}
+    # Every check is worked out once, as a bit; outcomes and messages read the bits.
+    masks, passed = {}, {}
+    for i, c in enumerate(checks):
+        name, bit = f"_failed{i // MASK_BITS}", 1 << (i % MASK_BITS)
+        term = F.when(holds(c.ok), F.lit(0)).otherwise(F.lit(bit)).cast("bigint")
+        masks[name] = masks[name] + term if name in masks else term
+        passed[id(c)] = F.col(name).bitwiseAND(F.lit(bit).cast("bigint")) == 0
+    df = df.withColumns({"_row": place, **masks})
 
     def finding(r: Rule) -> Column:
-        passed = F.lit(True)
+        ok = F.lit(True)
         for c in r.checks:
-            passed = passed & ok[id(c)]
-        failed = ~passed if r.when is None else ~passed & holds(r.when)
-        message = F.concat(*[F.when(ok[id(c)], F.lit("")).otherwise(c.message) for c in r.checks])
+            ok = ok & passed[id(c)]
+        failed = ~ok if r.when is None else ~ok & holds(r.when)
+        message = F.concat(*[F.when(passed[id(c)], F.lit("")).otherwise(c.message) for c in r.checks])
         return F.when(
             failed,
             F.struct(
@@ -82,7 +89,9 @@ def evaluate(
             ),
         )
 
-    found = F.filter(F.array(*[finding(r) for r in rules]), lambda x: x.isNotNull())
-    return df.select(
-        F.col(key), F.col(kind).alias("TIPO REPORTE"), F.col("_row").alias("row"), F.explode(found).alias("_f")
-    ).select(key, "_f.mensaje", "_f.objetivo", "TIPO REPORTE", "_f.seq", "row")
+    found = F.array(*[finding(r) for r in rules])
+    return (
+        df.select(F.col(key), F.col(kind).alias("TIPO REPORTE"), F.col("_row").alias("row"), F.explode(found).alias("_f"))
+        .where(F.col("_f").isNotNull())
+        .select(key, "_f.mensaje", "_f.objetivo", "TIPO REPORTE", "_f.seq", "row")
+    )
