@@ -8,14 +8,18 @@ from pyspark.sql import DataFrame
 
 
 def checkpoint_dir(df: DataFrame) -> str:
-    """The cluster's shared checkpoint folder; a local one only when none is named."""
+    """The cluster's shared checkpoint folder; a local one only on a local master."""
     spark = df.sparkSession
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="cotejo-checkpoint-"))
+    if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("name a shared folder in spark.checkpoint.dir")
+        named = tempfile.mkdtemp(prefix="cotejo-checkpoint-")
+    sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
