@@ -2,9 +2,11 @@
 
 A window is ``length`` consecutive units (words or bytes) of one text.  Its
 anchor is the k-gram of units with the smallest hash in it, the leftmost of
-equals, so equal windows have equal anchors at equal distances from their
-start.  Consecutive windows share an anchor; such a run of windows, with all the
-units that it touches, is a segment.  Every window lies in exactly one segment.
+equals, so equal windows have equal anchors.  Consecutive windows with equal
+anchors, up to ``RUN`` of them, make a segment with all the units that they touch;
+every window lies in exactly one.  A segment ``loops`` if it has such an anchor at
+more than one place, as in text that repeats itself: only then can two of its
+own windows be equal.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 #: Units that are hashed together; longer texts are cut into overlapping chunks.
 CHUNK = 1 << 18
+#: Windows of a segment at most.
+RUN = 256
 
 
 def _powers(odd: int, n: int) -> np.ndarray:
@@ -126,11 +130,12 @@ def window_minimum(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def _segments(u: np.ndarray, first: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """Segments of up to 2 * CHUNK units: anchor hash, content hash, first window, windows."""
+    """Segments of up to 2 * CHUNK units: anchor hash, content hash, first window, windows, loops."""
     n = len(u) - length + 1
-    nothing = np.zeros(0, np.uint64)
+    none = np.zeros(0, np.int64)
+    nothing = none.view(np.uint64), none.view(np.uint64), none, none, none.astype(bool)
     if n <= 0:
-        return nothing, nothing, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return nothing
     gram = grams(u, k)
     key = (gram & _HIGH) | np.arange(len(gram), dtype=np.uint64)
     place = (window_minimum(key, length - k + 1) & _LOW).astype(np.int64)
@@ -139,24 +144,34 @@ def _segments(u: np.ndarray, first: np.ndarray, length: int, k: int) -> tuple[np
         whole[max(f - length + 1, 0) : f] = False
     starts = np.flatnonzero(whole)
     if not len(starts):
-        return nothing, nothing, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return nothing
     place = place[starts]
-    head = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1))))
+    apart = np.concatenate(([True], starts[1:] != starts[:-1] + 1))
+    moves = np.concatenate(([True], place[1:] != place[:-1]))
+    moves[1:] |= apart[1:]
+    other = apart.copy()
+    other[1:] |= gram[place[1:]] != gram[place[:-1]]
+    run = np.flatnonzero(other)
+    windows = np.diff(np.append(run, len(starts)))
+    loops = np.add.reduceat(moves.astype(np.int64), run) > 1
+    parts = -(-windows // RUN)  # a longer run is cut after every RUN windows
+    of = np.repeat(np.arange(len(run)), parts)
+    skipped = (np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)) * RUN
+    head = run[of] + skipped
+    count = np.minimum(windows[of] - skipped, RUN)
     a = starts[head]
-    count = np.diff(np.append(head, len(starts)))
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(u) * _power()[: len(u)], dtype=np.uint64)))
     content = mix((total[a + count + length - 1] - total[a]) * _power(pow(_ODD, -1, 2**64))[a] + count.astype(np.uint64))
-    return gram[place[head]], content, a, count
+    return gram[place[head]], content, a, count, loops[of]
 
 
 def segments(units: Units, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """Segments of consecutive texts: text number, anchor hash, content hash, first window in its text, windows.
+    """Segments of consecutive texts: text number, anchor hash, content hash, first window in its text, windows, loops.
 
     Texts are taken together up to CHUNK units; a longer one is cut into chunks
-    that overlap by a window less one unit, so no window is lost (a run of
-    windows may be cut in two, alike in no other way).
+    that overlap by a window less one unit, so every window is in one chunk.
     """
-    out: list[list[np.ndarray]] = [[], [], [], [], []]
+    out: list[list[np.ndarray]] = [[], [], [], [], [], []]
     first, t, n_texts = units.first, 0, len(units.first) - 1
     while t < n_texts:
         last = max(t + 1, int(np.searchsorted(first, first[t] + CHUNK, "right")) - 1)
@@ -164,9 +179,9 @@ def segments(units: Units, length: int, k: int) -> tuple[np.ndarray, ...]:
         for at in range(lo, max(hi, lo + 1), CHUNK):
             upto = min(hi, at + CHUNK + length - 1)
             edges = first[t : last + 1] - at if last > t + 1 else np.array([0, upto - at])
-            anchor, content, a, count = _segments(units.hashes[at:upto], edges, length, k)
+            anchor, content, a, count, loops = _segments(units.hashes[at:upto], edges, length, k)
             owner = np.searchsorted(first[t + 1 : last + 1], a + at, "right") + t
-            for x, y in zip(out, (owner, anchor, content, a + at - first[owner], count)):
+            for x, y in zip(out, (owner, anchor, content, a + at - first[owner], count, loops)):
                 x.append(y)
         t = last
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)

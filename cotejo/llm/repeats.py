@@ -6,10 +6,10 @@ document with a smaller doc_id, or in the same one further left.
 
 1. Each document gives its segments (see ``anchors``): two hashes and two
    places each, no text.
-2. Anchors found once cannot repeat; one count by anchor drops them.
+2. Anchors found once cannot repeat, unless the segment loops; one count by anchor drops them.
 3. Segments that are equal as a whole are settled by the smallest place; all
    but that first one are covered.
-4. Anchors with several different segments are compared on their real texts:
+4. Anchors with several different segments, or looping ones, are compared on their real texts:
    the first of each kind is cut from its document and sent to the task of its
    anchor, which runs the ``matcher`` over such groups (shards).  Of anchors with more
    than ``hot`` kinds, every window is settled for itself by its 128-bit
@@ -49,7 +49,7 @@ class Kind:
 
     ``matcher`` gets segment texts, the number of each one's group, and its number of
     windows, in the order (group, place); it returns for each segment the windows
-    (numbers from 0) that a former segment of the group has.
+    (numbers from 0) that begin earlier, in a former segment of the group or in the same.
     """
 
     units: Callable[[np.ndarray, np.ndarray], anchors.Units]
@@ -69,13 +69,13 @@ def _segments(docs: DataFrame, kind: Kind) -> DataFrame:
         for batch in it:
             data, at = anchors.texts_of(batch.column(2))
             for t, u in anchors.pieces(at):
-                owner, anchor, content, a, n = anchors.segments(kind.units(data, at[t : u + 1]), kind.length, kind.k)
+                owner, anchor, content, a, n, loops = anchors.segments(kind.units(data, at[t : u + 1]), kind.length, kind.k)
                 offsets = pa.array(np.searchsorted(owner, np.arange(u - t + 1)).astype(np.int32))
                 arrays = [batch.column(i).slice(t, u - t) for i in (0, 1)]
-                arrays += [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (anchor.view(np.int64), content.view(np.int64), a.astype(np.int32), n.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["_id", "_text", "anchor", "content", "at", "n"])
+                arrays += [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (anchor.view(np.int64), content.view(np.int64), a.astype(np.int32), n.astype(np.int32), loops.astype(bool))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["_id", "_text", "anchor", "content", "at", "n", "loops"])
 
-    schema = "_id long, _text long, anchor array<long>, content array<long>, at array<int>, n array<int>"
+    schema = "_id long, _text long, anchor array<long>, content array<long>, at array<int>, n array<int>, loops array<boolean>"
     return docs.select(*_keys(docs), "text").mapInArrow(batches, schema)
 
 
@@ -172,14 +172,14 @@ def noted(docs: DataFrame, kind: Kind) -> DataFrame:
     """(doc_id, text, notes) for every row of ``docs``; notes is null where nothing repeats, see ``ranges``."""
     docs = docs.select("doc_id", "text")
     every = written(_segments(docs, kind), "segments")
-    every = every.select("_id", "_text", F.inline(F.arrays_zip("anchor", "content", "at", "n")))
-    again = every.groupBy("anchor").agg(F.count("*").alias("_times")).filter("_times > 1").select("anchor")
+    every = every.select("_id", "_text", F.inline(F.arrays_zip("anchor", "content", "at", "n", "loops")))
+    again = every.groupBy("anchor").agg(F.count("*").alias("_times"), F.max("loops").alias("_loops")).filter("_times > 1 or _loops").select("anchor")
     repeated = written(every.join(again, "anchor"), "repeated")
 
     place = F.struct("_id", "_text", "at")
-    kinds = repeated.groupBy("anchor", "content").agg(F.min(place).alias("first"), F.first("n").alias("n"))
-    kinds = written(kinds.select("anchor", "first.*", "n"), "kinds")
-    mixed = kinds.groupBy("anchor").agg(F.count("*").alias("_kinds")).filter("_kinds > 1")
+    kinds = repeated.groupBy("anchor", "content").agg(F.min(place).alias("first"), F.max("n").alias("n"), F.max("loops").alias("loops"))
+    kinds = written(kinds.select("anchor", "first.*", "n", "loops"), "kinds")
+    mixed = kinds.groupBy("anchor").agg(F.count("*").alias("_kinds"), F.max("loops").alias("_loops")).filter("_kinds > 1 or _loops").drop("_loops")
     wanted = kinds.join(mixed, "anchor")
     texts = docs.select("doc_id", "text", *_keys(docs))
 

@@ -1,10 +1,10 @@
 """Operator 1: removal of repeated word passages with suffix automata of reference shards.
 
 The reference is the corpus itself, cut into shards by anchor (``repeats``).  A shard's
-automaton takes the shard's segments in corpus order; each segment is first
-streamed through the automaton of the earlier ones, which gives its matching
-statistics, and is then added.  Where a match reaches the threshold length, the
-window that ends there also starts earlier.
+segments are streamed through its automaton in corpus order.  The automaton is
+extended on the way, and tells at each word how long the longest match is that
+ends there and was seen before: the matching statistics.  Where that reaches
+the threshold, the window that ends there also starts earlier.
 
 An automaton of the whole reference cannot be broadcast, as it grows with the
 corpus.  A shard and the segments to match meet in one task by their anchor
@@ -34,28 +34,30 @@ class Automaton:
         self.next: list[dict] = [{}]
         self.link, self.length = [-1], [0]
 
-    def add(self, sequence: list) -> None:
-        last = 0
-        for unit in sequence:
-            last = self._extended(last, unit)
-
-    def _extended(self, last: int, unit) -> int:
+    def stream(self, sequence: list) -> list[int]:
+        """Takes a sequence in; for each place the length of the longest match that ends there and began earlier."""
         nxt, link, length = self.next, self.link, self.length
-        q = nxt[last].get(unit)
-        if q is not None:
-            return q if length[q] == length[last] + 1 else self._split(last, unit, q)
-        new = len(nxt)
-        nxt.append({})
-        length.append(length[last] + 1)
-        link.append(0)
-        p = last
-        while p >= 0 and unit not in nxt[p]:
-            nxt[p][unit] = new
-            p = link[p]
-        if p >= 0:
-            q = nxt[p][unit]
-            link[new] = q if length[q] == length[p] + 1 else self._split(p, unit, q)
-        return new
+        last, matches = 0, []
+        for unit in sequence:
+            q = nxt[last].get(unit)
+            if q is not None:  # all of the sequence so far was seen before
+                last = q if length[q] == length[last] + 1 else self._split(last, unit, q)
+                matches.append(length[last])
+                continue
+            new = len(nxt)
+            nxt.append({})
+            length.append(length[last] + 1)
+            link.append(0)
+            p = last
+            while p >= 0 and unit not in nxt[p]:
+                nxt[p][unit] = new
+                p = link[p]
+            if p >= 0:
+                q = nxt[p][unit]
+                link[new] = q if length[q] == length[p] + 1 else self._split(p, unit, q)
+            last = new
+            matches.append(length[link[new]])
+        return matches
 
     def _split(self, p: int, unit, q: int) -> int:
         """A state of its own for the shorter strings of q that end with p's strings and ``unit``."""
@@ -70,30 +72,14 @@ class Automaton:
             p = link[p]
         return clone
 
-    def ends(self, sequence: list, least: int) -> list[int]:
-        """Where in ``sequence`` the longest match that ends there has ``least`` units or more."""
-        nxt, link, length = self.next, self.link, self.length
-        state, match, found = 0, 0, []
-        for i, unit in enumerate(sequence):
-            while state and unit not in nxt[state]:
-                state = link[state]
-                match = length[state]
-            if unit in nxt[state]:
-                state = nxt[state][unit]
-                match += 1
-            if match >= least:
-                found.append(i)
-        return found
-
 
 def matcher(pieces: list[bytes], group: np.ndarray, n: np.ndarray, length: int) -> list[np.ndarray]:
     out, automaton, current = [], Automaton(), None
     for piece, g in zip(pieces, group.tolist()):
         if g != current:
             automaton, current = Automaton(), g
-        sequence = piece.split()
-        out.append(np.array(automaton.ends(sequence, length), np.int64) - (length - 1))
-        automaton.add(sequence)
+        matches = np.array(automaton.stream(piece.split()), np.int64)
+        out.append(np.flatnonzero(matches >= length) - (length - 1))
     return out
 
 
