@@ -104,8 +104,8 @@ def plan(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most:
     return written(aims.drop("source"), "plan")
 
 
-def _copies(u: Column) -> Column:
-    return F.col("whole") + (u < F.col("threshold")).cast("long")
+def _copies(u: Column, most: float) -> Column:
+    return F.least(F.col("whole") + (u < F.col("threshold")).cast("long"), F.lit(int(most)).cast("long"))
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -115,7 +115,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     have one hash and are taken together.  A source without words has target 0.
     """
     sizes = written(sized(docs), "sizes")
-    each = sizes.join(plan(sizes, weights, share, most), F.col("source").eqNullSafe(F.col("_source"))).withColumn("copies", _copies(F.col("u")))
+    each = sizes.join(plan(sizes, weights, share, most), F.col("source").eqNullSafe(F.col("_source"))).withColumn("copies", _copies(F.col("u"), most))
     return each.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
@@ -124,7 +124,7 @@ def repeated(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
     aims = plan(written(sized(docs), "sizes"), weights, share, most)
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), F.col("source").alias("_own"), position().alias("_u"))
     each = rows.join(aims, F.col("_own").eqNullSafe(F.col("_source")))
-    return each.select("_row", F.explode(F.array_repeat(F.lit(1), _copies(F.col("_u")).cast("int")))).select("_row.*")
+    return each.select("_row", F.explode(F.array_repeat(F.lit(1), _copies(F.col("_u"), most).cast("int")))).select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
