@@ -83,17 +83,18 @@ def beside_next(docs: DataFrame, size: int = SIZE) -> DataFrame:
     The texts are shuffled once, by slice; only the last row of each slice is joined
     with the first of the slice that follows.
     """
-    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = with_sketch(rows, "text", "sketch", size).withColumn("_slice", F.shiftright("_id", SLICE))
     order = Window.partitionBy("_slice").orderBy("_id", "text")
-    rows = rows.withColumn("next_text", F.lead("text").over(order)).withColumn("next_sketch", F.lead("sketch").over(order)).withColumn("_n", F.row_number().over(order))
-    first = rows.filter("_n = 1").select(F.col("_slice").alias("_after"), F.col("text").alias("_t"), F.col("sketch").alias("_s"))
+    # Both ends of a slice are told by neighbours, not by rank, and all branches use the same columns, so they share one shuffle.
+    rows = rows.withColumn("next_text", F.lead("text").over(order)).withColumn("next_sketch", F.lead("sketch").over(order)).withColumn("_before", F.lag("_id").over(order))
+    first = rows.filter("_before is null").select(F.col("_slice").alias("_after"), F.col("text").alias("_t"), F.col("sketch").alias("_s"))
     chain = followers(docs.select(F.shiftright(F.coalesce("doc_id", F.lit(NO_ID)), SLICE).alias("x")).distinct(), 64 - SLICE)
     chain = chain.select(F.col("x").alias("_slice"), F.col("next").alias("_after"))
-    last = rows.filter("next_text is null").select("doc_id", "text", "sketch", "_slice").join(chain, "_slice").join(first, "_after")
-    last = last.select("doc_id", "text", "sketch", F.col("_t").alias("next_text"), F.col("_s").alias("next_sketch"))
-    inner = rows.filter("next_text is not null").select("doc_id", "text", "sketch", "next_text", "next_sketch")
-    return inner.unionAll(last)
+    last = rows.filter("next_text is null").select("_id", "text", "sketch", "_slice").join(chain, "_slice").join(first, "_after")
+    last = last.select("_id", "text", "sketch", F.col("_t").alias("next_text"), F.col("_s").alias("next_sketch"))
+    both = rows.filter("next_text is not null").select("_id", "text", "sketch", "next_text", "next_sketch").unionAll(last)
+    return both.withColumn("doc_id", F.when(F.col("_id") != NO_ID, F.col("_id"))).drop("_id")
 
 
 def compared(docs: DataFrame, size: int = SIZE) -> DataFrame:
