@@ -11,8 +11,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cotejo.sources.files import spread
-
 
 
 URGENT, HIGH, MEDIUM, OTHER, LOW = "1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"
@@ -23,6 +21,15 @@ STOPS_HEADER = "Se tuvo indisponibilidad por parte del cliente para continuar lo
 DATA_NOTE = "Se generó ticket para la revisión del servicio de datos de la sede "
 VOICE_NOTE = "Se generó ticket para la revisión del servicio de telefonía de la sede "
 
+# Orders whose ticket is known to the incidents, and to the word documents; the other rows bear a changed one.
+INCIDENT_ROWS = f"not (o_orderstatus = 'P' and o_orderpriority in ('{URGENT}', '{LOW}'))"
+FAULT_ROWS = f"o_orderstatus <> 'O' and o_orderpriority in ('{URGENT}', '{HIGH}', '{MEDIUM}') and o_totalprice > 100000"
+
+
+def _ticket(d, known: str) -> str:
+    return f"case when {known} then {d.text('o_orderkey')} else concat('9', lpad({d.text('o_orderkey')}, 12, '0')) end"
+
+
 MINUTES = "(o_orderkey * 53 % 9000)"
 
 
@@ -92,7 +99,7 @@ def incident_columns(d) -> dict[str, str]:
     made = d.plus_seconds(_start(d), "605")
     over = d.plus_seconds(_end(d), f"case when o_orderpriority = '{OTHER}' then 125 else 20 end")
     return {
-        "nro_incidencia": d.text("o_orderkey"),
+        "nro_incidencia": _ticket(d, INCIDENT_ROWS),
         "canal_ingreso": "case o_orderstatus when 'F' then 'e-mail' when 'O' then 'Proactivo' else 'Telefono' end",
         "interrupcion_inicio": d.loose_text(late),
         "fecha_generacion": d.second_text(made),
@@ -112,9 +119,6 @@ def incident_columns(d) -> dict[str, str]:
     }
 
 
-INCIDENT_ROWS = f"not (o_orderstatus = 'P' and o_orderpriority in ('{URGENT}', '{LOW}'))"
-
-
 def stop_columns(d) -> dict[str, str]:
     start = d.plus_seconds(d.ntz("l_shipdate"), "(l_partkey * 61 % 1440) * 60 + l_suppkey % 60")
     end = d.plus_seconds(start, "cast(l_quantity as bigint) * 4 * 3600 + l_partkey % 50")
@@ -144,14 +148,11 @@ def circuit_columns(d) -> dict[str, str]:
     }
 
 
-FAULT_ROWS = f"o_orderstatus <> 'O' and o_orderpriority in ('{URGENT}', '{HIGH}', '{MEDIUM}') and o_totalprice > 100000"
-
-
 def fault_columns(d) -> dict[str, str]:
-    """Fault table rows of the orders above a price; others are missing from it."""
+    """Fault table rows; those of some orders bear tickets that no cut has."""
     start, end = _start(d), _end(d)
     return {
-        "Número de ticket": d.text("o_orderkey"),
+        "Número de ticket": _ticket(d, FAULT_ROWS),
         "Fecha y Hora Inicio": d.loose_minute_text(start),
         "Fecha y Hora Fin": f"case when o_orderstatus = 'P' then 'por definir' else {d.minute_text(end)} end",
         "CUISMP": d.text("o_custkey * 7 + 1000"),
@@ -168,7 +169,7 @@ def report_columns(d) -> dict[str, str]:
     """Technical reports of the same orders."""
     start, end = _start(d), _end(d)
     return {
-        "nro_incidencia": d.text("o_orderkey"),
+        "nro_incidencia": _ticket(d, FAULT_ROWS),
         "CUISMP": d.text("o_custkey * 7 + 1000"),
         "Tipo Caso": "case when o_orderstatus = 'P' then '' else 'SIN SERVICIO' end",
         "Observación": f"concat('{DATA_NOTE}', {_site(d)})",
@@ -183,7 +184,7 @@ def annex_columns(d) -> dict[str, str]:
     """Outage annexes of the same orders; the first stop is the order's own."""
     start, end = _start(d), _end(d)
     return {
-        "ticket": d.text("o_orderkey"),
+        "ticket": _ticket(d, FAULT_ROWS),
         "indisponibilidad_header": f"case when o_orderstatus = 'P' then 'Se tuvo indisponibilidad' else ' {STOPS_HEADER}' end",
         "indisponibilidad_periodos": f"concat({d.second_text(start)}, ' hasta el día ', {d.second_text(end)})",
         "indisponibilidad_footer": "''",
@@ -196,7 +197,7 @@ def select_list(columns: dict[str, str], quote: str = '"') -> str:
 
 
 def spark_frame(spark: SparkSession, sf: str, table: str, columns: dict[str, str], where: str | None = None) -> DataFrame:
-    df = spread(spark.read.parquet(f"{sf}/{table}.parquet"))
+    df = spark.read.parquet(f"{sf}/{table}.parquet")
     if where:
         df = df.where(where)
     return df.selectExpr(*[f"{e} as `{n}`" for n, e in columns.items()])

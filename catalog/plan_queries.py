@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.dialect import Duck, Spark
-from catalog.inputs import INCIDENT_ROWS, duck_cte, incident_columns, select_list, spark_frame
+from catalog.inputs import duck_cte, incident_columns, select_list, spark_frame
 from cotejo.plans import attendance, client_report, sla
 
 # --- service level ---------------------------------------------------------
@@ -130,12 +130,12 @@ def logged_columns(d) -> dict[str, str]:
 
 
 def _agents(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    rows = spark_frame(spark, sf, "events", agent_columns(Spark), "event_type in ('click', 'view', 'error')")
+    rows = spark_frame(spark, sf, "events", agent_columns(Spark))
     return attendance.call_centre_presence(rows, "source_row")
 
 
 def _logged(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    rows = spark_frame(spark, sf, "events", logged_columns(Spark), "event_type in ('purchase', 'signup', 'error')")
+    rows = spark_frame(spark, sf, "events", logged_columns(Spark))
     return attendance.logged_presence(rows, "source_row")
 
 
@@ -156,12 +156,12 @@ def logged_presence(spark: SparkSession, sf: str) -> DataFrame:
     return _days_as_text(_logged(spark, sf)[0])
 
 
-AGENT_CTES = f"""{duck_cte('ncc', 'events', agent_columns(Duck), "event_type in ('click', 'view', 'error')")},
+AGENT_CTES = f"""{duck_cte('ncc', 'events', agent_columns(Duck))},
 ncc_t as (select *, strptime("Fecha", '%d/%m/%Y %H:%M:%S') as t, left(strptime("Fecha", '%d/%m/%Y %H:%M:%S')::varchar, 10) as d from ncc),
 ncc_first as (select source_row, "Anexo", "Usuario", "Evento", "Motivo", d as "Fecha", strftime(t, '%H:%M:%S') as "HoraEntrada", d as "Fecha_NCC",
   split_part(trim("Usuario"), ' ', 1) || ' ' || split_part(trim("Usuario"), ' ', 3) as "Usuario_NCC"
   from ncc_t qualify row_number() over (partition by "Usuario", d order by t, source_row) = 1)"""
-LOGGED_CTES = f"""{duck_cte('sem', 'events', logged_columns(Duck), "event_type in ('purchase', 'signup', 'error')")},
+LOGGED_CTES = f"""{duck_cte('sem', 'events', logged_columns(Duck))},
 sem_first as (select source_row, "ANALISTA" as "Usuario", "MODALIDAD", "FECHA",
   case when "LOGUEO/INGRESO" = 'falta' then null else lpad("LOGUEO/INGRESO", 8, '0') end as "LOGUEO/INGRESO", "FECHA" as "Fecha_Semaforo",
   split_part("ANALISTA", ' ', 1) || ' ' || split_part("ANALISTA", ' ', 3) as "Usuario_Semaforo"
@@ -277,7 +277,7 @@ from sp left join s using (u, d) left join n using (u, d) left join g using (u,
 
 def client_rows(spark: SparkSession, sf: str) -> DataFrame:
     report = spark_frame(
-        spark, sf, "orders", {**incident_columns(Spark), "tipificacion_problema": _problem(Spark)}, INCIDENT_ROWS
+        spark, sf, "orders", {**incident_columns(Spark), "tipificacion_problema": _problem(Spark)}
     )
     sites = spark_frame(spark, sf, "customer", {"cid": f"concat('C', {Spark.text('c_custkey')})", "sede": "c_name"})
     return client_report.in_report_order(client_report.client_rows(report, sites), "nro_incidencia")
@@ -292,7 +292,7 @@ def _problem(d) -> str:
 
 _TS = lambda c: f"try_strptime(coalesce({c}, '-'), ['%d/%m/%Y %H:%M:%S', '%d/%m/%Y %H:%M'])"
 _FM = lambda c: f"strftime({_TS(c)}, '%d/%m/%Y %H:%M')"
-CLIENT_SQL = f"""with {duck_cte('r', 'orders', {**incident_columns(Duck), 'tipificacion_problema': _problem(Duck)}, INCIDENT_ROWS)},
+CLIENT_SQL = f"""with {duck_cte('r', 'orders', {**incident_columns(Duck), 'tipificacion_problema': _problem(Duck)})},
 site as (select concat('C', {Duck.text('c_custkey')}) as cid, c_name as sede from customer),
 x as (select r.* replace (trim(it_medidas_tomadas) as it_medidas_tomadas, trim(it_determinacion_de_la_causa) as it_determinacion_de_la_causa,
     case canal_ingreso when 'e-mail' then 'Reportado por el usuario' when 'Telefono' then 'Reportado por el usuario' else canal_ingreso end as canal_ingreso),

@@ -52,9 +52,10 @@ def lookup_as_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def key_spine(spark: SparkSession, sf: str) -> DataFrame:
-    ev = read(spark, sf, "events").select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type")
-    frames = [ev.where(F.col("event_type") == k) for k in ("click", "view", "purchase", "error")]
-    return joins.spine(frames, ["user_id", "day"])
+    """Keys of the events' days and of the days after, two frames over all rows."""
+    ev = read(spark, sf, "events").select("user_id", "ts")
+    days = [F.col("ts"), F.col("ts") + F.expr("interval 1 day")]
+    return joins.spine([ev.select("user_id", F.date_format(t, "yyyy-MM-dd").alias("day")) for t in days], ["user_id", "day"])
 
 
 def repeated_keys(spark: SparkSession, sf: str) -> DataFrame:
@@ -167,9 +168,9 @@ def ticket_requests(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def footer_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """A report without its first six and last two lines."""
-    lines = read(spark, sf, "orders").select((F.col("o_orderkey") + 1).alias("line_no"), "o_orderpriority")
-    return scans.drop_last_rows(scans.skip_first_rows(lines, "line_no", 6), "line_no", 2)
+    """A report without its first six line numbers and last two lines; four lines share a number."""
+    lines = read(spark, sf, "orders").select(F.floor(F.col("o_orderkey") / 4).alias("line_no"), "o_orderkey", "o_orderpriority")
+    return scans.drop_last_rows(scans.skip_first_rows(lines, "line_no", 6), "line_no", 2, ["o_orderkey"])
 
 
 def numbered_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -238,7 +239,7 @@ def _lines(spark: SparkSession, sf: str, lines: tuple[str, ...]) -> DataFrame:
     """One document per customer; each order adds its lines."""
     texts = F.array(*[F.expr(_filled(x, Spark)) for x in lines])
     return (
-        files.spread(read(spark, sf, "orders"))
+        read(spark, sf, "orders")
         .select(F.col("o_custkey").alias("doc_id"), "o_orderkey", F.posexplode(texts).alias("i", "text"))
         .select("doc_id", (F.col("o_orderkey") * 20 + F.col("i") + 1).alias("line_no"), "text")
     )
@@ -320,6 +321,11 @@ def agent_table(spark: SparkSession, sf: str) -> DataFrame:
     return landed.agent_table(_event_pages(spark, sf), "event_id")
 
 
+def agent_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    rows = landed.agent_rejects(_event_pages(spark, sf), "event_id")
+    return rows.select("event_id", "row", F.array_join("cells", "|").alias("cells"))
+
+
 def presence_table(spark: SparkSession, sf: str) -> DataFrame:
     return landed.presence_table(_event_pages(spark, sf), "event_id")
 
@@ -327,7 +333,10 @@ def presence_table(spark: SparkSession, sf: str) -> DataFrame:
 _NAMED = """'Ana & ' || cast(user_id as varchar)"""
 AGENT_SQL = f"""select event_id, cast(1 as integer) as "row", strftime(ts, '%d/%m/%Y %H:%M:%S') as "Fecha", cast(user_id as varchar) as "Anexo",
   {_NAMED} as "Usuario", 'A' as "Agente", event_type as "Evento",
-  case when event_type = 'click' then '' else '7' end as "Duracion", '-' as "Motivo" from events"""
+  case when event_type = 'click' then '' else '7' end as "Duracion", '-' as "Motivo" from events where event_type not in ('view', 'click', 'error')"""
+AGENT_REJECTS_SQL = f"""select event_id, cast(1 as integer) as "row", strftime(ts, '%d/%m/%Y %H:%M:%S') || '|' || user_id || '|' || {_NAMED} || '|A|' || event_type || '|'
+  || case when event_type = 'click' then '' else '7' end || '|-' || case when event_type = 'error' then '|' else '||9' end as cells
+from events where event_type in ('view', 'click', 'error')"""
 PRESENCE_SQL = """select event_id, cast(1 as integer) as "row", 'A' as "ANALISTA", event_type as "HORARIO",
   case when event_type = 'click' then '-' else '7' end as "MODALIDAD", '-' as "FECHA", '-' as "HORA DE INGRESO"
 from events where event_type in ('view', 'click', 'error')"""
@@ -335,22 +344,31 @@ from events where event_type in ('view', 'click', 'error')"""
 FAULT_HEADERS = ("Número de ticket", "Causa", "responsable previo")
 
 
-def fault_tables(spark: SparkSession, sf: str) -> DataFrame:
-    """Cells of one document per customer and one table per priority, to rows."""
+def _fault_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells of one document per customer and one table per priority; one header is not declared."""
     orders = read(spark, sf, "orders").withColumn(
         "table_no", F.substring("o_orderpriority", 1, 1).cast("int") + 2
     )
     heads = orders.select("o_custkey", "table_no").distinct()
-    names = F.array(F.lit(" Número de ticket"), F.lit("Causa "), F.lit("responsable previo"))
+    names = F.array(F.lit(" Número de ticket"), F.lit("Causa "), F.lit("responsable previo"), F.lit("Nota"))
     head = heads.select("o_custkey", "table_no", F.lit(0).cast("bigint").alias("row"), F.posexplode(names).alias("col", "text"))
     values = F.array(
         F.col("o_orderkey").cast("string"),
         F.concat(F.lit(" "), "o_orderstatus", F.lit("  ")),
         F.when(F.col("o_orderstatus") == "F", F.lit("X")),
+        F.when(F.col("o_orderstatus") == "O", F.col("o_orderpriority")),
     )
     body = orders.select("o_custkey", "table_no", (F.col("o_orderkey") + 1).alias("row"), F.posexplode(values).alias("col", "text"))
     cells = head.unionByName(body.where("text is not null")).withColumnRenamed("o_custkey", "doc_id")
-    return landed.fault_tables(cells, FAULT_HEADERS)
+    return cells
+
+
+def fault_tables(spark: SparkSession, sf: str) -> DataFrame:
+    return landed.fault_tables(_fault_cells(spark, sf), FAULT_HEADERS)
+
+
+def undeclared_cells(spark: SparkSession, sf: str) -> DataFrame:
+    return landed.undeclared_cells(_fault_cells(spark, sf), FAULT_HEADERS)
 
 
 FAULT_SQL = """select o_custkey as doc_id, cast(left(o_orderpriority, 1) as integer) + 2 as table_no, o_orderkey + 1 as "row",
@@ -359,6 +377,10 @@ FAULT_SQL = """select o_custkey as doc_id, cast(left(o_orderpriority, 1) as inte
 from orders where left(o_orderpriority, 1) in ('2', '3', '4')"""
 
 
+UNDECLARED_SQL = """select o_custkey as doc_id, cast(left(o_orderpriority, 1) as integer) + 2 as table_no, cast(3 as integer) as col, o_orderkey + 1 as "row",
+  o_orderpriority as text, 'Nota' as header from orders where o_orderstatus = 'O' and left(o_orderpriority, 1) in ('2', '3', '4')"""
+
+
 def mail_ticket_flag(spark: SparkSession, sf: str) -> DataFrame:
     mail = read(spark, sf, "conversations").select(
         F.expr("timestamp_ntz '2024-03-01 08:00:00' + make_dt_interval(0, 0, cast(conv_id as int), cast(turn as decimal(18,6)))").alias("received"),
@@ -465,6 +487,8 @@ QUERIES = {
     "outage_annexes": outage_annexes,
     "html_items": html_items,
     "agent_table": agent_table,
+    "agent_rejects": agent_rejects,
+    "undeclared_cells": undeclared_cells,
     "presence_table": presence_table,
     "fault_tables": fault_tables,
     "mail_ticket_flag": mail_ticket_flag,
@@ -482,7 +506,7 @@ from documents join pages on doc_id = page_id""",
     "recon_right_only": "select doc_id, n_chars from documents d where not exists (select 1 from pages p where p.page_id = d.doc_id)",
     "enrich_defaults": "select d.doc_id, source, case quality when 1 then 'bueno' when 0 then 'malo' else 'no encontrado' end as verdict from documents d left join labels l on l.doc_id = d.doc_id",
     "lookup_as_text": "select c_custkey, cast(c_nationkey as varchar) as cid, n_name from customer left join nation on n_nationkey = c_nationkey",
-    "key_spine": "select distinct user_id, strftime(ts, '%Y-%m-%d') as day from events where event_type in ('click', 'view', 'purchase', 'error')",
+    "key_spine": "select user_id, strftime(ts, '%Y-%m-%d') as day from events union select user_id, strftime(ts + interval 1 day, '%Y-%m-%d') from events",
     "repeated_keys": "select l_orderkey, l_linenumber, count(*) as n from lineitem group by 1, 2 having count(*) > 1",
     "duplicate_review": f"select * from {_DAYS} qualify count(*) over (partition by user_id, day, event_type) > 1",
     "keep_first": f"select * from {_DAYS} qualify row_number() over (partition by user_id, day, event_type order by event_id) = 1",
@@ -502,7 +526,7 @@ select k as user_id, '{STOPS_HEADER}' as stops_header, periods as stops_periods,
 select cast(k as varchar) as ticket, position, position // 990 as batch from n""",
     "ticket_requests": """with n as (select o_orderkey as k, row_number() over (order by o_orderkey) - 1 as p from orders)
 select p // 990 as batch, count(*) as n_keys, string_agg(cast(k as varchar), chr(10) order by p) as request from n group by 1""",
-    "footer_rows": "select o_orderkey + 1 as line_no, o_orderpriority from orders where o_orderkey + 1 > 6 and o_orderkey + 1 <= (select max(o_orderkey) + 1 - 2 from orders)",
+    "footer_rows": "select o_orderkey // 4 as line_no, o_orderkey, o_orderpriority from orders where o_orderkey // 4 > 6 qualify row_number() over (order by o_orderkey // 4 desc, o_orderkey desc) > 2",
     "numbered_lines": "select o_orderkey + 1 as line_no, cast(o_orderkey as varchar) as key, 'a, ' || o_orderpriority as priority, o_orderstatus as status from orders where o_orderkey + 1 > 7",
     "carry_forward": f"""with l as (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) as line_no from documents),
 c as (select doc_id, cast(line_no as bigint) as line_no, length({strip('t')}) as n from l)
@@ -511,6 +535,8 @@ select doc_id, line_no, n, coalesce(last_value(case when n < 60 then line_no end
     "outage_annexes": ANNEXES_SQL,
     "html_items": HTML_SQL,
     "agent_table": AGENT_SQL,
+    "agent_rejects": AGENT_REJECTS_SQL,
+    "undeclared_cells": UNDECLARED_SQL,
     "presence_table": PRESENCE_SQL,
     "fault_tables": FAULT_SQL,
     "mail_ticket_flag": MAIL_SQL,

@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 from catalog import validator_sql as sql
 from catalog.dialect import Spark
 from catalog.inputs import (
-    FAULT_ROWS,
     HIGH,
-    INCIDENT_ROWS,
     annex_columns,
     circuit_columns,
     cut_columns,
@@ -43,7 +41,7 @@ COMPONENT = f"case when o_orderpriority = '{HIGH}' then '{VOICE}' else '{DATA}'
 
 def _documents(spark: SparkSession, sf: str, columns, prepare) -> DataFrame:
     """Both documents in one frame; the priority says which one a row is in."""
-    df = spark_frame(spark, sf, "orders", {**columns(Spark), "component": COMPONENT}, FAULT_ROWS)
+    df = spark_frame(spark, sf, "orders", {**columns(Spark), "component": COMPONENT})
     return prepare(df, F.col("component"))
 
 
@@ -53,7 +51,7 @@ def _cut(spark: SparkSession, sf: str, newlines: bool = False) -> DataFrame:
 
 def _incidents(spark: SparkSession, sf: str, long_incidents: bool = False, newlines: bool = False) -> DataFrame:
     columns = long_incident_columns if long_incidents else incident_columns
-    return prepare_incidents(spark_frame(spark, sf, "orders", columns(Spark), INCIDENT_ROWS), newlines)
+    return prepare_incidents(spark_frame(spark, sf, "orders", columns(Spark)), newlines)
 
 
 def _circuits(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,8 +5,6 @@ from __future__ import annotations
 from catalog.dialect import Duck
 from catalog.inputs import (
     DATA_NOTE,
-    FAULT_ROWS,
-    INCIDENT_ROWS,
     STOPS_HEADER,
     VOICE_NOTE,
     annex_columns,
@@ -227,12 +225,12 @@ def raw_ctes(long_incidents: bool = False) -> str:
     return ",\n".join(
         [
             duck_cte("cut_raw", "orders", cut_columns(Duck)),
-            duck_cte("inc_raw", "orders", inc(Duck), INCIDENT_ROWS),
+            duck_cte("inc_raw", "orders", inc(Duck)),
             duck_cte("stop_raw", "lineitem", stop_columns(Duck)),
             duck_cte("circ_raw", "customer", circuit_columns(Duck)),
-            duck_cte("fault_raw", "orders", fault_columns(Duck), FAULT_ROWS),
-            duck_cte("report_raw", "orders", report_columns(Duck), FAULT_ROWS),
-            duck_cte("annex_raw", "orders", annex_columns(Duck), FAULT_ROWS),
+            duck_cte("fault_raw", "orders", fault_columns(Duck)),
+            duck_cte("report_raw", "orders", report_columns(Duck)),
+            duck_cte("annex_raw", "orders", annex_columns(Duck)),
         ]
     )
 

@@ -13,10 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-class CardinalityError(ValueError):
-    """Keys that must be unique are not."""
-
-
 def suffix_overlap(df: DataFrame, other: DataFrame, on: Sequence[str], suffix: str) -> DataFrame:
     """Rename the columns that ``other`` also has, apart from the keys."""
     clash = set(other.columns) - set(on)
@@ -69,15 +65,6 @@ def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def require_unique(df: DataFrame, keys: Sequence[str], name: str = "table") -> DataFrame:
-    """Fails unless ``keys`` are unique.  Runs one counting job that stops early."""
-    bad = repeated_keys(df, keys).limit(1).collect()
-    if bad:
-        shown = ", ".join(f"{k}={bad[0][k]!r}" for k in keys)
-        raise CardinalityError(f"{name}: more than one row for {shown}")
-    return df
-
-
 def spine(frames: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     """Distinct keys over all frames."""
     out = None
@@ -87,17 +74,32 @@ def spine(frames: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     return out.distinct()
 
 
-def join_on_spine(frames: Mapping[str, DataFrame], keys: Sequence[str], check: bool = True) -> DataFrame:
-    """Left join every frame onto the spine of their keys.
+def join_on_spine(frames: Mapping[str, DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Every key of any frame with the columns of all of them; missing keys are equal.
 
-    Each step is one-to-many, so every frame but the last must be unique on the
-    keys; ``check`` verifies that first.
+    Every frame but the last must be unique on the keys.  These are put together by one
+    grouping, which also counts: a repeated key raises when the rows are made.
     """
-    names = list(frames)
-    if check:
-        for name in names[:-1]:
-            require_unique(frames[name], keys, name)
-    out = spine(list(frames.values()), keys)
-    for df in frames.values():
-        out = out.join(df, list(keys), "left")
-    return out
+    *single, last = frames
+    values = {n: F.struct(*[c for c in frames[n].columns if c not in keys]) for n in single}
+    kind = {n: frames[n].select(values[n].alias("v")).schema["v"].dataType for n in single}
+
+    def part(name: str) -> DataFrame:
+        return frames[name].select(*keys, *[(values[n] if n == name else F.lit(None).cast(kind[n])).alias(f"_{i}") for i, n in enumerate(single)])
+
+    parts = [part(n) for n in frames]
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    found = both.groupBy(*keys).agg(
+        *[F.first(f"_{i}", ignorenulls=True).alias(f"_{i}") for i in range(len(single))],
+        *[F.count(f"_{i}").alias(f"_n{i}") for i in range(len(single))],
+    )
+    checked = F.col(keys[0])
+    for i, n in enumerate(single):
+        shown = F.concat_ws(", ", *[F.concat(F.lit(f"{k}="), F.coalesce(F.col(k).cast("string"), F.lit("null"))) for k in keys])
+        checked = F.when(F.col(f"_n{i}") > 1, F.raise_error(F.concat(F.lit(f"{n}: more than one row for "), shown))).otherwise(checked)
+    out = found.select(checked.alias(keys[0]), *keys[1:], *[f"_{i}.*" for i in range(len(single))])
+    other = frames[last].withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = [out[k].eqNullSafe(other[f"_{k}"]) for k in keys]
+    return out.join(other, same, "left").drop(*[f"_{k}" for k in keys])

@@ -83,11 +83,12 @@ def general_roster(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def combined(
-    logged: DataFrame, call_centre: DataFrame, general: DataFrame, desk: DataFrame, check: bool = True
+    logged: DataFrame, call_centre: DataFrame, general: DataFrame, desk: DataFrame
 ) -> DataFrame:
     """All four sources per user and day.
 
-    The first three must have one row per user and day; ``check`` verifies it.
+    The first three must have one row per user and day; a repeated one raises.
+    Rows without a day belong together by user.
     """
     sources = {
         "logged": (logged, "Semaforo"),
@@ -103,7 +104,7 @@ def combined(
         keyed[name] = df.withColumns(
             {"UsuarioC": F.trim("UsuarioC"), "FechaC": F.to_date("FechaC")}
         ).withColumnsRenamed({"Usuario": f"Usuario_{suffix}"})
-    out = join_on_spine(keyed, KEYS, check)
+    out = join_on_spine(keyed, KEYS)
     return out.withColumns(
         {
             "UsuarioC_formato": surname_first(F.col("Usuario_Semaforo")),

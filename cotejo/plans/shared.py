@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
 
 def checkpoint_dir(df: DataFrame) -> str:
-    """The cluster's shared checkpoint folder; a local one only on a local master."""
+    """The shared checkpoint folder, as set on the context or named in spark.checkpoint.dir."""
     spark = df.sparkSession
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -16,9 +14,7 @@ def checkpoint_dir(df: DataFrame) -> str:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
-        if not sc.master.startswith("local"):
-            raise ValueError("name a shared folder in spark.checkpoint.dir")
-        named = tempfile.mkdtemp(prefix="cotejo-checkpoint-")
+        raise ValueError("name a shared folder in spark.checkpoint.dir")
     sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 

@@ -14,19 +14,11 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema=None
     return (reader.schema(schema) if schema is not None else reader).load(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deals rows over all slots when the input has fewer splits than slots.
-
-    A file with one row group is one task however many cores wait; text-heavy
-    work on it is worth one exchange of its raw columns.  An input with enough
-    splits, as any large one has, is returned unchanged.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
-
-
-def read_csv(spark: SparkSession, path: str, schema=None, sep: str = ",", header: bool = True) -> DataFrame:
-    reader = spark.read.option("sep", sep).option("header", header).option("multiLine", True)
+def read_csv(
+    spark: SparkSession, path: str, schema=None, sep: str = ",", header: bool = True, multi_line: bool = False
+) -> DataFrame:
+    """``multi_line`` allows line breaks in quoted cells; such a file cannot be split, so one task reads it."""
+    reader = spark.read.option("sep", sep).option("header", header).option("multiLine", multi_line)
     reader = reader.option("escape", '"')
     return (reader.schema(schema) if schema is not None else reader).csv(path)
 

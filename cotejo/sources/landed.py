@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cotejo.functions.text import strip
-from cotejo.operators.findings import union_all
 
 # Owner of each fault table, columns of the scraped tables, mail words.
 TABLE_OWNERS = {4: "CLARO", 5: "CLIENTE", 6: "TERCEROS"}
@@ -45,8 +44,12 @@ def fault_tables(cells: DataFrame, headers: Sequence[str], owners: dict[int, str
     return rows.withColumns({**filled, "responsable": owner[F.col("table_no")]}).drop("_names")
 
 
-def union_tables(frames: Sequence[DataFrame]) -> DataFrame:
-    return union_all(frames)
+def undeclared_cells(cells: DataFrame, headers: Sequence[str], owners: dict[int, str] = TABLE_OWNERS) -> DataFrame:
+    """Cells of the owner tables that ``fault_tables`` leaves out: those under no declared header."""
+    kept = cells.where(F.col("table_no").isin(*owners)).withColumn("text", strip(F.col("text")))
+    names = kept.where(F.col("row") == 0).select("doc_id", "table_no", "col", F.col("text").alias("header"))
+    body = kept.where(F.col("row") > 0).join(names, ["doc_id", "table_no", "col"], "left")
+    return body.where(F.col("header").isNull() | ~F.col("header").isin(*headers))
 
 
 def cell_text(html: Column) -> Column:
@@ -74,13 +77,21 @@ def html_rows(pages: DataFrame, page: str, html: str, row_tag: str = "tr", cell_
 
 
 def agent_table(pages: DataFrame, page: str = "page_no", html: str = "html") -> DataFrame:
-    """Seven declared columns of the agent activity table, all pages together."""
-    rows = html_rows(pages, page, html)
+    """Seven declared columns of the agent activity table, all pages together.
+
+    Rows of more cells do not fit the columns; they are in ``agent_rejects``.
+    """
+    rows = html_rows(pages, page, html).where(F.size("cells") <= len(AGENT_COLUMNS))
     return rows.select(
         page, "row", *[F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(AGENT_COLUMNS)]
     )
 
 
+def agent_rejects(pages: DataFrame, page: str = "page_no", html: str = "html") -> DataFrame:
+    """Rows of the agent activity table with more cells than columns, whole."""
+    return html_rows(pages, page, html).where(F.size("cells") > len(AGENT_COLUMNS))
+
+
 def presence_table(pages: DataFrame, page: str = "page_no", html: str = "html") -> DataFrame:
     """Cells 3 to 7 of rows with eight or more; blank cells read ``-``; all-blank rows go."""
     rows = html_rows(pages, page, html).where(F.size("cells") >= 8)

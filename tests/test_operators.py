@@ -26,16 +26,19 @@ def test_matched_and_anti_joins(spark):
 
 def test_required_unique_keys(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "k int, v string")
-    with pytest.raises(joins.CardinalityError, match="k=2"):
-        joins.require_unique(df, ["k"], "left")
     ok = df.distinct()
-    assert joins.require_unique(ok, ["k"]) is ok
-    with pytest.raises(joins.CardinalityError):
-        joins.join_on_spine({"one": df, "two": ok.withColumnRenamed("v", "w")}, ["k"])
+    with pytest.raises(Exception, match="one: more than one row for k=2"):
+        joins.join_on_spine({"one": df, "two": ok.withColumnRenamed("v", "w")}, ["k"]).collect()
     last = joins.join_on_spine({"two": ok.withColumnRenamed("v", "w"), "one": df}, ["k"])
     assert last.count() == 3  # the last source may repeat
 
 
+def test_missing_keys_meet_on_the_spine(spark):
+    frames = {n: spark.createDataFrame([("u", None, i), (None, 1, i + 10)], f"k string, d int, {n} int") for i, n in enumerate("abc")}
+    got = rows(joins.join_on_spine(frames, ["k", "d"]))
+    assert got == sorted([("u", None, 0, 1, 2), (None, 1, 10, 11, 12)], key=repr)
+
+
 def test_duplicates_with_missing_and_hot_keys(spark):
     data = [("a", 1, 5), ("a", 1, 3), (None, 2, 9), (None, 2, 1), ("b", 1, 4)] + [("hot", 0, 1000 - i) for i in range(500)]
     df = spark.createDataFrame(data, "u string, d int, o int")
@@ -50,6 +53,13 @@ def test_numbering_and_footers(spark):
     assert rows(got, "line_no", "n") == sorted(((i * 7, i) for i in range(100)), key=repr)
     assert scans.drop_last_rows(df, "line_no", 3).agg(F.max("line_no")).first()[0] == 96 * 7
     assert scans.drop_last_rows(df, "line_no", 0) is df
+    tied = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (2, "d"), (None, "e")], "line_no int, v string")
+    assert rows(scans.drop_last_rows(tied, "line_no", 1, ["v"])) == sorted([(1, "a"), (2, "b"), (2, "c"), (None, "e")], key=repr)
+    assert rows(scans.drop_last_rows(tied, "line_no", 3)) == sorted([(1, "a"), (None, "e")], key=repr)
+    with pytest.raises(Exception, match="at the edge"):
+        scans.drop_last_rows(tied, "line_no", 1).collect()
+    far = spark.createDataFrame([(x,) for x in (-(2**62), -5, 0, 7, 10**6, 10**12, 2**62)], "line_no bigint")
+    assert [r["n"] for r in scans.number_rows(far, "line_no", "n", slice_rows=3).orderBy("line_no").collect()] == list(range(7))
     assert scans.skip_first_rows(df, "line_no", 7).count() == 98
 
 

@@ -1,11 +1,12 @@
 """Whole pipelines on small hand-written inputs, sources and sinks."""
 
 from datetime import datetime
+from types import SimpleNamespace
 
 import pytest
 from cotejo.plans import client_report, extract, inputs, sla
 from cotejo.plans import validator as v
-from cotejo.plans.shared import checkpointed
+from cotejo.plans.shared import checkpoint_dir, checkpointed
 from cotejo.sources import files, sinks
 from cotejo.sources.contracts import CLIENT_REPORT, INCIDENTS, OUTAGE_CUT, ContractError, conform
 
@@ -161,7 +162,15 @@ def test_word_documents(spark):
     assert found("100", v.VOICE)[0]["objetivo"] == "2.0.1 | 2.0.2 | 2.1 | 3.1"
 
 
-def test_shared_rows_give_the_same(spark):
+def test_checkpoints_need_a_named_folder():
+    unset = SimpleNamespace(get=lambda *a: None)
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: unset)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(SimpleNamespace(sparkSession=SimpleNamespace(conf=unset, sparkContext=sc)))
+
+
+def test_shared_rows_give_the_same(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
     given = all_inputs(spark, cut_frame(spark, {"CID": "C2"}), incident_frame(spark), **word_frames(spark))
     assert v.validate(given, share=checkpointed).collect() == v.validate(given).collect()
 
@@ -185,7 +194,7 @@ def test_files_and_sinks(spark, tmp_path):
     csv, tsv = tmp_path / "a.csv", tmp_path / "a.tsv"
     csv.write_text('k,v\n1,"a\nb"\n2,c\n', encoding="utf8")
     tsv.write_text("codincidence\tv\n7\tx y\n", encoding="utf8")
-    assert files.read_csv(spark, str(csv)).orderBy("k").first()["v"] == "a\nb"
+    assert files.read_csv(spark, str(csv), multi_line=True).orderBy("k").first()["v"] == "a\nb"
     tab = files.read_tab_separated(spark, str(tsv))
     assert tab.first()["v"] == "x y"
     cells = files.cells_of(spark.createDataFrame([("s", 0, None, "n")], "s string, r int, a string, b string"), "s", "r")
@@ -244,12 +253,6 @@ def test_extract_assembly(spark):
     assert extract.assemble([a], 15).first()["remedyobs"] == "á-b c"
 
 
-def test_spread_leaves_large_inputs(spark):
-    small, large = spark.range(10).repartition(1), spark.range(0, 100, 1, 16)
-    assert files.spread(small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert files.spread(large) is large
-
-
 def test_registered_queries_have_matching_sql():
     import __spark_entry__ as e
 
