@@ -85,10 +85,12 @@ def inputs(
     )
 
 
-def _cut_rule(rule, **options):
+def _cut_rule(rule, rows=v.compared):
+    """One rule over the rows it needs; only net times need the stops."""
+
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        rows = cr.with_rule_columns(v.reconciled(inputs(spark, sf, **options)))
-        return evaluate(rows, [rule()], v.KEY, "tipo_reporte", F.col("row"))
+        rows_of = cr.with_rule_columns(rows(inputs(spark, sf)))
+        return evaluate(rows_of, [rule()], v.KEY, "tipo_reporte", F.col("row"))
 
     return run
 
@@ -134,8 +136,7 @@ def _ticket_stops(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _findings_cut(spark: SparkSession, sf: str) -> DataFrame:
-    i = inputs(spark, sf)
-    return v.by_ticket(v.cut_findings(v.reconciled(i), v.unmatched(i)))
+    return v.by_ticket(v.cut_findings(v.reconciled_cut(inputs(spark, sf))))
 
 
 def _findings_word(spark: SparkSession, sf: str) -> DataFrame:
@@ -192,7 +193,7 @@ QUERIES = {
     "rule_1_1_service_district": _cut_rule(cr.service_and_district),
     "rule_1_2_start_end": _cut_rule(cr.start_and_end),
     "rule_1_3_stated_span": _cut_rule(cr.stated_span),
-    "rule_1_4_net_time": _cut_rule(cr.net_time),
+    "rule_1_4_net_time": _cut_rule(cr.net_time, v.reconciled),
     "rule_1_5_case_circuit_cause": _cut_rule(cr.case_circuit_parent_cause),
     "rule_1_6_fault_type": _cut_rule(cr.fault_type),
     "rule_1_7_report_type": _cut_rule(cr.report_type),

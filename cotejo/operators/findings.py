@@ -7,9 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cotejo.functions.text import UNKNOWN
+
 # Output columns and separator.
 FINDING = ("nro_incidencia", "mensaje", "objetivo", "TIPO REPORTE")
 SEPARATOR = " | "
+#: Spellings of a missing key.
+MISSING = (UNKNOWN, "nan", "")
 
 
 def union_all(frames: Sequence[DataFrame], fill: str = "") -> DataFrame:
@@ -27,7 +31,8 @@ def by_ticket(findings: DataFrame, key: str = FINDING[0], kind: str = FINDING[3]
     """One row per ticket: messages and codes in rule order, first known type.
 
     The result is by definition one text cell per ticket.  Findings of a ticket
-    meet only here; the long form stays available for anything larger.
+    meet only here; the long form stays available for anything larger.  Rows
+    whose ticket is missing are no one ticket's and stay apart, by ``row``.
     """
     kept = findings.where(F.col(key).isNotNull() & (F.col(key) != ""))
     ordered = F.array_sort(
@@ -37,7 +42,7 @@ def by_ticket(findings: DataFrame, key: str = FINDING[0], kind: str = FINDING[3]
     )
     known = F.filter(F.col("_all"), lambda x: x["kind"].isNotNull())
     return (
-        kept.groupBy(key)
+        kept.groupBy(key, F.when(F.col(key).isin(*MISSING), F.col("row")).alias("_apart"))
         .agg(ordered.alias("_all"))
         .select(
             key,

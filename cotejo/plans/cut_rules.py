@@ -49,15 +49,19 @@ def text(*parts: str | Column) -> Column:
 
 
 def with_rule_columns(df: DataFrame) -> DataFrame:
-    """Values that several checks and messages use, worked out once per row."""
+    """Values that several checks and messages use, worked out once per row.
+
+    Net minutes need the stops; rows without them serve all rules but 1.4 and 1.11.
+    """
+    net = {"net_minutes": c("inc_span_min") - c("sum_paradas")} if "sum_paradas" in df.columns else {}
     return df.withColumns(
         {
+            **net,
             "cut_body": body_range(c("cut_measures")),
             "inc_body": body_range(c("inc_measures")),
             "inc_closing": closing_range(c("inc_measures")),
             "inc_cause_plain": drop_component_label(c("inc_cause")),
             "note_expected": expected_note(),
-            "net_minutes": c("inc_span_min") - c("sum_paradas"),
             "owner_expected": leading_token(shown(c("inc_class"))),
             "band_expected": hour_band(c("cut_hours")),
         }

@@ -25,7 +25,14 @@ RADIO_HOURS = {
     "REGISTRO NACIONAL DE IDENTIFICACION Y ESTADO CIVIL": 0.5,
     "CAJA MUNICIPAL DE CREDITO POPULAR DE LIMA": 0.72,
 }
-EXEMPT_CLIENTS = tuple(FIBRE_HOURS)
+# Clients that are exempt; a list of its own, apart from the allowances.
+EXEMPT_CLIENTS = (
+    "UNIVERSIDAD NACIONAL MAYOR DE SAN MARCOS",
+    "ASOCIACION DE BANCOS DEL PERU",
+    "SUPERINT. NAC. DE LOS REGISTROS PUBLICOS",
+    "REGISTRO NACIONAL DE IDENTIFICACION Y ESTADO CIVIL",
+    "CAJA MUNICIPAL DE CREDITO POPULAR DE LIM A",
+)
 FIBRE_CUTS = (
     "CORTE DE FIBRA",
     "CORTE DE FIBRA OPTICA / COBRE- CASO FORTUITO",

@@ -8,15 +8,15 @@ joins, told apart by their component.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cotejo.operators.findings import by_ticket, union_all
+from cotejo.operators.findings import MISSING, by_ticket, union_all
 from cotejo.operators.intervals import with_stops
 from cotejo.operators.joins import enrich, matched, only_left
-from cotejo.operators.rules import evaluate
+from cotejo.operators.rules import Rule, evaluate
 from cotejo.plans.cut_rules import (
     CLAIM,
     DATA,
@@ -36,6 +36,8 @@ from cotejo.plans.word_rules import (
 )
 
 KEY = "nro_incidencia"
+#: Whether the incident extract has a cut row's ticket.
+FOUND = "inc_found"
 
 
 @dataclass(frozen=True)
@@ -56,18 +58,36 @@ class Inputs:
     stop_order: tuple[str, ...] = ()
 
 
-def reconciled(inputs: Inputs) -> DataFrame:
-    """Cut rows found in the incident extract, with circuit data and stops."""
-    rows = matched(inputs.cut, inputs.incidents, [KEY])
-    rows = enrich(rows, inputs.circuits, ["inc_cid"])
+def known(df: DataFrame, key: str = KEY) -> DataFrame:
+    """Rows whose key is there.  One side of each join is cut to these, so missing keys meet no others."""
+    return df.where(~F.col(key).isin(*MISSING))
+
+
+def compared(inputs: Inputs) -> DataFrame:
+    """Cut rows found in the incident extract, with circuit data."""
+    return enrich(matched(inputs.cut, known(inputs.incidents), [KEY]), known(inputs.circuits, "inc_cid"), ["inc_cid"])
+
+
+def every_cut_row(inputs: Inputs) -> DataFrame:
+    """All cut rows with what the incident extract has of them; ``FOUND`` tells whether it has any."""
+    rows = enrich(inputs.cut, known(inputs.incidents).withColumn(FOUND, F.lit(True)), [KEY], {FOUND: False})
+    return enrich(rows, known(inputs.circuits, "inc_cid"), ["inc_cid"])
+
+
+def _with_stops(rows: DataFrame, inputs: Inputs) -> DataFrame:
     return with_stops(
-        rows, inputs.stops, inputs.incidents, KEY, "inc_start", "inc_end", order=inputs.stop_order
+        rows, inputs.stops, known(inputs.incidents), KEY, "inc_start", "inc_end", order=inputs.stop_order
     )
 
 
+def reconciled(inputs: Inputs) -> DataFrame:
+    """Cut rows found in the incident extract, with circuit data and stops."""
+    return _with_stops(compared(inputs), inputs)
+
+
 def unmatched(inputs: Inputs) -> DataFrame:
     """Cut rows the incident extract does not have."""
-    return only_left(inputs.cut, inputs.incidents, [KEY])
+    return only_left(inputs.cut, known(inputs.incidents), [KEY])
 
 
 def claims(cut: DataFrame) -> DataFrame:
@@ -76,14 +96,14 @@ def claims(cut: DataFrame) -> DataFrame:
 
 def claims_missing(cut: DataFrame, documents: DataFrame) -> DataFrame:
     """Claims whose component's document does not have their ticket."""
-    have = documents.select(KEY, F.col("word_component").alias("cut_component"))
+    have = known(documents).select(KEY, F.col("word_component").alias("cut_component"))
     return only_left(claims(cut), have, [KEY, "cut_component"])
 
 
 def with_annex(rows: DataFrame, annexes: DataFrame) -> DataFrame:
     """Rows of the two components with their annex, ``no encontrado`` where absent."""
     rows = rows.where(F.col("cut_component").isin(DATA, VOICE))
-    annex = annexes.withColumnRenamed("annex_component", "cut_component")
+    annex = known(annexes).withColumnRenamed("annex_component", "cut_component")
     defaults = {c: NOT_FOUND for c in ("annex_header", "annex_periods", "annex_total")}
     return enrich(rows, annex, [KEY, "cut_component"], defaults)
 
@@ -92,18 +112,22 @@ def _evaluate(df: DataFrame, rules) -> DataFrame:
     return evaluate(df, rules, KEY, "tipo_reporte", F.col("row"))
 
 
-def cut_findings(
-    matched_rows: DataFrame,
-    unmatched_rows: DataFrame,
-    outage_block_rule: bool = False,
-    check_monitoring: bool = False,
-) -> DataFrame:
-    """Rule set 1."""
-    rows = with_rule_columns(matched_rows)
+def _only_where(rule: Rule, rows: Column) -> Rule:
+    return replace(rule, when=rows if rule.when is None else rows & rule.when)
+
+
+def cut_findings(rows: DataFrame, outage_block_rule: bool = False, check_monitoring: bool = False) -> DataFrame:
+    """Rule set 1 in one pass over all cut rows (``every_cut_row`` with stops)."""
+    rows = with_rule_columns(rows)
     if outage_block_rule:
         rows = with_block(rows)
-    rules = cut_rules(outage_block_rule, check_monitoring)
-    return union_all([_evaluate(unmatched_rows, [missing_incident()]), _evaluate(rows, rules)])
+    rules = [_only_where(r, F.col(FOUND)) for r in cut_rules(outage_block_rule, check_monitoring)]
+    return _evaluate(rows, [_only_where(missing_incident(), ~F.col(FOUND)), *rules])
+
+
+def reconciled_cut(inputs: Inputs) -> DataFrame:
+    """All cut rows with circuit data and stops."""
+    return _with_stops(every_cut_row(inputs), inputs)
 
 
 def word_findings(cut: DataFrame, faults: DataFrame | None, reports: DataFrame | None) -> DataFrame | None:
@@ -111,10 +135,10 @@ def word_findings(cut: DataFrame, faults: DataFrame | None, reports: DataFrame |
     parts = []
     if faults is not None:
         parts.append(_evaluate(claims_missing(cut, faults), [claim_not_in_faults()]))
-        parts.append(_evaluate(matched(faults, cut, [KEY]), [fault_fields()]))
+        parts.append(_evaluate(matched(known(faults), cut, [KEY]), [fault_fields()]))
     if reports is not None:
         parts.append(_evaluate(claims_missing(cut, reports), [claim_not_in_reports()]))
-        parts.append(_evaluate(matched(reports, cut, [KEY]), [report_fields()]))
+        parts.append(_evaluate(matched(known(reports), cut, [KEY]), [report_fields()]))
     return union_all(parts) if parts else None
 
 
@@ -131,15 +155,15 @@ def findings(
     ``share`` is applied to the reconciled rows, which rule sets 1 and 3 both
     read; ``plans.shared.checkpointed`` writes them once to the shared folder.
     """
-    rows = reconciled(inputs)
+    rows = reconciled_cut(inputs)
     if share is not None:
         rows = share(rows)
-    parts = [cut_findings(rows, unmatched(inputs), **options)]
+    parts = [cut_findings(rows, **options)]
     word = word_findings(inputs.cut, inputs.faults, inputs.reports)
     if word is not None:
         parts.append(word)
     if inputs.annexes is not None:
-        parts.append(annex_findings(rows, inputs.annexes))
+        parts.append(annex_findings(rows.where(FOUND), inputs.annexes))
     return union_all(parts)
 
 

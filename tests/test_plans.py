@@ -4,6 +4,7 @@ from datetime import datetime
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 from cotejo.plans import client_report, extract, inputs, sla
 from cotejo.plans import validator as v
 from cotejo.plans.shared import checkpoint_dir, checkpointed
@@ -175,6 +176,15 @@ def test_shared_rows_give_the_same(spark, tmp_path):
     assert v.validate(given, share=checkpointed).collect() == v.validate(given).collect()
 
 
+def test_missing_tickets_meet_no_others(spark):
+    lost = [{"TICKET": None}] * 3
+    given = all_inputs(spark, cut_frame(spark, *lost), incident_frame(spark, *[{"nro_incidencia": None}] * 4))
+    assert v.reconciled(given).count() == 0
+    got = v.findings(given).collect()
+    assert [r["objetivo"] for r in got] == ["1.0"] * 3
+    assert v.by_ticket(v.findings(given).withColumn("row", F.monotonically_increasing_id())).count() == 3
+
+
 def test_repeated_keys_fan_out(spark):
     given = all_inputs(spark, cut_frame(spark, {"CID": "C2"}), incident_frame(spark, {}, {}))
     assert codes(v.validate(given)) == {"100": "1.5 | 1.5"}
