@@ -182,6 +182,20 @@ def numbered_lines(spark: SparkSession, sf: str) -> DataFrame:
     return files.parse_numbered_lines(lines, ["key", "priority", "status"], skip=6)
 
 
+def tabbed_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells of numbered tab-separated lines after a header."""
+    cells = F.concat_ws("\t", F.col("c_custkey").cast("string"), "c_name", F.concat(F.lit('"'), "c_mktsegment", F.lit('"')))
+    lines = read(spark, sf, "customer").select((F.col("c_custkey") + 1).alias("line_no"), cells.alias("text"))
+    return files.parse_numbered_lines(lines, ["key", "name", "segment"], skip=0, sep="\t")
+
+
+def positional_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """A headerless table of customers, a sheet per nation, as cells."""
+    segment = F.when(F.col("c_mktsegment") != "MACHINERY", F.col("c_mktsegment"))
+    table = read(spark, sf, "customer").select("c_nationkey", "c_custkey", "c_name", segment.alias("c_mktsegment"))
+    return files.cells_of(table, "c_nationkey", "c_custkey")
+
+
 def carry_forward(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of the whole texts with the latest line that ends in a question or is short."""
     lines = sections.document_lines(read(spark, sf, "documents"))
@@ -482,6 +496,8 @@ QUERIES = {
     "ticket_requests": ticket_requests,
     "footer_rows": footer_rows,
     "numbered_lines": numbered_lines,
+    "tabbed_lines": tabbed_lines,
+    "positional_cells": positional_cells,
     "carry_forward": carry_forward,
     "technical_reports": technical_reports,
     "outage_annexes": outage_annexes,
@@ -528,6 +544,9 @@ select cast(k as varchar) as ticket, position, position // 990 as batch from n""
 select p // 990 as batch, count(*) as n_keys, string_agg(cast(k as varchar), chr(10) order by p) as request from n group by 1""",
     "footer_rows": "select o_orderkey // 4 as line_no, o_orderkey, o_orderpriority from orders where o_orderkey // 4 > 6 qualify row_number() over (order by o_orderkey // 4 desc, o_orderkey desc) > 2",
     "numbered_lines": "select o_orderkey + 1 as line_no, cast(o_orderkey as varchar) as key, 'a, ' || o_orderpriority as priority, o_orderstatus as status from orders where o_orderkey + 1 > 7",
+    "tabbed_lines": "select c_custkey + 1 as line_no, cast(c_custkey as varchar) as key, c_name as name, c_mktsegment as segment from customer where c_custkey + 1 > 1",
+    "positional_cells": """select c_nationkey as sheet, c_custkey as "row", 0 as col, c_name as value from customer
+union all select c_nationkey, c_custkey, 1, c_mktsegment from customer where c_mktsegment <> 'MACHINERY'""",
     "carry_forward": f"""with l as (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) as line_no from documents),
 c as (select doc_id, cast(line_no as bigint) as line_no, length({strip('t')}) as n from l)
 select doc_id, line_no, n, coalesce(last_value(case when n < 60 then line_no end ignore nulls) over (partition by doc_id order by line_no rows unbounded preceding), -1) as heading_line from c""",

@@ -11,7 +11,7 @@ from cotejo.functions import numbers as n
 from cotejo.functions import text as t
 from cotejo.functions import textdates as td
 from cotejo.functions import times as tm
-from cotejo.functions.unicode import canonical, strip_marks
+from cotejo.functions.unicode import canonical, same_narrative, strip_marks
 from cotejo.operators.rules import Check, Rule, flag
 from cotejo.sources.contracts import Contract, conform
 
@@ -141,6 +141,23 @@ def canonical_texts(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("doc_id", F.length(canonical(F.col("text"))).alias("canonical_length"), canonical(F.col("text")).alias("canonical"))
 
 
+VARIANT = ("é", "e\u0301"), ("ñ", "n\u0303"), ("ä", "a\u0308"), ("fi", "\ufb01")
+
+
+def canonical_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts against a spelling with combining marks and ligatures, which is the same, and one with another letter."""
+    spelt = F.col("text")
+    for letter, other in VARIANT:
+        spelt = F.replace(spelt, F.lit(letter), F.lit(other))
+    df = read(spark, sf, "documents").select("doc_id", "text", spelt.alias("spelt"))
+    return df.select(
+        "doc_id",
+        (F.col("text") != F.col("spelt")).alias("spelt_otherwise"),
+        same_narrative(F.col("text"), F.col("spelt")).alias("same"),
+        same_narrative(F.col("text"), F.concat("spelt", F.lit(" ø"))).alias("other"),
+    )
+
+
 # --- names, shifts, labels -------------------------------------------------
 
 NAME = (
@@ -499,6 +516,7 @@ QUERIES = {
     "one_line_texts": one_line_texts,
     "unaccented_texts": unaccented_texts,
     "canonical_texts": canonical_texts,
+    "canonical_variants": canonical_variants,
     "name_forms": name_forms,
     "narrative_split": narrative_split,
     "narrative_trim": narrative_trim,
@@ -519,6 +537,7 @@ SQL = {
     "null_fill_by_type": NULL_FILL_SQL,
     "text_tests": TEXT_TESTS_SQL,
     "one_line_texts": ONE_LINE_SQL,
+    "canonical_variants": "select doc_id, regexp_matches(text, '[éñä]|fi') as spelt_otherwise, true as same, false as other from documents",
     "unaccented_texts": "select doc_id, strip_accents(upper(replace(text, 'ß', 'SS'))) as plain from documents",
     "name_forms": NAME_SQL,
     "narrative_split": NARRATIVE_SPLIT_SQL,

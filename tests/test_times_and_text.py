@@ -219,3 +219,13 @@ def test_blocks(one):
 def test_fill_by_type(spark):
     df = spark.createDataFrame([(None, None, None, None)], "a string, b double, c timestamp_ntz, d bigint")
     assert tuple(n.fill_by_type(df).first()) == ("", 0.0, None, None)
+
+
+def test_latin_letters_lose_marks_as_in_unicode(spark):
+    import unicodedata
+
+    letters = [chr(c) for c in range(1, 0x180)] + ["é", "日本", "Ǩ", "ø̈"]
+    df = spark.createDataFrame([(x,) for x in letters] + [(None,)], "c string")
+    got = {r["c"]: r["bare"] for r in df.select("c", strip_marks(C("c")).alias("bare")).collect()}
+    plain = lambda x: "".join(m for m in unicodedata.normalize("NFD", x) if unicodedata.category(m) != "Mn")
+    assert got == {**{x: plain(x) for x in letters}, None: None}
