@@ -8,6 +8,11 @@ a word; carry-save counters add up the planes, and words in which every pair is
 beyond the radius are given up.  Pairs that are linked already are not compared
 again and a bucket gives at most one link less than it has members, so even
 a bucket of thousands of near copies sends few links on.
+
+A bucket of more than ``HOT`` fingerprints is cut by the bits that its members need not
+share, in the same way: two of them that are near agree in all but RADIUS blocks of
+those bits as well.  After ``LEVELS`` cuts 15 bits are left, which bounds a bucket at
+2 ** 15 fingerprints, whatever the input; no link is lost.
 """
 
 from __future__ import annotations
@@ -25,6 +30,9 @@ from .common import NO_ID, documents, written
 from .components import components
 
 RADIUS, BLOCKS, SHINGLE, SEED = 3, 5, 3, 42
+#: Fingerprints of a bucket that is compared without a further cut, and cuts at most.
+HOT, LEVELS = 4096, 3
+ALL_BITS = 2**64 - 1
 
 
 def fingerprint(text: bytes | None, n: int = SHINGLE) -> int:
@@ -56,10 +64,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return keyed.mapInArrow(batches, "_id long, _text long, fp long")
 
 
-def masks(radius: int = RADIUS, blocks: int = BLOCKS) -> list[int]:
-    """The bits of each choice of blocks - radius blocks."""
-    edge = [64 * i // blocks for i in range(blocks + 1)]
-    part = [(1 << b) - (1 << a) for a, b in zip(edge, edge[1:])]
+def masks(radius: int = RADIUS, blocks: int = BLOCKS, within: int = ALL_BITS) -> list[int]:
+    """The bits of each choice of blocks - radius of the blocks that the bits ``within`` are cut into."""
+    places = [i for i in range(64) if within >> i & 1]
+    edge = [len(places) * i // blocks for i in range(blocks + 1)]
+    part = [sum(1 << i for i in places[a:b]) for a, b in zip(edge, edge[1:])]
     return [sum(x) for x in combinations(part, blocks - radius)]
 
 
@@ -161,6 +170,39 @@ def _linked(radius: int, most: int = 1 << 16):
     return batches
 
 
+def _buckets(fps: DataFrame, radius: int, blocks: int, hot: int) -> DataFrame:
+    """(choice, bucket, fp): buckets in which all near ones of the different ``fp`` meet.
+
+    A choice stands for the bits that a bucket's members share; there are at most
+    10 + 100 + 1000 by the defaults, so the table of them is small whatever the input.
+    """
+    spark, agreed, out = fps.sparkSession, [0], []
+    rows, first = fps.select("fp", F.lit(0).alias("choice")), 0
+    for level in range(LEVELS):
+        finer = [(first + i, m | more) for i, m in enumerate(agreed) for more in masks(radius, blocks, ALL_BITS & ~m)]
+        first += len(agreed)
+        table = [(old, first + i, m - 2**64 if m >= 2**63 else m) for i, (old, m) in enumerate(finer)]
+        table = spark.createDataFrame(table, "choice int, finer int, mask long")
+        rows = rows.join(F.broadcast(table), "choice").select("fp", F.col("finer").alias("choice"), F.col("fp").bitwiseAND(F.col("mask")).alias("bucket"))
+        agreed = [m for _, m in finer]
+        if level == LEVELS - 1:
+            break
+        large = written(rows.groupBy("choice", "bucket").agg(F.count("*").alias("_n")).filter(F.col("_n") > hot).select("choice", "bucket"), "large")
+        if large.isEmpty():
+            break
+        out.append(rows.join(large, ["choice", "bucket"], "left_anti"))
+        rows = rows.join(large, ["choice", "bucket"], "left_semi").select("fp", "choice")
+    for df in out:
+        rows = rows.unionByName(df)
+    return rows.select("choice", "bucket", "fp")
+
+
+def linked(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, hot: int = HOT) -> DataFrame:
+    """(a, b): links over which each of the different ``fp`` reaches all that it reaches by ``radius`` differing bits."""
+    buckets = _buckets(fps, radius, blocks, hot).repartition("choice", "bucket").sortWithinPartitions("choice", "bucket", "fp")
+    return buckets.mapInArrow(_linked(radius), "a long, b long")
+
+
 def near_groups(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """(_id, _text, fp, group_id, group_text) for every row.
 
@@ -168,11 +210,8 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) ->
     that the row's fingerprint reaches over links of ``radius`` differing bits.
     """
     rows = written(fingerprints(docs), "fingerprints")
-    first = rows.groupBy("fp").agg(F.min(F.struct("_id", "_text")).alias("_first"))
-    choices = F.array(*(F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m - 2**64 if m >= 2**63 else m)).alias("bucket")) for i, m in enumerate(masks(radius, blocks))))
-    buckets = rows.select("fp").distinct().select("fp", F.inline(choices))
-    buckets = buckets.repartition("choice", "bucket").sortWithinPartitions("choice", "bucket", "fp")
-    labels = components(buckets.mapInArrow(_linked(radius), "a long, b long"))
+    first = written(rows.groupBy("fp").agg(F.min(F.struct("_id", "_text")).alias("_first")), "different")
+    labels = components(linked(first.select("fp"), radius, blocks))
     labels = first.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     labels = written(labels, "labels")
     least = labels.groupBy("label").agg(F.min("_first").alias("_first"))

@@ -133,6 +133,31 @@ def test_links_in_a_large_bucket():
     assert len(a) == len(fps) - len(set(root))
 
 
+def test_large_buckets_are_cut_without_losing_links(spark):
+    rng = random.Random(5)
+    flip = lambda f, n: f ^ sum(1 << b for b in rng.sample(range(64), n))
+    fps = {0, 2**64 - 1}
+    for _ in range(6):
+        f = rng.getrandbits(64)
+        for _ in range(60):
+            f = flip(f, rng.choice([1, 3, 4]))
+            fps.add(f)
+    fps |= {rng.getrandbits(20) for _ in range(300)}  # all of these share their upper bits
+    fps = sorted(fps)
+    df = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f,) for f in fps], "fp long")
+    want = groups(fps, fps)
+    for hot in (4096, 20, 2):
+        labels = {r["node"] % 2**64: r["label"] for r in components(simhash.linked(df, hot=hot)).collect()}
+        classes = {}
+        for f, r in zip(fps, want):
+            classes.setdefault(r, set()).add(labels.get(f, f"alone {f}"))
+        assert all(len(c) == 1 for c in classes.values()) and len({x for c in classes.values() for x in c}) == len(classes)
+    free = simhash.ALL_BITS  # bits that members of a bucket need not share, at most
+    for _ in range(simhash.LEVELS):
+        free &= ~min(simhash.masks(within=free), key=int.bit_count)
+    assert free.bit_count() == 15
+
+
 def test_components_of_a_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(100, 200)] + [(500, 500)]
     star = [(1000 + i, 1000) for i in range(300)] + [(5000, 4000), (4000, 4500)]
