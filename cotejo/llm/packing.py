@@ -1,7 +1,8 @@
 """Operator 9: best-fit packing of documents into sequences, with conflicts.
 
 Documents are dealt at random into cells of about ``CELL`` documents, and each
-cell is packed by itself.  In a cell the open bins are ordered by what is left
+cell is packed by itself; rows that are repeated are counted first and dealt
+apart, so no cell gets all of them.  In a cell the open bins are ordered by what is left
 in them, and carry bitmaps of the duplicate clusters and of the sources that they hold.  A
 document, largest first, goes to the tightest bin that is large enough and
 has none of its cluster and fewer than ``PER_SOURCE`` of its source; the search
@@ -95,9 +96,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, cell: int = CELL, per_source
     text = F.coalesce("text", F.lit(""))
     cluster = F.xxhash64(F.lower(F.regexp_replace(text, BLANKS, " ")))
     items = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.xxhash64("text").alias("_text"), "source", word_count(F.col("text")).alias("size"), cluster.alias("cluster"))
-    items = written(items, "items")
-    cells = -(-max(items.count(), 1) // cell)
-    dealt = items.withColumn("cell", F.pmod(F.xxhash64("_id", "_text"), F.lit(cells)))
+    items = written(items.groupBy(*items.columns).agg(F.count("*").alias("_n")), "items")
+    cells = -(-max(items.agg(F.sum("_n")).first()[0] or 0, 1) // cell)
+    dealt = items.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).drop("_n")
+    dealt = dealt.withColumn("cell", F.pmod(F.xxhash64("_id", "_text", "_copy"), F.lit(cells))).drop("_copy")
     schema = "doc_id long, size long, bin_id long, bin_offset long, piece long, piece_start long, piece_words long"
     return dealt.groupBy("cell").applyInArrow(_packed(capacity, per_source), schema)
 

@@ -109,6 +109,13 @@ def test_packing_keeps_every_word(docs):
     assert packing.pack(docs(rows).filter("false")).count() == 0
 
 
+def test_repeated_rows_are_dealt_over_cells(docs):
+    got = packing.pack(docs([(7, "the same words")] * 900 + [(100 + i, f"other {i}") for i in range(100)]), capacity=8, cell=50).collect()
+    cells = Counter(r["bin_id"] >> 32 for r in got if r["doc_id"] == 7)
+    assert sum(cells.values()) == 900 and max(cells.values()) < 200
+    assert len({r["bin_id"] for r in got if r["doc_id"] == 7}) == 900  # never two in a bin
+
+
 def clean(text):
     spans = sorted((m.start(), m.end()) for _, p, g, least in PATTERNS for m in p.finditer(text) if len(m.group(g)) >= least)
     out, end = "", 0
