@@ -7,8 +7,10 @@ unseen.  A small network minimises the non-negative unbiased risk
 
 with the sigmoid loss l.  The prior is the share of 1 among the labels.  Both
 samples are chosen by a hash of doc_id and bounded (``POSITIVES``,
-``UNLABELLED``); only their features reach the driver, and the model that goes
-back has a few ten thousand numbers.  Every document is scored.
+``UNLABELLED``); rows equal in doc_id and features are learned from once, and rows without
+doc_id are not learned from, so repeated rows do not pass the bound.  Only features reach
+the driver, and the model that goes back has a few ten thousand numbers.  Every row
+is scored.
 
 Features are of the text alone: how often each byte occurs, and shares of
 letters, digits, signs, repeated words, repeated word triples and repeated lines.
@@ -128,10 +130,11 @@ def _drawn(rows: int, bound: int) -> Column:
 def _features(docs: DataFrame) -> np.ndarray:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            rows = [features(t.as_buffer().to_pybytes() if t.is_valid else b"").tobytes() for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["f"])
+            rows = [features(t.as_buffer().to_pybytes() if t.is_valid else b"").tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["doc_id", "f"])
 
-    rows = docs.select("text").mapInArrow(batches, "f binary").toArrow().column("f").to_pylist()
+    rows = docs.select("doc_id", "text").mapInArrow(batches, "doc_id long, f binary").distinct()
+    rows = rows.toArrow().column("f").to_pylist()
     return np.frombuffer(b"".join(sorted(rows)), np.float32).reshape(-1, N_FEATURES)
 
 
@@ -141,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     Rows of ``labels`` without doc_id or quality are passed over; of several labels
     of a document the largest counts.
     """
-    learn = docs.filter(remainder() != HELD_OUT)
+    learn = docs.filter(F.col("doc_id").isNotNull() & (remainder() != HELD_OUT))
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (remainder() != HELD_OUT))
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     n, good = known.agg(F.count("*"), F.coalesce(F.sum((F.col("quality") == 1).cast("long")), F.lit(0))).first()

@@ -98,6 +98,14 @@ def test_scores_of_odd_rows(docs, spark):
     assert all(r["score"] == 1.0 and r["predicted"] == 1 for r in none)
 
 
+def test_repeated_rows_are_learned_from_once(docs, spark):
+    rows = [(100 + i, f"A calm text number {i} about words. " * (3 + i % 4)) for i in range(40)] + [(300 + i, "LOUD!! " * 30) for i in range(20)]
+    labels = spark.createDataFrame([(100 + i, 1) for i in range(30)] + [(300 + i, 0) for i in range(10)], "doc_id long, quality int")
+    more = rows + rows[:3] * 50 + [(None, "no id")] * 50
+    a, b = (quality_model.train(docs(x), labels) for x in (rows, more))
+    assert all(np.array_equal(x, y) for x, y in zip(a.weights, b.weights))
+
+
 @pytest.mark.parametrize("text", [b"", b" ", b"\n", "é".encode(), b"a" * 100_000])
 def test_features_of_any_text(text):
     assert np.isfinite(quality_model.features(text)).all()
