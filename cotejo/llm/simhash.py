@@ -176,22 +176,20 @@ def _buckets(fps: DataFrame, radius: int, blocks: int, hot: int) -> DataFrame:
     A choice stands for the bits that a bucket's members share; there are at most
     10 + 100 + 1000 by the defaults, so the table of them is small whatever the input.
     """
-    spark, agreed, out = fps.sparkSession, [0], []
-    rows, first = fps.select("fp", F.lit(0).alias("choice")), 0
-    for level in range(LEVELS):
-        finer = [(first + i, m | more) for i, m in enumerate(agreed) for more in masks(radius, blocks, ALL_BITS & ~m)]
-        first += len(agreed)
-        table = [(old, first + i, m - 2**64 if m >= 2**63 else m) for i, (old, m) in enumerate(finer)]
-        table = spark.createDataFrame(table, "choice int, finer int, mask long")
-        rows = rows.join(F.broadcast(table), "choice").select("fp", F.col("finer").alias("choice"), F.col("fp").bitwiseAND(F.col("mask")).alias("bucket"))
-        agreed = [m for _, m in finer]
-        if level == LEVELS - 1:
-            break
+    signed = lambda m: m - 2**64 if m >= 2**63 else m
+    spark, agreed, out = fps.sparkSession, masks(radius, blocks), []
+    choices = F.array(*(F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("bucket")) for i, m in enumerate(agreed)))
+    rows, first = fps.select("fp", F.inline(choices)), 0
+    for _ in range(LEVELS - 1):
         large = written(rows.groupBy("choice", "bucket").agg(F.count("*").alias("_n")).filter(F.col("_n") > hot).select("choice", "bucket"), "large")
         if large.isEmpty():
             break
         out.append(rows.join(large, ["choice", "bucket"], "left_anti"))
-        rows = rows.join(large, ["choice", "bucket"], "left_semi").select("fp", "choice")
+        finer = [(first + i, m | more) for i, m in enumerate(agreed) for more in masks(radius, blocks, ALL_BITS & ~m)]
+        first, agreed = first + len(agreed), [m for _, m in finer]
+        table = spark.createDataFrame([(old, first + i, signed(m)) for i, (old, m) in enumerate(finer)], "choice int, finer int, mask long")
+        rows = rows.join(large, ["choice", "bucket"], "left_semi").join(F.broadcast(table), "choice")
+        rows = rows.select("fp", F.col("finer").alias("choice"), F.col("fp").bitwiseAND(F.col("mask")).alias("bucket"))
     for df in out:
         rows = rows.unionByName(df)
     return rows.select("choice", "bucket", "fp")
