@@ -313,8 +313,9 @@ select page_id, "row", array_to_string(list_transform(cells, lambda x: {strip(
 )}), '|') as cells from c where len(cells) > 0"""
 
 EVENT_PAGE = (
-    "concat('<table class=\"t\"><thead><tr><th>Fecha</th></tr></thead><tbody><TR class=x><td> ', {when}, ' </td><td>', {user}, "
-    "'</td><td><b>Ana &amp; ', {user}, '</b></td><td>A</td><td>', event_type, '</td><td>', {blank}, '</td><td>-</td>', {more}, '</TR><tr></tr></tbody></table>')"
+    "concat('<table class=\"t\"><thead><tr><td>Fecha</td></tr></thead><tbody><TR class=x><td> ', {when}, ' </td><td>', {user}, "
+    "'</td><td><b>An&#225; &amp; Jos&eacute; ', {user}, '</b></td><td>A</td><td>', event_type, '</td><td>', {blank}, '</td><td>-</td>', {more}, '</TR>"
+    "<tr><td>', {number}, '</td><td>2</td></tr><tr></tr></tbody><tfoot><tr><td>Total</td></tr></tfoot></table>')"
 )
 
 
@@ -322,6 +323,7 @@ def _page(d) -> str:
     return EVENT_PAGE.format(
         when=d.second_text("ts"),
         user=d.text("user_id"),
+        number=d.text("event_id"),
         blank="case when event_type = 'click' then '  ' else '&nbsp;7' end",
         more="case when event_type in ('view', 'click') then '<td> </td><td>9</td>' when event_type = 'error' then '<td></td>' else '' end",
     )
@@ -344,10 +346,11 @@ def presence_table(spark: SparkSession, sf: str) -> DataFrame:
     return landed.presence_table(_event_pages(spark, sf), "event_id")
 
 
-_NAMED = """'Ana & ' || cast(user_id as varchar)"""
+_NAMED = """'Aná & José ' || cast(user_id as varchar)"""
 AGENT_SQL = f"""select event_id, cast(1 as integer) as "row", strftime(ts, '%d/%m/%Y %H:%M:%S') as "Fecha", cast(user_id as varchar) as "Anexo",
   {_NAMED} as "Usuario", 'A' as "Agente", event_type as "Evento",
-  case when event_type = 'click' then '' else '7' end as "Duracion", '-' as "Motivo" from events where event_type not in ('view', 'click', 'error')"""
+  case when event_type = 'click' then '' else '7' end as "Duracion", '-' as "Motivo" from events where event_type not in ('view', 'click', 'error')
+union all select event_id, 2, cast(event_id as varchar), '2', null, null, null, null, null from events"""
 AGENT_REJECTS_SQL = f"""select event_id, cast(1 as integer) as "row", strftime(ts, '%d/%m/%Y %H:%M:%S') || '|' || user_id || '|' || {_NAMED} || '|A|' || event_type || '|'
   || case when event_type = 'click' then '' else '7' end || '|-' || case when event_type = 'error' then '|' else '||9' end as cells
 from events where event_type in ('view', 'click', 'error')"""

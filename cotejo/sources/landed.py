@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from html.parser import HTMLParser
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,8 +68,11 @@ def element_texts(html: Column, tag: str) -> Column:
     return F.transform(found, cell_text)
 
 
-def html_rows(pages: DataFrame, page: str, html: str, row_tag: str = "tr", cell_tag: str = "td") -> DataFrame:
-    """Rows with at least one cell: (page, row, cells)."""
+def html_rows(pages: DataFrame, page: str, html: str, row_tag: str, cell_tag: str) -> DataFrame:
+    """Elements ``row_tag`` with at least one ``cell_tag``: (page, row, cells).
+
+    For elements that do not nest, such as lists of links; see ``table_rows`` for tables.
+    """
     rows = F.regexp_extract_all(F.col(html), F.lit(rf"(?is)<{row_tag}(?:\s[^>]*)?>(.*?)</{row_tag}>"), F.lit(1))
     return (
         pages.select(F.col(page), F.posexplode(rows).alias("row", "_html"))
@@ -76,12 +81,92 @@ def html_rows(pages: DataFrame, page: str, html: str, row_tag: str = "tr", cell_
     )
 
 
+class _TableRows(HTMLParser):
+    """Cells of each row of a page; rows outside its first ``tbody``, if it has one, are left empty.
+
+    A cell belongs to every row around it, and its text is all text inside, so
+    a nested table gives rows of its own and cells to the row that holds it.
+    Character references are decoded; a row or cell that is never closed ends
+    where the next one of its table begins.
+    """
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.open: list[tuple[str, list]] = []
+        self.rows: list[list[list[str]]] = []
+        self.inside: list[bool] = []
+        self.body: list | None = None
+
+    def _end(self, tag: str) -> None:
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] == tag:
+                del self.open[i:]
+                return
+            if self.open[i][0] == "table":
+                return
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in ("tbody", "tr", "td"):
+            self._end(tag)
+        if tag not in ("table", "tbody", "tr", "td"):
+            return
+        held: list = []
+        if tag == "tbody" and self.body is None:
+            self.body = held
+        elif tag == "tr":
+            self.rows.append(held)
+            self.inside.append(self.body is not None and any(h is self.body for _, h in self.open))
+        elif tag == "td":
+            for around, row in self.open:
+                if around == "tr":
+                    row.append(held)
+        self.open.append((tag, held))
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in ("table", "tbody", "tr", "td"):
+            self._end(tag)
+
+    def handle_data(self, data: str) -> None:
+        if self.cdata_elem is None:
+            for tag, held in self.open:
+                if tag == "td":
+                    held.append(data)
+
+    def cells(self) -> list[list[str]]:
+        return [["".join(c) for c in row] if here or self.body is None else [] for row, here in zip(self.rows, self.inside)]
+
+
+def _rows_of(html: str | None) -> list[list[str]] | None:
+    if html is None:
+        return None
+    found = _TableRows()
+    found.feed(html)
+    found.close()
+    return found.cells()
+
+
+def table_rows(pages: DataFrame, page: str, html: str) -> DataFrame:
+    """Rows of a page's tables with at least one cell: (page, row, cells).
+
+    Only the first ``tbody`` counts where there is one; ``row`` numbers all
+    rows of the page.  Markup nests, so pages are parsed one by one in Arrow batches.
+    """
+
+    def parse(series: pd.Series) -> pd.Series:
+        return series.map(_rows_of)
+
+    parse.__annotations__ = {"series": pd.Series, "return": pd.Series}
+    rows = pages.select(F.col(page), F.pandas_udf(parse, "array<array<string>>")(F.col(html)).alias("_rows"))
+    rows = rows.select(F.col(page), F.posexplode("_rows").alias("row", "_cells"))
+    return rows.where(F.size("_cells") > 0).select(page, "row", F.transform("_cells", strip).alias("cells"))
+
+
 def agent_table(pages: DataFrame, page: str = "page_no", html: str = "html") -> DataFrame:
     """Seven declared columns of the agent activity table, all pages together.
 
     Rows of more cells do not fit the columns; they are in ``agent_rejects``.
     """
-    rows = html_rows(pages, page, html).where(F.size("cells") <= len(AGENT_COLUMNS))
+    rows = table_rows(pages, page, html).where(F.size("cells") <= len(AGENT_COLUMNS))
     return rows.select(
         page, "row", *[F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(AGENT_COLUMNS)]
     )
@@ -89,12 +174,12 @@ def agent_table(pages: DataFrame, page: str = "page_no", html: str = "html") ->
 
 def agent_rejects(pages: DataFrame, page: str = "page_no", html: str = "html") -> DataFrame:
     """Rows of the agent activity table with more cells than columns, whole."""
-    return html_rows(pages, page, html).where(F.size("cells") > len(AGENT_COLUMNS))
+    return table_rows(pages, page, html).where(F.size("cells") > len(AGENT_COLUMNS))
 
 
 def presence_table(pages: DataFrame, page: str = "page_no", html: str = "html") -> DataFrame:
     """Cells 3 to 7 of rows with eight or more; blank cells read ``-``; all-blank rows go."""
-    rows = html_rows(pages, page, html).where(F.size("cells") >= 8)
+    rows = table_rows(pages, page, html).where(F.size("cells") >= 8)
     kept = F.transform(F.slice("cells", 4, 5), lambda x: F.when(x == "", F.lit(BLANK_CELL)).otherwise(x))
     rows = rows.withColumn("_kept", kept).where(F.exists("_kept", lambda x: x != BLANK_CELL))
     return rows.select(

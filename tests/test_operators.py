@@ -240,6 +240,19 @@ def test_presence_rows(spark):
     assert rows(got, *landed.PRESENCE_COLUMNS) == [("Ana", "-", "m", "d", "h")]
 
 
+def test_table_rows_of_nested_open_and_encoded_markup(spark):
+    pages = [
+        (1, "<table><thead><tr><td>head</td></tr></thead><tbody><tr><td>&#225;&eacute;&amp;lt;</td><td> a<br>b </td></tr>"
+            "<tr><td>x<table><tbody><tr><td>in</td></tr></tbody></table>y</td><td>z</td></tr></tbody><tbody><tr><td>other</td></tr></tbody></table>"),
+        (2, "<table><tr><td>1<td>2<tr><td>3</table><script>'<td>'</script>"),
+        (3, None), (4, ""), (5, "<tbody><tr><td>a <!-- <td> --> < 5</td><td></td>"),
+    ]
+    got = landed.table_rows(spark.createDataFrame(pages, "page int, html string"), "page", "html")
+    assert sorted(tuple(r) for r in got.collect()) == [
+        (1, 1, ["áé&lt;", "ab"]), (1, 2, ["xiny", "in", "z"]), (1, 3, ["in"]), (2, 0, ["1", "2"]), (2, 1, ["3"]), (5, 0, ["a  < 5", ""]),
+    ]
+
+
 def test_mail_flags(spark):
     mail = spark.createDataFrame([(None, "s", "TICKET\xa0 5"), ("a", None, "tickets"), ("b", "t", None)], "sender string, subject string, body string")
     got = landed.mail_table(mail.withColumn("received", F.expr("timestamp_ntz '2024-01-02 03:04:05'")))
