@@ -12,8 +12,8 @@ document with a smaller doc_id, or in the same one further left.
 4. Anchors with several different segments, or looping ones, are compared on their real texts:
    the first of each kind is cut from its document and sent to the task of its
    anchor, which runs the ``matcher`` over such groups (shards).  Of anchors with more
-   than ``hot`` kinds, every window is settled for itself by its 128-bit
-   digest, so that no task gets a group that grows with the input.
+   than ``hot`` kinds, every window is settled for itself by the 128-bit
+   digest of its units, so that no task gets a group that grows with the input.
 5. What is covered returns to its document as ranges of units.
 
 Rows without doc_id come before all others.  Rows that share a doc_id but differ
@@ -50,6 +50,8 @@ class Kind:
     ``matcher`` gets segment texts, the number of each one's group, and its number of
     windows, in the order (group, place); it returns for each segment the windows
     (numbers from 0) that begin earlier, in a former segment of the group or in the same.
+    ``plain`` gives a text's bytes with the same units, so laid out that windows of
+    equal units are equal bytes; digests of windows are taken from that.
     """
 
     units: Callable[[np.ndarray, np.ndarray], anchors.Units]
@@ -57,6 +59,7 @@ class Kind:
     k: int
     matcher: Callable[[list[bytes], np.ndarray, np.ndarray, int], list[np.ndarray]]
     hot: int = 1000
+    plain: Callable[[bytes], bytes] = bytes
 
 
 def _keys(docs: DataFrame) -> list[Column]:
@@ -88,8 +91,10 @@ def _cut(kind: Kind, single: bool) -> Callable:
             key, text, wanted = batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)
             rows: list[tuple] = []
             for i in range(batch.num_rows):
-                u = kind.units(data, at[i : i + 2])
-                begin, end, whole = u.begin - at[i], u.end - at[i], data[at[i] : at[i + 1]].tobytes()
+                whole = data[at[i] : at[i + 1]].tobytes()
+                whole = kind.plain(whole) if single else whole
+                u = kind.units(np.frombuffer(whole, np.uint8), np.array([0, len(whole)]))
+                begin, end = u.begin, u.end
                 picked = wanted[i].values
                 for h, a, n in zip(*(picked.field(f).to_pylist() for f in ("anchor", "at", "n"))):
                     if single:

@@ -83,8 +83,12 @@ def matcher(pieces: list[bytes], group: np.ndarray, n: np.ndarray, length: int)
     return out
 
 
+def plain(text: bytes) -> bytes:
+    return b" ".join(text.split())
+
+
 def kind(length: int = WINDOW, k: int = ANCHOR) -> repeats.Kind:
-    return repeats.Kind(anchors.word_units, length, k, matcher)
+    return repeats.Kind(anchors.word_units, length, k, matcher, plain=plain)
 
 
 def remove_repeats(docs: DataFrame, length: int = WINDOW, k: int = ANCHOR) -> DataFrame:

@@ -63,6 +63,22 @@ def test_equals_brute_force(docs, monkeypatch, module, units, join, total, hot):
             assert (r["n_removed"], r["n_spans"]) in [(v[1], v[3]) for v in by_id[r["doc_id"]]]
 
 
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_copies_with_other_blanks_equal_brute_force(docs, monkeypatch, hot):
+    """Line-wrapped, tabbed and double-blank copies: the words are the same, the bytes between them are not."""
+    rng = random.Random(6)
+    rows = texts()
+    for i in range(60):
+        words = rng.choice(rows[:120])[1].split()
+        a = rng.randrange(len(words) + 1)
+        rows.append((1000 + i, "".join(w + rng.choice([" ", "  ", "\n", "\r\n", "\t"]) for w in words[a:] + [f"x{i}"] + words[:a])))
+    whole = substring_dedup.kind
+    monkeypatch.setattr(substring_dedup, "kind", lambda a=6, b=2: dataclasses.replace(whole(a, b), hot=hot))
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(docs(rows), 6, 2).collect()}
+    want = brute(rows, 6, lambda t: t.encode().split(), b" ".join)
+    assert got == {i: v[:3] for (i, _), v in want.items()}
+
+
 @pytest.mark.parametrize("module", [substring_dedup, suffix_dedup])
 def test_empty_table(docs, module):
     assert module.remove_repeats(docs([]).filter("false")).count() == 0
