@@ -94,7 +94,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, cell: int = CELL, per_source
     never share a bin.
     """
     text = F.coalesce("text", F.lit(""))
-    cluster = F.xxhash64(F.lower(F.regexp_replace(text, BLANKS, " ")))
+    cluster = F.xxhash64(F.lower(F.trim(F.regexp_replace(text, BLANKS, " "))))
     items = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.xxhash64("text").alias("_text"), "source", word_count(F.col("text")).alias("size"), cluster.alias("cluster"))
     items = written(items.groupBy(*items.columns).agg(F.count("*").alias("_n")), "items")
     cells = -(-max(items.agg(F.sum("_n")).first()[0] or 0, 1) // cell)

@@ -116,6 +116,13 @@ def test_repeated_rows_are_dealt_over_cells(docs):
     assert len({r["bin_id"] for r in got if r["doc_id"] == 7}) == 900  # never two in a bin
 
 
+def test_copies_with_outer_blanks_never_share_a_bin(docs):
+    texts = ["the same words", "the same words\n", " the same words", "\t The  same words \r\n"]
+    got = packing.pack(docs([(i, t, f"s{i}") for i, t in enumerate(texts)]), capacity=20).collect()
+    assert len(got) == 4 and {r["size"] for r in got} == {3}
+    assert len({r["bin_id"] for r in got}) == 4
+
+
 def clean(text):
     spans = sorted((m.start(), m.end()) for _, p, g, least in PATTERNS for m in p.finditer(text) if len(m.group(g)) >= least)
     out, end = "", 0
