@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cotejo.functions.text import short_name, surname_first
-from cotejo.functions.times import clock, parse, parse_strict
+from cotejo.functions.times import check_range, clock, parse, parse_strict
 from cotejo.operators.dedupe import split_duplicates
 from cotejo.operators.joins import join_on_spine
 from cotejo.operators.rosters import (
@@ -83,13 +85,20 @@ def general_roster(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def combined(
-    logged: DataFrame, call_centre: DataFrame, general: DataFrame, desk: DataFrame
+    logged: DataFrame,
+    call_centre: DataFrame,
+    general: DataFrame,
+    desk: DataFrame,
+    start: date | None = None,
+    end: date | None = None,
 ) -> DataFrame:
     """All four sources per user and day.
 
     The first three must have one row per user and day; a repeated one raises.
-    Rows without a day belong together by user.
+    Rows without a day belong together by user.  ``start`` and ``end`` are the days
+    asked for; a range that ends before it starts raises.
     """
+    check_range(start, end)
     sources = {
         "logged": (logged, "Semaforo"),
         "call_centre": (call_centre, "NCC"),

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cotejo.functions.numbers import holds, number_or_zero
 from cotejo.functions.text import field, plus_flags, replace_values
+from cotejo.functions.times import check_range
 from cotejo.operators.joins import lookup
 
 # Hours allowed per client, for fibre and for radio.  The last
@@ -140,8 +143,12 @@ def dispatch() -> Column:
     )
 
 
-def fill_sla(extract: DataFrame, media: DataFrame) -> DataFrame:
-    """The extract with every service-level column, in one projection per step."""
+def fill_sla(extract: DataFrame, media: DataFrame, start: date | None = None, end: date | None = None) -> DataFrame:
+    """The extract with every service-level column, in one projection per step.
+
+    ``start`` and ``end`` are the days asked for; a range that ends before it starts raises.
+    """
+    check_range(start, end)
     return (
         add_medium(extract, media)
         .withColumns(

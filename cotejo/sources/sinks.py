@@ -6,9 +6,11 @@ from collections.abc import Iterator
 from datetime import datetime
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 
 # Extract kinds by report number.
 EXTRACT_DIRS = {15: "incidents", 18: "clock_stops", 4: "general"}
+TICKET = "nro_incidencia"
 
 
 def stamped(base: str, name: str, at: datetime | None = None, between: tuple[str, str] | None = None) -> str:
@@ -27,7 +29,9 @@ def write(df: DataFrame, path: str, fmt: str = "parquet", by: tuple[str, ...] =
 
 
 def write_report(df: DataFrame, base: str, at: datetime | None = None, fmt: str = "parquet") -> str:
-    """Final findings report."""
+    """Final findings report, in ticket order over its files; a table without tickets stays as it is."""
+    if TICKET in df.columns:
+        df = df.orderBy(F.col(TICKET).asc_nulls_last())
     return write(df, stamped(base, "validator_report", at), fmt)
 
 

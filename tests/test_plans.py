@@ -1,11 +1,12 @@
 """Whole pipelines on small hand-written inputs, sources and sinks."""
 
-from datetime import datetime
+from datetime import date, datetime
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
-from cotejo.plans import client_report, extract, inputs, sla
+from cotejo.plans import attendance, client_report, extract, inputs, sla
 from cotejo.plans import validator as v
 from cotejo.plans.shared import checkpoint_dir, checkpointed
 from cotejo.sources import files, sinks
@@ -224,6 +225,20 @@ def test_files_and_sinks(spark, tmp_path):
     assert [r["codincidence"] for r in sinks.records(tab)] == ["7"]
 
 
+def test_report_in_ticket_order(spark, tmp_path):
+    tickets = [str(i * 7919 % 1000) for i in range(1000)] + [None]
+    df = spark.createDataFrame([(t, "m") for t in tickets], "nro_incidencia string, mensaje string").repartition(5)
+    path = sinks.write_report(df, str(tmp_path), datetime(2024, 1, 2))
+    rows = [r["nro_incidencia"] for f in sorted(Path(path).glob("part-*.parquet")) for r in spark.read.parquet(str(f)).collect()]
+    assert rows == sorted(tickets[:-1]) + [None]
+
+
+def test_plans_refuse_a_range_that_ends_before_it_starts():
+    for plan, n in ((sla.fill_sla, 2), (attendance.combined, 4)):
+        with pytest.raises(ValueError, match="range"):
+            plan(*[None] * n, date(2024, 1, 2), date(2024, 1, 1))
+
+
 def test_client_report(spark):
     rec = {**INCIDENT, "canal_ingreso": "Proactivo", "it_conclusiones": "uno\nSe recomienda", "tipificacion_problema": "X PROBLEMA DE ENERGIA COMERCIAL EN SITE/POP - y",
            "tipificacion_tipo": "TERCEROS - CORTE", "it_medidas_tomadas": "cuerpo\nFecha y hora inicio: 1/1/2024 1:00", "cid": " 5 "}
