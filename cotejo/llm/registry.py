@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from . import bundles, line_rules, mixing, packing, quality_model, secret_scan, simhash, sketches, substring_dedup, suffix_dedup
+from . import (
+    bundles,
+    hard_negatives,
+    line_rules,
+    mixing,
+    packing,
+    personal_data,
+    quality_model,
+    secret_scan,
+    simhash,
+    sketches,
+    spelling,
+    substring_dedup,
+    suffix_dedup,
+)
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -15,6 +29,9 @@ QUERIES = {
     "op8_mixing": mixing.query,
     "op9_best_fit_packing": packing.query,
     "op10_quality_classifier": quality_model.query,
+    "op11_personal_data": personal_data.query,
+    "op12_spelling_variants": spelling.query,
+    "op13_hard_negatives": hard_negatives.query,
 }
 #: The others are tested against brute force, round trips or held-out labels.
-SQL = {"op2_line_rules": line_rules.SQL, "op6_warc_bundles": bundles.SQL, "op8_mixing": mixing.SQL}
+SQL = {"op2_line_rules": line_rules.SQL, "op6_warc_bundles": bundles.SQL, "op8_mixing": mixing.SQL, "op13_hard_negatives": hard_negatives.SQL}

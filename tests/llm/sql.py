@@ -5,7 +5,7 @@ import os
 
 import duckdb
 
-TABLES = ("documents", "pages", "labels")
+TABLES = ("documents", "pages", "labels", "embeddings")
 
 
 def same(spark, query, sql, sf):
