@@ -3,8 +3,10 @@
 Two words are near if they differ by exactly one inserted, deleted or replaced letter.  Letters
 are hashed to a few symbols; words that are near have reduced words that are equal or near.  So every
 word generates the full one-edit neighbourhood of its reduced word (itself, deletions,
-replacements, insertions: about 2 x symbols + 1 for each letter, not 2 x alphabet), these meet the reduced
+replacements, insertions: about 2 x symbols for each letter, not 2 x alphabet), these meet the reduced
 words of the vocabulary in one equi join, and pairs that meet are verified on the words themselves.
+A reduced word of n letters takes the n-th root of ROOM x vocabulary symbols, so short
+words do not crowd and long ones have small neighbourhoods; what is generated by an edit is reduced for its own length.
 
 Reduced words travel as 64-bit hashes, which are computed for a whole neighbourhood from sums over
 the word's beginnings and ends; a collision makes a pair to verify and no more.
@@ -24,7 +26,10 @@ texts are arrays of their words.  Other columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +39,18 @@ from pyspark.sql import functions as F
 from .common import documents, let, written
 
 LEAST_LETTERS, LEAST_COUNT, TYPO_EVERY, FACTOR = 5, 3, 97, 2
-#: Symbols of each round; None stands for all letters, one symbol each.
-LEVELS = (5, 24, None)
+#: Reduced words that there is room for, by words of the vocabulary, in the first round.
+ROOM = 4
+#: Symbols of the rounds after that; None stands for all letters, one symbol each.
+FURTHER = (24, None)
 #: Words that may share a reduced word before they go to the next round.
-MOST = 64
+MOST = 256
 #: Letters whose neighbourhoods are generated at once; letters of a word that is carried along with each of its neighbours.
 CHUNK, CARRIED = 1 << 15, 64
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xC0, 0x100)))
 
+#: How many symbols reduced words of a length are made of; None for all letters.
+Symbols = Callable[[int], int | None]
 _BASE = 0x9E3779B97F4A7C15
 _BACK = np.uint64(pow(_BASE, -1, 2**64))
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -53,6 +62,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+@lru_cache
 def _symbols(symbols: int | None) -> tuple[np.ndarray, np.ndarray]:
     """The value of each code point below 256, and the values of all symbols; never 0."""
     of = np.arange(256, dtype=np.uint64) if symbols is None else _mixed(np.arange(256, dtype=np.uint64) + np.uint64(7)) % np.uint64(symbols)
@@ -60,56 +70,82 @@ def _symbols(symbols: int | None) -> tuple[np.ndarray, np.ndarray]:
     return value, np.unique(value[[ord(c) for c in LETTERS]])
 
 
-def _flat(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of all words (ISO 8859-1 has every letter) and where each word begins."""
-    parts = [w.encode("latin-1") for w in words]
-    return np.frombuffer(b"".join(parts), np.uint8), np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
+def by_length(vocabulary: int) -> Symbols:
+    """Symbols for reduced words of a length, so that there is room for ROOM x ``vocabulary`` of them."""
 
+    def symbols(length: int) -> int | None:
+        few = max(2, math.ceil(max(ROOM * vocabulary, 1) ** (1 / max(length, 1))))
+        return few if few < len(LETTERS) else None
 
-def _sums(words: list[str], value: np.ndarray):
-    """Per letter: its value, its power, the sum of what is before it in its word, the word's sum, its word's number and length."""
-    codes, at = _flat(words)
-    length = np.diff(at)
-    of = np.repeat(np.arange(len(words)), length)
-    inside = np.arange(len(codes)) - at[of]
-    powers = np.full(int(length.max(initial=0)) + 1, _BASE, np.uint64)
-    powers[0] = 1
-    powers = np.cumprod(powers, dtype=np.uint64)
-    x, power = value[codes], powers[inside]
-    upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(x * power, dtype=np.uint64)))
-    whole = upto[at[1:]] - upto[at[:-1]]
-    before = upto[:-1] - upto[at[of]]
-    return x, power, before, whole, of, length, powers
+    return symbols
 
 
-def _key(total: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-    return _mixed(total + np.asarray(length).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+def _groups(words: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, numbers, code points) of the words of each length; ISO 8859-1 has every letter."""
+    length = np.array([len(w) for w in words])
+    for n in np.unique(length):
+        numbers = np.flatnonzero(length == n)
+        yield int(n), numbers, np.frombuffer("".join(words[i] for i in numbers).encode("latin-1"), np.uint8).reshape(len(numbers), n)
 
 
-def reduced_keys(words: list[str], symbols: int | None) -> np.ndarray:
+@dataclass
+class _Sums:
+    """Per letter of words of one length: its value, its power, the sum of what is before it; per word the sum of all."""
+
+    x: np.ndarray
+    power: np.ndarray
+    before: np.ndarray
+    whole: np.ndarray
+    every: np.ndarray
+
+    @classmethod
+    def of(cls, codes: np.ndarray, symbols: int | None) -> _Sums:
+        value, every = _symbols(symbols)
+        power = np.full(codes.shape[1] + 1, _BASE, np.uint64)
+        power[0] = 1
+        power = np.cumprod(power, dtype=np.uint64)
+        x = value[codes]
+        upto = np.cumsum(x * power[:-1], axis=1, dtype=np.uint64)
+        return cls(x, power, upto - x * power[:-1], upto[:, -1], every)
+
+
+def _key(total: np.ndarray, length: int) -> np.ndarray:
+    return _mixed(total + np.uint64(length * (_BASE >> 2) % 2**64)).view(np.int64)
+
+
+def reduced_keys(words: list[str], symbols: Symbols) -> np.ndarray:
     """The hash of each reduced word."""
-    _, _, _, whole, _, length, _ = _sums(words, _symbols(symbols)[0])
-    return _key(whole, length)
+    out = np.zeros(len(words), np.int64)
+    for n, numbers, codes in _groups(words):
+        out[numbers] = _key(_Sums.of(codes, symbols(n)).whole, n)
+    return out
 
 
-def neighbourhoods(words: list[str], symbols: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def neighbourhoods(words: list[str], symbols: Symbols) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(number of the word, hash): the reduced words themselves and their full one-edit neighbourhoods, each reduced word once.
 
     Each is made in one way only: of a run of equal symbols the first is deleted, a symbol is replaced by
     others, and inserted only before a symbol that differs or at the end.  A piece for each symbol.
     """
-    value, every = _symbols(symbols)
-    x, power, before, whole, of, length, powers = _sums(words, value)
-    n, mine, each = length[of], whole[of], np.arange(len(words))
-    rest = mine - before  # the letter and all after it
-    run = np.zeros(len(x), bool)
-    run[1:] = (x[1:] == x[:-1]) & (of[1:] == of[:-1])
-    yield np.concatenate((each, of[~run])), np.concatenate((_key(whole, length), _key(before + (rest - x * power) * _BACK, n - 1)[~run]))
-    for s in every:
-        other = x != s
-        replaced = _key(mine + (s - x) * power, n)[other]
-        inserted = _key(before + s * power + rest * np.uint64(_BASE), n + 1)[other]
-        yield np.concatenate((of[other], of[other], each)), np.concatenate((replaced, inserted, _key(whole + s * powers[length], length + 1)))
+    base = np.uint64(_BASE)
+    for n, numbers, codes in _groups(words):
+        each = np.broadcast_to(numbers[:, None], codes.shape)
+        s = _Sums.of(codes, symbols(n - 1))
+        power = s.power[:-1]
+        first = np.ones(codes.shape, bool)
+        first[:, 1:] = s.x[:, 1:] != s.x[:, :-1]
+        yield each[first], _key(s.before + (s.whole[:, None] - s.before - s.x * power) * _BACK, n - 1)[first]
+        s = _Sums.of(codes, symbols(n))
+        yield numbers, _key(s.whole, n)
+        for v in s.every:
+            other = s.x != v
+            yield each[other], _key(s.whole[:, None] + (v - s.x) * power, n)[other]
+        s = _Sums.of(codes, symbols(n + 1))
+        rest = (s.whole[:, None] - s.before) * base
+        for v in s.every:
+            other = s.x != v
+            yield each[other], _key(s.before + v * power + rest, n + 1)[other]
+            yield numbers, _key(s.whole + v * s.power[n:], n + 1)
 
 
 def counted_words(docs: DataFrame, least: int = LEAST_LETTERS, times: int = LEAST_COUNT, every: int = TYPO_EVERY) -> DataFrame:
@@ -126,7 +162,7 @@ def counted_words(docs: DataFrame, least: int = LEAST_LETTERS, times: int = LEAS
     return found.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= times)
 
 
-def _keyed(words: DataFrame, symbols: int | None) -> DataFrame:
+def _keyed(words: DataFrame, symbols: Symbols) -> DataFrame:
     """(near, near_n, key) of (word, n)."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +177,7 @@ def _name(word: str) -> str:
     return word if len(word) <= CARRIED else "#" + hashlib.md5(word.encode()).hexdigest()
 
 
-def _generated(words: DataFrame, symbols: int | None) -> DataFrame:
+def _generated(words: DataFrame, symbols: Symbols) -> DataFrame:
     """(name, key) for the whole neighbourhood of every word."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,15 +198,21 @@ def _generated(words: DataFrame, symbols: int | None) -> DataFrame:
     return words.select("word").mapInArrow(batches, "name string, keys array<long>").select("name", F.explode("keys").alias("key"))
 
 
-def near_pairs(words: DataFrame, levels: tuple[int | None, ...] = LEVELS, most: int = MOST) -> DataFrame:
-    """(word, near, near_n) for all ordered pairs of near words of ``words`` (word, n), each pair once."""
+def near_pairs(words: DataFrame, levels: tuple[int | None, ...] | None = None, most: int = MOST) -> DataFrame:
+    """(word, near, near_n) for all ordered pairs of near words of ``words`` (word, n), each pair once.
+
+    ``levels``: symbols of the rounds, one number for all lengths; the last must be None.
+    """
+    rounds = [lambda n, s=s: s for s in (levels or FURTHER)]
+    if levels is None:
+        rounds = [by_length(words.count()), *rounds]
     name = F.when(F.length("word") <= CARRIED, F.col("word")).otherwise(F.concat(F.lit("#"), F.md5("word")))
     long_words = written(words.filter(F.length("word") > CARRIED).select(name.alias("name"), "word"), "long")
     found, targets, probes = [], words, words
-    for symbols in levels:
+    for i, symbols in enumerate(rounds):
         keyed, generated = _keyed(targets, symbols), _generated(probes, symbols)
         crowded = False
-        if symbols is not None:
+        if i < len(rounds) - 1:
             keyed = written(keyed, "reduced")
             hot = written(keyed.groupBy("key").agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select("key"), "hot")
             crowded = not hot.isEmpty()
@@ -191,7 +233,7 @@ def near_pairs(words: DataFrame, levels: tuple[int | None, ...] = LEVELS, most:
     return pairs.repartition("word").groupBy("word", "near").agg(F.first("near_n").alias("near_n"))
 
 
-def variants(words: DataFrame, factor: int = FACTOR, levels: tuple[int | None, ...] = LEVELS, most: int = MOST) -> DataFrame:
+def variants(words: DataFrame, factor: int = FACTOR, levels: tuple[int | None, ...] | None = None, most: int = MOST) -> DataFrame:
     """(word, form, root, n, n_near, form_n) of ``words`` (word, n): each word's most frequent near word, if it
     occurs ``factor`` times as often or more, and where the chain of these ends."""
     words = written(words, "words")
