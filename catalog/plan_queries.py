@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -241,18 +243,45 @@ DESK_CTE = _roster_cte("desk", DESK_DAYS, "c_custkey + 1 >= 2")
 GENERAL_CTE = _roster_cte("gen", GENERAL_DAYS, "c_custkey + 1 >= 6 and c_custkey % 10 <> 3")
 
 
+def _both_rosters(spark: SparkSession, sf: str) -> DataFrame:
+    """The cells of both rosters, from one pass over nations and one over customers."""
+
+    def cells(roster: str, row: str, col, value: str):
+        return F.struct(F.lit(roster).alias("roster"), F.expr(row).cast("bigint").alias("row"), F.lit(col).alias("col"), F.expr(value).alias("value"))
+
+    key, key5 = Spark.text("c_custkey"), Spark.text("c_custkey % 10")
+    name = f"case when c_custkey % 10 = 3 then 'Turno' else {ROSTER_NAME.format(key=key)} end"
+    body, head = [], [cells("General", str(i), 0, "'Mesa'") for i in range(4)]
+    for roster, (name_col, first, stride, days) in {"Mesa": (0, 3, 2, DESK_DAYS), "General": (1, 2, 3, GENERAL_DAYS)}.items():
+        body.append(cells(roster, "c_custkey + 1", name_col, name))
+        for i in range(days):
+            body.append(cells(roster, "c_custkey + 1", first + i * stride, ROSTER_SHIFT.format(i=i, key5=key5)))
+            head.append(cells(roster, "0", first + i * stride, f"'Lunes {i + 6}/1/2025'"))
+    customers = read_customer(spark, sf).select(F.col("c_nationkey").alias("sheet"), F.inline(F.array(*body)))
+    nations = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").alias("sheet"), F.inline(F.array(*head)))
+    return nations.unionByName(customers).where("value is not null")
+
+
 def attendance_combined(spark: SparkSession, sf: str) -> DataFrame:
     """Both presences with both rosters, which are put on the agents' names and days."""
     ncc, sem = _agents(spark, sf)[0], _logged(spark, sf)[0]
+    shifts = attendance.rosters(_both_rosters(spark, sf)).withColumns({"user": _roster_user(F.col("user")), "date": F.date_sub("date", 366)})
+    out = attendance.combined_rows(sem, ncc, shifts, date(2000, 1, 1), date(2100, 1, 1))
+    return out.select(
+        "UsuarioC", F.col("FechaC").cast("string").alias("FechaC"), "Hora_SEMAFORO", "Hora_NCC", "Turno_General", "Hora_Inicial_General",
+        "Turno_Mesa", "Hora_Inicial_Mesa", "UsuarioC_formato", "FechaC_formato",
+    )
+
+
+def attendance_joined(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from four frames of their own, where the last may have a user and day more than once."""
+    ncc, sem = _agents(spark, sf)[0], _logged(spark, sf)[0]
     desk, general = _desk(spark, sf)[0], _general(spark, sf)[0]
     shift = lambda df, n: df.withColumns(
         {f"Usuario_{n}": _roster_user(F.col(f"Usuario_{n}")), f"Fecha_{n}": F.date_sub(f"Fecha_{n}", 366)}
     )
     out = attendance.combined(sem, ncc, shift(general, "General"), shift(desk, "Mesa"))
-    return out.select(
-        "UsuarioC", F.col("FechaC").cast("string").alias("FechaC"), "Hora_SEMAFORO", "Hora_NCC", "Turno_General", "Hora_Inicial_General",
-        "Turno_Mesa", "Hora_Inicial_Mesa", "UsuarioC_formato", "FechaC_formato",
-    )
+    return out.select("UsuarioC", F.col("FechaC").cast("string").alias("FechaC"), "Hora_SEMAFORO", "Hora_NCC", "Turno_General", "Turno_Mesa")
 
 
 def _roster_user(c):
@@ -319,6 +348,7 @@ QUERIES = {
     "general_roster": general_roster,
     "desk_roster_review": desk_roster_review,
     "attendance_combined": attendance_combined,
+    "attendance_joined": attendance_joined,
     "client_rows": client_rows,
 }
 
@@ -333,5 +363,6 @@ select source_row, t as "Fecha", "Anexo", "Usuario", "Evento", "Motivo", d as "D
     "general_roster": f"with {GENERAL_CTE}\n{_roster_out('General', 'gen')}",
     "desk_roster_review": f"with {DESK_CTE}\n{_roster_out('Mesa', 'desk_kept qualify count(*) over (partition by u, d) > 1')}",
     "attendance_combined": COMBINED_SQL,
+    "attendance_joined": f'select "UsuarioC", "FechaC", "Hora_SEMAFORO", "Hora_NCC", "Turno_General", "Turno_Mesa" from ({COMBINED_SQL})',
     "client_rows": CLIENT_SQL,
 }

@@ -388,6 +388,33 @@ def undeclared_cells(spark: SparkSession, sf: str) -> DataFrame:
     return landed.undeclared_cells(_fault_cells(spark, sf), FAULT_HEADERS)
 
 
+def _repeated_header_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``_fault_cells`` with ``Causa`` once more in column 4, whose cells many rows lack."""
+    orders = read(spark, sf, "orders").withColumn("table_no", F.substring("o_orderpriority", 1, 1).cast("int") + 2)
+    four = F.lit(4).alias("col")
+    head = orders.select(F.col("o_custkey").alias("doc_id"), "table_no").distinct().select("doc_id", "table_no", F.lit(0).cast("bigint").alias("row"), four, F.lit("Causa").alias("text"))
+    body = orders.where("o_orderstatus <> 'P'").select(
+        F.col("o_custkey").alias("doc_id"), "table_no", (F.col("o_orderkey") + 1).alias("row"), four, F.concat(F.lit("A "), "o_orderpriority").alias("text")
+    )
+    return _fault_cells(spark, sf).unionByName(head).unionByName(body)
+
+
+def fault_tables_repeated_header(spark: SparkSession, sf: str) -> DataFrame:
+    return landed.fault_tables(_repeated_header_cells(spark, sf), FAULT_HEADERS)
+
+
+def undeclared_cells_repeated_header(spark: SparkSession, sf: str) -> DataFrame:
+    return landed.undeclared_cells(_repeated_header_cells(spark, sf), FAULT_HEADERS)
+
+
+FAULT_REPEATED_SQL = """select o_custkey as doc_id, cast(left(o_orderpriority, 1) as integer) + 2 as table_no, o_orderkey + 1 as "row",
+  cast(o_orderkey as varchar) as "Número de ticket", case when o_orderstatus = 'P' then '' else 'A ' || o_orderpriority end as "Causa",
+  case when o_orderstatus = 'F' then 'X' else '' end as "responsable previo",
+  case left(o_orderpriority, 1) when '2' then 'CLARO' when '3' then 'CLIENTE' else 'TERCEROS' end as responsable
+from orders where left(o_orderpriority, 1) in ('2', '3', '4')"""
+UNDECLARED_REPEATED_SQL = """with o as (select *, cast(left(o_orderpriority, 1) as integer) + 2 as t from orders where left(o_orderpriority, 1) in ('2', '3', '4'))
+select o_custkey as doc_id, t as table_no, cast(3 as integer) as col, o_orderkey + 1 as "row", o_orderpriority as text, 'Nota' as header from o where o_orderstatus = 'O'
+union all select o_custkey, t, 1, o_orderkey + 1, o_orderstatus, 'Causa' from o"""
 FAULT_SQL = """select o_custkey as doc_id, cast(left(o_orderpriority, 1) as integer) + 2 as table_no, o_orderkey + 1 as "row",
   cast(o_orderkey as varchar) as "Número de ticket", o_orderstatus as "Causa", case when o_orderstatus = 'F' then 'X' else '' end as "responsable previo",
   case left(o_orderpriority, 1) when '2' then 'CLARO' when '3' then 'CLIENTE' else 'TERCEROS' end as responsable
@@ -510,6 +537,8 @@ QUERIES = {
     "undeclared_cells": undeclared_cells,
     "presence_table": presence_table,
     "fault_tables": fault_tables,
+    "fault_tables_repeated_header": fault_tables_repeated_header,
+    "undeclared_cells_repeated_header": undeclared_cells_repeated_header,
     "mail_ticket_flag": mail_ticket_flag,
     "findings_by_key": findings_by_key,
     "column_profile": column_profile,
@@ -561,6 +590,8 @@ select doc_id, line_no, n, coalesce(last_value(case when n < 60 then line_no end
     "undeclared_cells": UNDECLARED_SQL,
     "presence_table": PRESENCE_SQL,
     "fault_tables": FAULT_SQL,
+    "fault_tables_repeated_header": FAULT_REPEATED_SQL,
+    "undeclared_cells_repeated_header": UNDECLARED_REPEATED_SQL,
     "mail_ticket_flag": MAIL_SQL,
     "findings_by_key": FINDINGS_SQL,
     "column_profile": PROFILE_SQL,

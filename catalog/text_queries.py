@@ -37,6 +37,15 @@ def contract_scan(spark: SparkSession, sf: str) -> DataFrame:
     return conform(raw, Contract("customers", ("NAME", "SEGMENT", "KEY", "BALANCE")), keep_newlines=False, null_text="nan")
 
 
+def contract_empty(spark: SparkSession, sf: str) -> DataFrame:
+    """An input without a required column, on request read as an empty frame, beside one that has it."""
+    wanted = Contract("customers", ("NAME", "SEGMENT"))
+    whole = read(spark, sf, "customer").selectExpr("c_name as NAME", "c_mktsegment as `SEGMENT `")
+    short = read(spark, sf, "customer").selectExpr("c_name as NAME")
+    return conform(whole, wanted, on_error="empty").unionByName(conform(short, wanted, on_error="empty"))
+
+
+CONTRACT_EMPTY_SQL = 'select trim(c_name) as "NAME", trim(c_mktsegment) as "SEGMENT" from customer'
 CONTRACT_SQL = f"""select
   trim(replace(replace(replace({DIRTY_NAME.format(cr='chr(13)', nl='chr(10)')}, chr(13), ' '), '_x000D_', ''), chr(10), ''), {WS}) as "NAME",
   case when c_acctbal < 0 then 'nan' else c_mktsegment end as "SEGMENT", c_custkey as "KEY", c_acctbal as "BALANCE"
@@ -158,6 +167,42 @@ def canonical_variants(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# Compatibility forms, code point by code point: an accented letter is its letter and a combining mark, other forms are plain text.
+# The marks, by what they make of a letter, for the letters of the four languages, and the other forms in the queries.
+MARKED = {"\u0300": "ÀÈÌÒÙàèìòù AEIOUaeiou", "\u0301": "ÁÉÍÓÚáéíóú AEIOUaeiou", "\u0302": "ÂÊÎÔÛâêîôû AEIOUaeiou", "\u0308": "ÄËÏÖÜäëïöü AEIOUaeiou", "\u0303": "ÃÑÕãñõ ANOano", "\u0327": "Çç Cc"}
+PLAIN_FORMS = {"\ufb01": "fi", "\uff34": "T", "\u2460": "1", "\u00bd": "1\u20442", "\u00a0": " "}
+
+
+def _canonical_sql(x: str) -> str:
+    for mark, pairs in MARKED.items():
+        for letter, plain in zip(*pairs.split()):
+            x = f"replace({x}, '{letter}', '{plain}{mark}')"
+    for form, plain in PLAIN_FORMS.items():
+        x = f"replace({x}, '{form}', '{plain}')"
+    return rf"trim(regexp_replace({x}, '[\s\x{{0b}}\x{{1c}}-\x{{1f}}\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g'))"
+
+
+CANONICAL_SQL = f"with c as (select doc_id, {_canonical_sql('text')} as canonical from documents) select doc_id, cast(length(canonical) as integer) as canonical_length, canonical from c"
+FORMS = "concat(text, chr(160), 'o\ufb01cina \uff34 \u2460 \u00bd  Ñandú ', source)"
+
+
+def canonical_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts with a ligature, a full-width letter, a circled digit, a fraction and a fixed blank."""
+    return read(spark, sf, "documents").select("doc_id", canonical(F.expr(FORMS)).alias("canonical"))
+
+
+CANONICAL_FORMS_SQL = f"select doc_id, {_canonical_sql(FORMS)} as canonical from documents"
+
+
+def _variants_sql() -> str:
+    spelt = "text"
+    for letter, other in VARIANT:
+        spelt = f"replace({spelt}, '{letter}', '{other}')"
+    return f"""with d as (select doc_id, text, {spelt} as spelt from documents)
+select doc_id, text <> spelt as spelt_otherwise, {_canonical_sql('text')} = {_canonical_sql('spelt')} as same,
+  {_canonical_sql('text')} = {_canonical_sql("concat(spelt, ' ø')")} as other from d"""
+
+
 # --- names, shifts, labels -------------------------------------------------
 
 NAME = (
@@ -349,7 +394,23 @@ def block_split(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _block_sql() -> str:
+# Connecting words in capitals, before a day of one digit.
+BLOCK_CAPITALS = "replace(replace({block}, ' hasta el día ', ' HASTA EL DÍA '), '  hasta', ' Hasta')"
+
+
+def _block_capitals(d) -> str:
+    return f"case when l_linenumber % 2 = 1 then {BLOCK_CAPITALS.format(block=_block(d))} else {_block(d)} end"
+
+
+def block_capitals(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks whose periods are connected in capitals, after which a day is not padded by the loose form."""
+    df = read(spark, sf, "lineitem").withColumn("v", F.expr(_block_capitals(Spark)))
+    loose, strict = td.outage_block(F.col("v")), td.outage_block_strict(F.col("v"))
+    return df.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", loose["periods"].alias("periods"), strict["periods"].alias("strict_periods"))
+
+
+def _block_sql(made: str | None = None) -> str:
+    made = _block(Duck) if made is None else made
     head = r"(?i)^Se tuvo indisponibilidad por parte del cliente"
     full = r"(?i)^Se tuvo indisponibilidad por parte del cliente para continuar los trabajos el/los día\(s\)"
     period = r"(?i)^\d{1,2}/\d{1,2}/\d{4}\s+\d{1,2}:\d{2}.*hasta el día\s+\d{1,2}/\d{1,2}/\d{4}\s+\d{1,2}:\d{2}.*$"
@@ -362,7 +423,7 @@ def _block_sql() -> str:
     ).replace("\\g<1>0\\2/", "\\10\\2/")
     two = lambda x: f"regexp_replace({x}, '\\b(\\d)(:\\d{{2}})', '0\\1\\2', 'g')"
     g = lambda i: pad_dt(f"regexp_extract(x, '{strict}', {i})")
-    return f"""with d as (select l_orderkey, l_partkey, l_suppkey, l_linenumber, {_block(Duck)} as v from lineitem),
+    return f"""with d as (select l_orderkey, l_partkey, l_suppkey, l_linenumber, {made} as v from lineitem),
 b as (select *, list_filter(list_transform(string_split(v, chr(10)), lambda x: trim(x)), lambda x: x <> '') as ls from d)
 select l_orderkey, l_partkey, l_suppkey, l_linenumber,
   {pick(head)}[1] as header, array_to_string(list_transform({pick(period)}, lambda x: {pad('x')}), chr(10)) as periods,
@@ -510,6 +571,7 @@ select l_orderkey, l_partkey, l_suppkey, l_linenumber, close, not_negative, is_s
 
 QUERIES = {
     "contract_scan": contract_scan,
+    "contract_empty": contract_empty,
     "cell_cleaning": cell_cleaning,
     "null_fill_by_type": null_fill_by_type,
     "text_tests": text_tests,
@@ -517,6 +579,7 @@ QUERIES = {
     "unaccented_texts": unaccented_texts,
     "canonical_texts": canonical_texts,
     "canonical_variants": canonical_variants,
+    "canonical_forms": canonical_forms,
     "name_forms": name_forms,
     "narrative_split": narrative_split,
     "narrative_trim": narrative_trim,
@@ -524,6 +587,7 @@ QUERIES = {
     "text_date_body": text_date_body,
     "text_date_last": text_date_last,
     "block_split": block_split,
+    "block_capitals": block_capitals,
     "date_parsing": date_parsing,
     "expected_start": expected_start,
     "duration_text_parse": duration_text_parse,
@@ -537,7 +601,10 @@ SQL = {
     "null_fill_by_type": NULL_FILL_SQL,
     "text_tests": TEXT_TESTS_SQL,
     "one_line_texts": ONE_LINE_SQL,
-    "canonical_variants": "select doc_id, regexp_matches(text, '[éñä]|fi') as spelt_otherwise, true as same, false as other from documents",
+    "contract_empty": CONTRACT_EMPTY_SQL,
+    "canonical_texts": CANONICAL_SQL,
+    "canonical_forms": CANONICAL_FORMS_SQL,
+    "canonical_variants": _variants_sql(),
     "unaccented_texts": "select doc_id, strip_accents(upper(replace(text, 'ß', 'SS'))) as plain from documents",
     "name_forms": NAME_SQL,
     "narrative_split": NARRATIVE_SPLIT_SQL,
@@ -546,6 +613,7 @@ SQL = {
     "text_date_body": _dated_sql(),
     "text_date_last": _closed_sql(),
     "block_split": _block_sql(),
+    "block_capitals": f"select l_orderkey, l_partkey, l_suppkey, l_linenumber, periods, strict_periods from ({_block_sql(_block_capitals(Duck))})",
     "date_parsing": _date_sql(),
     "expected_start": EXPECTED_SQL,
     "duration_text_parse": _duration_sql(),

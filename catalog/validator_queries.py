@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from catalog.inputs import (
     stop_columns,
 )
 from cotejo.operators.findings import observation_count, union_all
-from cotejo.operators.joins import enrich, matched, only_left
+from cotejo.operators.joins import cardinality, enrich, matched, only_left
 from cotejo.operators.rules import evaluate
 from cotejo.plans import cut_rules as cr
 from cotejo.plans import validator as v
@@ -155,6 +157,30 @@ def _unmatched(spark: SparkSession, sf: str) -> DataFrame:
     return v.unmatched(inputs(spark, sf)).select("nro_incidencia", "tipo_reporte", "cut_start", "cut_end")
 
 
+#: Frames whose tickets and circuits occur once in the given tables.
+ONCE = ("cut", "incidents", "circuits", "faults", "reports", "annexes")
+
+
+def _three_way_unique(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``cut_incident_circuit``, with every key checked inside the plan."""
+    i = replace(inputs(spark, sf), unique=("cut", "incidents", "circuits"))
+    return v.compared(i).select("nro_incidencia", "inc_cid", "cut_service", "map_service", "map_district", F.coalesce("map_site", F.lit("no encontrado")).alias("map_site"))
+
+
+def _validator_unique(spark: SparkSession, sf: str) -> DataFrame:
+    return v.validate(replace(inputs(spark, sf, words=True), unique=ONCE))
+
+
+def _input_cardinality(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows, keys, repeated keys and most rows of one key, for each input; the stops have many to a ticket."""
+    i = inputs(spark, sf, words=True)
+    keyed = {
+        "cut": (i.cut, [v.KEY]), "incidents": (i.incidents, [v.KEY]), "circuits": (i.circuits, ["inc_cid"]), "stops": (i.stops, [v.KEY]),
+        "faults": (i.faults, [v.KEY]), "reports": (i.reports, [v.KEY, "word_component"]), "sites": (i.circuits, ["map_district"]),
+    }
+    return union_all([cardinality(df, keys).select(F.lit(name).alias("frame"), "*") for name, (df, keys) in keyed.items()])
+
+
 def _three_way(spark: SparkSession, sf: str) -> DataFrame:
     i = inputs(spark, sf)
     rows = enrich(matched(i.cut, i.incidents, [v.KEY]), i.circuits, ["inc_cid"], {"map_site": "no encontrado"})
@@ -186,6 +212,8 @@ QUERIES = {
     "prepared_faults": _faults,
     "cut_without_incident": _unmatched,
     "cut_incident_circuit": _three_way,
+    "cut_incident_circuit_unique": _three_way_unique,
+    "input_cardinality": _input_cardinality,
     "ticket_stops": _ticket_stops,
     "annex_defaults": _annex_defaults,
     "union_findings": _union_findings,
@@ -197,6 +225,7 @@ QUERIES = {
     "rule_1_5_case_circuit_cause": _cut_rule(cr.case_circuit_parent_cause),
     "rule_1_6_fault_type": _cut_rule(cr.fault_type),
     "rule_1_7_report_type": _cut_rule(cr.report_type),
+    "rule_1_7_with_monitoring": _cut_rule(lambda: cr.report_type(check_monitoring=True)),
     "rule_1_8_narrative_dates": _cut_rule(cr.narrative_dates),
     "rule_1_9_owner": _cut_rule(cr.owner),
     "rule_1_10_whole_hours": _cut_rule(cr.whole_hours),
@@ -209,6 +238,7 @@ QUERIES = {
     "findings_cut": _findings_cut,
     "findings_word": _findings_word,
     "validator": _validator,
+    "validator_unique": _validator_unique,
     "observation_count": _observation_count,
 }
 
@@ -222,6 +252,19 @@ SQL = {
 select c.nro_incidencia, i.inc_cid, c.cut_service, ci.map_service, ci.map_district,
   coalesce(ci.map_site, 'no encontrado') as map_site
 from cut c join inc i using (nro_incidencia) left join circ ci on i.inc_cid = ci.inc_cid""",
+    "cut_incident_circuit_unique": f"""{sql.base()}
+select c.nro_incidencia, i.inc_cid, c.cut_service, ci.map_service, ci.map_district,
+  coalesce(ci.map_site, 'no encontrado') as map_site
+from cut c join inc i using (nro_incidencia) left join circ ci on i.inc_cid = ci.inc_cid""",
+    "input_cardinality": f"{sql.base()}\n" + "\nunion all ".join(
+        f"select '{name}' as frame, cast(coalesce(sum(n), 0) as bigint) as n_rows, count(*) as n_keys, count(*) filter (n > 1) as n_repeated, "
+        f"cast(coalesce(max(n), 0) as bigint) as most from (select count(*) as n from {source} group by {keys})"
+        for name, source, keys in [
+            ("cut", "cut", "nro_incidencia"), ("incidents", "inc", "nro_incidencia"), ("circuits", "circ", "inc_cid"),
+            ("stops", "lineitem", "l_orderkey"), ("faults", "faults", "nro_incidencia"), ("reports", "reports", "nro_incidencia, word_component"),
+            ("sites", "circ", "map_district"),
+        ]
+    ),
     "ticket_stops": f"""{sql.base(long_incidents=True)}
 select nro_incidencia, sum_paradas, stops_header, stops_periods, stops_total from m""",
     "annex_defaults": f"""{sql.base()}
@@ -241,6 +284,7 @@ select * replace ('' as "TIPO REPORTE") from ({sql.rule_select('2.0.1')})""",
     "rule_1_5_case_circuit_cause": sql.rule_sql("1.5"),
     "rule_1_6_fault_type": sql.rule_sql("1.6"),
     "rule_1_7_report_type": sql.rule_sql("1.7"),
+    "rule_1_7_with_monitoring": sql.monitoring_sql(),
     "rule_1_8_narrative_dates": sql.rule_sql("1.8"),
     "rule_1_9_owner": sql.rule_sql("1.9"),
     "rule_1_10_whole_hours": sql.rule_sql("1.10"),
@@ -253,6 +297,7 @@ select * replace ('' as "TIPO REPORTE") from ({sql.rule_select('2.0.1')})""",
     "findings_cut": sql.grouped_sql(CUT),
     "findings_word": sql.grouped_sql(WORD),
     "validator": sql.grouped_sql([*CUT, *WORD, "3.1"]),
+    "validator_unique": sql.grouped_sql([*CUT, *WORD, "3.1"]),
     "observation_count": "select count(*) as observaciones, count(*) > 0 as hay_observaciones from ("
     + sql.grouped_sql([*CUT, *WORD, "3.1"])
     + ")",

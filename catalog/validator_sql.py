@@ -484,8 +484,24 @@ RULES: dict[str, tuple] = {
 }
 
 
+def _with_monitoring(rule: tuple) -> tuple:
+    """Rule 1.7 with the check that is asked for by option, in its place."""
+    source, seq, when, checks = rule
+    asked = ("tipo_reporte <> 'RECLAMO' or not suffix(inc_case, 'MONITOREO')", (
+        "\n\n EN SGA columna tipo_caso: \n\n ", "=inc_case", "\n\n , no debe terminar en 'MONITOREO'."))
+    return source, seq, when, [checks[0], asked, *checks[1:]]
+
+
+def monitoring_sql() -> str:
+    return f"{base()}\n{_select('1.7', _with_monitoring(RULES['1.7']))}"
+
+
 def rule_select(code: str) -> str:
-    source, seq, when, checks = RULES[code]
+    return _select(code, RULES[code])
+
+
+def _select(code: str, rule: tuple) -> str:
+    source, seq, when, checks = rule
     ok = [f"coalesce({c}, false)" for c, _ in checks]
     msg = " || ".join(f"case when {o} then '' else {parts(*p)} end" for o, (_, p) in zip(ok, checks))
     cond = f" and ({when})" if when else ""

@@ -1,8 +1,8 @@
 """Dates and outage blocks found inside narrative text.
 
-Regular-expression matches carry no offsets in Spark.  Where a position is
-needed it follows from the pieces between the matches: the text before the
-first match and the text after the last one.  Both are linear in the text.
+Regular-expression matches carry no offsets in Spark.  Where positions are
+needed one scan cuts the text into tokens, each a match with the text before it; places
+are sums of their lengths, carried along in a fold.  All of it is linear in the text.
 """
 
 from __future__ import annotations
@@ -10,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cotejo.functions.text import UNKNOWN, drop_trailing, let, lines, starts_like, strip
+from cotejo.functions.text import LINE_BREAK, UNKNOWN, WHITESPACE, let, lines, strip
 
 # The patterns of dates, block headers, periods and totals.
 BODY_PAIR = r"(?U)(\d{2}/\d{2}/\d{4})\D{0,10}(\d{1,2}:\d{2})"
 LAST_PAIR = r"(?iU)(\d{2}/\d{2}/\d{4})\s*(?:a las\s*)?(\d{1,2}:\d{2})"
 PLAIN_DATE = r"\d{2}/\d{2}/\d{4}"
 PLAIN_TIME = r"\d{1,2}:\d{2}"
-META_LINE = r"(?iU)^fecha y hora(?: de)? (?:inicio|fin)\s*:?"
+META_LINE = r"fecha y hora(?: de)? (?:inicio|fin)"
 BLOCK_HEADER = r"(?iU)^Se tuvo indisponibilidad por parte del cliente.*"
 BLOCK_PERIOD = (
     r"(?iU)^\d{1,2}/\d{1,2}/\d{4}\s+\d{1,2}:\d{2}.*hasta el día\s+"
@@ -46,10 +46,30 @@ def _all(c: Column, pattern: str) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
 
 
+_BREAKS = LINE_BREAK[1:-1]
+#: What a line is made of, and the blanks within one.
+_REST = f"[^{_BREAKS}]"
+_BLANKS = f"[{WHITESPACE}&&{_REST}]*+"
+# Everything up to the last line that is neither blank nor a start or end line; found from the end of the text.
+_BODY = rf"(?isU)\A(.*(?<!{_REST})(?!{_BLANKS}(?:[{_BREAKS}]|\z))(?!{_BLANKS}{META_LINE}){_REST}+)"
+_OTHER_BREAKS = "\r\n|[" + _BREAKS.replace("\n", "") + "]"
+
+
 def narrative_body(c: Column) -> Column:
-    """The text without trailing blank lines and start/end lines."""
-    trailing = lambda x: (x == "") | (starts_like(x, "fecha y hora") & x.rlike(META_LINE))
-    return F.array_join(drop_trailing(lines(c), trailing), "\n")
+    """The text without trailing blank lines and start/end lines, its lines parted by line feeds."""
+    body = F.regexp_extract(c, _BODY, 1)
+    return F.when(body.rlike(_OTHER_BREAKS), F.regexp_replace(body, _OTHER_BREAKS, "\n")).otherwise(body)
+
+
+def _tokens(c: Column, pattern: str, flags: str = "s") -> Column:
+    """The text cut after every match, in one scan; behind the last one come the rest, if any, and an empty text."""
+    return F.regexp_extract_all(c, F.lit(rf"(?{flags}).*?(?:{pattern}|\z)"), F.lit(0))
+
+
+def _matches(tokens: Column, pattern: str) -> Column:
+    """How many tokens end with a match."""
+    rest = F.try_element_at(tokens, F.lit(-2))
+    return F.size(tokens) - 1 - F.when(rest.rlike(pattern), 0).when(rest.isNull(), 0).otherwise(1)
 
 
 def body_range(c: Column) -> Column:
@@ -58,21 +78,19 @@ def body_range(c: Column) -> Column:
     Matches come in ascending position, so the first date of the first half can
     only be the first match and the last date of the second half only the last.
     """
+    plain = BODY_PAIR.removeprefix("(?U)").replace("(", "").replace(")", "")
 
-    def ends(body: Column, found: Column, pieces: Column) -> Column:
+    def ends(body: Column, tokens: Column, n: Column) -> Column:
         size = F.length(body)
-        head, tail = F.try_element_at(found, F.lit(1)), F.try_element_at(found, F.lit(-1))
-        head_at = F.length(F.try_element_at(pieces, F.lit(1)))
-        tail_at = size - F.length(F.try_element_at(pieces, F.lit(-1))) - F.length(tail)
-        first = F.when(head_at * 2 < size, _pair(head, BODY_PAIR))
-        last = F.when(tail_at * 2 >= size, _pair(tail, BODY_PAIR))
+        head, tail = F.get(tokens, F.lit(0)), F.get(tokens, n - 1)
+        length = lambda token: F.length(F.regexp_extract(token, BODY_PAIR, 0))
+        rest = F.length(F.array_join(F.slice(tokens, n + 1, 2), ""))
+        first = F.when((n > 0) & ((F.length(head) - length(head)) * 2 < size), _pair(head, BODY_PAIR))
+        last = F.when((n > 0) & ((size - rest - length(tail)) * 2 >= size), _pair(tail, BODY_PAIR))
         return _range(c, first, last)
 
     def search(body: Column) -> Column:
-        return let(
-            _all(body, BODY_PAIR),
-            lambda found: let(F.split(body, BODY_PAIR, -1), lambda pieces: ends(body, found, pieces)),
-        )
+        return let(_tokens(body, plain, "sU"), lambda tokens: let(_matches(tokens, BODY_PAIR), lambda n: ends(body, tokens, n)))
 
     return let(narrative_body(c), search)
 
@@ -82,59 +100,68 @@ def _range(c: Column, first: Column, last: Column) -> Column:
     return F.struct(known(first).alias("first"), known(last).alias("last"))
 
 
-def _placed(c: Column, pattern: str, kind: str) -> Column:
-    """Matches with their zero-based positions, as structs (at, kind, value)."""
-    found = _all(c, pattern)
-    pieces = F.split(c, pattern, -1)
-    steps = F.zip_with(found, F.slice(pieces, F.lit(1), F.size(found)), lambda m, p: F.struct(m.alias("m"), p.alias("p")))
-    start = F.struct(
-        F.lit(0).alias("pos"),
-        F.array().cast("array<struct<at:int,kind:string,value:string>>").alias("out"),
-    )
-    return F.aggregate(
-        steps,
-        start,
-        lambda acc, s: F.struct(
-            (acc["pos"] + F.length(s["p"]) + F.length(s["m"])).alias("pos"),
-            F.array_append(
-                acc["out"],
-                F.struct(
-                    (acc["pos"] + F.length(s["p"])).alias("at"),
-                    F.lit(kind).alias("kind"),
-                    s["m"].alias("value"),
-                ),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-
-
 def body_range_loose(c: Column) -> Column:
-    """As ``body_range``, pairing each date with the next time in text order."""
+    """As ``body_range``, pairing each date with the next time in text order.
+
+    Dates and times are found apart, so one may begin inside the other; a fold walks over both lists
+    like a merge, and carries the places where the next date and the next time begin.
+    """
     text = F.lit(None).cast("string")
-    start = F.struct(text.alias("day"), text.alias("time"), text.alias("first"), text.alias("last"))
-
-    def step(size: Column):
-        def take(acc: Column, m: Column) -> Column:
-            day = F.when(m["kind"] == "d", m["value"]).otherwise(acc["day"])
-            time = F.when(m["kind"] == "t", m["value"]).otherwise(acc["time"])
-            padded = F.when(F.length(time) == 4, F.concat(F.lit("0"), time)).otherwise(time)
-            full = F.concat(day, F.lit(" "), padded)
-            early = m["at"] * 2 < size
-            return F.struct(
-                F.when(full.isNull(), day).alias("day"),
-                F.when(full.isNull(), time).alias("time"),
-                F.coalesce(acc["first"], F.when(early, full)).alias("first"),
-                F.when(full.isNotNull() & ~early, full).otherwise(acc["last"]).alias("last"),
-            )
+
+    def begin(tokens: Column, n: Column, i: Column, end: Column, pattern: str) -> Column:
+        """Place of the i-th match, whose token begins at ``end``; past the last one there is none."""
+        token = F.get(tokens, i)
+        return F.when(i < n, end + F.length(token) - F.length(F.regexp_extract(token, pattern, 0)))
+
+    def step(size: Column, days: Column, n: Column, times: Column, m: Column):
+        def take(acc: Column, _: Column) -> Column:
+            by_day = F.coalesce(acc["day_at"] < acc["time_at"], acc["day_at"].isNotNull())
+            i, j = acc["i"] + by_day.cast("int"), acc["j"] + (~by_day).cast("int")
+            day_end = F.when(by_day, acc["day_end"] + F.length(F.get(days, acc["i"]))).otherwise(acc["day_end"])
+            time_end = F.when(by_day, acc["time_end"]).otherwise(acc["time_end"] + F.length(F.get(times, acc["j"])))
+            day = F.when(by_day, F.regexp_extract(F.get(days, acc["i"]), PLAIN_DATE, 0)).otherwise(acc["day"])
+            time = F.when(by_day, acc["time"]).otherwise(F.regexp_extract(F.get(times, acc["j"]), PLAIN_TIME, 0))
+            at = F.when(by_day, acc["day_at"]).otherwise(acc["time_at"])
+
+            def paired(x: Column) -> Column:
+                padded = F.when(F.length(x["time"]) == 4, F.concat(F.lit("0"), x["time"])).otherwise(x["time"])
+                full, early = F.concat(x["day"], F.lit(" "), padded), x["at"] * 2 < size
+                return F.struct(
+                    x["i"].alias("i"),
+                    x["j"].alias("j"),
+                    x["day_end"].alias("day_end"),
+                    x["time_end"].alias("time_end"),
+                    begin(days, n, x["i"], x["day_end"], PLAIN_DATE).alias("day_at"),
+                    begin(times, m, x["j"], x["time_end"], PLAIN_TIME).alias("time_at"),
+                    F.when(full.isNull(), x["day"]).alias("day"),
+                    F.when(full.isNull(), x["time"]).alias("time"),
+                    F.coalesce(acc["first"], F.when(early, full)).alias("first"),
+                    F.when(full.isNotNull() & ~early, full).otherwise(acc["last"]).alias("last"),
+                )
+
+            names = {"i": i, "j": j, "day_end": day_end, "time_end": time_end, "day": day, "time": time, "at": at}
+            return let(F.struct(*[v.alias(k) for k, v in names.items()]), paired)
 
         return take
 
-    def search(body: Column) -> Column:
-        marks = F.array_sort(F.concat(_placed(body, PLAIN_DATE, "d"), _placed(body, PLAIN_TIME, "t")))
-        done = F.aggregate(marks, start, step(F.length(body)))
+    def fold(body: Column, days: Column, n: Column, times: Column, m: Column) -> Column:
+        zero = F.lit(0)
+        start = F.struct(
+            zero.alias("i"), zero.alias("j"), zero.alias("day_end"), zero.alias("time_end"),
+            begin(days, n, zero, zero, PLAIN_DATE).alias("day_at"), begin(times, m, zero, zero, PLAIN_TIME).alias("time_at"),
+            text.alias("day"), text.alias("time"), text.alias("first"), text.alias("last"),
+        )
+        # Without a date or a time there is nothing to pair.
+        turns = F.when((n > 0) & (m > 0), F.sequence(F.lit(1), F.greatest(n + m, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+        done = F.aggregate(turns, start, step(F.length(body), days, n, times, m))
         return let(done, lambda x: _range(c, x["first"], x["last"]))
 
+    def search(body: Column) -> Column:
+        with_times = lambda days, n: let(
+            _tokens(body, PLAIN_TIME), lambda times: let(_matches(times, PLAIN_TIME), lambda m: fold(body, days, n, times, m))
+        )
+        return let(_tokens(body, PLAIN_DATE), lambda days: let(_matches(days, PLAIN_DATE), lambda n: with_times(days, n)))
+
     return let(narrative_body(c), search)
 
 
@@ -164,44 +191,80 @@ def closing_lines_range(c: Column) -> Column:
     return let(F.filter(stripped, lambda x: x.rlike(BODY_PAIR)), ends)
 
 
-def pad_hours(c: Column) -> Column:
-    return F.regexp_replace(c, r"\b(\d)(?=:\d{2})", "0$1")
+# A day or an hour of one digit.
+SHORT_HOUR = r"\b(\d)(?=:\d{2})"
+FIRST_DAY = r"(?m)^(\d)(?=/)"
+SECOND_DAY = r"(?U)(?<=hasta el día\s)(\d)(?=/)"
+SECOND_DAY_ANY_CASE = r"(?iU)(?<=hasta el día\s)(\d)(?=/)"
+ANY_DAY = r"\b(\d)(?=/\d{1,2}/\d{4})"
 
 
-def pad_period(c: Column) -> Column:
-    """Zero-pad a leading day, the day after the connecting words, and hours."""
-    out = F.regexp_replace(c, r"^(\d)(?=/)", "0$1")
-    out = F.regexp_replace(out, r"(?iU)(?<=hasta el día\s)(\d)(?=/)", "0$1")
-    return pad_hours(out)
+def pad_hours(c: Column) -> Column:
+    return F.regexp_replace(c, SHORT_HOUR, "0$1")
 
 
-def pad_date_time(c: Column) -> Column:
-    return pad_hours(F.regexp_replace(c, r"\b(\d)(?=/\d{1,2}/\d{4})", "0$1"))
+def pad_period(c: Column, any_case: bool = True) -> Column:
+    """Zero-pad a leading day of each line, the day after the connecting words, and hours.
 
+    Annexes may write those words in any case, outage blocks only as they are.
+    """
+    second = SECOND_DAY_ANY_CASE if any_case else SECOND_DAY
+    return pad_hours(F.regexp_replace(F.regexp_replace(c, FIRST_DAY, "0$1"), second, "0$1"))
 
-def _block_lines(c: Column) -> Column:
-    return F.filter(F.transform(lines(F.coalesce(c, F.lit(""))), strip), lambda x: x != "")
+
+def pad_date_time(c: Column) -> Column:
+    return pad_hours(F.regexp_replace(c, ANY_DAY, "0$1"))
 
 
 def _block(header: Column, periods: Column, total: Column) -> Column:
     empty = lambda x: F.coalesce(x, F.lit(""))
     return F.struct(
         empty(header).alias("header"),
-        empty(F.array_join(periods, "\n")).alias("periods"),
+        empty(periods).alias("periods"),
         empty(total).alias("total"),
     )
 
 
+# One scan of the text finds the lines of a block: each match is a line from its first character that is no
+# blank on, and only a line that matters is in the group.  Lines end at any line break; a pattern made for one line
+# may not look past it.
+
+
+def _within_line(pattern: str) -> str:
+    """A one-line pattern without flags, anchors and the open end, that stays within a line of a text."""
+    inner = pattern.partition(")")[2].removeprefix("^").removesuffix("$").removesuffix(".*")
+    return inner.replace(".*", f"{_REST}*").replace(r"\s", rf"[\s&&{_REST}]").replace(r"(\d{1,", r"(?:\d{1,")
+
+
+def _line_scan(*patterns: str) -> str:
+    return rf"(?iU){_BLANKS}(?:({'|'.join(patterns)}){_REST}*|{_REST}+)"
+
+
+# Of loose lines all is kept; a period and a total of the strict form end where their pattern does.
+LOOSE_LINES = _line_scan("(?:" + "|".join(_within_line(p) for p in (BLOCK_HEADER, BLOCK_PERIOD, BLOCK_TOTAL)) + f"){_REST}*")
+STRICT_LINES = _line_scan(f"{_within_line(FULL_HEADER)}{_REST}*", _within_line(FULL_PERIOD), f"{_REST}*{_within_line(FULL_TOTAL)}")
+_JOINER = r"(?iU)\s+hasta el día\s+"
+
+
+def _lines_found(c: Column, scan: str) -> Column:
+    return F.filter(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(scan), F.lit(1)), lambda x: x != "")
+
+
+def _is_header(line: Column) -> Column:
+    return F.upper(F.substring(line, 1, 7)) == "SE TUVO"
+
+
 def outage_block(c: Column) -> Column:
     """Struct (header, periods, total): first header, padded period lines, first total."""
 
     def parts(ls: Column) -> Column:
-        header = F.try_element_at(F.filter(ls, lambda x: x.rlike(BLOCK_HEADER)), F.lit(1))
-        periods = F.transform(F.filter(ls, lambda x: x.rlike(BLOCK_PERIOD)), pad_period)
-        total = F.try_element_at(F.filter(ls, lambda x: x.rlike(BLOCK_TOTAL)), F.lit(1))
-        return _block(header, periods, F.regexp_extract(pad_hours(total), BLOCK_TOTAL, 1))
+        total = lambda x: F.startswith(x, F.lit("("))
+        header = strip(F.try_element_at(F.filter(ls, _is_header), F.lit(1)))
+        periods = F.transform(F.filter(ls, lambda x: ~_is_header(x) & ~total(x)), strip)
+        found = F.regexp_extract(pad_hours(F.try_element_at(F.filter(ls, total), F.lit(1))), BLOCK_TOTAL, 1)
+        return _block(header, pad_period(F.array_join(periods, "\n"), any_case=False), found)
 
-    return let(_block_lines(c), parts)
+    return let(_lines_found(c, LOOSE_LINES), parts)
 
 
 def outage_block_strict(c: Column) -> Column:
@@ -211,19 +274,11 @@ def outage_block_strict(c: Column) -> Column:
     """
 
     def parts(ls: Column) -> Column:
-        header = F.try_element_at(F.filter(ls, lambda x: x.rlike(FULL_HEADER)), F.lit(-1))
-        rest = F.filter(ls, lambda x: ~x.rlike(FULL_HEADER))
-        periods = F.transform(
-            F.filter(rest, lambda x: x.rlike(FULL_PERIOD)),
-            lambda x: F.concat(
-                pad_date_time(F.regexp_extract(x, FULL_PERIOD, 1)),
-                F.lit(" hasta el día "),
-                pad_date_time(F.regexp_extract(x, FULL_PERIOD, 2)),
-            ),
-        )
-        total = F.try_element_at(
-            F.filter(rest, lambda x: ~x.rlike(FULL_PERIOD) & x.rlike(FULL_TOTAL)), F.lit(-1)
-        )
-        return _block(header, periods, pad_hours(F.regexp_extract(total, FULL_TOTAL, 1)))
-
-    return let(_block_lines(c), parts)
+        head = lambda x: _is_header(x) & x.rlike(FULL_HEADER)
+        total = lambda x: ~head(x) & F.endswith(x, F.lit(")"))
+        header = strip(F.try_element_at(F.filter(ls, head), F.lit(-1)))
+        periods = F.array_join(F.filter(ls, lambda x: ~head(x) & ~F.endswith(x, F.lit(")"))), "\n")
+        found = F.regexp_extract(F.try_element_at(F.filter(ls, total), F.lit(-1)), FULL_TOTAL, 1)
+        return _block(header, pad_date_time(F.regexp_replace(periods, _JOINER, " hasta el día ")), pad_hours(found))
+
+    return let(_lines_found(c, STRICT_LINES), parts)

@@ -9,9 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: In a mark join: whether a row stands beside a right row, or for its left row alone.
+PAIRED = "_paired"
+
 
 def suffix_overlap(df: DataFrame, other: DataFrame, on: Sequence[str], suffix: str) -> DataFrame:
     """Rename the columns that ``other`` also has, apart from the keys."""
@@ -53,6 +56,19 @@ def enrich(
     return out.fillna(dict(defaults)) if defaults else out
 
 
+def mark_join(left: DataFrame, right: DataFrame, on: Sequence[str], marks: Mapping[str, Column]) -> DataFrame:
+    """Every left row once for itself, and once more beside each right row of its key: one left join.
+
+    ``PAIRED`` tells the two apart.  The row that stands for itself bears the ``marks``,
+    aggregates over all right rows of its key, which are null where the key has none; so inner, anti and marked
+    results of several rule sets come from one pass over one join.  The marks are counted before their shuffle;
+    a key that both sides repeat fans out, as in any join.
+    """
+    told = right.groupBy(*on).agg(*[m.alias(n) for n, m in marks.items()]).withColumn(PAIRED, F.lit(False))
+    both = right.withColumn(PAIRED, F.lit(True)).unionByName(told, allowMissingColumns=True)
+    return left.join(both, list(on), "left").withColumn(PAIRED, F.coalesce(PAIRED, F.lit(False)))
+
+
 def lookup(left: DataFrame, table: DataFrame, on: str, as_text: bool = False) -> DataFrame:
     """Left join with a lookup table, optionally comparing the key as text."""
     if as_text:
@@ -65,6 +81,37 @@ def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def cardinality(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row: ``n_rows``, ``n_keys``, ``n_repeated`` keys, and ``most`` rows of one key.
+
+    Counted before the shuffle; missing keys are equal.
+    """
+    counted = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("n"))
+    whole = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    return counted.agg(
+        whole(F.sum("n")).alias("n_rows"),
+        F.count("*").alias("n_keys"),
+        F.count(F.when(F.col("n") > 1, True)).alias("n_repeated"),
+        whole(F.max("n")).alias("most"),
+    )
+
+
+def _key_text(keys: Sequence[str]) -> Column:
+    return F.concat_ws(", ", *[F.concat(F.lit(f"{k}="), F.coalesce(F.col(k).cast("string"), F.lit("null"))) for k in keys])
+
+
+def unique(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """``df``, whose plan raises when its rows are made and a key occurs twice; missing keys are equal.
+
+    For the side of any join that must have one row a key.  Rows are numbered inside their key by the shuffle
+    and sort that the join needs anyway, row by row, and the keys pass unchanged, so
+    the join adds no shuffle of its own and no second job counts.
+    """
+    turn = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
+    again = F.raise_error(F.concat(F.lit(f"{name}: more than one row for "), _key_text(keys))).cast("boolean")
+    return df.withColumn("_turn", turn).where(F.when(F.col("_turn") > 1, again).otherwise(True)).drop("_turn")
+
+
 def spine(frames: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     """Distinct keys over all frames."""
     out = None
@@ -74,6 +121,29 @@ def spine(frames: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     return out.distinct()
 
 
+def gathered(tagged: DataFrame, keys: Sequence[str], sources: Mapping[str, Sequence[str]]) -> DataFrame:
+    """One row per key of ``tagged`` with the columns of all sources; missing keys are equal.
+
+    ``tagged`` has the keys and, per source, a struct column of its name, null on the rows of the others.
+    One grouping puts them together and counts: a source with two rows for a key raises when the rows are made.
+    """
+    found = tagged.groupBy(*keys).agg(
+        *[F.first(n, ignorenulls=True).alias(n) for n in sources],
+        *[F.count(n).alias(f"_n_{n}") for n in sources],
+    )
+    checked = F.col(keys[0])
+    for n in sources:
+        again = F.raise_error(F.concat(F.lit(f"{n}: more than one row for "), _key_text(keys)))
+        checked = F.when(F.col(f"_n_{n}") > 1, again).otherwise(checked)
+    values = [F.col(n)[c].alias(c) for n, columns in sources.items() for c in columns]
+    return found.select(checked.alias(keys[0]), *keys[1:], *values)
+
+
+def tagged_source(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Keys and the other columns as one struct, for ``gathered``."""
+    return df.select(*keys, F.struct(*[c for c in df.columns if c not in keys]).alias(name))
+
+
 def join_on_spine(frames: Mapping[str, DataFrame], keys: Sequence[str]) -> DataFrame:
     """Every key of any frame with the columns of all of them; missing keys are equal.
 
@@ -81,25 +151,10 @@ def join_on_spine(frames: Mapping[str, DataFrame], keys: Sequence[str]) -> DataF
     grouping, which also counts: a repeated key raises when the rows are made.
     """
     *single, last = frames
-    values = {n: F.struct(*[c for c in frames[n].columns if c not in keys]) for n in single}
-    kind = {n: frames[n].select(values[n].alias("v")).schema["v"].dataType for n in single}
-
-    def part(name: str) -> DataFrame:
-        return frames[name].select(*keys, *[(values[n] if n == name else F.lit(None).cast(kind[n])).alias(f"_{i}") for i, n in enumerate(single)])
-
-    parts = [part(n) for n in frames]
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    found = both.groupBy(*keys).agg(
-        *[F.first(f"_{i}", ignorenulls=True).alias(f"_{i}") for i in range(len(single))],
-        *[F.count(f"_{i}").alias(f"_n{i}") for i in range(len(single))],
-    )
-    checked = F.col(keys[0])
-    for i, n in enumerate(single):
-        shown = F.concat_ws(", ", *[F.concat(F.lit(f"{k}="), F.coalesce(F.col(k).cast("string"), F.lit("null"))) for k in keys])
-        checked = F.when(F.col(f"_n{i}") > 1, F.raise_error(F.concat(F.lit(f"{n}: more than one row for "), shown))).otherwise(checked)
-    out = found.select(checked.alias(keys[0]), *keys[1:], *[f"_{i}.*" for i in range(len(single))])
+    both = frames[last].select(*keys)
+    for n in single:
+        both = both.unionByName(tagged_source(frames[n], keys, n), allowMissingColumns=True)
+    out = gathered(both, keys, {n: [c for c in frames[n].columns if c not in keys] for n in single})
     other = frames[last].withColumnsRenamed({k: f"_{k}" for k in keys})
     same = [out[k].eqNullSafe(other[f"_{k}"]) for k in keys]
     return out.join(other, same, "left").drop(*[f"_{k}" for k in keys])

@@ -65,11 +65,13 @@ def evaluate(
     """
     checks = [c for r in rules for c in r.checks]
     place = (F.lit(0) if row is None else row).cast("bigint")
-    # Every check is worked out once, as a bit; outcomes and messages read the bits.
+    # Every check is worked out once, as a bit, on the rows of its rule; outcomes and messages read the bits.
     masks, passed = {}, {}
+    limits = [r.when for r in rules for _ in r.checks]
     for i, c in enumerate(checks):
         name, bit = f"_failed{i // MASK_BITS}", 1 << (i % MASK_BITS)
-        term = F.when(holds(c.ok), F.lit(0)).otherwise(F.lit(bit)).cast("bigint")
+        failed = ~holds(c.ok) if limits[i] is None else holds(limits[i]) & ~holds(c.ok)
+        term = F.when(failed, F.lit(bit)).otherwise(F.lit(0)).cast("bigint")
         masks[name] = masks[name] + term if name in masks else term
         passed[id(c)] = F.col(name).bitwiseAND(F.lit(bit).cast("bigint")) == 0
     df = df.withColumns({"_row": place, **masks})
@@ -78,7 +80,7 @@ def evaluate(
         ok = F.lit(True)
         for c in r.checks:
             ok = ok & passed[id(c)]
-        failed = ~ok if r.when is None else ~ok & holds(r.when)
+        failed = ~ok
         message = F.concat(*[F.when(passed[id(c)], F.lit("")).otherwise(c.message) for c in r.checks])
         return F.when(
             failed,

@@ -72,32 +72,81 @@ def _last(ok: Column, value: Column) -> Column:
     return F.max_by(value, F.when(ok, F.col("line_no")))
 
 
-def with_following(df: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Adds ``_n1`` and ``_n2``: the next two lines of the document, any length.
+def _latest(c: Column, rows) -> Column:
+    return F.last(c, ignorenulls=True).over(rows)
 
-    Lines look ahead inside a slice of line numbers; the last ones of a slice
-    take the opening lines of the following slices.
+
+def _first_since(mark: str, prior: str, heading: str) -> Column:
+    """``mark``, unless one like it (``prior``) came after the latest heading."""
+    return F.when(F.col(prior).isNull() | (F.col(prior) < F.col(heading)), F.col(mark))
+
+
+def scanned_sections(
+    df: DataFrame, heading: Column, firsts: dict[str, Column], latest: dict[str, Column], slice_rows: int = SLICE_ROWS
+) -> DataFrame:
+    """Lines after a heading with the state of a scan over their document, of any length, in three shuffles.
+
+    Adds ``section`` (line of the latest heading), for each of ``firsts`` the first such line of the
+    section up to here, for each of ``latest`` the latest such line of the document up to here, and ``_n1`` and
+    ``_n2``, the next two lines.  Lines are scanned inside slices; a slice hands on one summary row: its latest
+    heading, the first marks after that, its latest marks, and its two opening lines for the slice before.
     """
-    rows = sliced(df, "line_no", slice_rows)
+    mark = lambda on: F.when(on, F.col("line_no"))
+    names = [*firsts]
+    rows = sliced(df, "line_no", slice_rows).withColumns(
+        {"_opens": mark(heading), **{f"_is_{n}": mark(on) for n, on in firsts.items()}, **{f"_at_{n}": mark(on) for n, on in latest.items()}}
+    )
     inside = Window.partitionBy("doc_id", "_slice").orderBy("line_no")
-    local = rows.withColumns({"_n1": F.lead("text", 1).over(inside), "_n2": F.lead("text", 2).over(inside)})
-    heads = local.groupBy("doc_id", "_slice").agg(
-        F.min_by(F.struct("text", "_n1"), F.col("line_no")).alias("_h")
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.withColumns(
+        {
+            "_n1": F.lead("text", 1).over(inside),
+            "_n2": F.lead("text", 2).over(inside),
+            "_own": _latest(F.col("_opens"), upto),
+            **{f"_at_{n}": _latest(F.col(f"_at_{n}"), upto) for n in latest},
+            **{f"_prior_{n}": _latest(F.col(f"_is_{n}"), before) for n in names},
+        }
+    )
+    # Before the first heading of a slice any first mark counts, until the earlier slices tell otherwise.
+    since = lambda n: F.when(F.col(f"_is_{n}").isNotNull(), _first_since(f"_is_{n}", f"_prior_{n}", "_from"))
+    local = local.withColumn("_from", F.coalesce("_own", F.lit(-1).cast("bigint")))
+    local = local.withColumns({f"_first_{n}": _latest(since(n), upto) for n in names})
+    valid = lambda n: F.when(F.col(f"_first_{n}") > F.col("_from"), F.col(f"_first_{n}"))
+    local = local.withColumns({f"_first_{n}": valid(n) for n in names}).drop("_opens", "_from", *[f"_is_{n}" for n in names], *[f"_prior_{n}" for n in names])
+
+    at_end = lambda c: F.max_by(c, "line_no")
+    summary = local.groupBy("doc_id", "_slice").agg(
+        F.max("_own").alias("_own"),
+        *[at_end(f"_first_{n}").alias(f"_first_{n}") for n in names],
+        *[F.max(f"_at_{n}").alias(f"_at_{n}") for n in latest],
+        F.min_by(F.struct("text", "_n1"), "line_no").alias("_h"),
     )
     by_slice = Window.partitionBy("doc_id").orderBy("_slice")
-    heads = heads.select(
-        "doc_id",
-        "_slice",
-        F.lead("_h.text", 1).over(by_slice).alias("_a"),
-        F.coalesce(F.lead("_h._n1", 1).over(by_slice), F.lead("_h.text", 2).over(by_slice)).alias("_b"),
+    prior = by_slice.rowsBetween(Window.unboundedPreceding, -1)
+    summary = summary.withColumns(
+        {
+            "_from": _latest(F.col("_own"), by_slice.rowsBetween(Window.unboundedPreceding, 0)),
+            "_carry": _latest(F.col("_own"), prior),
+            **{f"_carry_at_{n}": F.max(f"_at_{n}").over(prior) for n in latest},
+            **{f"_prior_{n}": _latest(F.col(f"_first_{n}"), prior) for n in names},
+            "_a": F.lead("_h.text", 1).over(by_slice),
+            "_b": F.coalesce(F.lead("_h._n1", 1).over(by_slice), F.lead("_h.text", 2).over(by_slice)),
+        }
     )
-    return (
-        local.join(heads, ["doc_id", "_slice"])
-        .withColumn(
-            "_n2", F.coalesce("_n2", F.when(F.col("_n1").isNull(), F.col("_b")).otherwise(F.col("_a")))
-        )
-        .withColumn("_n1", F.coalesce("_n1", "_a"))
-        .drop("_a", "_b")
+    summary = summary.withColumns({f"_carry_{n}": _latest(_first_since(f"_first_{n}", f"_prior_{n}", "_from"), prior) for n in names})
+    carried = summary.select("doc_id", "_slice", "_carry", "_a", "_b", *[f"_carry_{n}" for n in names], *[f"_carry_at_{n}" for n in latest])
+
+    section = F.coalesce("_own", "_carry")
+    handed = lambda n: F.when(F.col("_own").isNull() & (F.col(f"_carry_{n}") > F.col("_carry")), F.col(f"_carry_{n}"))
+    out = local.join(carried, ["doc_id", "_slice"]).where(section.isNotNull())
+    return out.select(
+        *df.columns,
+        section.alias("section"),
+        *[F.coalesce(handed(n), F.col(f"_first_{n}")).alias(n) for n in names],
+        *[F.coalesce(f"_at_{n}", f"_carry_at_{n}").alias(n) for n in latest],
+        F.coalesce("_n1", "_a").alias("_n1"),
+        F.coalesce("_n2", F.when(F.col("_n1").isNull(), F.col("_b")).otherwise(F.col("_a"))).alias("_n2"),
     )
 
 
@@ -119,29 +168,19 @@ def technical_reports(df: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """
     t = F.col("text")
     by = ["doc_id", "section"]
-    rows = with_following(df.withColumn("text", strip(t)).where(t != ""), slice_rows)
+    rows = df.withColumn("text", strip(t)).where(t != "")
+    ends = F.lit(False)
+    for word in MEASURES_END:
+        ends = ends | F.startswith(F.lower(t), F.lit(word))
+    firsts = {"_title": t.rlike(MEASURES_TITLE), "_cause": t.rlike(CAUSE_TITLE)}
+    rows = scanned_sections(rows, t.rlike(REPORT_HEADING), firsts, {"_end": ends}, slice_rows)
     n1 = F.when(~F.col("_n1").rlike(REPORT_HEADING), F.col("_n1"))
     n2 = F.when(n1.isNotNull() & ~F.col("_n2").rlike(REPORT_HEADING), F.col("_n2"))
     near = F.when(t.rlike(FIELD_HINT), F.concat_ws("\n", t, n1, n2))
     rows = rows.withColumn("_near", near).drop("_n1", "_n2")
-    rows = sections(rows, t.rlike(REPORT_HEADING), slice_rows=slice_rows)
-
-    title, cause = t.rlike(MEASURES_TITLE), t.rlike(CAUSE_TITLE)
-    marks = rows.groupBy(*by).agg(
-        F.min(F.when(title, F.col("line_no"))).alias("_title"),
-        F.min(F.when(cause, F.col("line_no"))).alias("_cause"),
-    )
-    after_title = F.col("line_no") > F.col("_title")
-    ends = F.lit(False)
-    for word in MEASURES_END:
-        ends = ends | F.startswith(F.lower(t), F.lit(word))
-    # Only the closing lines meet the marks before the whole section does.
-    stops = (
-        rows.where(ends).join(marks, by).where(after_title).groupBy(*by).agg(F.min("line_no").alias("_end"))
-    )
-    rows = rows.join(marks.join(stops, by, "left"), by)
 
-    inside = after_title & (F.col("_end").isNull() | (F.col("line_no") < F.col("_end"))) & (t != "")
+    # After the section's first title, until a closing line has come.
+    inside = (F.col("line_no") > F.col("_title")) & (F.col("_end").isNull() | (F.col("_end") <= F.col("_title")))
     event = t.rlike(EVENT_LINE)
     which = F.lower(F.regexp_extract(t, EVENT_LINE, 1))
     when = F.concat_ws(" ", F.regexp_extract(t, EVENT_LINE, 2), F.regexp_extract(t, EVENT_LINE, 3))
@@ -149,7 +188,7 @@ def technical_reports(df: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     aggs = {
         "nro_incidencia": _first(t.rlike(REPORT_HEADING), F.regexp_extract(t, REPORT_HEADING, 1)),
         **{name: _field(pattern) for name, pattern in fields.items()},
-        "DETERMINACIÓN DE LA CAUSA": _first((F.col("line_no") > F.col("_cause")) & (t != ""), t),
+        "DETERMINACIÓN DE LA CAUSA": _first(F.col("line_no") > F.col("_cause"), t),
         "MEDIDAS CORRECTIVAS Y/O PREVENTIVAS TOMADAS": strip(_joined(inside & ~event, t, " ")),
         "Fecha y hora inicio": _last(inside & event & (which == "inicio"), when),
         "Fecha y hora fin": _last(inside & event & (which == "fin"), when),

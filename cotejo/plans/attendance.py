@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from cotejo.functions.text import short_name, surname_first
 from cotejo.functions.times import check_range, clock, parse, parse_strict
-from cotejo.operators.dedupe import split_duplicates
-from cotejo.operators.joins import join_on_spine
+from cotejo.operators.dedupe import first_per_key, split_duplicates
+from cotejo.operators.joins import gathered, join_on_spine, tagged_source
 from cotejo.operators.rosters import (
     DESK,
     DESK_BODY_ROW,
@@ -19,6 +19,7 @@ from cotejo.operators.rosters import (
     body_start,
     roster_rows,
     unpivot,
+    unpivot_layouts,
 )
 
 KEYS = ["UsuarioC", "FechaC"]
@@ -84,6 +85,52 @@ def general_roster(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _roster(unpivot(cells, **GENERAL, body=body_start(cells), exclude=LABEL_ROWS), "General")
 
 
+def rosters(cells: DataFrame) -> DataFrame:
+    """First shift per roster, user and day of both rosters' cells together: (roster, user, date, shift, shift_start)."""
+    first = first_per_key(roster_rows(unpivot_layouts(cells)), ["roster", "user", "date"], ["sheet", "row", "day"])
+    return first.select("roster", "user", "date", "shift", "shift_start")
+
+
+def _keyed(df: DataFrame, suffix: str) -> DataFrame:
+    df = df.drop("Fecha").withColumnsRenamed({f"Usuario_{suffix}": "UsuarioC", f"Fecha_{suffix}": "FechaC", **HOURS})
+    return df.withColumns({"UsuarioC": F.trim("UsuarioC"), "FechaC": F.to_date("FechaC")}).withColumnsRenamed({"Usuario": f"Usuario_{suffix}"})
+
+
+def _formatted(out: DataFrame) -> DataFrame:
+    return out.withColumns(
+        {
+            "UsuarioC_formato": surname_first(F.col("Usuario_Semaforo")),
+            "FechaC_formato": F.date_format("FechaC", "dd/MM/yyyy"),
+        }
+    )
+
+
+def combined_rows(
+    logged: DataFrame,
+    call_centre: DataFrame,
+    both_rosters: DataFrame,
+    start: date | None = None,
+    end: date | None = None,
+) -> DataFrame:
+    """As ``combined``, with both rosters in one frame (``rosters``), each of them once a user and day.
+
+    All sources are one union, told apart by their struct column, and meet in one grouping; so every table is
+    read for its own work only.  A repeated user and day of any source raises.
+    """
+    check_range(start, end)
+    frames = {"logged": _keyed(logged, "Semaforo"), "call_centre": _keyed(call_centre, "NCC")}
+    sources = {n: [c for c in df.columns if c not in KEYS] for n, df in frames.items()}
+    parts = [tagged_source(df, KEYS, n) for n, df in frames.items()]
+    shapes = {name: F.struct(F.col("shift").alias(f"Turno_{name}"), F.col("shift_start").alias(f"Hora_Inicial_{name}")) for name in ("General", "Mesa")}
+    values = [F.when(F.col("roster") == name, shape).alias(name) for name, shape in shapes.items()]
+    parts.append(both_rosters.select(F.trim("user").alias("UsuarioC"), F.to_date("date").alias("FechaC"), *values))
+    sources |= {name: [f"Turno_{name}", f"Hora_Inicial_{name}"] for name in shapes}
+    tagged = parts[0]
+    for part in parts[1:]:
+        tagged = tagged.unionByName(part, allowMissingColumns=True)
+    return _formatted(gathered(tagged, KEYS, sources))
+
+
 def combined(
     logged: DataFrame,
     call_centre: DataFrame,
@@ -105,18 +152,5 @@ def combined(
         "general": (general, "General"),
         "desk": (desk, "Mesa"),
     }
-    keyed = {}
-    for name, (df, suffix) in sources.items():
-        df = df.drop("Fecha").withColumnsRenamed(
-            {f"Usuario_{suffix}": "UsuarioC", f"Fecha_{suffix}": "FechaC", **HOURS}
-        )
-        keyed[name] = df.withColumns(
-            {"UsuarioC": F.trim("UsuarioC"), "FechaC": F.to_date("FechaC")}
-        ).withColumnsRenamed({"Usuario": f"Usuario_{suffix}"})
-    out = join_on_spine(keyed, KEYS)
-    return out.withColumns(
-        {
-            "UsuarioC_formato": surname_first(F.col("Usuario_Semaforo")),
-            "FechaC_formato": F.date_format("FechaC", "dd/MM/yyyy"),
-        }
-    )
+    keyed = {name: _keyed(df, suffix) for name, (df, suffix) in sources.items()}
+    return _formatted(join_on_spine(keyed, KEYS))

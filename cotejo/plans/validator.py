@@ -7,7 +7,7 @@ joins, told apart by their component.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cotejo.operators.findings import MISSING, by_ticket, union_all
 from cotejo.operators.intervals import with_stops
-from cotejo.operators.joins import enrich, matched, only_left
+from cotejo.operators.joins import PAIRED, enrich, mark_join, matched, only_left, unique
 from cotejo.operators.rules import Rule, evaluate
 from cotejo.plans.cut_rules import (
     CLAIM,
@@ -45,7 +45,8 @@ class Inputs:
     """Prepared frames (``plans.inputs``).
 
     The word frames hold both documents, labelled by component; leave one out
-    where no such document exists.
+    where no such document exists.  ``unique`` names frames that must have each ticket
+    (circuits: each circuit; word frames: each ticket of a component) once; a repeated one raises when rows are made.
     """
 
     cut: DataFrame
@@ -56,6 +57,26 @@ class Inputs:
     reports: DataFrame | None = None
     annexes: DataFrame | None = None
     stop_order: tuple[str, ...] = ()
+    unique: tuple[str, ...] = ()
+
+    def one(self, name: str) -> DataFrame:
+        """The known rows of a frame, checked where that is asked for."""
+        keys = {"circuits": ["inc_cid"], "annexes": [KEY, "annex_component"]}.get(name, [KEY, "word_component"] if name in WORD_FRAMES else [KEY])
+        rows = known(getattr(self, name), keys[0])
+        return unique(rows, keys, name) if name in self.unique else rows
+
+    def checked(self) -> Inputs:
+        """These inputs with every named frame checked; the rows without a key are not."""
+        wrong = set(self.unique) - {"cut", "incidents", "circuits", *WORD_FRAMES, "annexes"}
+        if wrong:
+            raise ValueError(f"no such frames: {sorted(wrong)}")
+        if "cut" not in self.unique:
+            return self
+        apart = self.cut.where(F.col(KEY).isin(*MISSING))
+        return replace(self, cut=self.one("cut").unionByName(apart))
+
+
+WORD_FRAMES = ("faults", "reports")
 
 
 def known(df: DataFrame, key: str = KEY) -> DataFrame:
@@ -65,13 +86,15 @@ def known(df: DataFrame, key: str = KEY) -> DataFrame:
 
 def compared(inputs: Inputs) -> DataFrame:
     """Cut rows found in the incident extract, with circuit data."""
-    return enrich(matched(inputs.cut, known(inputs.incidents), [KEY]), known(inputs.circuits, "inc_cid"), ["inc_cid"])
+    inputs = inputs.checked()
+    return enrich(matched(inputs.cut, inputs.one("incidents"), [KEY]), inputs.one("circuits"), ["inc_cid"])
 
 
 def every_cut_row(inputs: Inputs) -> DataFrame:
     """All cut rows with what the incident extract has of them; ``FOUND`` tells whether it has any."""
-    rows = enrich(inputs.cut, known(inputs.incidents).withColumn(FOUND, F.lit(True)), [KEY], {FOUND: False})
-    return enrich(rows, known(inputs.circuits, "inc_cid"), ["inc_cid"])
+    inputs = inputs.checked()
+    rows = enrich(inputs.cut, inputs.one("incidents").withColumn(FOUND, F.lit(True)), [KEY], {FOUND: False})
+    return enrich(rows, inputs.one("circuits"), ["inc_cid"])
 
 
 def _with_stops(rows: DataFrame, inputs: Inputs) -> DataFrame:
@@ -116,13 +139,23 @@ def _only_where(rule: Rule, rows: Column) -> Rule:
     return replace(rule, when=rows if rule.when is None else rows & rule.when)
 
 
-def cut_findings(rows: DataFrame, outage_block_rule: bool = False, check_monitoring: bool = False) -> DataFrame:
-    """Rule set 1 in one pass over all cut rows (``every_cut_row`` with stops)."""
+def cut_findings(
+    rows: DataFrame,
+    outage_block_rule: bool = False,
+    check_monitoring: bool = False,
+    own: Column | None = None,
+    extra: Sequence[Rule] = (),
+) -> DataFrame:
+    """Rule set 1 in one pass over all cut rows (``every_cut_row`` with stops).
+
+    ``own`` limits it to some rows; ``extra`` rules are asked in the same pass.
+    """
+    own = F.lit(True) if own is None else own
     rows = with_rule_columns(rows)
     if outage_block_rule:
         rows = with_block(rows)
-    rules = [_only_where(r, F.col(FOUND)) for r in cut_rules(outage_block_rule, check_monitoring)]
-    return _evaluate(rows, [_only_where(missing_incident(), ~F.col(FOUND)), *rules])
+    rules = [_only_where(r, own & F.col(FOUND)) for r in cut_rules(outage_block_rule, check_monitoring)]
+    return _evaluate(rows, [_only_where(missing_incident(), own & ~F.col(FOUND)), *rules, *extra])
 
 
 def reconciled_cut(inputs: Inputs) -> DataFrame:
@@ -130,16 +163,40 @@ def reconciled_cut(inputs: Inputs) -> DataFrame:
     return _with_stops(every_cut_row(inputs), inputs)
 
 
+#: Which document a word row is from, in ``with_words``.
+WORD, FAULTS, REPORTS = "_word", "faults", "reports"
+
+
+def _mark(document: str, component: str) -> str:
+    return f"_{document}_{component}"
+
+
+def with_words(cut: DataFrame, faults: DataFrame | None, reports: DataFrame | None) -> DataFrame:
+    """Cut rows for themselves and beside each row that a word document has of their ticket, in one join.
+
+    The former bear a mark for each document and component that has the ticket.
+    """
+    rows = None
+    for name, df in ((FAULTS, faults), (REPORTS, reports)):
+        if df is not None:
+            part = known(df).withColumn(WORD, F.lit(name))
+            rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+    here = lambda document, component: (F.col(WORD) == document) & (F.col("word_component") == component)
+    marks = {_mark(d, k): F.max(F.coalesce(here(d, k), F.lit(False))) for d in (FAULTS, REPORTS) for k in (DATA, VOICE)}
+    return mark_join(cut, rows, [KEY], marks)
+
+
 def word_findings(cut: DataFrame, faults: DataFrame | None, reports: DataFrame | None) -> DataFrame | None:
-    """Rule set 2."""
-    parts = []
-    if faults is not None:
-        parts.append(_evaluate(claims_missing(cut, faults), [claim_not_in_faults()]))
-        parts.append(_evaluate(matched(known(faults), cut, [KEY]), [fault_fields()]))
-    if reports is not None:
-        parts.append(_evaluate(claims_missing(cut, reports), [claim_not_in_reports()]))
-        parts.append(_evaluate(matched(known(reports), cut, [KEY]), [report_fields()]))
-    return union_all(parts) if parts else None
+    """Rule set 2 in one pass: missing claims on the rows that stand for themselves, fields on the paired ones."""
+    given = {FAULTS: (faults, claim_not_in_faults(), fault_fields()), REPORTS: (reports, claim_not_in_reports(), report_fields())}
+    rules = []
+    for name, (df, missing, fields) in given.items():
+        if df is not None:
+            has = F.when(F.col("cut_component") == DATA, F.col(_mark(name, DATA))).otherwise(F.col(_mark(name, VOICE)))
+            claim = (F.col("tipo_reporte") == CLAIM) & F.col("cut_component").isin(DATA, VOICE)
+            rules.append(_only_where(missing, ~F.col(PAIRED) & claim & ~F.coalesce(has, F.lit(False))))
+            rules.append(_only_where(fields, F.col(PAIRED) & (F.col(WORD) == name)))
+    return _evaluate(with_words(cut, faults, reports), rules) if rules else None
 
 
 def annex_findings(matched_rows: DataFrame, annexes: DataFrame) -> DataFrame:
@@ -147,23 +204,42 @@ def annex_findings(matched_rows: DataFrame, annexes: DataFrame) -> DataFrame:
     return _evaluate(with_annex(matched_rows, annexes), [annex_fields()])
 
 
+#: Whether any annex has the ticket and component of a row that stands for itself.
+ANNEXED = "_annexed"
+
+
+def cut_and_annex_findings(rows: DataFrame, annexes: DataFrame, **options) -> DataFrame:
+    """Rule sets 1 and 3 in one pass over all cut rows (``reconciled_cut``).
+
+    Set 1 is asked on the rows that stand for themselves, 3.1 on those paired with an annex, and on the
+    former where no annex has the ticket.
+    """
+    annex = known(annexes).withColumnRenamed("annex_component", "cut_component")
+    rows = mark_join(rows, annex, [KEY, "cut_component"], {ANNEXED: F.lit(True)})
+    rows = rows.fillna({c: NOT_FOUND for c in ("annex_header", "annex_periods", "annex_total")})
+    asked = F.col(FOUND) & F.col("cut_component").isin(DATA, VOICE) & (F.col(PAIRED) | F.col(ANNEXED).isNull())
+    return cut_findings(rows, own=~F.col(PAIRED), extra=[_only_where(annex_fields(), asked)], **options)
+
+
 def findings(
     inputs: Inputs, share: Callable[[DataFrame], DataFrame] | None = None, **options
 ) -> DataFrame:
     """All findings in long form.
 
-    ``share`` is applied to the reconciled rows, which rule sets 1 and 3 both
-    read; ``plans.shared.checkpointed`` writes them once to the shared folder.
+    The reconciled rows are read in one pass by rule sets 1 and 3, the cut in one more by
+    set 2.  ``share`` is applied to the reconciled rows; ``plans.shared.checkpointed`` writes
+    them to the shared folder, so that nothing before them is worked out again.
     """
     rows = reconciled_cut(inputs)
     if share is not None:
         rows = share(rows)
-    parts = [cut_findings(rows, **options)]
-    word = word_findings(inputs.cut, inputs.faults, inputs.reports)
+    if inputs.annexes is None:
+        parts = [cut_findings(rows, **options)]
+    else:
+        parts = [cut_and_annex_findings(rows, inputs.one("annexes"), **options)]
+    word = word_findings(inputs.cut, *[getattr(inputs, n) if getattr(inputs, n) is None else inputs.one(n) for n in WORD_FRAMES])
     if word is not None:
         parts.append(word)
-    if inputs.annexes is not None:
-        parts.append(annex_findings(rows.where(FOUND), inputs.annexes))
     return union_all(parts)
 
 

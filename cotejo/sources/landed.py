@@ -21,22 +21,34 @@ BLANK_CELL = "-"
 ENTITIES = {"&nbsp;": "\xa0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
 
 
+def _owner_cells(cells: DataFrame, owners: dict[int, str]) -> tuple[DataFrame, DataFrame]:
+    """Body cells of the owner tables, and the tables' headers by position: (doc_id, table_no, col, header, last).
+
+    A header given twice names its last column; ``last`` tells which one that is.
+    """
+    kept = cells.where(F.col("table_no").isin(*owners)).withColumn("text", strip(F.col("text")))
+    names = kept.where(F.col("row") == 0).select("doc_id", "table_no", "col", F.col("text").alias("header"))
+    ends = names.groupBy("doc_id", "table_no", "header").agg(F.max("col").alias("_end"), F.collect_set("col").alias("_cols"))
+    heads = ends.select("doc_id", "table_no", "header", "_end", F.explode("_cols").alias("col"))
+    heads = heads.select("doc_id", "table_no", "col", "header", (F.col("col") == F.col("_end")).alias("last"))
+    return kept.where(F.col("row") > 0), heads
+
+
 def fault_tables(cells: DataFrame, headers: Sequence[str], owners: dict[int, str] = TABLE_OWNERS) -> DataFrame:
     """Cells ``(doc_id, table_no, row, col, text)`` of the owner tables to rows.
 
-    Row 0 names the columns.  ``headers`` declares the names to expect, so the
-    pivot needs no extra pass; a cell missing from a row reads empty, a column
-    missing from a table is null.  Missing tables give no rows.
+    Row 0 names the columns; a header given twice means its last column, the others are in
+    ``undeclared_cells``.  ``headers`` declares the names to expect, so the pivot needs no extra pass; a cell missing from
+    a row reads empty, a column missing from a table is null.  Missing tables give no rows.
     """
-    kept = cells.where(F.col("table_no").isin(*owners)).withColumn("text", strip(F.col("text")))
-    names = kept.where("row = 0").select("doc_id", "table_no", "col", F.col("text").alias("_name"))
-    body = kept.where("row > 0").join(names, ["doc_id", "table_no", "col"])
+    body, heads = _owner_cells(cells, owners)
     rows = (
-        body.groupBy("doc_id", "table_no", "row")
-        .pivot("_name", list(headers))
-        .agg(F.max("text"))
+        body.join(heads, ["doc_id", "table_no", "col"], "left")
+        .groupBy("doc_id", "table_no", "row")
+        .pivot("header", list(headers))
+        .agg(F.max(F.when(F.col("last"), F.col("text"))))
     )
-    present = names.groupBy("doc_id", "table_no").agg(F.collect_set("_name").alias("_names"))
+    present = heads.groupBy("doc_id", "table_no").agg(F.collect_set("header").alias("_names"))
     rows = rows.join(present, ["doc_id", "table_no"])
     filled = {
         h: F.when(F.col(f"`{h}`").isNull() & F.array_contains("_names", h), F.lit("")).otherwise(F.col(f"`{h}`"))
@@ -47,11 +59,10 @@ def fault_tables(cells: DataFrame, headers: Sequence[str], owners: dict[int, str
 
 
 def undeclared_cells(cells: DataFrame, headers: Sequence[str], owners: dict[int, str] = TABLE_OWNERS) -> DataFrame:
-    """Cells of the owner tables that ``fault_tables`` leaves out: those under no declared header."""
-    kept = cells.where(F.col("table_no").isin(*owners)).withColumn("text", strip(F.col("text")))
-    names = kept.where(F.col("row") == 0).select("doc_id", "table_no", "col", F.col("text").alias("header"))
-    body = kept.where(F.col("row") > 0).join(names, ["doc_id", "table_no", "col"], "left")
-    return body.where(F.col("header").isNull() | ~F.col("header").isin(*headers))
+    """Cells of the owner tables that ``fault_tables`` leaves out: under no declared header, or under one given again further right."""
+    body, heads = _owner_cells(cells, owners)
+    body = body.join(heads, ["doc_id", "table_no", "col"], "left")
+    return body.where(F.col("header").isNull() | ~F.col("header").isin(*headers) | ~F.col("last")).drop("last")
 
 
 def cell_text(html: Column) -> Column:

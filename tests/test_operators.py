@@ -258,3 +258,110 @@ def test_mail_flags(spark):
     got = landed.mail_table(mail.withColumn("received", F.expr("timestamp_ntz '2024-01-02 03:04:05'")))
     assert rows(got, "Remitente", "Asunto", "Ticket", "Fecha", "Hora")[0][:3] == ("Sin remitente", "s", "ok")
     assert [r[2] for r in rows(got, "Remitente", "Asunto", "Ticket")] == ["ok", "No encontrado", "No encontrado"]
+
+
+def exchanges(df):
+    """Hash exchanges, reused ones apart, and scans of the plan that has run."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return sum("Exchange hashpartitioning" in x and "Reused" not in x for x in plan.splitlines()), sum("Scan ExistingRDD" in x or "FileScan" in x for x in plan.splitlines())
+
+
+def test_mark_join_tells_own_and_paired_rows(spark):
+    cut = spark.createDataFrame([("1", "x"), ("1", "y"), ("2", "z"), (None, "n")], "k string, v string")
+    words = spark.createDataFrame([("1", "p", 3), ("1", "q", 4), ("3", "r", 5)], "k string, w string, n int")
+    marks = {"most": F.max("n"), "has_q": F.max(F.col("w") == "q")}
+    got = joins.mark_join(cut, words, ["k"], marks)
+    own, paired = got.where(~F.col(joins.PAIRED)), got.where(joins.PAIRED)
+    assert rows(own, "k", "v", "most", "has_q", "w") == sorted(
+        [("1", "x", 4, True, None), ("1", "y", 4, True, None), ("2", "z", None, None, None), (None, "n", None, None, None)], key=repr
+    )
+    assert rows(paired, "k", "v", "w") == rows(joins.matched(cut, words, ["k"]), "k", "v", "w")
+    assert joins.mark_join(cut, words.limit(0), ["k"], marks).count() == 4
+    assert joins.mark_join(cut.limit(0), words, ["k"], marks).count() == 0
+
+
+def test_cardinality_and_unique_keys(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), (None, 1), (None, 1)], "k string, n int")
+    assert tuple(joins.cardinality(df, ["k"]).first()) == (5, 3, 2, 2)
+    assert tuple(joins.cardinality(df.limit(0), ["k"]).first()) == (0, 0, 0, 0)
+    assert tuple(joins.cardinality(df, ["k", "n"]).first()) == (5, 4, 1, 2)
+    assert rows(joins.unique(df.where("k is not null"), ["k", "n"], "df")) == [("a", 1), ("a", 2), ("b", 1)]
+    with pytest.raises(Exception, match="df: more than one row for k=a"):
+        joins.unique(df.where("k = 'a'"), ["k"], "df").collect()
+    with pytest.raises(Exception, match="df: more than one row for k=null, n=1"):
+        joins.unique(df, ["k", "n"], "df").collect()
+
+
+def test_unique_shares_the_shuffle_of_its_join(spark):
+    left = spark.range(2000).select(F.col("id").cast("string").alias("k"), "id")
+    right = spark.range(2000).select(F.col("id").cast("string").alias("k"), (F.col("id") * 2).alias("w"))
+    merge = lambda df: left.hint("merge").join(df.hint("merge"), "k", "left")
+    plain, checked = merge(right), merge(joins.unique(right, ["k"], "right"))
+    assert rows(plain) == rows(checked)
+    assert exchanges(checked)[0] == exchanges(plain)[0]
+
+
+def test_reports_take_four_exchanges(spark):
+    docs = spark.createDataFrame([(i, REPORT) for i in range(50)], "doc_id int, text string")
+    out = sections.technical_reports(sections.document_lines(docs), 7)
+    assert exchanges(out)[0] <= 4
+    assert out.count() == 150
+
+
+def test_sections_of_many_slices_equal_one_slice(spark):
+    import random
+
+    rnd = random.Random(5)
+    bits = ["REPORTE TÉCNICO Nº {i}", "CUISMP: {i}", "CUISMP", "{i}", "Tipo Caso", ": caso {i}", "Determinación de la causa", "MEDIDAS CORRECTIVAS Y/O PREVENTIVAS TOMADAS",
+            "Detalle de solicitudes", "Solicitudes", "Hora Inicio 1/2/2024 {i}:10", "Fecha y hora fin: 2/2/2024 7:05", "Observación:", "nota {i}", "", "x"]
+    docs = [(d, "\n".join(rnd.choice(bits).format(i=rnd.randrange(10)) for _ in range(rnd.choice((3, 60, 400))))) for d in range(40)]
+    df = sections.document_lines(spark.createDataFrame(docs, "doc_id int, text string"))
+    want = rows(sections.technical_reports(df, 10**6))
+    assert len(want) > 300
+    for width in (1, 3, 16):
+        assert rows(sections.technical_reports(df, width)) == want
+
+
+def test_layouts_of_both_rosters_at_once(spark):
+    import random
+
+    rnd = random.Random(6)
+
+    def grid(first, stride, name_col, gap):
+        out = [[f"Lunes {c}/1/2025" if c >= first and (c - first) % stride == 0 and rnd.random() < 0.9 else None for c in range(12)]]
+        for r in range(1, 14):
+            row = [rnd.choice(("08:00 - 17:00", "DESCANSO", None)) for _ in range(12)]
+            row[name_col] = rnd.choice(("José Peña", "Ana", "Turno", None, "Eva"))
+            row[0] = row[0] if name_col == 0 else (None if r >= gap and rnd.random() < 0.6 else "x")
+            out.append(row)
+        return out
+
+    both = None
+    for s in range(6):
+        for name, (first, stride, name_col) in {"Mesa": (3, 2, 0), "General": (2, 3, 1)}.items():
+            part = cells(spark, grid(first, stride, name_col, rnd.randrange(1, 15)), f"s{s}").withColumn("roster", F.lit(name))
+            both = part if both is None else both.unionByName(part)
+    both = both.unionByName(cells(spark, [["a"]], "short").withColumn("roster", F.lit("General"))).cache()
+    desk, general = both.where("roster = 'Mesa'").drop("roster"), both.where("roster = 'General'").drop("roster")
+    want = rosters.unpivot(desk, **rosters.DESK, body=rosters.DESK_BODY_ROW).withColumn("roster", F.lit("Mesa"))
+    want = want.unionByName(
+        rosters.unpivot(general, **rosters.GENERAL, body=rosters.body_start(general), exclude=rosters.LABEL_ROWS).withColumn("roster", F.lit("General"))
+    )
+    names = ("roster", "sheet", "row", "day", "label", "name", "shift")
+    got = rosters.unpivot_layouts(both)
+    assert rows(got, *names) == rows(want, *names) != []
+    rosters.GAP_ROWS, before = 2, rosters.GAP_ROWS  # gaps across slices of rows
+    try:
+        assert rows(rosters.unpivot_layouts(both), *names) == rows(want, *names)
+    finally:
+        rosters.GAP_ROWS = before
+
+
+def test_a_header_given_twice_names_its_last_column(spark):
+    grid = [(1, 4, r, c, v) for r, vals in enumerate([["A", "B", " A ", "N"], ["z", "1", "a", "n"], ["y", "2"], ["x", "3", "", "m"]]) for c, v in enumerate(vals)]
+    df = spark.createDataFrame(grid + [(1, 4, 1, 7, "far")], "doc_id int, table_no int, row bigint, col int, text string")
+    assert rows(landed.fault_tables(df, ["A", "B"]), "row", "A", "B") == [(1, "a", "1"), (2, "", "2"), (3, "", "3")]
+    assert rows(landed.undeclared_cells(df, ["A", "B"]), "row", "col", "text", "header") == sorted(
+        [(1, 0, "z", "A"), (2, 0, "y", "A"), (3, 0, "x", "A"), (1, 3, "n", "N"), (3, 3, "m", "N"), (1, 7, "far", None)], key=repr
+    )

@@ -1,5 +1,8 @@
 """Whole pipelines on small hand-written inputs, sources and sinks."""
 
+import re
+from collections import Counter
+from dataclasses import replace
 from datetime import date, datetime
 from pathlib import Path
 from types import SimpleNamespace
@@ -307,3 +310,47 @@ def test_no_cross_joins_and_pruned_scans(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "SinglePartition" not in plan
     scan = e.queries()["stop_totals"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "props" not in scan
+
+
+def test_inputs_may_ask_for_unique_keys(spark):
+    words = word_frames(spark)
+    once = dict(unique=("cut", "incidents", "circuits", "faults", "reports", "annexes"))
+    given = all_inputs(spark, cut_frame(spark, {"CID": "C2"}, {"TICKET": None}, {"TICKET": None}), incident_frame(spark), **words)
+    assert sorted(v.validate(replace(given, **once)).collect()) == sorted(v.validate(given).collect())  # rows without a ticket may repeat
+    twice = all_inputs(spark, cut_frame(spark), incident_frame(spark, {}, {}), **words)
+    assert codes(v.validate(twice)) == {}
+    with pytest.raises(Exception, match="incidents: more than one row for nro_incidencia=100"):
+        v.validate(replace(twice, **once)).collect()
+    doubled = replace(given, **once, faults=words["faults"].union(words["faults"]))
+    with pytest.raises(Exception, match="faults: more than one row for nro_incidencia=100, word_component="):
+        v.validate(doubled).collect()
+    with pytest.raises(ValueError, match="stops"):
+        v.validate(replace(given, unique=("stops",)))
+
+
+def test_one_join_for_the_word_documents(spark):
+    given = all_inputs(spark, cut_frame(spark), incident_frame(spark), **word_frames(spark))
+    plan = v.word_findings(given.cut, given.faults, given.reports)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(line.lstrip(" :+-").startswith("Join") for line in plan.splitlines()) == 1
+
+
+def test_repeated_word_rows_and_claims(spark):
+    """A ticket twice in the cut and twice in a document: fields fan out, absence is told once a cut row."""
+    one, other = word_frames(spark, "100", v.DATA), word_frames(spark, "100", v.VOICE)
+    cut = cut_frame(spark, {}, {}, {"COMPONENTE": v.VOICE}, {"TICKET": "7"})
+    both = one["faults"].union(one["faults"])
+    got = sorted((r["objetivo"], r["row"]) for r in v.word_findings(cut, both, other["reports"]).collect())
+    assert [x for x in got if x[0] == "2.0.1"] == [("2.0.1", 2), ("2.0.1", 3)]
+    assert [x for x in got if x[0] == "2.0.2"] == [("2.0.2", 0), ("2.0.2", 1), ("2.0.2", 3)]
+    assert sorted(x[1] for x in got if x[0] == "2.1") == [2, 2]  # the voice row differs from both data rows
+    only = v.word_findings(cut, None, other["reports"]).collect()
+    assert {r["objetivo"] for r in only} <= {"2.0.2", "2.2"} and v.word_findings(cut, None, None) is None
+
+
+def test_combined_attendance_reads_each_table_once_or_twice(spark):
+    from catalog.plan_queries import attendance_combined
+
+    out = attendance_combined(spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    scans = Counter(m for m in re.findall(r"FileScan parquet .*?/([a-z]+)\.parquet", plan))
+    assert scans == {"events": 2, "customer": 2, "nation": 2}
