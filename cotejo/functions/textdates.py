@@ -1,12 +1,14 @@
 """Dates and outage blocks found inside narrative text.
 
-Regular-expression matches carry no offsets in Spark.  Where positions are
-needed one scan cuts the text into tokens, each a match with the text before it; places
-are sums of their lengths, carried along in a fold.  All of it is linear in the text.
+Regular-expression matches carry no offsets in Spark.  Where positions are needed they
+follow from the literal text of a match, or from the lengths of the matches and of the pieces
+between them, carried along in a fold.  All of it is linear in the text.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,29 +49,17 @@ def _all(c: Column, pattern: str) -> Column:
 
 
 _BREAKS = LINE_BREAK[1:-1]
-#: What a line is made of, and the blanks within one.
+#: What a line is made of, and the blanks within one: as for strip, and as white space of a pattern.
 _REST = f"[^{_BREAKS}]"
-_BLANKS = f"[{WHITESPACE}&&{_REST}]*+"
+_BLANKS = "[" + "".join(x for x in WHITESPACE if x not in _BREAKS) + "]*+"
+_SPACE = r"[\x20\t\xa0\u1680\u2000-\u200a\u202f\u205f\u3000]"
 # Everything up to the last line that is neither blank nor a start or end line; found from the end of the text.
-_BODY = rf"(?isU)\A(.*(?<!{_REST})(?!{_BLANKS}(?:[{_BREAKS}]|\z))(?!{_BLANKS}{META_LINE}){_REST}+)"
-_OTHER_BREAKS = "\r\n|[" + _BREAKS.replace("\n", "") + "]"
+_BODY = rf"(?s)\A(.*(?<!{_REST})(?!{_BLANKS}(?:[{_BREAKS}]|\z))(?!{_BLANKS}(?iU:{META_LINE})){_REST}+)"
 
 
 def narrative_body(c: Column) -> Column:
-    """The text without trailing blank lines and start/end lines, its lines parted by line feeds."""
-    body = F.regexp_extract(c, _BODY, 1)
-    return F.when(body.rlike(_OTHER_BREAKS), F.regexp_replace(body, _OTHER_BREAKS, "\n")).otherwise(body)
-
-
-def _tokens(c: Column, pattern: str, flags: str = "s") -> Column:
-    """The text cut after every match, in one scan; behind the last one come the rest, if any, and an empty text."""
-    return F.regexp_extract_all(c, F.lit(rf"(?{flags}).*?(?:{pattern}|\z)"), F.lit(0))
-
-
-def _matches(tokens: Column, pattern: str) -> Column:
-    """How many tokens end with a match."""
-    rest = F.try_element_at(tokens, F.lit(-2))
-    return F.size(tokens) - 1 - F.when(rest.rlike(pattern), 0).when(rest.isNull(), 0).otherwise(1)
+    """The text without trailing blank lines and start/end lines; a line break counts as one character."""
+    return F.regexp_extract(F.replace(c, F.lit("\r\n"), F.lit("\n")), _BODY, 1)
 
 
 def body_range(c: Column) -> Column:
@@ -77,22 +67,25 @@ def body_range(c: Column) -> Column:
 
     Matches come in ascending position, so the first date of the first half can
     only be the first match and the last date of the second half only the last.
+    The first match stands where its text first occurs.  The last one stands where its text last occurs, unless
+    that occurrence begins inside the match, with its minutes as a day; then the pieces between matches tell.
     """
-    plain = BODY_PAIR.removeprefix("(?U)").replace("(", "").replace(")", "")
 
-    def ends(body: Column, tokens: Column, n: Column) -> Column:
+    def ends(body: Column, found: Column) -> Column:
         size = F.length(body)
-        head, tail = F.get(tokens, F.lit(0)), F.get(tokens, n - 1)
-        length = lambda token: F.length(F.regexp_extract(token, BODY_PAIR, 0))
-        rest = F.length(F.array_join(F.slice(tokens, n + 1, 2), ""))
-        first = F.when((n > 0) & ((F.length(head) - length(head)) * 2 < size), _pair(head, BODY_PAIR))
-        last = F.when((n > 0) & ((size - rest - length(tail)) * 2 >= size), _pair(tail, BODY_PAIR))
-        return _range(c, first, last)
+        head, tail = F.get(found, F.lit(0)), F.try_element_at(found, F.lit(-1))
+        after = F.length(F.call_function("substring_index", body, tail, F.lit(-1)))
 
-    def search(body: Column) -> Column:
-        return let(_tokens(body, plain, "sU"), lambda tokens: let(_matches(tokens, BODY_PAIR), lambda n: ends(body, tokens, n)))
+        def last(end: Column, width: Column) -> Column:
+            again = F.endswith(F.left(body, end - width), F.left(tail, width - 2))
+            rest = F.when(again, F.length(F.element_at(F.split(body, BODY_PAIR, -1), -1))).otherwise(size - end)
+            return F.when((size - rest - width) * 2 >= size, _pair(tail, BODY_PAIR))
 
-    return let(narrative_body(c), search)
+        first = F.when((F.instr(body, head) - 1) * 2 < size, _pair(head, BODY_PAIR))
+        closing = let(F.struct((size - after).alias("end"), F.length(tail).alias("width")), lambda x: last(x["end"], x["width"]))
+        return _range(c, first, F.when(tail.isNotNull(), closing))
+
+    return let(narrative_body(c), lambda body: let(_all(body, BODY_PAIR), lambda found: ends(body, found)))
 
 
 def _range(c: Column, first: Column, last: Column) -> Column:
@@ -100,67 +93,88 @@ def _range(c: Column, first: Column, last: Column) -> Column:
     return F.struct(known(first).alias("first"), known(last).alias("last"))
 
 
+#: A date or a time, so written that a place without a digit is passed over at once.
+MARK = r"\d(?:\d/\d{2}/\d{4}|\d?:\d{2})"
+
+
+def _paired(acc: Column, at: Column, day: Column, time: Column, size: Column) -> dict[str, Column]:
+    """The state after a date or a time at a place: both together make a pair, which counts for its half of the text."""
+    padded = F.when(F.length(time) == 4, F.concat(F.lit("0"), time)).otherwise(time)
+    full, early = F.concat(day, F.lit(" "), padded), at * 2 < size
+    return {
+        "day": F.when(full.isNull(), day),
+        "time": F.when(full.isNull(), time),
+        "first": F.coalesce(acc["first"], F.when(early, full)),
+        "last": F.when(full.isNotNull() & ~early, full).otherwise(acc["last"]),
+    }
+
+
+def _struct(**parts: Column) -> Column:
+    return F.struct(*[v.alias(k) for k, v in parts.items()])
+
+
+def _open() -> dict[str, Column]:
+    return {k: F.lit(None).cast("string") for k in ("day", "time", "first", "last")}
+
+
+def _in_turn(size: Column, found: Column, gaps: Column) -> Column:
+    """Fold over dates and times in one list, with the pieces between them."""
+
+    def take(acc: Column, i: Column) -> Column:
+        mark = F.get(found, i)
+        is_day = F.substring(mark, 3, 1) == "/"
+        at = acc["end"] + F.length(F.get(gaps, i))
+        day, time = F.when(is_day, mark).otherwise(acc["day"]), F.when(is_day, acc["time"]).otherwise(mark)
+        return _struct(end=at + F.length(mark), **_paired(acc, at, day, time, size))
+
+    turns = F.when(F.size(found) > 1, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(turns, _struct(end=F.lit(0), **_open()), take, lambda acc: _struct(first=acc["first"], last=acc["last"]))
+
+
+def _merged(size: Column, days: Column, day_gaps: Column, times: Column, time_gaps: Column) -> Column:
+    """The same over a list of dates and one of times, of which one may begin inside the other: a merge by place."""
+
+    def take(acc: Column, _: Column) -> Column:
+        day_at = F.when(acc["i"] < F.size(days), acc["day_end"] + F.length(F.get(day_gaps, acc["i"])))
+        time_at = F.when(acc["j"] < F.size(times), acc["time_end"] + F.length(F.get(time_gaps, acc["j"])))
+
+        def step(x: Column) -> Column:
+            by_day = F.coalesce(x["day"] < x["time"], x["day"].isNotNull())
+            pick = lambda a, b: F.when(by_day, a).otherwise(b)
+            day, time = F.get(days, acc["i"]), F.get(times, acc["j"])
+            ends = {"day_end": pick(x["day"] + F.length(day), acc["day_end"]), "time_end": pick(acc["time_end"], x["time"] + F.length(time))}
+            moved = {"i": acc["i"] + by_day.cast("int"), "j": acc["j"] + (~by_day).cast("int")}
+            return _struct(**moved, **ends, **_paired(acc, pick(x["day"], x["time"]), pick(day, acc["day"]), pick(acc["time"], time), size))
+
+        return let(_struct(day=day_at, time=time_at), step)
+
+    both = (F.size(days) > 0) & (F.size(times) > 0)
+    turns = F.when(both, F.sequence(F.lit(1), F.size(days) + F.size(times))).otherwise(F.array().cast("array<int>"))
+    zero = {k: F.lit(0) for k in ("i", "j", "day_end", "time_end")}
+    return F.aggregate(turns, _struct(**zero, **_open()), take, lambda acc: _struct(first=acc["first"], last=acc["last"]))
+
+
 def body_range_loose(c: Column) -> Column:
     """As ``body_range``, pairing each date with the next time in text order.
 
-    Dates and times are found apart, so one may begin inside the other; a fold walks over both lists
-    like a merge, and carries the places where the next date and the next time begin.
+    Dates and times are found in one list; where one follows another so closely that it may begin inside it, they are
+    found apart and merged.
     """
-    text = F.lit(None).cast("string")
-
-    def begin(tokens: Column, n: Column, i: Column, end: Column, pattern: str) -> Column:
-        """Place of the i-th match, whose token begins at ``end``; past the last one there is none."""
-        token = F.get(tokens, i)
-        return F.when(i < n, end + F.length(token) - F.length(F.regexp_extract(token, pattern, 0)))
-
-    def step(size: Column, days: Column, n: Column, times: Column, m: Column):
-        def take(acc: Column, _: Column) -> Column:
-            by_day = F.coalesce(acc["day_at"] < acc["time_at"], acc["day_at"].isNotNull())
-            i, j = acc["i"] + by_day.cast("int"), acc["j"] + (~by_day).cast("int")
-            day_end = F.when(by_day, acc["day_end"] + F.length(F.get(days, acc["i"]))).otherwise(acc["day_end"])
-            time_end = F.when(by_day, acc["time_end"]).otherwise(acc["time_end"] + F.length(F.get(times, acc["j"])))
-            day = F.when(by_day, F.regexp_extract(F.get(days, acc["i"]), PLAIN_DATE, 0)).otherwise(acc["day"])
-            time = F.when(by_day, acc["time"]).otherwise(F.regexp_extract(F.get(times, acc["j"]), PLAIN_TIME, 0))
-            at = F.when(by_day, acc["day_at"]).otherwise(acc["time_at"])
-
-            def paired(x: Column) -> Column:
-                padded = F.when(F.length(x["time"]) == 4, F.concat(F.lit("0"), x["time"])).otherwise(x["time"])
-                full, early = F.concat(x["day"], F.lit(" "), padded), x["at"] * 2 < size
-                return F.struct(
-                    x["i"].alias("i"),
-                    x["j"].alias("j"),
-                    x["day_end"].alias("day_end"),
-                    x["time_end"].alias("time_end"),
-                    begin(days, n, x["i"], x["day_end"], PLAIN_DATE).alias("day_at"),
-                    begin(times, m, x["j"], x["time_end"], PLAIN_TIME).alias("time_at"),
-                    F.when(full.isNull(), x["day"]).alias("day"),
-                    F.when(full.isNull(), x["time"]).alias("time"),
-                    F.coalesce(acc["first"], F.when(early, full)).alias("first"),
-                    F.when(full.isNotNull() & ~early, full).otherwise(acc["last"]).alias("last"),
-                )
-
-            names = {"i": i, "j": j, "day_end": day_end, "time_end": time_end, "day": day, "time": time, "at": at}
-            return let(F.struct(*[v.alias(k) for k, v in names.items()]), paired)
-
-        return take
-
-    def fold(body: Column, days: Column, n: Column, times: Column, m: Column) -> Column:
-        zero = F.lit(0)
-        start = F.struct(
-            zero.alias("i"), zero.alias("j"), zero.alias("day_end"), zero.alias("time_end"),
-            begin(days, n, zero, zero, PLAIN_DATE).alias("day_at"), begin(times, m, zero, zero, PLAIN_TIME).alias("time_at"),
-            text.alias("day"), text.alias("time"), text.alias("first"), text.alias("last"),
-        )
-        # Without a date or a time there is nothing to pair.
-        turns = F.when((n > 0) & (m > 0), F.sequence(F.lit(1), F.greatest(n + m, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-        done = F.aggregate(turns, start, step(F.length(body), days, n, times, m))
-        return let(done, lambda x: _range(c, x["first"], x["last"]))
+
+    def cut(body: Column, pattern: str, use) -> Column:
+        return let(_all(body, pattern), lambda found: let(F.split(body, pattern, -1), lambda gaps: use(found, gaps)))
 
     def search(body: Column) -> Column:
-        with_times = lambda days, n: let(
-            _tokens(body, PLAIN_TIME), lambda times: let(_matches(times, PLAIN_TIME), lambda m: fold(body, days, n, times, m))
-        )
-        return let(_tokens(body, PLAIN_DATE), lambda days: let(_matches(days, PLAIN_DATE), lambda n: with_times(days, n)))
+        size = F.length(body)
+
+        def apart() -> Column:
+            return cut(body, PLAIN_DATE, lambda days, a: cut(body, PLAIN_TIME, lambda times, b: _merged(size, days, a, times, b)))
+
+        next_to = lambda gap: (gap == "") | F.substring(gap, 1, 1).isin(":", "/") | (F.substring(gap, 2, 1) == "/")
+        close = lambda gap, i: (i > 0) & next_to(gap)
+        glued = lambda gaps: F.exists(F.transform(gaps, close), lambda x: x)
+        done = cut(body, MARK, lambda found, gaps: F.when(glued(gaps), apart()).otherwise(_in_turn(size, found, gaps)))
+        return let(done, lambda x: _range(c, x["first"], x["last"]))
 
     return let(narrative_body(c), search)
 
@@ -192,11 +206,11 @@ def closing_lines_range(c: Column) -> Column:
 
 
 # A day or an hour of one digit.
-SHORT_HOUR = r"\b(\d)(?=:\d{2})"
+SHORT_HOUR = r"(\d)(?<=\b\d)(?=:\d{2})"
 FIRST_DAY = r"(?m)^(\d)(?=/)"
-SECOND_DAY = r"(?U)(?<=hasta el día\s)(\d)(?=/)"
-SECOND_DAY_ANY_CASE = r"(?iU)(?<=hasta el día\s)(\d)(?=/)"
-ANY_DAY = r"\b(\d)(?=/\d{1,2}/\d{4})"
+SECOND_DAY = r"(?U)(hasta el día\s)(\d)(?=/)"
+SECOND_DAY_ANY_CASE = r"(?iU)(hasta el día\s)(\d)(?=/)"
+ANY_DAY = r"(\d)(?<=\b\d)(?=/\d{1,2}/\d{4})"
 
 
 def pad_hours(c: Column) -> Column:
@@ -209,62 +223,64 @@ def pad_period(c: Column, any_case: bool = True) -> Column:
     Annexes may write those words in any case, outage blocks only as they are.
     """
     second = SECOND_DAY_ANY_CASE if any_case else SECOND_DAY
-    return pad_hours(F.regexp_replace(F.regexp_replace(c, FIRST_DAY, "0$1"), second, "0$1"))
+    return pad_hours(F.regexp_replace(F.regexp_replace(c, FIRST_DAY, "0$1"), second, "$10$2"))
 
 
 def pad_date_time(c: Column) -> Column:
     return pad_hours(F.regexp_replace(c, ANY_DAY, "0$1"))
 
 
-def _block(header: Column, periods: Column, total: Column) -> Column:
-    empty = lambda x: F.coalesce(x, F.lit(""))
-    return F.struct(
-        empty(header).alias("header"),
-        empty(periods).alias("periods"),
-        empty(total).alias("total"),
-    )
-
-
-# One scan of the text finds the lines of a block: each match is a line from its first character that is no
-# blank on, and only a line that matters is in the group.  Lines end at any line break; a pattern made for one line
-# may not look past it.
+def _words(text: str) -> str:
+    return f"(?iU:{text})"
 
 
-def _within_line(pattern: str) -> str:
-    """A one-line pattern without flags, anchors and the open end, that stays within a line of a text."""
-    inner = pattern.partition(")")[2].removeprefix("^").removesuffix("$").removesuffix(".*")
-    return inner.replace(".*", f"{_REST}*").replace(r"\s", rf"[\s&&{_REST}]").replace(r"(\d{1,", r"(?:\d{1,")
+_OTHER_BREAKS = [x for x in _BREAKS if x != "\n"]
 
 
-def _line_scan(*patterns: str) -> str:
-    return rf"(?iU){_BLANKS}(?:({'|'.join(patterns)}){_REST}*|{_REST}+)"
+def _unix(c: Column) -> Column:
+    """The text with line feeds for all line breaks; few texts have others, and a look for these is cheap."""
+    other = reduce(lambda a, b: a | b, [F.contains(c, F.lit(x)) for x in _OTHER_BREAKS])
+    return F.when(other, F.regexp_replace(c, f"\r\n|[{''.join(_OTHER_BREAKS)}]", "\n")).otherwise(c)
 
 
-# Of loose lines all is kept; a period and a total of the strict form end where their pattern does.
-LOOSE_LINES = _line_scan("(?:" + "|".join(_within_line(p) for p in (BLOCK_HEADER, BLOCK_PERIOD, BLOCK_TOTAL)) + f"){_REST}*")
-STRICT_LINES = _line_scan(f"{_within_line(FULL_HEADER)}{_REST}*", _within_line(FULL_PERIOD), f"{_REST}*{_within_line(FULL_TOTAL)}")
-_JOINER = r"(?iU)\s+hasta el día\s+"
+# A line of such a text, from its first character that is no blank on; patterns for lines may not look past a line feed.
+_LINE = f"(?md)^{_BLANKS}"
+_FILLED = f"[^{WHITESPACE}]"
+_REST_FILLED = rf"(?:[^\n]*{_FILLED})?"
+# The patterns above for lines of a text, with flags on their words only.
+_OUTAGE = "Se tuvo indisponibilidad por parte del cliente"
+_FULL_OUTAGE = _words(_OUTAGE + r" para continuar los trabajos el/los día\(s\)")
+_UNTIL, _TOTAL, _HOURS = _words("hasta el día"), rf"\({_words('Total de horas sin acceso a la sede:')}{_SPACE}*", rf"{_SPACE}*{_words('horas')}\)"
+_MOMENT = rf"\p{{Nd}}{{1,2}}/\p{{Nd}}{{1,2}}/\p{{Nd}}{{4}}{_SPACE}+\p{{Nd}}{{1,2}}:\p{{Nd}}{{2}}"
+_SECOND = rf"{_MOMENT}:\p{{Nd}}{{2}}"
+_SPAN = f"{_SECOND}{_SPACE}+{_UNTIL}{_SPACE}+{_SECOND}"
+HEADER_LINE = f"{_LINE}({_words(_OUTAGE)}{_REST_FILLED})"
+PERIOD_LINE = rf"{_LINE}({_MOMENT}[^\n]*{_UNTIL}{_SPACE}+{_MOMENT}{_REST_FILLED})"
+TOTAL_LINE = rf"{_LINE}{_TOTAL}(\p{{Nd}}{{1,3}}:\p{{Nd}}{{2}}){_HOURS}"
+FULL_HEADER_LINE = f"{_LINE}({_FULL_OUTAGE}{_REST_FILLED})"
+SPAN_LINE = f"{_LINE}({_SPAN})"
+LAST_TOTAL_LINE = rf"{_LINE}(?!{_FULL_OUTAGE}|{_SPAN})[^\n]*?{_TOTAL}(\p{{Nd}}{{1,2}}:\p{{Nd}}{{2}}){_HOURS}"
+_JOINER = rf"{_SPACE}+{_UNTIL}{_SPACE}+"
 
 
-def _lines_found(c: Column, scan: str) -> Column:
-    return F.filter(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(scan), F.lit(1)), lambda x: x != "")
+def _every(c: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
 
 
-def _is_header(line: Column) -> Column:
-    return F.upper(F.substring(line, 1, 7)) == "SE TUVO"
+def _block(header: Column, periods: Column, total: Column) -> Column:
+    empty = lambda x: F.coalesce(x, F.lit(""))
+    return F.struct(
+        empty(header).alias("header"),
+        empty(periods).alias("periods"),
+        empty(total).alias("total"),
+    )
 
 
 def outage_block(c: Column) -> Column:
-    """Struct (header, periods, total): first header, padded period lines, first total."""
-
-    def parts(ls: Column) -> Column:
-        total = lambda x: F.startswith(x, F.lit("("))
-        header = strip(F.try_element_at(F.filter(ls, _is_header), F.lit(1)))
-        periods = F.transform(F.filter(ls, lambda x: ~_is_header(x) & ~total(x)), strip)
-        found = F.regexp_extract(pad_hours(F.try_element_at(F.filter(ls, total), F.lit(1))), BLOCK_TOTAL, 1)
-        return _block(header, pad_period(F.array_join(periods, "\n"), any_case=False), found)
-
-    return let(_lines_found(c, LOOSE_LINES), parts)
+    """Struct (header, periods, total): first header, padded period lines, first total.  Each is one scan of the text."""
+    c = _unix(c)
+    periods = pad_period(F.array_join(_every(c, PERIOD_LINE), "\n"), any_case=False)
+    return _block(F.regexp_extract(c, HEADER_LINE, 1), periods, pad_hours(F.regexp_extract(c, TOTAL_LINE, 1)))
 
 
 def outage_block_strict(c: Column) -> Column:
@@ -272,13 +288,7 @@ def outage_block_strict(c: Column) -> Column:
 
     A line counts once: as a header, else as a period, else as a total.
     """
-
-    def parts(ls: Column) -> Column:
-        head = lambda x: _is_header(x) & x.rlike(FULL_HEADER)
-        total = lambda x: ~head(x) & F.endswith(x, F.lit(")"))
-        header = strip(F.try_element_at(F.filter(ls, head), F.lit(-1)))
-        periods = F.array_join(F.filter(ls, lambda x: ~head(x) & ~F.endswith(x, F.lit(")"))), "\n")
-        found = F.regexp_extract(F.try_element_at(F.filter(ls, total), F.lit(-1)), FULL_TOTAL, 1)
-        return _block(header, pad_date_time(F.regexp_replace(periods, _JOINER, " hasta el día ")), pad_hours(found))
-
-    return let(_lines_found(c, STRICT_LINES), parts)
+    c = _unix(c)
+    header = F.try_element_at(_every(c, FULL_HEADER_LINE), F.lit(-1))
+    periods = F.regexp_replace(F.array_join(_every(c, SPAN_LINE), "\n"), _JOINER, " hasta el día ")
+    return _block(header, pad_date_time(periods), pad_hours(F.try_element_at(_every(c, LAST_TOTAL_LINE), F.lit(-1))))
