@@ -22,6 +22,9 @@ _LOW = np.uint64(0xFFFFFFFF)
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+#: A word is hashed as a polynomial modulo two primes: modulo a power of two, long words built by a
+#: simple rule collide whatever the base.  Prime, base and a value for each byte.
+_PRIMES = [(p, b, np.random.default_rng(b).integers(1, p, 256, dtype=np.uint64)) for p, b in ((2**31 - 1, 1_103_515_245), (2**31 - 19, 48_271_977))]
 #: Units that are hashed together; longer texts are cut into overlapping chunks.
 CHUNK = 1 << 18
 #: Windows of a segment at most.
@@ -44,6 +47,15 @@ def _power(odd: int = _ODD, n: int = 2 * CHUNK) -> np.ndarray:
     return _TABLES[odd]
 
 
+def _prime_powers(prime: int, base: int, n: int) -> np.ndarray:
+    """Powers of ``base`` modulo ``prime``, by doubling, made once in each task."""
+    have = _TABLES.get(prime, np.ones(1, np.uint64))
+    while len(have) < n:
+        have = np.concatenate((have, have * np.uint64(pow(base, len(have), prime)) % np.uint64(prime)))
+    _TABLES[prime] = have
+    return have
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(31))
     h *= np.uint64(0xBF58476D1CE4E5B9)
@@ -96,12 +108,16 @@ def word_units(data: np.ndarray, at: np.ndarray) -> Units:
     closes[:-1] &= ~in_word[1:] | edge[1:n]
     begin, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
     if len(begin):
-        power = _power(n=int((end - begin).max()))
-        value = np.where(in_word, _BYTE[part], np.uint64(0))
+        longest = int((end - begin).max())
         inside = np.arange(n) - begin[np.maximum(np.cumsum(opens) - 1, 0)]
         inside[~in_word] = 0
-        value *= power[np.maximum(inside, 0)]
-        hashes = mix(np.add.reduceat(value, begin) + (end - begin).astype(np.uint64))
+        inside, both = np.maximum(inside, 0), []
+        for prime, base, table in _PRIMES:
+            value = np.where(in_word, table[part], np.uint64(0))
+            value *= _prime_powers(prime, base, longest)[inside]
+            value %= np.uint64(prime)
+            both.append(np.add.reduceat(value, begin) % np.uint64(prime))
+        hashes = mix((both[0] << np.uint64(32) | both[1]) + (end - begin).astype(np.uint64) * np.uint64(_ODD))
     else:
         hashes = np.zeros(0, np.uint64)
     return Units(hashes, begin + at[0], end + at[0], np.searchsorted(begin, at - at[0]))

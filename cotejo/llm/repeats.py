@@ -16,6 +16,7 @@ document with a smaller doc_id, or in the same one further left.
    digest of its units, so that no task gets a group that grows with the input.
 5. What is covered returns to its document as ranges of units.
 
+Very long texts are cut into chunks and segments; a task holds one text and one group of segments.
 Rows without doc_id come before all others.  Rows that share a doc_id but differ
 in text are ordered by a hash of the text; rows equal in both are one document
 and have equal results.  Null texts are empty.
@@ -191,7 +192,8 @@ def noted(docs: DataFrame, kind: Kind) -> DataFrame:
     def cut(which: DataFrame, single: bool) -> DataFrame:
         lists = which.groupBy("_id", "_text").agg(F.collect_list(F.struct("anchor", "at", "n")).alias("wanted"))
         # All columns of the texts go in, so that the shuffle of the texts is the one below.
-        found = texts.join(lists, ["_id", "_text"]).select("doc_id", "text", "_id", "_text", "wanted")
+        found = texts.join(lists, ["_id", "_text"]).groupBy("_id", "_text").agg(*[F.first(c).alias(c) for c in ("doc_id", "text", "wanted")])
+        found = found.select("doc_id", "text", "_id", "_text", "wanted")  # one of repeated rows
         return found.mapInArrow(_cut(kind, single), "_id long, _text long, anchor long, at int, n int, piece binary")
 
     few, hot = wanted.filter(F.col("_kinds") <= kind.hot), wanted.filter(F.col("_kinds") > kind.hot)
@@ -209,6 +211,6 @@ def noted(docs: DataFrame, kind: Kind) -> DataFrame:
         .unionAll(note(hot, HOT_SEGMENT))
         .unionAll(note(single, FIRST_WINDOW))
         .groupBy("_id", "_text")
-        .agg(F.collect_list(F.struct("kind", "at", "n")).alias("notes"))
+        .agg(F.collect_set(F.struct("kind", "at", "n")).alias("notes"))  # those of repeated rows are equal
     )
     return texts.join(notes, ["_id", "_text"], "left").select("doc_id", "text", "notes")

@@ -131,3 +131,31 @@ def test_matching_statistics():
             want.append(best)
         assert automaton.stream(s) == want
         before.append(s)
+
+
+@pytest.mark.parametrize("order", [10, 11])
+def test_words_that_collide_modulo_powers_of_two_differ(docs, order):
+    """The Thue-Morse word and its complement have one polynomial hash modulo 2 ** 64, whatever the base."""
+    bits = [bin(i).count("1") % 2 for i in range(2**order)]
+    one, other = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    words = [f"w{i}" for i in range(25)]
+    rows = [(1, " ".join(words[:12] + [one] + words[12:])), (2, " ".join(words[:12] + [other] + words[12:])), (3, " ".join(words[:12] + [one] + words[12:]))]
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(docs(rows)).collect()}
+    assert got == {1: 0, 2: 0, 3: 26}
+    data = np.frombuffer(f"{one} {other}".encode(), np.uint8)
+    assert len(set(anchors.word_units(data, np.array([0, len(data)])).hashes.tolist())) == 2
+
+
+@pytest.mark.parametrize("module, units, join, total", CASES)
+def test_many_repeated_rows(spark, docs, module, units, join, total):
+    """2000 copies of one row and 1000 of another: notes and segments follow the rows, not their square."""
+    one = "the quick brown fox jumps over the lazy dog and runs away from all the others that are here " * 3
+    other = "x " + one + " y"
+    rows = [(1, one)] * 2000 + [(2, other)] * 1000 + [(3, "other words here")]
+    want = {i: v for (i, _), v in brute(rows, *((20,) if module is substring_dedup else (100,)), units, join).items()}
+    got = module.remove_repeats(docs(rows)).collect()
+    assert len(got) == len(rows)
+    assert {(r["doc_id"], r[total], r["n_removed"], r["kept_sha256"]) for r in got} == {(i, *v[:3]) for i, v in want.items()}
+    noted = module.repeats.noted(docs(rows), module.kind())
+    size = {r["doc_id"]: r["n"] for r in noted.selectExpr("doc_id", "coalesce(size(notes), 0) AS n").distinct().collect()}
+    assert max(size.values()) < 1000
