@@ -149,13 +149,22 @@ class Bundle:
         """The frames of records; the last entry of the table is the index."""
         return map(self.frame, range(len(self.frames) - 1))
 
-    def index(self) -> dict[str, tuple[int, int]]:
+    def index(self) -> dict[str, list[tuple[int, int]]]:
+        """Places of the records of each identifier, in the order of the bundle; several where it is repeated."""
         at, packed, _ = self.frames[-1]
         lines = self.unpress.decompressobj().decompress(self.file.read_at(packed - 8, at + 8)).decode().splitlines()
-        return {k: (int(i), int(o)) for k, i, o in (x.split("\t") for x in lines)}
+        out: dict[str, list[tuple[int, int]]] = {}
+        for k, i, o in (x.split("\t") for x in lines):
+            out.setdefault(k, []).append((int(i), int(o)))
+        return out
+
+    def records(self, identifier: str) -> list:
+        """All records with an identifier; each takes one frame."""
+        return [next(parsed(self.frame(i), at)) for i, at in self.index().get(identifier, [])]
 
     def record(self, identifier: str):
-        i, at = self.index()[identifier]
+        """The first record with an identifier."""
+        i, at = self.index()[identifier][0]
         return next(parsed(self.frame(i), at))
 
     def close(self) -> None:
@@ -193,7 +202,8 @@ def read_bundles(bundles: DataFrame) -> DataFrame:
     """Every record of the bundles: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload.
 
     Responses are measured anew; length and digest of a revisit's payload are
-    those that the record states.
+    those that the record states.  A task reads one bundle, a frame at a time; a very long
+    record is a frame of its own.
     """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +224,8 @@ def read_bundles(bundles: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
                 source.close()
 
-    spread = bundles.select("path").repartition(F.col("path"))
+    # A given number of partitions is not merged, however short the paths are.
+    spread = bundles.select("path").repartition(max(1, bundles.count()))
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
     return spread.mapInArrow(batches, schema)
 
