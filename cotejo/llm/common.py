@@ -29,6 +29,47 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def appended(items: Column, at: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]], block: int = 256) -> Column:
+    """Struct (at, out) of a left fold that carries a number and appends: ``step(at, x)`` gives the new number and an array of ``kind``.
+
+    Appending copies what is there already, so items are folded in blocks and the blocks put
+    together at the end: the cost of a long array is its length times ``block``, not its square.
+    """
+    one, all_ = (F.array().cast(t) for t in (f"array<{kind}>", f"array<array<{kind}>>"))
+
+    def inside(state: Column, x: Column) -> Column:
+        number, more = step(state["at"], x)
+        return F.struct(number.alias("at"), F.concat(state["out"], more).alias("out"))
+
+    def over(state: Column, b: Column) -> Column:
+        part = F.aggregate(F.slice(items, b * block + 1, F.lit(block)), F.struct(state["at"].alias("at"), one.alias("out")), inside)
+        return let(part, lambda r: F.struct(r["at"].alias("at"), F.concat(state["out"], F.array(r["out"])).alias("out")))
+
+    blocks = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.floor((F.size(items) - 1) / block).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(blocks, F.struct(at.alias("at"), all_.alias("out")), over, lambda s: F.struct(s["at"].alias("at"), F.flatten(s["out"]).alias("out")))
+
+
+#: Characters of a chunk of a text that is cut at many places.
+CHUNK = 4096
+
+
+def chunks(text: Column) -> Column:
+    """The text in chunks of CHUNK characters, so that a place in it is found without counting from its start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def between(cut: Column, a: Column, b: Column) -> Column:
+    """Characters from ``a`` up to ``b`` (from 0, end exclusive) of a text in chunks."""
+
+    def parts(i: Column, j: Column) -> Column:
+        inside = F.get(cut, i).substr(a % CHUNK + 1, b - a)
+        middle = F.array_join(F.slice(cut, i + 2, F.greatest(j - i - 1, F.lit(0))), "")
+        across = F.concat(F.get(cut, i).substr(a % CHUNK + 1, F.lit(CHUNK)), middle, F.get(cut, j).substr(F.lit(1), b - j * CHUNK))
+        return F.when(b <= a, F.lit("")).when(i == j, inside).otherwise(across)
+
+    return let(F.struct(F.floor(a / CHUNK).cast("int").alias("i"), F.floor((b - 1) / CHUNK).cast("int").alias("j")), lambda x: parts(x["i"], x["j"]))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which driver and executors share.
 

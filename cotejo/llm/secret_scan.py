@@ -7,6 +7,7 @@ for each blob that is left, notes findings and then pairs, and joins the finding
 all blobs back to all rows.  A run that dies between the two notes scans its blobs again; equal
 findings count once.
 
+Very long texts and texts of very many secrets cost their length; a text is one row of one task.
 Places are code points.  They come from the pieces between matches, whose
 lengths add up to the places of the matches; column functions only.
 """
@@ -15,10 +16,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, documents, new_folder, written
+from .common import NO_ID, appended, between, chunks, documents, let, new_folder, written
 
 
 @dataclass(frozen=True)
@@ -52,16 +54,15 @@ def matches(text: Column, rule: Rule, number: int) -> Column:
     gaps = F.split(text, rule.pattern, -1)
     each = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit"), kept.alias("value"))
     each = F.transform(each, lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("hit"), F.length(x["value"]).alias("value")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
+    none = F.array().cast(f"array<{_SPAN}>")
 
-    def step(state: Column, x: Column) -> Column:
-        a = state["at"] + x["gap"]
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        a = at + x["gap"]
         span = F.struct(a.alias("start"), F.lit(number).alias("rule"), (a + x["hit"]).alias("end"))
-        spans = F.when(x["value"] >= rule.least, F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
-        return F.struct((a + x["hit"]).alias("at"), spans.alias("spans"))
+        return a + x["hit"], F.when(x["value"] >= rule.least, F.array(span)).otherwise(none)
 
-    found = F.aggregate(each, start, step, lambda state: state["spans"])
-    return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast(f"array<{_SPAN}>"))
+    found = let(each, lambda x: appended(x, F.lit(0), _SPAN, step)["out"])
+    return F.when(text.rlike(rule.pattern), found).otherwise(none)
 
 
 class Ledger:
@@ -73,9 +74,12 @@ class Ledger:
 
     def _table(self, name: str, schema: str) -> DataFrame:
         """A table of the ledger; empty before the first scan."""
-        empty = self.spark.createDataFrame([], schema)
-        empty.write.mode("append").parquet(f"{self.folder}/{name}")
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
 
     def _seen(self) -> DataFrame:
         return self._table("scanned", "blob binary, pair string")
@@ -97,7 +101,7 @@ class Ledger:
         fresh = fresh.withColumn("pairs", F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>")))).filter(F.size("pairs") > 0)
         fresh = written(fresh.select("blob", "k._id", "k._text", "pairs"), "fresh")
 
-        texts = keyed.join(fresh, ["_id", "_text"])
+        texts = keyed.join(fresh, ["_id", "_text"]).groupBy("_id", "_text").agg(*[F.first(c).alias(c) for c in ("blob", "text", "pairs")])  # one of repeated rows
         none = F.array().cast(f"array<{_SPAN}>")
         by_rule = [F.when(F.array_contains("pairs", name), matches(F.col("text"), r, i)).otherwise(none) for i, (name, r) in enumerate(zip(self.names, self.rules))]
         spans = texts.select("blob", F.explode(F.concat(*by_rule)).alias("s"))
@@ -137,13 +141,16 @@ def redacted(docs: DataFrame, ledger: Ledger) -> DataFrame:
     keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.xxhash64("text").alias("_text"), row.alias("_row"))
     text = F.col("_row.text")
 
-    def step(state: Column, s: Column) -> Column:
-        new = F.concat(state["out"], text.substr(state["end"] + 1, s["start"] - state["end"]), F.lit("[REDACTED]"))
-        apart = s["start"] >= state["end"]
-        return F.struct(F.greatest(state["end"], s["end"]).alias("end"), F.when(apart, new).otherwise(state["out"]).alias("out"))
+    def step(end: Column, s: Column) -> tuple[Column, Column]:
+        """What is left between two runs of overlapping spans."""
+        gap = F.struct(end.alias("a"), s["start"].alias("b"))
+        return F.greatest(end, s["end"]), F.when(s["start"] >= end, F.array(gap)).otherwise(F.array().cast("array<struct<a: int, b: int>>"))
 
-    start = F.struct(F.lit(0).alias("end"), F.lit("").alias("out"))
-    clean = F.aggregate("_spans", start, step, lambda state: F.concat(state["out"], text.substr(state["end"] + 1, F.length(text))))
+    def clean_text(cut: Column, gaps: Column) -> Column:
+        kept = F.array_join(F.transform(gaps["out"], lambda g: F.concat(between(cut, g["a"], g["b"]), F.lit("[REDACTED]"))), "")
+        return F.concat(kept, between(cut, gaps["at"], F.length(text)))
+
+    clean = let(chunks(text), lambda cut: let(appended(F.col("_spans"), F.lit(0), "struct<a: int, b: int>", step), lambda gaps: clean_text(cut, gaps)))
     joined = keyed.join(spans, ["_id", "_text"], "left")
     joined = joined.withColumn("_row", F.col("_row").withField("text", F.when(F.col("_spans").isNull(), text).otherwise(clean)))
     return joined.select("_row.*")

@@ -73,6 +73,24 @@ def test_redacted(docs, spark):
     assert empty.count() == 0
 
 
+def test_very_many_secrets_in_long_texts(docs, spark):
+    import time
+
+    took = {}
+    for n in (10_000, 100_000):
+        text = "é 0123456789abcdef1 xyz AKIAABCDEFGHIJKLMN token: 'abcdefghijkl'\n" * (n // 3)
+        df = docs([(1, text), (2, "x" * 5000 + " 0123456789abcdef0 " + "y" * 9000 + " tail")])
+        t0 = time.perf_counter()
+        ledger = secret_scan.Ledger(spark, new_folder(spark, "ledger"))
+        got = {r["doc_id"]: r["text"] for r in secret_scan.redacted(df, ledger).collect()}
+        took[n] = time.perf_counter() - t0
+        assert got[1] == "é [REDACTED] xyz [REDACTED] [REDACTED]'\n" * (n // 3)
+        assert got[2] == "x" * 5000 + " [REDACTED] " + "y" * 9000 + " tail"
+        r = secret_scan.scanned(df.filter("doc_id = 1"), ledger).first()
+        assert (r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) == base(text)
+    assert took[100_000] < 20 * took[10_000] + 5
+
+
 PAGES = [(1, "http://a b\r\nX: y", "<p>one</p>"), (2, None, "<p>one</p>"), (3, "u", None), (4, "u", ""), (5, "u", "é\r\n\r\nWARC/1.1\r\n" * 50), (5, "u", "twice"), (5, "u", "twice"), (None, "n", "<p>one</p>"), (9, "n", "x" * 5000)]
 
 
@@ -111,5 +129,21 @@ def test_one_record_by_identifier(tmp_path):
     bundle.close()
 
 
+def test_repeated_identifiers_and_reading_tasks(spark, tmp_path):
+    writer = bundles.Writer(str(tmp_path), frame=300)
+    for i in (7, 8, 7, 9, 7):
+        writer.add(bundles.record_id(i), bundles.record(i, f"http://x/{i}", b"page %d" % i * 30, None, False))
+    writer.close()
+    bundle = bundles.Bundle(writer.done[0][0])
+    assert len(bundle.records(bundles.record_id(7))) == 3 and len(bundle.records(bundles.record_id(8))) == 1 and bundle.records("none") == []
+    assert [len(x) for x in bundle.index().values()] == [3, 1, 1]
+    bundle.close()
+    many = spark.createDataFrame([(i, "u", "x" * 2000 + str(i)) for i in range(300)], "page_id long, url string, html string").repartition(3)
+    made = bundles.write_bundles(many, new_folder(spark, "archives"), frame=2000, bundle=2000)
+    read = bundles.read_bundles(made)
+    assert made.count() > 20 and read.rdd.getNumPartitions() == made.count()
+    assert read.selectExpr("page_id").distinct().count() == 300
+
+
 def test_archives_equal_sql(spark):
     same(spark, bundles.query, bundles.SQL, SF)
