@@ -2,9 +2,10 @@
 
 Fingerprints of 64 bits are cut into ``BLOCKS`` blocks.  Two that differ in at most
 ``RADIUS`` bits agree in all but RADIUS blocks, so for one choice of the others
-they share a bucket.  Only different fingerprints are compared, by buckets:
-the differences of many pairs are laid out as vertical bit planes, 64 pairs to
-a word; carry-save counters add up the planes, and words in which every pair is
+they share a bucket.  Only different fingerprints are compared, by buckets.  A task stores its
+buckets vertically, once: 64 bit planes, 64 fingerprints to a word.  All pairs of some distance in
+their order are compared at once, each plane with itself moved on by that distance;
+carry-save adders count the differences, and words in which every pair is
 beyond the radius are given up.  Pairs that are linked already are not compared
 again and a bucket gives at most one link less than it has members, so even
 a bucket of thousands of near copies sends few links on.
@@ -17,7 +18,7 @@ those bits as well.  After ``LEVELS`` cuts 15 bits are left, which bounds a buck
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -72,44 +73,77 @@ def masks(radius: int = RADIUS, blocks: int = BLOCKS, within: int = ALL_BITS) ->
     return [sum(x) for x in combinations(part, blocks - radius)]
 
 
-def near(difference: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """Which of many 64-bit differences have at most ``radius`` bits set, counted by bit planes.
+_FULL = np.uint64(ALL_BITS)
+
+
+def vertical(fps: np.ndarray) -> np.ndarray:
+    """Bit planes of many fingerprints, 64 of them to a word: row b holds bit b of all.  Two empty words follow."""
+    n = len(fps)
+    bits = np.zeros(((n + 63) // 64 * 64 + 128, 64), np.uint8)
+    bits[:n] = np.unpackbits(np.ascontiguousarray(fps, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
+
+
+def _add(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Carry-save addition of three planes: the sums and the carries of all their bits."""
+    u = a ^ b
+    return u ^ c, a & b | u & c
+
+
+def within(differences: Callable[[int, np.ndarray], np.ndarray], asked: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """Which of the ``asked`` bits of some words stand for pairs with at most ``radius`` differing bits.
 
-    A counter of a few bits a pair starts so that it overflows when the radius is
-    passed.  After each eight planes, words of 64 pairs that all overflowed drop out.
+    ``differences`` gives eight bit planes of differences from a plane on, for words by number.  Four planes go through
+    three carry-save adders into the ones and twos of a vertical counter, which starts so that it overflows when
+    the radius is passed.  After each eight planes words in which all that is asked is beyond it are given up.
     """
-    n = len(difference)
-    words = -(-n // 64)
-    padded = np.zeros(words * 64, np.uint64)
-    padded[:n] = difference
-    column = padded.view(np.uint8).reshape(words, 64, 8)
-    size = max(radius.bit_length(), 1)
+    size = max(radius.bit_length(), 2)
     start = (1 << size) - 1 - radius
-    counter = [np.full(words, 0 if not start >> i & 1 else 0xFFFFFFFFFFFFFFFF, np.uint64) for i in range(size)]
-    far = np.zeros(words, np.uint64)
-    open_, out = np.arange(words), np.zeros(words, np.uint64)
-    full = np.uint64(0xFFFFFFFFFFFFFFFF)
-    out[:] = full
-    for byte in range(8):
-        bits = np.unpackbits(column[open_, :, byte].reshape(-1, 64, 1), axis=2, bitorder="little")
-        planes = np.ascontiguousarray(np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little")).view(np.uint64)[:, :, 0]
-        for carry in planes:
-            for i in range(size):
-                counter[i], carry = counter[i] ^ carry, counter[i] & carry
+    counter = [np.full(len(asked), _FULL if start >> i & 1 else 0, np.uint64) for i in range(size)]
+    far, open_, out = np.zeros(len(asked), np.uint64), np.arange(len(asked)), np.zeros(len(asked), np.uint64)
+    for p in range(0, 64, 8):
+        x = differences(p, open_)
+        for i in (0, 4):
+            counter[0], low = _add(counter[0], x[i], x[i + 1])
+            counter[0], high = _add(counter[0], x[i + 2], x[i + 3])
+            counter[1], carry = _add(counter[1], low, high)
+            for j in range(2, size):
+                counter[j], carry = counter[j] ^ carry, counter[j] & carry
             far |= carry
-        keep = far != full
+        keep = asked[open_] & ~far != 0
         if not keep.all():
             open_, far, counter = open_[keep], far[keep], [c[keep] for c in counter]
             if not len(open_):
-                break
-    out[open_] = far
-    return np.unpackbits(out.view(np.uint8), bitorder="little")[:n] == 0
+                return out
+    out[open_] = asked[open_] & ~far
+    return out
+
+
+def near(difference: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """Which of many 64-bit differences have at most ``radius`` bits set."""
+    n, planes = len(difference), vertical(difference)
+    hit = within(lambda p, words: planes[p : p + 8, words], np.full((n + 63) // 64, _FULL, np.uint64), radius)
+    return np.unpackbits(hit.view(np.uint8), bitorder="little")[:n] == 1
+
+
+def near_ahead(planes: np.ndarray, words: np.ndarray, asked: np.ndarray, shift: int, radius: int = RADIUS) -> np.ndarray:
+    """Which of the ``asked`` fingerprints of some words are near the one ``shift`` places on: each plane against itself moved on."""
+    q, r = divmod(shift, 64)
+
+    def differences(p: int, open_: np.ndarray) -> np.ndarray:
+        here, part = words[open_], planes[p : p + 8]
+        on = part[:, here + q]
+        if r:
+            on = on >> np.uint64(r) | part[:, here + q + 1] << np.uint64(64 - r)
+        return part[:, here] ^ on
+
+    return within(differences, asked, radius)
 
 
 def links(group: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Links that join what is near within each group of consecutive rows, as row numbers."""
     n = len(fps)
-    label = np.arange(n)
+    label, planes = np.arange(n), vertical(fps)
     a: list[int] = []
     b: list[int] = []
 
@@ -127,16 +161,20 @@ def links(group: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.
         if not len(rows):
             return np.array(a, np.int64), np.array(b, np.int64)
         left = rows[label[rows] != label[rows + shift]]
-        found = left[near(fps[left] ^ fps[left + shift], radius)] if len(left) else left
-        for i in found.tolist():
-            p, q = root(i), root(i + shift)
-            if p != q:
-                label[max(p, q)] = min(p, q)
-                a.append(i)
-                b.append(i + shift)
-        if len(found):
-            while (label != label[label]).any():
-                label = label[label]
+        if len(left):
+            word, bit = left >> 6, np.uint64(1) << (left & 63).astype(np.uint64)
+            first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            hit = near_ahead(planes, word[first], np.bitwise_or.reduceat(bit, first), shift, radius)
+            found = left[np.repeat(hit, np.diff(np.append(first, len(left)))) & bit != 0]
+            for i in found.tolist():
+                p, q = root(i), root(i + shift)
+                if p != q:
+                    label[max(p, q)] = min(p, q)
+                    a.append(i)
+                    b.append(i + shift)
+            if len(found):
+                while (label != label[label]).any():
+                    label = label[label]
         shift += 1
 
 
@@ -236,8 +274,9 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) ->
     """``docs`` with one row of each group of near-duplicates, that with the smallest doc_id; all columns stay."""
     found = near_groups(docs, radius, blocks)
     keep = found.filter("_id = group_id and _text = group_text").select(F.col("_id"), F.col("_text")).distinct()
+    # Of rows equal in doc_id and text the one that is first by a hash of all columns.
     keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.xxhash64("text").alias("_text"), F.struct(*(docs[c] for c in docs.columns)).alias("_row"))
-    kept = keyed.join(keep, ["_id", "_text"], "left_semi").groupBy("_id", "_text").agg(F.first("_row").alias("_row"))
+    kept = keyed.join(keep, ["_id", "_text"], "left_semi").groupBy("_id", "_text").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
     return kept.select("_row.*")
 
 
