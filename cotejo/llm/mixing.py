@@ -7,6 +7,10 @@ source and the first 12 bits, running sums find the bucket in which the budget
 ends, and only documents of that bucket go into the next histogram, by the
 next 12 bits.  Documents are filtered by the threshold and never sorted; a larger
 budget has a higher threshold, so its documents include those of a smaller one.
+
+Rows that are repeated share a hash.  Where such rows stand at a threshold, as many of them are
+taken as the rest of the budget covers; which of equal rows is no matter, so they are counted
+and dealt out again, and a source misses its target by less than one document however often one is repeated.
 """
 
 from __future__ import annotations
@@ -63,7 +67,7 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
 
 
 def thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
-    """(source, threshold): the documents with u < threshold have at most ``budget`` words, and the next one passes it.
+    """(source, threshold, left): the documents with u < threshold have ``left`` words less than ``budget``, and those at it pass it.
 
     ``budgets``: (source, budget).  Each level sums the sizes of what lies in the
     boundary bucket of the one before; a source whose budget covers all has no
@@ -91,40 +95,72 @@ def thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
             at = found.filter("open").select(F.col("source").alias("_s"), "low")
             here = (F.col("u") >= F.col("low")) & (F.col("u") < F.col("low") + F.lit(width))
             inside = written(inside.join(at, F.col("source").eqNullSafe(F.col("_s"))).filter(here).select("source", "u", "size"), "boundary")
-    return found.select("source", F.when(F.col("open"), F.col("low")).otherwise(F.lit(1 << top)).alias("threshold"))
+    return found.select("source", F.when(F.col("open"), F.col("low")).otherwise(F.lit(1 << top)).alias("threshold"), "left")
 
 
 def plan(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """(_source, source_size, target, whole, threshold): the copies that every document gets, and the hash below which it gets one more."""
+    """(_source, source_size, target, whole, threshold, extra): the copies that every document gets, the hash below
+    which it gets one more, and how many rows at that hash do as well."""
     aims = written(targets(sizes, weights, share, most), "targets")
     whole = F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)).cast("long")
     aims = aims.withColumn("whole", F.least(whole, F.lit(int(most)).cast("long")))
     cuts = thresholds(sizes, aims.select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget")))
-    aims = aims.join(cuts.select(F.col("source").alias("_source"), "threshold"), F.col("source").eqNullSafe(F.col("_source")))
+    edge = sizes.join(cuts.select(F.col("source").alias("_s"), "threshold"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("u") == F.col("threshold")))
+    edge = edge.groupBy(F.col("source").alias("_edge")).agg(F.max("size").alias("each"), F.lit(True).alias("_has"))
+    cuts = cuts.join(edge, F.col("source").eqNullSafe(F.col("_edge")) & F.col("_has"), "left")
+    extra = F.coalesce(F.floor(F.col("left") / F.nullif(F.col("each"), F.lit(0))), F.lit(0)).cast("long")
+    aims = aims.join(cuts.select(F.col("source").alias("_source"), "threshold", extra.alias("extra")), F.col("source").eqNullSafe(F.col("_source")))
     return written(aims.drop("source"), "plan")
 
 
-def _copies(u: Column, most: float) -> Column:
-    return F.least(F.col("whole") + (u < F.col("threshold")).cast("long"), F.lit(int(most)).cast("long"))
+def _copies(more: Column, most: float) -> Column:
+    return F.least(F.col("whole") + more.cast("long"), F.lit(int(most)).cast("long")).alias("copies")
+
+
+#: Equal rows that one task deals out again.
+DEALT = 1 << 16
+
+
+def _dealt(edge: DataFrame, most: float) -> DataFrame:
+    """The rows at a threshold, counted by equal rows and dealt out again with their copies: the first ``extra`` of a source get one more."""
+    kept = ["_row", "source_size", "target", "whole", "extra"]
+    groups = edge.withColumn("_h", F.xxhash64("_row")).groupBy("_source", "_h").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in kept])
+    before = F.sum("n").over(Window.partitionBy("_source").orderBy("_h").rowsBetween(Window.unboundedPreceding, -1))  # different rows of one text
+    groups = groups.withColumn("more", F.col("extra") - F.coalesce(before, F.lit(0)))
+    parts = groups.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / DEALT)))).repartition("part", "_h")
+    first = F.col("part") * DEALT
+    rows = parts.withColumn("number", F.explode(F.sequence(first, F.least(first + DEALT, F.col("n")) - 1)))
+    return rows.select("_row", "source_size", "target", _copies(F.col("number") < F.col("more"), most))
+
+
+def _mixed(rows: DataFrame, aims: DataFrame, most: float) -> DataFrame:
+    """(_row, source_size, target, copies) for every row of ``rows`` (_row, _own, u)."""
+    each = rows.join(aims, F.col("_own").eqNullSafe(F.col("_source")))
+    below = F.col("u") < F.col("threshold")
+    if aims.filter("extra > 0").isEmpty():
+        return each.select("_row", "source_size", "target", _copies(below, most))
+    at = (F.col("u") == F.col("threshold")) & (F.col("extra") > 0)
+    return each.filter(~at).select("_row", "source_size", "target", _copies(below, most)).unionByName(_dealt(each.filter(at), most))
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken (size times copies) of every row.
 
-    Null and empty texts have size 0.  A null source is a source.  Repeated rows
-    have one hash and are taken together.  A source without words has target 0.
+    Null and empty texts have size 0.  A null source is a source.  Repeated rows have one hash and
+    are taken one by one.  A source without words has target 0.  Very long texts are counted whole.
     """
     sizes = written(sized(docs), "sizes")
-    each = sizes.join(plan(sizes, weights, share, most), F.col("source").eqNullSafe(F.col("_source"))).withColumn("copies", _copies(F.col("u"), most))
-    return each.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    rows = sizes.select(F.struct("doc_id", "source", "size").alias("_row"), F.col("source").alias("_own"), "u")
+    each = _mixed(rows, plan(sizes, weights, share, most), most)
+    return each.select("_row.doc_id", "_row.source", "_row.size", "source_size", "target", "copies", (F.col("_row.size") * F.col("copies")).alias("taken"))
 
 
 def repeated(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """Each row of ``docs`` as many times as the mix takes it; all columns stay."""
     aims = plan(written(sized(docs), "sizes"), weights, share, most)
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), F.col("source").alias("_own"), position().alias("_u"))
-    each = rows.join(aims, F.col("_own").eqNullSafe(F.col("_source")))
-    return each.select("_row", F.explode(F.array_repeat(F.lit(1), _copies(F.col("_u"), most).cast("int")))).select("_row.*")
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), F.col("source").alias("_own"), position().alias("u"))
+    each = _mixed(rows, aims, most)
+    return each.select("_row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +189,7 @@ l AS (
 ), r AS (
   SELECT d.doc_id, d.size, b.source_size, b.target, b.whole, d.u,
     b.target - b.whole * b.source_size AS budget,
-    sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u) AS upto
+    sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u ROWS UNBOUNDED PRECEDING) AS upto
   FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source
 )
 SELECT doc_id, size, source_size, target,

@@ -1,8 +1,10 @@
 """Operators 8, 9 and the pipeline."""
 
+import os
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cotejo.llm import mixing, packing, quality_model
@@ -57,6 +59,24 @@ def test_mixing_targets_and_odd_rows(docs):
     assert mixing.mix(df.filter("false")).count() == 0
 
 
+def test_repeated_rows_come_near_their_target(spark, docs, tmp_path):
+    """Copies of one row make up most of a source; a third differ in another column."""
+    rows = [(7, "one two three four five " * 50, "big")] * 200 + [(100 + i, "word " * (i % 9 + 1), "big") for i in range(30)] + [(900 + i, "x y " * 40, "other") for i in range(150)]
+    df = docs(rows)
+    df = df.withColumn("lang", F.when((F.col("doc_id") == 7) & (F.rand(3) < 0.3), "de").otherwise(F.col("lang"))).cache()
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows)
+    for source, longest in (("big", 250), ("other", 80)):
+        own = [r for r in got if r["source"] == source]
+        assert 0 <= own[0]["target"] - sum(r["taken"] for r in own) <= longest
+    out = mixing.repeated(df)
+    assert sorted((r["doc_id"], r["source"]) for r in out.collect()) == sorted((r["doc_id"], r["source"]) for r in got for _ in range(r["copies"]))
+    df.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("pages", "labels", "embeddings"):
+        os.symlink(f"{SF}/{t}.parquet", f"{tmp_path}/{t}.parquet")
+    same(spark, mixing.query, mixing.SQL, str(tmp_path))
+
+
 def test_larger_budgets_take_the_documents_of_smaller_ones(docs):
     df = docs([(i, "word " * (i % 5 + 1), "ab"[i % 3 == 0]) for i in range(300)])
     less, more = ({r["doc_id"]: r["copies"] for r in mixing.mix(df, share=s).collect()} for s in (0.4, 0.7))
