@@ -57,8 +57,8 @@ def best_fit(items: list[tuple[int, int, int]], capacity: int, per_source: int)
 
 
 def _packed(capacity: int, per_source: int):
-    names = ["doc_id", "size", "bin_id", "bin_offset", "piece", "piece_start", "piece_words"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["doc_id", "text_hash", "size", "bin_id", "bin_offset", "piece", "piece_start", "piece_words"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
     def cell(table: pa.Table) -> pa.Table:
         number = table.column("cell")[0].as_py()
@@ -77,18 +77,18 @@ def _packed(capacity: int, per_source: int):
             piece = sizes[i] // capacity
             rows.append((i, full + b, at, piece, piece * capacity, sizes[i] % capacity))
         rows += [(i, None, None, None, None, 0) for i in order if not sizes[i]]
-        whole = ((None if ids[i] == NO_ID else ids[i], sizes[i], None if b is None else number << 32 | b, *more) for i, b, *more in rows)
+        whole = ((None if ids[i] == NO_ID else ids[i], text[i], sizes[i], None if b is None else number << 32 | b, *more) for i, b, *more in rows)
         return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*whole), kinds)], names=names)
 
     return cell
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, cell: int = CELL, per_source: int = PER_SOURCE) -> DataFrame:
-    """doc_id, size, bin_id, bin_offset, piece, piece_start and piece_words, a row per piece of a document.
+    """doc_id, text_hash, size, bin_id, bin_offset, piece, piece_start and piece_words, a row per piece of a document.
 
-    Sizes are words.  A document beyond ``capacity`` fills bins of its own and its
+    Texts that share a doc_id are told apart by ``text_hash`` (xxhash64).  Sizes are words.  A document beyond ``capacity`` fills bins of its own and its
     last piece is packed like a document; one without words (or a null text) has
-    one row without a bin.  A cluster is the set of documents with the same
+    one row without a bin; a very long one is counted, never held.  A cluster is the set of documents with the same
     words, letter case apart; at most ``per_source`` documents of one
     source (null is one) share a bin.  Repeated rows are of one cluster, so they
     never share a bin.
@@ -98,9 +98,12 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, cell: int = CELL, per_source
     items = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.xxhash64("text").alias("_text"), "source", word_count(F.col("text")).alias("size"), cluster.alias("cluster"))
     items = written(items.groupBy(*items.columns).agg(F.count("*").alias("_n")), "items")
     cells = -(-max(items.agg(F.sum("_n")).first()[0] or 0, 1) // cell)
-    dealt = items.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).drop("_n")
+    # Copies are numbered in parts, so that no row holds as many numbers as it has copies.
+    parts = items.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / cell))))
+    first = F.col("_part") * cell + 1
+    dealt = parts.withColumn("_copy", F.explode(F.sequence(first, F.least(first + cell - 1, F.col("_n"))))).drop("_n", "_part")
     dealt = dealt.withColumn("cell", F.pmod(F.xxhash64("_id", "_text", "_copy"), F.lit(cells))).drop("_copy")
-    schema = "doc_id long, size long, bin_id long, bin_offset long, piece long, piece_start long, piece_words long"
+    schema = "doc_id long, text_hash long, size long, bin_id long, bin_offset long, piece long, piece_start long, piece_words long"
     return dealt.groupBy("cell").applyInArrow(_packed(capacity, per_source), schema)
 
 
