@@ -91,25 +91,33 @@ class Network:
     def score(self, x: np.ndarray) -> np.ndarray:
         return sigmoid(2 * self.output(self.standard(x))[1].astype(np.float64))
 
+    def risk(self, x: np.ndarray, p: int, prior: float) -> tuple[float, float]:
+        """Non-negative unbiased risk of standardised rows, the first ``p`` positive and the others unlabelled: the
+        part of the positives, and that of the negatives, which counts as 0 below 0.  The loss of a margin is sigmoid(-margin)."""
+        s = sigmoid(self.output(x)[1])
+        return float(prior * (1 - s[:p]).mean()), float(s[p:].mean() - prior * s[:p].mean())
+
+    def gradients(self, x: np.ndarray, p: int, prior: float) -> list[np.ndarray]:
+        """Of the risk by all weights, if its negative part is not below 0; else of minus that part, a step back from it."""
+        h, g = self.output(x)
+        s = sigmoid(g)
+        slope, n = s * (1 - s), len(x) - p
+        d = np.empty_like(g)
+        if s[p:].mean() - prior * s[:p].mean() >= 0:
+            d[:p] = -2 * prior * slope[:p] / p
+            d[p:] = slope[p:] / n
+        else:
+            d[:p] = prior * slope[:p] / p
+            d[p:] = -slope[p:] / n
+        kind = x.dtype
+        back = np.outer(d, self.weights[2]).astype(kind) * (1 - h * h)
+        return [x.T @ back, back.sum(0), h.T @ d.astype(kind), np.array([d.sum()], kind)]
+
     def fit(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS, rate: float = RATE, decay: float = 1e-4) -> Network:
         x = self.standard(np.concatenate((positive, unlabelled))).astype(np.float32)
-        p = len(positive)
         moments = [(np.zeros_like(w), np.zeros_like(w)) for w in self.weights]
         for step in range(1, steps + 1):
-            h, g = self.output(x)
-            s = sigmoid(g)
-            slope = s * (1 - s)
-            as_negative = s[p:].mean() - prior * s[:p].mean()  # l(-g) = sigmoid(g)
-            d = np.empty_like(g)
-            if as_negative >= 0:
-                d[:p] = -2 * prior * slope[:p] / p
-                d[p:] = slope[p:] / len(unlabelled)
-            else:  # step back from the negative part of the risk
-                d[:p] = prior * slope[:p] / p
-                d[p:] = -slope[p:] / len(unlabelled)
-            back = np.outer(d, self.weights[2]).astype(np.float32) * (1 - h * h)
-            gradients = [x.T @ back, back.sum(0), h.T @ d.astype(np.float32), np.array([d.sum()], np.float32)]
-            for i, (w, grad) in enumerate(zip(self.weights, gradients)):
+            for i, (w, grad) in enumerate(zip(self.weights, self.gradients(x, len(positive), prior))):
                 grad = grad + decay * w
                 m, v = moments[i]
                 m += 0.1 * (grad - m)
@@ -133,7 +141,8 @@ def _features(docs: DataFrame) -> np.ndarray:
             rows = [features(t.as_buffer().to_pybytes() if t.is_valid else b"").tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["doc_id", "f"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(batches, "doc_id long, f binary").distinct()
+    one = docs.groupBy("doc_id").agg(F.min("text").alias("text"))  # an id that has many texts gives one of them
+    rows = one.mapInArrow(batches, "doc_id long, f binary")
     rows = rows.toArrow().column("f").to_pylist()
     return np.frombuffer(b"".join(sorted(rows)), np.float32).reshape(-1, N_FEATURES)
 

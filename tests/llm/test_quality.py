@@ -109,3 +109,45 @@ def test_repeated_rows_are_learned_from_once(docs, spark):
 @pytest.mark.parametrize("text", [b"", b" ", b"\n", "é".encode(), b"a" * 100_000])
 def test_features_of_any_text(text):
     assert np.isfinite(quality_model.features(text)).all()
+
+
+@pytest.mark.parametrize("prior", [0.3, 0.95])
+def test_gradients_equal_differences_of_the_risk(prior):
+    """Both branches: the risk as it is, and the step back from a negative part below 0."""
+    rng = np.random.default_rng(4)
+    model = quality_model.Network(np.zeros(6, np.float32), np.ones(6, np.float32), hidden=5, seed=1)
+    model.weights = [w.astype(np.float64) for w in model.weights]
+    x, p = rng.normal(size=(60, 6)), 20
+    x = x[np.argsort(-model.output(x)[1])]  # positives have the highest outputs
+
+    def value():
+        positive, negative = model.risk(x, p, prior)
+        return positive + negative if below is False else -negative
+
+    below = model.risk(x, p, prior)[1] < 0
+    assert below == (prior == 0.95)
+    for w, grad in zip(model.weights, model.gradients(x, p, prior)):
+        flat, want = w.reshape(-1), np.asarray(grad).reshape(-1)
+        for i in range(0, len(flat), 3):
+            kept, step = flat[i], 1e-6
+            flat[i] = kept + step
+            up = value()
+            flat[i] = kept - step
+            down = value()
+            flat[i] = kept
+            assert (up - down) / (2 * step) == pytest.approx(want[i], abs=1e-7)
+
+
+def test_risk_is_that_of_its_definition():
+    model = quality_model.Network(np.zeros(3, np.float32), np.ones(3, np.float32), hidden=4, seed=2)
+    x = np.random.default_rng(5).normal(size=(30, 3))
+    margin = [float(model.output(r[None])[1][0]) for r in x]
+    loss = lambda m: 1 / (1 + np.exp(m))
+    positive = 0.4 * sum(loss(m) for m in margin[:10]) / 10
+    negative = sum(loss(-m) for m in margin[10:]) / 20 - 0.4 * sum(loss(-m) for m in margin[:10]) / 10
+    assert model.risk(x, 10, 0.4) == pytest.approx((positive, negative))
+
+
+def test_an_id_with_many_texts_gives_one(docs):
+    df = docs([(1, f"text {i}") for i in range(50)] + [(2, "other"), (None, None)])
+    assert len(quality_model._features(df)) == 3
