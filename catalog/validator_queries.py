@@ -29,6 +29,8 @@ from cotejo.plans import validator as v
 from cotejo.plans import word_rules as wr
 from cotejo.plans.cut_rules import DATA, VOICE
 from cotejo.plans.inputs import (
+    late_cut,
+    late_incidents,
     prepare_annexes,
     prepare_circuits,
     prepare_cut,
@@ -72,6 +74,15 @@ def _annexes(spark: SparkSession, sf: str) -> DataFrame:
     return _documents(spark, sf, annex_columns, prepare_annexes)
 
 
+def late_inputs(spark: SparkSession, sf: str, words: bool = False) -> v.Inputs:
+    """The same with the cut and the incidents cleaned behind their joins, for the rule sets as a whole."""
+    return replace(
+        inputs(spark, sf, words=words),
+        cut=late_cut(spark_frame(spark, sf, "orders", cut_columns(Spark)), "source_row"),
+        incidents=late_incidents(spark_frame(spark, sf, "orders", incident_columns(Spark))),
+    )
+
+
 def inputs(
     spark: SparkSession, sf: str, long_incidents: bool = False, newlines: bool = False, words: bool = False
 ) -> v.Inputs:
@@ -138,19 +149,20 @@ def _ticket_stops(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _findings_cut(spark: SparkSession, sf: str) -> DataFrame:
-    return v.by_ticket(v.cut_findings(v.reconciled_cut(inputs(spark, sf))))
+    return v.by_ticket(v.cut_findings(v.reconciled_cut(late_inputs(spark, sf))))
 
 
 def _findings_word(spark: SparkSession, sf: str) -> DataFrame:
-    return v.by_ticket(v.word_findings(_cut(spark, sf), _faults(spark, sf), _reports(spark, sf)))
+    given = late_inputs(spark, sf, words=True)
+    return v.by_ticket(v.word_findings(given.cut, given.faults, given.reports))
 
 
 def _validator(spark: SparkSession, sf: str) -> DataFrame:
-    return v.validate(inputs(spark, sf, words=True))
+    return v.validate(late_inputs(spark, sf, words=True))
 
 
 def _observation_count(spark: SparkSession, sf: str) -> DataFrame:
-    return observation_count(v.validate(inputs(spark, sf, words=True)))
+    return observation_count(v.validate(late_inputs(spark, sf, words=True)))
 
 
 def _unmatched(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,6 +7,9 @@ the contract on, so two missing texts are equal and show as such in messages.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +28,7 @@ from cotejo.functions.times import (
     parse,
     seconds_between,
 )
-from cotejo.sources.contracts import INCIDENTS, OUTAGE_CUT, ContractError, conform
+from cotejo.sources.contracts import INCIDENTS, OUTAGE_CUT, Contract, ContractError, conform
 
 MEASURES = "MEDIDAS CORRECTIVAS Y/O PREVENTIVAS TOMADAS"
 CAUSE = "DETERMINACIÓN DE LA CAUSA"
@@ -61,9 +64,53 @@ def _minutes(seconds: Column) -> Column:
     return F.floor(F.coalesce(seconds, F.lit(0)) / 60)
 
 
+@dataclass(frozen=True)
+class Late:
+    """An input whose cells are cleaned where its rows are used, behind the join on its key.
+
+    ``keyed`` has the cleaned key and the raw cells in one struct; ``fields`` turns the struct of a frame that holds it into the
+    prepared columns and leaves all others.  So a join moves raw cells once, and text work
+    is done by the tasks behind it, however few files there are.
+    """
+
+    keyed: DataFrame
+    fields: Callable[[DataFrame], DataFrame]
+
+    def frame(self) -> DataFrame:
+        return self.fields(self.keyed)
+
+
+def _keyed(df: DataFrame, contract: Contract, key: str, cells: str, carry: list[str], keep_newlines: bool) -> DataFrame:
+    """(nro_incidencia, cells): the key cleaned as the contract asks, the contract's columns as they are."""
+    raw = conform(df, contract, carry=carry, clean=False)
+    held = raw.select(F.col(f"`{key}`"), F.struct(*[F.col(f"`{c}`") for c in raw.columns]).alias(cells))
+    held = conform(held, Contract(contract.name, (key,)), carry=[cells], keep_newlines=keep_newlines, null_text="nan")
+    return held.select(or_unknown(as_text(F.col(f"`{key}`"))).alias("nro_incidencia"), cells)
+
+
+def _opened(df: DataFrame, contract: Contract, cells: str, carry: list[str], keep_newlines: bool) -> tuple[DataFrame, list[str]]:
+    """The cells under the contract, beside the other columns, and the names of these."""
+    others = [c for c in df.columns if c != cells]
+    inner = [f.name for f in df.schema[cells].dataType.fields]
+    flat = df.select(*[F.col(f"`{c}`").alias(f"_kept_{i}") for i, c in enumerate(others)], *[F.col(cells)[c].alias(c) for c in inner])
+    kept = [f"_kept_{i}" for i in range(len(others))]
+    return conform(flat, contract, carry=[*carry, *kept], keep_newlines=keep_newlines, null_text="nan"), others
+
+
+def late_cut(df: DataFrame, row: str | None = None, keep_newlines: bool = False) -> Late:
+    """The monthly outage cut, cleaned behind its joins.  ``row`` names a column with the source row order."""
+    carry = [row] if row else []
+    keyed = _keyed(df, OUTAGE_CUT, "TICKET", "_cut", carry, keep_newlines)
+    return Late(keyed, lambda rows: _cut_fields(rows, row, keep_newlines))
+
+
 def prepare_cut(df: DataFrame, row: str | None = None, keep_newlines: bool = False) -> DataFrame:
     """The monthly outage cut.  ``row`` names a column with the source row order."""
-    df = conform(df, OUTAGE_CUT, carry=[row] if row else [], keep_newlines=keep_newlines, null_text="nan")
+    return late_cut(df, row, keep_newlines).frame()
+
+
+def _cut_fields(rows: DataFrame, row: str | None, keep_newlines: bool) -> DataFrame:
+    df, others = _opened(rows, OUTAGE_CUT, "_cut", [row] if row else [], keep_newlines)
     text = lambda c: or_unknown(as_text(F.col(f"`{c}`")))
     cell = lambda c: F.col(f"`{c}`").cast("string")
     start, end = _time(df, "FECHA Y HORA INICIO", "yyyy-MM-dd"), _time(df, "FECHA Y HORA FIN", "yyyy-MM-dd")
@@ -71,7 +118,7 @@ def prepare_cut(df: DataFrame, row: str | None = None, keep_newlines: bool = Fal
     if dict(df.dtypes)["Duracion entero"] != "string":
         hours = F.coalesce(hours, F.lit(0))
     out = df.select(
-        text("TICKET").alias("nro_incidencia"),
+        *[F.col(f"_kept_{i}").alias(c) for i, c in enumerate(others)],
         start.alias("cut_start"),
         end.alias("cut_end"),
         or_unknown(integer_part(F.col("CUISMP"))).alias("cut_service"),
@@ -111,12 +158,21 @@ def prepare_cut(df: DataFrame, row: str | None = None, keep_newlines: bool = Fal
     ).drop("_hours")
 
 
+def late_incidents(df: DataFrame, keep_newlines: bool = False) -> Late:
+    """The incident extract, cleaned behind its joins."""
+    return Late(_keyed(df, INCIDENTS, "nro_incidencia", "_inc", [], keep_newlines), lambda rows: _incident_fields(rows, keep_newlines))
+
+
 def prepare_incidents(df: DataFrame, keep_newlines: bool = False) -> DataFrame:
     """The incident extract, with the expected start of the outage."""
-    df = conform(df, INCIDENTS, keep_newlines=keep_newlines, null_text="nan")
+    return late_incidents(df, keep_newlines).frame()
+
+
+def _incident_fields(rows: DataFrame, keep_newlines: bool) -> DataFrame:
+    df, others = _opened(rows, INCIDENTS, "_inc", [], keep_newlines)
     text = lambda c: or_unknown(as_text(F.col(c)))
     out = df.select(
-        text("nro_incidencia").alias("nro_incidencia"),
+        *[F.col(f"_kept_{i}").alias(c) for i, c in enumerate(others)],
         text("cid").alias("inc_cid"),
         text("tipo_caso").alias("inc_case"),
         text("it_determinacion_de_la_causa").alias("inc_cause"),

@@ -26,6 +26,7 @@ from cotejo.plans.cut_rules import (
     with_block,
     with_rule_columns,
 )
+from cotejo.plans.inputs import Late
 from cotejo.plans.word_rules import (
     NOT_FOUND,
     annex_fields,
@@ -49,8 +50,8 @@ class Inputs:
     (circuits: each circuit; word frames: each ticket of a component) once; a repeated one raises when rows are made.
     """
 
-    cut: DataFrame
-    incidents: DataFrame
+    cut: DataFrame | Late
+    incidents: DataFrame | Late
     stops: DataFrame
     circuits: DataFrame
     faults: DataFrame | None = None
@@ -62,7 +63,7 @@ class Inputs:
     def one(self, name: str) -> DataFrame:
         """The known rows of a frame, checked where that is asked for."""
         keys = {"circuits": ["inc_cid"], "annexes": [KEY, "annex_component"]}.get(name, [KEY, "word_component"] if name in WORD_FRAMES else [KEY])
-        rows = known(getattr(self, name), keys[0])
+        rows = known(keyed(getattr(self, name)), keys[0])
         return unique(rows, keys, name) if name in self.unique else rows
 
     def checked(self) -> Inputs:
@@ -72,13 +73,25 @@ class Inputs:
             raise ValueError(f"no such frames: {sorted(wrong)}")
         if "cut" not in self.unique:
             return self
-        apart = self.cut.where(F.col(KEY).isin(*MISSING))
-        return replace(self, cut=self.one("cut").unionByName(apart))
+        rows = self.one("cut").unionByName(keyed(self.cut).where(F.col(KEY).isin(*MISSING)))
+        return replace(self, cut=replace(self.cut, keyed=rows) if isinstance(self.cut, Late) else rows)
 
 
 WORD_FRAMES = ("faults", "reports")
 
 
+def keyed(given: DataFrame | Late) -> DataFrame:
+    """What a join on the key takes of an input."""
+    return given.keyed if isinstance(given, Late) else given
+
+
+def ready(rows: DataFrame, *given: DataFrame | Late) -> DataFrame:
+    """Joined rows with the columns of the inputs that are cleaned behind the join."""
+    for x in given:
+        rows = x.fields(rows) if isinstance(x, Late) else rows
+    return rows
+
+
 def known(df: DataFrame, key: str = KEY) -> DataFrame:
     """Rows whose key is there.  One side of each join is cut to these, so missing keys meet no others."""
     return df.where(~F.col(key).isin(*MISSING))
@@ -87,19 +100,21 @@ def known(df: DataFrame, key: str = KEY) -> DataFrame:
 def compared(inputs: Inputs) -> DataFrame:
     """Cut rows found in the incident extract, with circuit data."""
     inputs = inputs.checked()
-    return enrich(matched(inputs.cut, inputs.one("incidents"), [KEY]), inputs.one("circuits"), ["inc_cid"])
+    rows = ready(matched(keyed(inputs.cut), inputs.one("incidents"), [KEY]), inputs.cut, inputs.incidents)
+    return enrich(rows, inputs.one("circuits"), ["inc_cid"])
 
 
 def every_cut_row(inputs: Inputs) -> DataFrame:
     """All cut rows with what the incident extract has of them; ``FOUND`` tells whether it has any."""
     inputs = inputs.checked()
-    rows = enrich(inputs.cut, inputs.one("incidents").withColumn(FOUND, F.lit(True)), [KEY], {FOUND: False})
+    rows = enrich(keyed(inputs.cut), inputs.one("incidents").withColumn(FOUND, F.lit(True)), [KEY], {FOUND: False})
+    rows = ready(rows, inputs.cut, inputs.incidents)  # what a missing incident would read is asked nowhere
     return enrich(rows, inputs.one("circuits"), ["inc_cid"])
 
 
 def _with_stops(rows: DataFrame, inputs: Inputs) -> DataFrame:
     return with_stops(
-        rows, inputs.stops, known(inputs.incidents), KEY, "inc_start", "inc_end", order=inputs.stop_order
+        rows, inputs.stops, ready(known(keyed(inputs.incidents)), inputs.incidents), KEY, "inc_start", "inc_end", order=inputs.stop_order
     )
 
 
@@ -110,7 +125,7 @@ def reconciled(inputs: Inputs) -> DataFrame:
 
 def unmatched(inputs: Inputs) -> DataFrame:
     """Cut rows the incident extract does not have."""
-    return only_left(inputs.cut, known(inputs.incidents), [KEY])
+    return ready(only_left(keyed(inputs.cut), known(keyed(inputs.incidents)), [KEY]), inputs.cut)
 
 
 def claims(cut: DataFrame) -> DataFrame:
@@ -171,7 +186,7 @@ def _mark(document: str, component: str) -> str:
     return f"_{document}_{component}"
 
 
-def with_words(cut: DataFrame, faults: DataFrame | None, reports: DataFrame | None) -> DataFrame:
+def with_words(cut: DataFrame | Late, faults: DataFrame | None, reports: DataFrame | None) -> DataFrame:
     """Cut rows for themselves and beside each row that a word document has of their ticket, in one join.
 
     The former bear a mark for each document and component that has the ticket.
@@ -183,10 +198,10 @@ def with_words(cut: DataFrame, faults: DataFrame | None, reports: DataFrame | No
             rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
     here = lambda document, component: (F.col(WORD) == document) & (F.col("word_component") == component)
     marks = {_mark(d, k): F.max(F.coalesce(here(d, k), F.lit(False))) for d in (FAULTS, REPORTS) for k in (DATA, VOICE)}
-    return mark_join(cut, rows, [KEY], marks)
+    return ready(mark_join(keyed(cut), rows, [KEY], marks), cut)
 
 
-def word_findings(cut: DataFrame, faults: DataFrame | None, reports: DataFrame | None) -> DataFrame | None:
+def word_findings(cut: DataFrame | Late, faults: DataFrame | None, reports: DataFrame | None) -> DataFrame | None:
     """Rule set 2 in one pass: missing claims on the rows that stand for themselves, fields on the paired ones."""
     given = {FAULTS: (faults, claim_not_in_faults(), fault_fields()), REPORTS: (reports, claim_not_in_reports(), report_fields())}
     rules = []

@@ -95,13 +95,14 @@ def conform(
     keep_newlines: bool = True,
     null_text: str | None = None,
     on_error: str = "raise",
+    clean: bool = True,
 ) -> DataFrame:
     """Apply a contract: strip headers, require, select, clean text columns.
 
     ``footer_rows`` drops the last rows by the ``order`` column.  ``carry``
     keeps extra columns such as a line number.  ``null_text`` gives missing text
     a spelling.  ``on_error='empty'`` returns an empty frame with the contract's
-    columns instead of raising.
+    columns instead of raising.  Without ``clean`` cells stay as they are.
     """
     df = strip_headers(df)
     missing = [c for c in contract.columns if c not in df.columns]
@@ -118,7 +119,7 @@ def conform(
     out = []
     for c in (*contract.columns, *extra):
         col = F.col(f"`{c}`")
-        if kinds[c] == "string" and c in contract.columns:
+        if clean and kinds[c] == "string" and c in contract.columns:
             col = clean_cell(col, keep_newlines)
             if null_text is not None:
                 col = F.coalesce(col, F.lit(null_text))
