@@ -3,11 +3,12 @@
 Lines are normalised (lower case, runs of anything but letters as one blank), and hashed
 with their host to 128 bits.  Each different line of a document counts once;
 documents of a host that are equal in text count as one.  A line found in more
-than ``LIMIT`` documents of its host is removed, and a document that loses more
-than ``DEPLETED`` of the words of its different lines is rejected, as is one that
+than ``LIMIT`` documents of its host, and in more than one in ``ONE_IN`` of all that have lines, is removed, and a
+document that loses more than ``DEPLETED`` of the words of its different lines is rejected, as is one that
 fails the base rules.  The host of a document is its source.
 
-All of it is column functions and grouped joins; lines travel as hashes.
+All of it is column functions and grouped joins; lines travel as hashes, and are split and
+normalised once.  A very long text is an array of its words and one of its lines in its own task.
 """
 
 from __future__ import annotations
@@ -15,10 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, documents, let, words
-from .mixing import word_count
+from .common import documents, let, words, written
 
-LIMIT, DEPLETED = 200, 0.5
+LIMIT, ONE_IN, DEPLETED = 5, 20, 0.5
 WORD = r"[^\x20\x09-\x0D]"
 #: Anything in ASCII but letters; other signs stay.
 BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -51,15 +51,23 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), BETWEEN, " "))
 
 
+def _host(host: str = "source") -> Column:
+    return F.coalesce(F.col(host), F.lit("\n"))
+
+
+def _text_key(host: str = "source") -> Column:
+    """Stands for a text at its host."""
+    return F.xxhash64(_host(host), F.coalesce("text", F.lit("")))
+
+
 def measures(docs: DataFrame) -> DataFrame:
-    """Base measures of every row, with the row's key (_id, _text); nulls are empty texts."""
+    """Base measures of every row, with the key ``ht`` of its text; nulls are empty texts."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    cut = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.xxhash64("text").alias("_text"), text.alias("text"), words(F.col("text")).alias("w"), lines(F.col("text")).alias("l"))
+    cut = docs.select("doc_id", _text_key().alias("ht"), text.alias("text"), words(F.col("text")).alias("w"), lines(F.col("text")).alias("l"))
     n = F.size("w").cast("long")
     return cut.select(
         "doc_id",
-        "_id",
-        "_text",
+        "ht",
         n.alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.regexp_replace("text", r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
@@ -69,31 +77,32 @@ def measures(docs: DataFrame) -> DataFrame:
 
 
 def host_lines(docs: DataFrame, host: str = "source") -> DataFrame:
-    """(_id, _text, h1, h2, words): each different normalised line of each row, hashed with the host."""
+    """(h1, h2, hh, ht, words): each different normalised line of each different text of a host, hashed with the host; hh is the host."""
     each = F.explode(F.array_distinct(F.transform(lines(F.col("text")), normalised)))
-    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.xxhash64("text").alias("_text"), F.coalesce(F.col(host), F.lit("\n")).alias("_host"), each.alias("_line"))
-    rows = rows.filter(F.col("_line") != "")
-    return rows.select("_id", "_text", F.xxhash64("_host", "_line").alias("h1"), F.xxhash64("_line", "_host", F.lit("second")).alias("h2"), word_count(F.col("_line")).alias("words"))
+    rows = docs.select(_host(host).alias("_host"), _text_key(host).alias("ht"), each.alias("_line")).filter(F.col("_line") != "")
+    hashes = [F.xxhash64("_host", "_line").alias("h1"), F.xxhash64("_line", "_host", F.lit("second")).alias("h2"), F.xxhash64("_host").alias("hh")]
+    rows = rows.select(*hashes, "ht", F.size(F.split("_line", " ")).cast("long").alias("words"))
+    return rows.groupBy("h1", "h2", "hh", "ht").agg(F.first("words").alias("words"))
 
 
-def frequent(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(h1, h2) of the lines found in more than ``limit`` different texts of a host."""
-    return rows.select("h1", "h2", "_text").distinct().groupBy("h1", "h2").agg(F.count("*").alias("n")).filter(F.col("n") > limit).select("h1", "h2")
+def frequent(rows: DataFrame, limit: int = LIMIT, one_in: int = ONE_IN) -> DataFrame:
+    """(h1, h2) of the lines found in more than ``limit`` different texts of a host and in more than one in ``one_in`` of them."""
+    texts = rows.select("hh", "ht").distinct().groupBy("hh").agg(F.count("*").alias("texts"))
+    n = rows.groupBy("h1", "h2", "hh").agg(F.count("*").alias("n")).filter(F.col("n") > limit)
+    return n.join(texts, "hh").filter(F.col("n") * one_in > F.col("texts")).select("h1", "h2")
 
 
-def judged(docs: DataFrame, limit: int = LIMIT, depleted: float = DEPLETED) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, line_words, frequent_words.
+def judged(docs: DataFrame, limit: int = LIMIT, depleted: float = DEPLETED, one_in: int = ONE_IN) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, frequent_words.
 
     A row per input row; null texts are empty and fail the base rules; rows
     without source are of one host; repeated rows have equal results.
     """
-    rows = host_lines(docs)
-    hit = rows.join(frequent(rows, limit), ["h1", "h2"]).distinct()
-    lost = hit.groupBy("_id", "_text").agg(F.sum("words").alias("frequent_words"))
-    total = F.aggregate(F.array_distinct(F.transform(lines(F.col("text")), normalised)), F.lit(0).cast("long"), lambda n, x: n + word_count(x))
-    own = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.xxhash64("text").alias("_text"), total.alias("line_words"))
-    own = own.join(lost, ["_id", "_text"]).groupBy("_id", "_text").agg(F.first("line_words").alias("line_words"), F.first("frequent_words").alias("frequent_words"))
-    m = measures(docs).join(own, ["_id", "_text"], "left")
+    rows = written(host_lines(docs), "lines")
+    often = frequent(rows, limit, one_in).withColumn("_often", F.lit(True))
+    lost = F.coalesce(F.sum(F.when(F.col("_often"), F.col("words"))), F.lit(0))
+    told = rows.join(often, ["h1", "h2"], "left").groupBy("ht").agg(F.sum("words").alias("line_words"), lost.alias("frequent_words"))
+    m = measures(docs).join(told.filter("frequent_words > 0"), "ht", "left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     lost_most = F.coalesce(F.col("frequent_words") > depleted * F.col("line_words"), F.lit(False))
     return m.select(
@@ -102,15 +111,14 @@ def judged(docs: DataFrame, limit: int = LIMIT, depleted: float = DEPLETED) -> D
     )
 
 
-def without_frequent_lines(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+def without_frequent_lines(docs: DataFrame, limit: int = LIMIT, one_in: int = ONE_IN) -> DataFrame:
     """``docs`` with the frequent lines of each host removed from ``text``; all columns and rows stay."""
-    rows = host_lines(docs)
-    hit = rows.join(frequent(rows, limit), ["h1", "h2"]).groupBy("_id", "_text").agg(F.collect_set("h1").alias("_gone"))
-    host = F.coalesce(F.col("source"), F.lit("\n"))
-    keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.xxhash64("text").alias("_text"), F.struct(*(docs[c] for c in docs.columns)).alias("_row"), host.alias("_host"))
+    rows = written(host_lines(docs), "lines")
+    hit = rows.join(frequent(rows, limit, one_in), ["h1", "h2"]).groupBy("ht").agg(F.collect_set("h1").alias("_gone"))
+    keyed = docs.select(_text_key().alias("ht"), F.struct(*(docs[c] for c in docs.columns)).alias("_row"), _host().alias("_host"))
     kept = F.filter(F.split("_row.text", "\n", -1), lambda x: ~F.array_contains("_gone", F.xxhash64("_host", normalised(x))))
     text = F.when(F.col("_gone").isNull(), F.col("_row.text")).otherwise(F.array_join(kept, "\n"))
-    joined = keyed.join(hit, ["_id", "_text"], "left").withColumn("_row", F.col("_row").withField("text", text))
+    joined = keyed.join(hit, "ht", "left").withColumn("_row", F.col("_row").withField("text", text))
     return joined.select("_row.*")
 
 
@@ -132,7 +140,9 @@ dl AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lw GROUP BY doc_
 nl AS (
   SELECT DISTINCT doc_id, source, text, trim(regexp_replace(lower(line), '[\x00-\x40\x5B-\x60\x7B-\x7F]+', ' ', 'g')) AS line FROM lw
 ), nw AS (SELECT *, len(string_split(line, ' ')) AS words FROM nl WHERE line <> ''),
-f AS (SELECT source, line FROM nw GROUP BY source, line HAVING count(DISTINCT text) > 200),
+h AS (SELECT source, count(DISTINCT text) AS texts FROM nw WHERE line <> '' GROUP BY source),
+n AS (SELECT source, line, count(DISTINCT text) AS n FROM nw GROUP BY source, line),
+f AS (SELECT n.source, n.line FROM n JOIN h ON n.source IS NOT DISTINCT FROM h.source WHERE n.n > 5 AND n.n * 20 > h.texts),
 x AS (
   SELECT nw.doc_id, sum(words) AS total, sum(CASE WHEN f.line IS NOT NULL THEN words ELSE 0 END) AS lost
   FROM nw LEFT JOIN f ON nw.line = f.line AND nw.source IS NOT DISTINCT FROM f.source GROUP BY nw.doc_id
