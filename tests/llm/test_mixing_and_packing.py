@@ -190,3 +190,25 @@ def test_pipeline_equals_its_stages(spark):
         docs = stage(spark, docs, SF)
     whole = corpus_pipeline.run(spark, SF)
     assert sorted(map(tuple, whole.collect()), key=repr) == sorted(map(tuple, docs.collect()), key=repr)
+
+
+def test_stages_take_odd_rows_and_empty_tables(spark, docs):
+    good = documents(spark, SF).limit(3).collect()
+    rows = [*ODD, (None, "word " * 60, None), (70, "very long text " * 20_000), (71, "password: 'abcdefghijklmnop' " * 3, None)]
+    rows += [(100 + i, r["text"]) for i, r in enumerate(good)] + [(100, good[0]["text"])] * 3
+    for df in (docs(rows), docs(rows).filter("false")):
+        at = df
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            own = stage(spark, df, SF)
+            assert own.columns == df.columns, name
+            n = own.count()
+            assert n <= 2 * df.count()
+            if name == "secret scans":
+                assert n == df.count() and own.filter("text like '%abcdefghijklmnop%'").isEmpty()
+            if name == "simhash near-dedup":
+                assert own.select("doc_id", "text").distinct().count() == n
+            at = stage(spark, at, SF)
+        packed = corpus_pipeline.STAGES[-1][1](spark, df, SF)
+        words = sum(len((t or "").split()) for _, t, *_ in rows)
+        assert (packed.agg(F.sum("piece_words")).first()[0] or 0) == (words if df.count() else 0)
+        assert corpus_pipeline.STAGES[-1][1](spark, at, SF).count() >= 0
