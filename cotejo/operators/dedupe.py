@@ -11,13 +11,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cotejo.operators.joins import DEALT
+
 
 def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Every row whose key occurs more than once; missing values are equal."""
     key = F.struct(*[F.col(k) for k in keys])
     rows = df.withColumn("_key", key)
     often = rows.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1").select("_key")
-    return rows.join(often, "_key", "left_semi").drop("_key")
+    return rows.join(often.hint(DEALT), "_key", "left_semi").drop("_key")
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

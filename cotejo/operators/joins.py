@@ -1,8 +1,8 @@
 """Reconciling joins.
 
-No join carries a broadcast hint: lookup tables are joined plainly and Spark
-broadcasts them only when their measured size allows, and splits skewed
-partitions of the larger side otherwise.
+No join carries a broadcast hint, and joins of reports with one another ask for a sort-merge join: a
+file's size says little about its rows once they are built, and a side broadcast for its small file is collected
+by the driver.  Lookup tables are joined plainly, and Spark splits skewed partitions.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The join whose sides are both dealt by the key and sorted, whatever their estimated size.
+DEALT = "merge"
 #: In a mark join: whether a row stands beside a right row, or for its left row alone.
 PAIRED = "_paired"
 
@@ -31,11 +33,11 @@ def matched(
     """Rows present on both sides; clashing names get the suffixes."""
     a = suffix_overlap(left, right, on, suffixes[0])
     b = suffix_overlap(right, left, on, suffixes[1])
-    return a.join(b, list(on), "inner")
+    return a.join(b.hint(DEALT), list(on), "inner")
 
 
 def only_left(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    return left.join(right.select(*on), list(on), "left_anti")
+    return left.join(right.select(*on).hint(DEALT), list(on), "left_anti")
 
 
 def only_right(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -48,25 +50,46 @@ def enrich(
     on: Sequence[str],
     defaults: Mapping[str, object] | None = None,
     suffixes: tuple[str, str] = ("_left", "_right"),
+    dealt: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Every left row, with right columns where found and ``defaults`` where not."""
+    """Every left row, with right columns where found and ``defaults`` where not; ``dealt`` as in ``beside``."""
     a = suffix_overlap(left, right, on, suffixes[0])
     b = suffix_overlap(right, left, on, suffixes[1])
-    out = a.join(b, list(on), "left")
+    out = beside(a, b, on, on if dealt is None else dealt)
     return out.fillna(dict(defaults)) if defaults else out
 
 
-def mark_join(left: DataFrame, right: DataFrame, on: Sequence[str], marks: Mapping[str, Column]) -> DataFrame:
+def alike(a: Column, b: Column) -> Column:
+    """Equality that is judged on pairs of rows, and not made a key of the join."""
+    return (a >= b) & (a <= b)
+
+
+def beside(left: DataFrame, right: DataFrame, on: Sequence[str], dealt: Sequence[str]) -> DataFrame:
+    """Left join on ``on``, whose rows are dealt by the keys of ``dealt`` only, so that wide rows already dealt by these stay where they are.
+
+    For further keys that tell apart the few right rows of a dealt key.
+    """
+    others = [k for k in on if k not in dealt]
+    if not others:
+        return left.join(right.hint(DEALT), list(on), "left")
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in on})
+    same = [left[k] == named[f"_right_{k}"] for k in dealt] + [alike(left[k], named[f"_right_{k}"]) for k in others]
+    return left.join(named.hint(DEALT), same, "left").drop(*[f"_right_{k}" for k in on])
+
+
+def mark_join(
+    left: DataFrame, right: DataFrame, on: Sequence[str], marks: Mapping[str, Column], dealt: Sequence[str] | None = None
+) -> DataFrame:
     """Every left row once for itself, and once more beside each right row of its key: one left join.
 
     ``PAIRED`` tells the two apart.  The row that stands for itself bears the ``marks``,
     aggregates over all right rows of its key, which are null where the key has none; so inner, anti and marked
     results of several rule sets come from one pass over one join.  The marks are counted before their shuffle;
-    a key that both sides repeat fans out, as in any join.
+    a key that both sides repeat fans out, as in any join.  ``dealt`` as in ``beside``.
     """
     told = right.groupBy(*on).agg(*[m.alias(n) for n, m in marks.items()]).withColumn(PAIRED, F.lit(False))
     both = right.withColumn(PAIRED, F.lit(True)).unionByName(told, allowMissingColumns=True)
-    return left.join(both, list(on), "left").withColumn(PAIRED, F.coalesce(PAIRED, F.lit(False)))
+    return beside(left, both, on, on if dealt is None else dealt).withColumn(PAIRED, F.coalesce(PAIRED, F.lit(False)))
 
 
 def lookup(left: DataFrame, table: DataFrame, on: str, as_text: bool = False) -> DataFrame:
@@ -157,4 +180,4 @@ def join_on_spine(frames: Mapping[str, DataFrame], keys: Sequence[str]) -> DataF
     out = gathered(both, keys, {n: [c for c in frames[n].columns if c not in keys] for n in single})
     other = frames[last].withColumnsRenamed({k: f"_{k}" for k in keys})
     same = [out[k].eqNullSafe(other[f"_{k}"]) for k in keys]
-    return out.join(other, same, "left").drop(*[f"_{k}" for k in keys])
+    return out.join(other.hint(DEALT), same, "left").drop(*[f"_{k}" for k in keys])

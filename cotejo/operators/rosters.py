@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from cotejo.functions.text import let, shift_start
 from cotejo.functions.times import date_in_label
 from cotejo.functions.unicode import strip_marks
+from cotejo.operators.joins import DEALT
 
 # Layout of the two rosters.
 DESK = {"name_col": 0, "first_col": 3, "stride": 2}
@@ -50,7 +51,7 @@ def body_start(cells: DataFrame) -> DataFrame:
     last = cells.groupBy("sheet").agg(F.max("row").alias("_last"))
     gaps = (
         filled.select("sheet", (F.col("row") + 1).alias("row"))
-        .join(filled, ["sheet", "row"], "left_anti")
+        .join(filled.hint(DEALT), ["sheet", "row"], "left_anti")
         .groupBy("sheet")
         .agg(F.min("row").alias("_gap"))
     )
@@ -88,7 +89,7 @@ def unpivot(
     else:
         names = names.join(body, "sheet").where("row >= body_row").drop("body_row")
     shifts = filled.select("sheet", "row", "col", F.col("value").alias("shift")).join(days, ["sheet", "col"])
-    return shifts.join(names, ["sheet", "row"]).select("sheet", "row", "day", "label", "name", "shift")
+    return shifts.join(names.hint(DEALT), ["sheet", "row"]).select("sheet", "row", "day", "label", "name", "shift")
 
 
 def _tops(cells: DataFrame, first: Column, wanted: Callable[[Callable[[Layout], object]], Column]) -> DataFrame:
