@@ -26,3 +26,9 @@ def test_report_joins_are_never_broadcast_for_a_small_file(spark):
     names = rosters.unpivot(cells, **rosters.DESK, body=2)
     assert "SortMergeJoin" in _plan(names)
     assert [tuple(r) for r in names.collect()] == [(0, 2, 0, "Lunes 6/1/2025", "Ana", "08:00")]
+
+
+def test_normal_forms_need_no_batches_of_thousands_of_texts(spark):
+    df = spark.createDataFrame([("ﬁn é",), (None,), ("plain",), ("é Ж",)], "t string").select(canonical(F.col("t")).alias("c"), strip_marks(F.col("t")).alias("m"))
+    assert "ArrowEvalPython" not in _plan(df)
+    assert [tuple(r) for r in df.collect()] == [("fin é", "ﬁn e"), ("", None), ("plain", "plain"), ("é Ж", "e Ж")]
