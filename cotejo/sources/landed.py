@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -147,9 +149,40 @@ class _TableRows(HTMLParser):
         return [["".join(c) for c in row] if here or self.body is None else [] for row, here in zip(self.rows, self.inside)]
 
 
+_BLANK = r"[ \t\n\r\f]"
+#: A tag that every parser reads alike: plain names, and values without angle brackets.
+_PLAIN_TAG = re.compile(
+    rf"""<(/[A-Za-z][A-Za-z0-9]*|[A-Za-z][A-Za-z0-9]*(?:{_BLANK}+[A-Za-z][A-Za-z0-9_-]*(?:=(?:"[^"<>]*"|'[^'<>]*'|[A-Za-z0-9_.-]+))?)*+){_BLANK}*>"""
+)
+#: Elements inside which tags may be text.
+_RAW_TEXT = re.compile(r"(?i)<(?:script|style|xmp|iframe|noembed|noframes|noscript|plaintext|textarea|title)")
+_NESTING = {"table", "tbody", "tr", "td"}
+
+
+def _plain_rows(html: str) -> list[list[str]] | None:
+    """As the parser reads it, for a page of plain tags and text only; None for any other."""
+    pieces = _PLAIN_TAG.split(html)
+    if any("<" in text for text in pieces[::2]) or _RAW_TEXT.search(html):
+        return None
+    found = _TableRows()
+    for i, text in enumerate(pieces):
+        if i % 2:
+            name = text.split(None, 1)[0].lower()
+            if name in _NESTING:
+                found.handle_starttag(name, [])
+            elif name[1:] in _NESTING and name[0] == "/":
+                found.handle_endtag(name[1:])
+        elif text and found.open:
+            found.handle_data(unescape(text))
+    return found.cells()
+
+
 def _rows_of(html: str | None) -> list[list[str]] | None:
     if html is None:
         return None
+    plain = _plain_rows(html)
+    if plain is not None:
+        return plain
     found = _TableRows()
     found.feed(html)
     found.close()
@@ -160,14 +193,15 @@ def table_rows(pages: DataFrame, page: str, html: str) -> DataFrame:
     """Rows of a page's tables with at least one cell: (page, row, cells).
 
     Only the first ``tbody`` counts where there is one; ``row`` numbers all
-    rows of the page.  Markup nests, so pages are parsed one by one in Arrow batches.
+    rows of the page.  Markup nests, so pages are parsed one by one in Arrow batches, and once: a filter that
+    is inferred from the rows of a repeatable function would parse them again.
     """
 
     def parse(series: pd.Series) -> pd.Series:
         return series.map(_rows_of)
 
     parse.__annotations__ = {"series": pd.Series, "return": pd.Series}
-    rows = pages.select(F.col(page), F.pandas_udf(parse, "array<array<string>>")(F.col(html)).alias("_rows"))
+    rows = pages.select(F.col(page), F.pandas_udf(parse, "array<array<string>>").asNondeterministic()(F.col(html)).alias("_rows"))
     rows = rows.select(F.col(page), F.posexplode("_rows").alias("row", "_cells"))
     return rows.where(F.size("_cells") > 0).select(page, "row", F.transform("_cells", strip).alias("cells"))
 

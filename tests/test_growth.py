@@ -32,3 +32,31 @@ def test_normal_forms_need_no_batches_of_thousands_of_texts(spark):
     df = spark.createDataFrame([("ﬁn é",), (None,), ("plain",), ("é Ж",)], "t string").select(canonical(F.col("t")).alias("c"), strip_marks(F.col("t")).alias("m"))
     assert "ArrowEvalPython" not in _plan(df)
     assert [tuple(r) for r in df.collect()] == [("fin é", "ﬁn e"), ("", None), ("plain", "plain"), ("é Ж", "e Ж")]
+
+
+PAGES = [
+    "<table><tr><td>a &amp; b</td><td> c", "<TABLE class=x><TBODY><TR><TD a='1' b>x<b>y</b></TD></TR></TBODY></TABLE>&lt", "<table><tbody><tr><td>1<table><tr><td>2</td></tr></table>3</td></tr></table>",
+    "<tr><td>a<td>b</tr>text</td>", "<table><tr></tr></table><tr><td>&#225;&eacute &notit;</td></tr>", "", "plain & text", "<td><tr><td>x</tbody></table><tbody><tr><td>y", "<tr><td\n>a</td\t></TR>",
+]
+ODD = ["<tr><td>a < b</td></tr>", "<tr><td><br/>x</td></tr>", "<tr><td><!-- <td> --></td></tr>", "<script><tr><td>x</td></tr></script>", "<tr><td title='>'>x</td></tr>", "<tr><td>x</td", "<title><td>x</title>"]
+
+
+def _parsed(html):
+    found = landed._TableRows()
+    found.feed(html)
+    found.close()
+    return found.cells()
+
+
+def test_plain_pages_read_as_by_the_parser():
+    for html in PAGES:
+        assert landed._plain_rows(html) == _parsed(html), html
+    for html in ODD:
+        assert landed._plain_rows(html) is None and landed._rows_of(html) == _parsed(html), html
+
+
+def test_pages_are_parsed_once(spark):
+    pages = spark.createDataFrame([(1, "<tr><td>a</td></tr><tr></tr>"), (2, None), (3, "")], "page_no int, html string")
+    rows = landed.agent_table(pages)
+    assert _plan(rows).count("ArrowEvalPython") == 1
+    assert [(r.page_no, r.row, r.Fecha) for r in rows.collect()] == [(1, 0, "a")]
