@@ -28,6 +28,39 @@ def test_report_joins_are_never_broadcast_for_a_small_file(spark):
     assert [tuple(r) for r in names.collect()] == [(0, 2, 0, "Lunes 6/1/2025", "Ana", "08:00")]
 
 
+def test_join_beside_deals_rows_by_the_ticket_only(spark):
+    left = spark.createDataFrame([("1", "a", 1), ("1", "b", 2), ("1", None, 3), (None, "a", 4), ("2", "a", 5)], "k string, c string, n int")
+    right = spark.createDataFrame([("1", "a", 10), ("1", "a", 11), ("1", None, 12), (None, "a", 13), ("3", "a", 14)], "k string, c string, m int")
+    out = joins.enrich(left, right, ["k", "c"], dealt=["k"])
+    plain = left.join(right, ["k", "c"], "left")
+    assert out.columns == plain.columns
+    assert sorted(map(str, out.collect())) == sorted(map(str, plain.collect()))
+    keys = [line for line in _plan(out).splitlines() if "Exchange hashpartitioning" in line]
+    assert keys and all(line.split("hashpartitioning(")[1].count("#") == 1 for line in keys)
+
+
+AT = lambda h, m=0: datetime(2024, 1, 1, h, m)
+STOPS = [
+    ("1", AT(1), AT(2), 1), ("1", AT(2), AT(3), 2), ("1", AT(5), None, 3), ("1", AT(6), AT(6, 30), 4), ("1", AT(9), None, 5), ("1", AT(1), AT(1, 30), 6),
+    ("1", AT(5), AT(5, 10), 7), ("2", AT(3), None, 1), ("2", None, AT(4), 2), ("3", AT(4), AT(4), 1), ("4", AT(1), AT(20), 1), ("4", AT(2), AT(3), 2),
+    (None, AT(1), AT(2), 1), ("5", AT(1), AT(2), 1), ("5", AT(1), None, 2), ("5", AT(8), AT(9), 3),
+]
+BOUNDS = [("1", AT(0), AT(23)), ("1", AT(0), AT(23)), ("1", AT(2), None), ("2", AT(0), AT(23)), ("3", AT(0), AT(9)), ("4", None, AT(10)), (None, AT(0), AT(2)), ("5", None, None)]
+
+
+@pytest.mark.parametrize("order", [(), ("startdate", "turn")])
+
+
+def test_whole_tickets_merge_as_by_the_tree(spark, order):
+    stops = spark.createDataFrame(STOPS, "t string, startdate timestamp_ntz, enddate timestamp_ntz, turn int")
+    bounds = spark.createDataFrame(BOUNDS, "t string, lo timestamp_ntz, hi timestamp_ntz")
+    got = [
+        sorted(map(str, intervals.stops_by_ticket(stops, bounds, "t", "lo", "hi", order=order, whole_stops=n).collect()))
+        for n in (0, 2, intervals.WHOLE_STOPS)
+    ]
+    assert got[0] and got[0] == got[1] == got[2]
+
+
 def test_normal_forms_need_no_batches_of_thousands_of_texts(spark):
     df = spark.createDataFrame([("ﬁn é",), (None,), ("plain",), ("é Ж",)], "t string").select(canonical(F.col("t")).alias("c"), strip_marks(F.col("t")).alias("m"))
     assert "ArrowEvalPython" not in _plan(df)
@@ -60,3 +93,12 @@ def test_pages_are_parsed_once(spark):
     rows = landed.agent_table(pages)
     assert _plan(rows).count("ArrowEvalPython") == 1
     assert [(r.page_no, r.row, r.Fecha) for r in rows.collect()] == [(1, 0, "a")]
+
+
+def test_no_wide_row_is_dealt_by_circuit(spark):
+    rows = spark.createDataFrame([("1", "C1", 1), ("1", "C2", 2), ("2", "C1", 3), ("9", None, 4)], "nro_incidencia string, inc_cid string, n int")
+    incidents = spark.createDataFrame([("1", "C1"), ("1", "C1"), ("1", "C2"), ("2", "C1")], "nro_incidencia string, inc_cid string")
+    circuits = spark.createDataFrame([("C1", "a"), ("C1", "b"), ("C3", "c")], "inc_cid string, map_site string")
+    out = v.with_circuits(rows, v.Inputs(cut=rows, incidents=incidents, stops=None, circuits=circuits))
+    plain = joins.enrich(rows, circuits, ["inc_cid"]).select(*out.columns)
+    assert sorted(map(str, out.collect())) == sorted(map(str, plain.collect()))
