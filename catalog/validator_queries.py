@@ -115,8 +115,7 @@ def _rule_1_0(spark: SparkSession, sf: str) -> DataFrame:
 
 def _missing(documents, rule):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        rows = v.claims_missing(_cut(spark, sf), documents(spark, sf))
-        return evaluate(rows, [rule()], v.KEY, "tipo_reporte", F.col("row"))
+        return v.missing_findings(_cut(spark, sf), documents(spark, sf), rule())
 
     return run
 
@@ -210,7 +209,7 @@ def _union_findings(spark: SparkSession, sf: str) -> DataFrame:
     i = inputs(spark, sf)
     key, kind, place = v.KEY, "tipo_reporte", F.col("row")
     a = evaluate(v.unmatched(i), [cr.missing_incident()], key, kind, place)
-    b = evaluate(v.claims_missing(i.cut, _faults(spark, sf)), [wr.claim_not_in_faults()], key, kind, place)
+    b = v.missing_findings(i.cut, _faults(spark, sf), wr.claim_not_in_faults())
     return union_all([a, b.drop("TIPO REPORTE")])
 
 

@@ -138,19 +138,44 @@ def unmatched(inputs: Inputs) -> DataFrame:
     return ready(only_left(keyed(inputs.cut), known(keyed(inputs.incidents)), [KEY]), inputs.cut)
 
 
+def _documented() -> Column:
+    """Whether a cut row's component has a document."""
+    return F.col("cut_component").isin(DATA, VOICE)
+
+
+def _claim() -> Column:
+    return (F.col("tipo_reporte") == CLAIM) & _documented()
+
+
 def claims(cut: DataFrame) -> DataFrame:
-    return cut.where((F.col("tipo_reporte") == CLAIM) & F.col("cut_component").isin(DATA, VOICE))
+    return cut.where(_claim())
 
 
 def claims_missing(cut: DataFrame, documents: DataFrame) -> DataFrame:
     """Claims whose component's document does not have their ticket."""
+    return _absent(claims(cut), documents)
+
+
+def _absent(cut: DataFrame, documents: DataFrame) -> DataFrame:
     have = known(documents).select(KEY, F.col("word_component").alias("cut_component"))
-    return only_left(claims(cut), have, [KEY, "cut_component"])
+    return only_left(cut, have, [KEY, "cut_component"])
+
+
+def missing_findings(cut: DataFrame, documents: DataFrame, rule: Rule) -> DataFrame:
+    """Findings of a rule on ``claims_missing``.
+
+    The rule asks what is a claim, not a filter: pushed into the cleaning of every cell, a filter makes the
+    optimizer infer conditions until the driver's memory is full, however few the rows.
+    """
+    return _evaluate(_absent(cut, documents), [_only_where(rule, _claim())])
 
 
 def with_annex(rows: DataFrame, annexes: DataFrame) -> DataFrame:
     """Rows of the two components with their annex, ``no encontrado`` where absent."""
-    rows = rows.where(F.col("cut_component").isin(DATA, VOICE))
+    return _beside_annex(rows.where(_documented()), annexes)
+
+
+def _beside_annex(rows: DataFrame, annexes: DataFrame) -> DataFrame:
     annex = known(annexes).withColumnRenamed("annex_component", "cut_component")
     defaults = {c: NOT_FOUND for c in ("annex_header", "annex_periods", "annex_total")}
     return enrich(rows, annex, [KEY, "cut_component"], defaults, dealt=[KEY])
@@ -225,8 +250,8 @@ def word_findings(cut: DataFrame | Late, faults: DataFrame | None, reports: Data
 
 
 def annex_findings(matched_rows: DataFrame, annexes: DataFrame) -> DataFrame:
-    """Rule set 3."""
-    return _evaluate(with_annex(matched_rows, annexes), [annex_fields()])
+    """Rule set 3, on the rows of ``with_annex``; asked by the rule, as in ``missing_findings``."""
+    return _evaluate(_beside_annex(matched_rows, annexes), [_only_where(annex_fields(), _documented())])
 
 
 #: Whether any annex has the ticket and component of a row that stands for itself.

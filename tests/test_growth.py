@@ -102,3 +102,14 @@ def test_no_wide_row_is_dealt_by_circuit(spark):
     out = v.with_circuits(rows, v.Inputs(cut=rows, incidents=incidents, stops=None, circuits=circuits))
     plain = joins.enrich(rows, circuits, ["inc_cid"]).select(*out.columns)
     assert sorted(map(str, out.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_claims_are_asked_by_the_rule_and_not_filtered_in_the_cells(spark):
+    raw = spark.createDataFrame([("1", "RECLAMO ", v.DATA, 1), ("2", "RECLAMO", "x", 2), ("3", "OTRO", v.DATA, 3), ("4", "RECLAMO", v.VOICE, 4), ("5", None, None, 5)], "t string, kind string, comp string, row long")
+    cut = raw.select(F.trim("t").alias(v.KEY), F.trim("kind").alias("tipo_reporte"), F.trim("comp").alias("cut_component"), "row")
+    documents = spark.createDataFrame([("4", v.VOICE), ("1", v.VOICE)], f"{v.KEY} string, word_component string")
+    out = v.missing_findings(cut, documents, v.claim_not_in_faults())
+    filters = [line for line in _plan(out).splitlines() if "Filter" in line]
+    assert not any("RECLAMO" in line for line in filters)
+    assert [(r[v.KEY], r["row"]) for r in out.collect()] == [("1", 1)]
+    assert [r[v.KEY] for r in v.claims_missing(cut, documents).collect()] == ["1"]
