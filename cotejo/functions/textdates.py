@@ -49,17 +49,29 @@ def _all(c: Column, pattern: str) -> Column:
 
 
 _BREAKS = LINE_BREAK[1:-1]
-#: What a line is made of, and the blanks within one: as for strip, and as white space of a pattern.
-_REST = f"[^{_BREAKS}]"
+_OTHER_BREAKS = "".join(x for x in _BREAKS if x != "\n")
+#: The blanks within a line, as for strip, and as white space of a pattern.
 _BLANKS = "[" + "".join(x for x in WHITESPACE if x not in _BREAKS) + "]*+"
 _SPACE = r"[\x20\t\xa0\u1680\u2000-\u200a\u202f\u205f\u3000]"
-# Everything up to the last line that is neither blank nor a start or end line; found from the end of the text.
-_BODY = rf"(?s)\A(.*(?<!{_REST})(?!{_BLANKS}(?:[{_BREAKS}]|\z))(?!{_BLANKS}(?iU:{META_LINE})){_REST}+)"
+# Everything up to the last line that is neither blank nor a start or end line; found from the end of the text, whose line
+# breaks are line feeds, so that a place is passed over by a look at the character before it.
+_BODY = rf"(?smd)\A(.*^(?!{_BLANKS}(?:\n|\z))(?!{_BLANKS}(?iU:{META_LINE}))[^\n]+)"
+
+
+def _other_breaks(c: Column) -> Column:
+    """Whether a text has line breaks other than line feeds; few have."""
+    return reduce(lambda a, b: a | b, [F.contains(c, F.lit(x)) for x in _OTHER_BREAKS])
 
 
 def narrative_body(c: Column) -> Column:
     """The text without trailing blank lines and start/end lines; a line break counts as one character."""
-    return F.regexp_extract(F.replace(c, F.lit("\r\n"), F.lit("\n")), _BODY, 1)
+
+    def search(text: Column) -> Column:
+        fed = F.translate(text, _OTHER_BREAKS, "\n" * len(_OTHER_BREAKS))
+        other = F.left(text, F.length(F.regexp_extract(fed, _BODY, 1)))
+        return F.when(_other_breaks(text), other).otherwise(F.regexp_extract(text, _BODY, 1))
+
+    return let(F.replace(c, F.lit("\r\n"), F.lit("\n")), search)
 
 
 def body_range(c: Column) -> Column:
@@ -234,13 +246,9 @@ def _words(text: str) -> str:
     return f"(?iU:{text})"
 
 
-_OTHER_BREAKS = [x for x in _BREAKS if x != "\n"]
-
-
 def _unix(c: Column) -> Column:
-    """The text with line feeds for all line breaks; few texts have others, and a look for these is cheap."""
-    other = reduce(lambda a, b: a | b, [F.contains(c, F.lit(x)) for x in _OTHER_BREAKS])
-    return F.when(other, F.regexp_replace(c, f"\r\n|[{''.join(_OTHER_BREAKS)}]", "\n")).otherwise(c)
+    """The text with line feeds for all line breaks."""
+    return F.when(_other_breaks(c), F.regexp_replace(c, f"\r\n|[{_OTHER_BREAKS}]", "\n")).otherwise(c)
 
 
 # A line of such a text, from its first character that is no blank on; patterns for lines may not look past a line feed.

@@ -5,6 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from cotejo.functions import textdates as td
 from cotejo.functions.unicode import canonical, strip_marks
 from cotejo.operators import intervals, joins, rosters
 from cotejo.operators.dedupe import duplicates
@@ -113,3 +114,28 @@ def test_claims_are_asked_by_the_rule_and_not_filtered_in_the_cells(spark):
     assert not any("RECLAMO" in line for line in filters)
     assert [(r[v.KEY], r["row"]) for r in out.collect()] == [("1", 1)]
     assert [r[v.KEY] for r in v.claims_missing(cut, documents).collect()] == ["1"]
+
+
+BREAKS = ("\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029")
+
+
+def _body(text):
+    """The body line by line."""
+    text = text.replace("\r\n", "\n")
+    end = at = 0
+    for line in "".join("\n" if x in BREAKS else x for x in text).split("\n"):
+        at += len(line) + 1
+        if line.strip() and not line.strip().lower().startswith(("fecha y hora inicio", "fecha y hora de fin")):
+            end = at - 1
+    return text[:end]
+
+
+def test_narrative_body_looks_at_lines_and_not_behind_each_character(spark):
+    texts = ["", "\n", "a", "a\n", " \n a \t\n\n Fecha y hora inicio: x\n", "a\r\r\nFECHA Y HORA DE FIN\r\n", "Fecha y hora inicio", "\U0001f600\r\n\u2028b\xa0"]
+    texts += [f"é 01/02/2024{b}{x}{b}{y}" for b in BREAKS for x in ("", " \x1f", "Fecha y hora inicio 1", "fin 2") for y in ("", "\tfecha y hora de fin", "\r\n", "z")]
+    df = spark.createDataFrame([*enumerate(texts), (-1, None)], "i int, t string")
+    out = df.select("i", td.narrative_body(F.col("t")).alias("b"))
+    assert "(?<!" not in _plan(out)
+    got = dict(map(tuple, out.collect()))
+    assert got.pop(-1) is None
+    assert [got[i] for i in range(len(texts))] == [_body(x) for x in texts]
