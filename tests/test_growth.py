@@ -10,7 +10,9 @@ from cotejo.functions.unicode import canonical, strip_marks
 from cotejo.operators import intervals, joins, rosters
 from cotejo.operators.dedupe import duplicates
 from cotejo.plans import validator as v
+from cotejo.plans.inputs import prepare_cut
 from cotejo.sources import landed
+from cotejo.sources.contracts import OUTAGE_CUT
 
 
 def _plan(df) -> str:
@@ -139,3 +141,13 @@ def test_narrative_body_looks_at_lines_and_not_behind_each_character(spark):
     got = dict(map(tuple, out.collect()))
     assert got.pop(-1) is None
     assert [got[i] for i in range(len(texts))] == [_body(x) for x in texts]
+
+
+def test_cells_are_stripped_once(spark):
+    cells = {c: F.lit(f" {c} ") for c in OUTAGE_CUT.columns} | {"TIPO CASO": F.col("t"), "DF": F.col("t"), "CID": F.col("n"), "TICKET": F.col("t")}
+    raw = spark.createDataFrame([("  x ", 1), (None, None), (" \t", 2), ("\r", 3)], "t string, n int")
+    rows = prepare_cut(raw.select(*[x.alias(k) for k, x in cells.items()]))
+    assert _plan(rows.select("cut_case", "cut_district")).count("trim(") == 2
+    got = [tuple(r) for r in rows.select(v.KEY, "cut_case", "cut_district", "cut_cid").collect()]
+    empty = "No disponible"
+    assert got == [("x", "x", "x", "1"), ("nan", "nan", "nan", "nan"), (empty, empty, empty, "2"), (empty, empty, empty, "3")]
