@@ -219,10 +219,10 @@ def closing_lines_range(c: Column) -> Column:
 
 # A day or an hour of one digit.
 SHORT_HOUR = r"(\d)(?<=\b\d)(?=:\d{2})"
-FIRST_DAY = r"(?m)^(\d)(?=/)"
-SECOND_DAY = r"(?U)(hasta el día\s)(\d)(?=/)"
-SECOND_DAY_ANY_CASE = r"(?iU)(hasta el día\s)(\d)(?=/)"
-ANY_DAY = r"(\d)(?<=\b\d)(?=/\d{1,2}/\d{4})"
+# Such an hour, and a day at the start of a line or after the connecting words; in one scan.
+_PERIOD_DIGIT = r"(?m)((?U:\d))(?:(?<=\b\d)(?=:\d{2})|(?=/)(?:(?<=^\d)|(?<=(?%s:hasta el día\s\d))))"
+# An hour or a day of one digit; a day of one digit is padded first, so that an hour may stand before it.
+_ANY_DIGIT = r"(\d)(?<=\b\d)(?=/\d{1,2}/\d{4}|:(?:\d{2}|\d/\d{1,2}/\d{4}))"
 
 
 def pad_hours(c: Column) -> Column:
@@ -234,12 +234,11 @@ def pad_period(c: Column, any_case: bool = True) -> Column:
 
     Annexes may write those words in any case, outage blocks only as they are.
     """
-    second = SECOND_DAY_ANY_CASE if any_case else SECOND_DAY
-    return pad_hours(F.regexp_replace(F.regexp_replace(c, FIRST_DAY, "0$1"), second, "$10$2"))
+    return F.regexp_replace(c, _PERIOD_DIGIT % ("iU" if any_case else "U"), "0$1")
 
 
 def pad_date_time(c: Column) -> Column:
-    return pad_hours(F.regexp_replace(c, ANY_DAY, "0$1"))
+    return F.regexp_replace(c, _ANY_DIGIT, "0$1")
 
 
 def _words(text: str) -> str:
@@ -298,5 +297,6 @@ def outage_block_strict(c: Column) -> Column:
     """
     c = _unix(c)
     header = F.try_element_at(_every(c, FULL_HEADER_LINE), F.lit(-1))
-    periods = F.regexp_replace(F.array_join(_every(c, SPAN_LINE), "\n"), _JOINER, " hasta el día ")
+    lines = F.array_join(_every(c, PERIOD_LINE), "\n")  # a line that begins with a span is a line of a period, and few others are
+    periods = F.regexp_replace(F.array_join(_every(lines, SPAN_LINE), "\n"), _JOINER, " hasta el día ")
     return _block(header, pad_date_time(periods), pad_hours(F.try_element_at(_every(c, LAST_TOTAL_LINE), F.lit(-1))))

@@ -151,3 +151,21 @@ def test_cells_are_stripped_once(spark):
     got = [tuple(r) for r in rows.select(v.KEY, "cut_case", "cut_district", "cut_cid").collect()]
     empty = "No disponible"
     assert got == [("x", "x", "x", "1"), ("nan", "nan", "nan", "nan"), (empty, empty, empty, "2"), (empty, empty, empty, "3")]
+
+
+PERIODS = [
+    "1/2/2020 3:04:05 hasta el día 4/5/2020 6:07:08", "hasta el día\n1/2/2020 5:1/2/2020", "5:1/2/2020 9:30\n٣/1/2020 HASTA EL DÍA 2/", "hasta el día 3/4/2020 hasta el día\xa0٣/x 1:00",
+    "a1/2/2020 b3:04 10:11 12/1/2020", "1/\r2/\n3/4", "", "7:5/1/24 8:05/1/2024",
+]
+
+
+def test_periods_are_padded_in_one_scan(spark):
+    df = spark.createDataFrame([*[(x,) for x in PERIODS], (None,)], "t string")
+    t, hour = F.col("t"), r"(\d)(?<=\b\d)(?=:\d{2})"
+    first = F.regexp_replace(t, r"(?m)^(\d)(?=/)", "0$1")
+    second = {case: F.regexp_replace(first, rf"(?{flags})(hasta el día\s)(\d)(?=/)", "$10$2") for case, flags in ((True, "iU"), (False, "U"))}
+    want = [F.regexp_replace(c, hour, "0$1") for c in (second[True], second[False], F.regexp_replace(t, r"(\d)(?<=\b\d)(?=/\d{1,2}/\d{4})", "0$1"))]
+    got = [td.pad_period(t), td.pad_period(t, any_case=False), td.pad_date_time(t)]
+    out = df.select(*[c.alias(f"g{i}") for i, c in enumerate(got)])
+    assert _plan(out).count("regexp_replace(") == 3
+    assert [tuple(r) for r in out.collect()] == [tuple(r) for r in df.select(*[c.alias(f"w{i}") for i, c in enumerate(want)]).collect()]
