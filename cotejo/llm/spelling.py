@@ -16,6 +16,10 @@ neighbours.  Its words are left out of the join and meet, in the next round, tho
 generated it, reduced to a larger alphabet.  The last alphabet is that of all letters, where a
 reduced word is one word.  Every round is exact for the words that it handles, so nothing is lost.
 
+Joins of neighbourhoods, and of tables as long as the vocabulary, are sort-merge joins: an explode has hundreds of
+rows for what is estimated as one, and words take more room in memory than in their file, so a broadcast would
+fill the driver.  Only the crowded reduced words, at most one in ``most`` words, may be broadcast.
+
 Words are counted from all texts by column functions, with map-side partial counts.
 Nulls: a null text has no words; in a document without doc_id no letter is deleted, as it has no hash.  Repeated
 rows count as often as they occur.  An empty table has no words.  A very long word generates its
@@ -47,6 +51,8 @@ FURTHER = (24, None)
 MOST = 256
 #: Letters whose neighbourhoods are generated at once; letters of a word that is carried along with each of its neighbours.
 CHUNK, CARRIED = 1 << 15, 64
+#: The join whose sides are both dealt and sorted, whatever their estimated size.
+DEALT = "merge"
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xC0, 0x100)))
 
 #: How many symbols reduced words of a length are made of; None for all letters.
@@ -198,6 +204,10 @@ def _generated(words: DataFrame, symbols: Symbols) -> DataFrame:
     return words.select("word").mapInArrow(batches, "name string, keys array<long>").select("name", F.explode("keys").alias("key"))
 
 
+def _one_edit(word: str) -> Column:
+    return (F.levenshtein(word, "near", 1) == 1) & (F.col(word) != F.col("near"))
+
+
 def near_pairs(words: DataFrame, levels: tuple[int | None, ...] | None = None, most: int = MOST) -> DataFrame:
     """(word, near, near_n) for all ordered pairs of near words of ``words`` (word, n), each pair once.
 
@@ -219,10 +229,11 @@ def near_pairs(words: DataFrame, levels: tuple[int | None, ...] | None = None, m
         if crowded:
             targets = written(keyed.join(hot, "key", "left_semi").select(F.col("near").alias("word"), F.col("near_n").alias("n")), "targets")
             names = generated.join(hot, "key", "left_semi").select("name").distinct()
-            probes = written(words.join(names, name == names["name"], "left_semi"), "probes")
+            probes = written(words.join(names.hint(DEALT), name == names["name"], "left_semi"), "probes")
             keyed = keyed.join(hot, "key", "left_anti")
-        met = generated.join(keyed, "key").join(long_words, "name", "left").withColumn("word", F.coalesce("word", "name"))
-        met = met.filter((F.levenshtein("word", "near", 1) == 1) & (F.col("word") != F.col("near")))
+        # Verified before the long words are looked up by their digests, so only these and true pairs are dealt once more.
+        met = generated.join(keyed.hint(DEALT), "key").filter(F.startswith("name", F.lit("#")) | _one_edit("name"))
+        met = met.join(long_words.hint(DEALT), "name", "left").withColumn("word", F.coalesce("word", "name")).filter(_one_edit("word"))
         found.append(met.select("word", "near", "near_n"))
         if not crowded:
             break
@@ -240,11 +251,11 @@ def variants(words: DataFrame, factor: int = FACTOR, levels: tuple[int | None, .
     pairs = near_pairs(words, levels, most)
     best = F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best")
     near = pairs.groupBy("word").agg(F.count("*").alias("n_near"), best)
-    told = words.join(near, "word", "left")
+    told = words.join(near.hint(DEALT), "word", "left")
     takes = let(F.col("best"), lambda b: F.when(-b["less"] >= factor * F.col("n"), b))
     told = told.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), takes.alias("form"))
     told = written(told.select("word", "n", "n_near", F.col("form.near").alias("form"), (-F.col("form.less")).alias("form_n")), "forms")
-    return told.join(_roots(told), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return told.join(_roots(told).hint(DEALT), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def _roots(told: DataFrame) -> DataFrame:
@@ -252,7 +263,7 @@ def _roots(told: DataFrame) -> DataFrame:
     hops = written(told.filter("form is not null").select("word", F.col("form").alias("root")), "hops")
     while True:
         on = hops.select(F.col("word").alias("root"), F.col("root").alias("_next"))
-        moved = written(hops.join(on, "root", "left").select("word", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("_moved")), "hops")
+        moved = written(hops.join(on.hint(DEALT), "root", "left").select("word", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("_moved")), "hops")
         hops = moved.drop("_moved")
         if moved.filter("_moved").isEmpty():
             return hops

@@ -133,3 +133,23 @@ def test_chains_of_forms_end_at_one_root(spark):
         "aihgf": ("jihgf", "jihgf"),
         "jihgf": (None, "jihgf"),
     }
+
+
+def test_only_crowded_reduced_words_are_broadcast(spark, monkeypatch):
+    plans = []
+
+    def kept(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    written = spelling.written
+    monkeypatch.setattr(spelling, "written", kept)
+    long_word = "abcdefgh" * 9
+    counts = {"house": 9, "hause": 3, "haus": 1, "houses": 2, "mouse": 4, long_word: 8, long_word[:-1]: 3, "x" + long_word: 2}
+    out = spelling.variants(spark.createDataFrame([*counts.items()], "word string, n long"), levels=(2, None), most=1)
+    got = told(out)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    joins = [line for plan in plans for line in plan.splitlines() if "Broadcast" in line and "Join" in line]
+    assert all(re.search(r"BroadcastHashJoin \[key#\d+L?\], \[key#\d+L?\], Left(Semi|Anti)", line) for line in joins), joins
+    assert len([plan for plan in plans if "SortMergeJoin" in plan]) >= 4
+    assert got == brute(counts)
