@@ -55,7 +55,7 @@ def body_start(cells: DataFrame) -> DataFrame:
         .groupBy("sheet")
         .agg(F.min("row").alias("_gap"))
     )
-    return last.join(gaps, "sheet", "left").select(
+    return last.join(gaps.hint(DEALT), "sheet", "left").select(
         "sheet",
         F.when(F.col("_gap") <= F.col("_last"), F.col("_gap") + 2).otherwise(F.lit(0)).alias("body_row"),
     )
@@ -72,7 +72,8 @@ def unpivot(
     """(sheet, row, day, label, name, shift): one row per name, day and filled shift.
 
     Label numbering is a window per sheet over its header row, which is as wide
-    as a sheet, not as long.
+    as a sheet, not as long.  Labels and body rows are joined by dealing both sides: cells come from
+    an explode, and of two sides that both look small Spark may broadcast the longer one.
     """
     filled = cells.where(F.col("value").isNotNull())
     across = Window.partitionBy("sheet").orderBy("col")
@@ -87,8 +88,8 @@ def unpivot(
     if isinstance(body, int):
         names = names.where(F.col("row") >= body)
     else:
-        names = names.join(body, "sheet").where("row >= body_row").drop("body_row")
-    shifts = filled.select("sheet", "row", "col", F.col("value").alias("shift")).join(days, ["sheet", "col"])
+        names = names.join(body.hint(DEALT), "sheet").where("row >= body_row").drop("body_row")
+    shifts = filled.select("sheet", "row", "col", F.col("value").alias("shift")).join(days.hint(DEALT), ["sheet", "col"])
     return shifts.join(names.hint(DEALT), ["sheet", "row"]).select("sheet", "row", "day", "label", "name", "shift")
 
 

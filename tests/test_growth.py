@@ -31,6 +31,18 @@ def test_report_joins_are_never_broadcast_for_a_small_file(spark):
     assert [tuple(r) for r in names.collect()] == [(0, 2, 0, "Lunes 6/1/2025", "Ana", "08:00")]
 
 
+def test_no_roster_cells_are_broadcast(spark, tmp_path):
+    grid = [(0, 0, "Mesa"), (0, 2, "Lunes 6/1/2025"), (0, 5, "Martes 7/1/2025"), (1, 0, "x"), (4, 1, "Ana"), (4, 2, "08:00"), (4, 5, "09:00"), (5, 1, "Turno"), (5, 2, "10:00"), (2, 1, "Eva"), (2, 2, "11:00")]
+    cells = spark.createDataFrame([(s, r, c, v) for s in (0, 1, None) for r, c, v in grid] + [(2, 0, 2, "Lunes 6/1/2025"), (2, 0, 1, "Luz"), (2, 0, 5, None)], "sheet int, row int, col int, value string")
+    cells.write.parquet(str(tmp_path / "cells"))  # a file whose size is known, and small
+    cells = spark.read.parquet(str(tmp_path / "cells"))
+    for out in (rosters.body_start(cells), rosters.unpivot(cells, **rosters.DESK, body=0), rosters.unpivot(cells, **rosters.GENERAL, body=rosters.body_start(cells), exclude=rosters.LABEL_ROWS)):
+        assert "Broadcast" not in _plan(out)
+    days = ((0, "Lunes 6/1/2025", "08:00"), (1, "Martes 7/1/2025", "09:00"))
+    want = [(s, 4, day, label, "Ana", shift) for s in (0, 1) for day, label, shift in days] + [(2, 0, 0, "Lunes 6/1/2025", "Luz", "Lunes 6/1/2025")]
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+
+
 def test_join_beside_deals_rows_by_the_ticket_only(spark):
     left = spark.createDataFrame([("1", "a", 1), ("1", "b", 2), ("1", None, 3), (None, "a", 4), ("2", "a", 5)], "k string, c string, n int")
     right = spark.createDataFrame([("1", "a", 10), ("1", "a", 11), ("1", None, 12), (None, "a", 13), ("3", "a", 14)], "k string, c string, m int")
