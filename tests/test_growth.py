@@ -130,6 +130,43 @@ def test_claims_are_asked_by_the_rule_and_not_filtered_in_the_cells(spark):
     assert [r[v.KEY] for r in v.claims_missing(cut, documents).collect()] == ["1"]
 
 
+def test_repeated_tickets_are_found_without_dealing_rows_twice(spark):
+    frame = lambda keys: spark.createDataFrame([(k, f"row {i}") for i, k in enumerate(keys)], f"{v.KEY} string, wide string")
+    incidents = spark.createDataFrame([("1", 1), ("3", 3)], f"{v.KEY} string, n int")
+
+    def joined(keys):
+        given = v.Inputs(cut=frame(keys), incidents=incidents, stops=None, circuits=None, unique=("cut",))
+        return joins.enrich(given.checked().cut, incidents, [v.KEY])
+
+    keys = ["1", "2", "nan", "nan", "", "No disponible", "No disponible", None, None]
+    out = joined(keys)
+    assert "Window" not in _plan(out) and _plan(out).count("Exchange hashpartitioning") == 3
+    assert out.columns == [v.KEY, "wide", "n"]
+    assert sorted(map(str, out.collect())) == sorted(map(str, joins.enrich(frame(keys), incidents, [v.KEY]).collect()))
+    with pytest.raises(Exception, match="cut: more than one row for nro_incidencia=2"):
+        joined([*keys, "2"]).collect()
+
+
+def test_repeated_document_rows_raise_where_they_are_counted(spark):
+    cut = spark.createDataFrame([("1", v.DATA, 1), ("2", v.DATA, 2)], f"{v.KEY} string, cut_component string, row int")
+    faults, reports = (spark.createDataFrame(rows, f"{v.KEY} string, word_component string, {c} int") for rows, c in (
+        ([("1", v.DATA, 1), ("1", v.VOICE, 2), ("1", None, 3), ("nan", v.DATA, 4), ("nan", v.DATA, 5), ("7", v.DATA, 6)], "f"),
+        ([("2", v.DATA, 1), ("2", v.DATA, 2), ("8", None, 3), ("8", None, 4)], "r"),
+    ))
+    free, once = (v.with_words(cut, faults, reports, names) for names in ((), ("faults",)))
+    assert "Window" not in _plan(once) and free.columns == once.columns
+    assert sorted(map(str, free.collect())) == sorted(map(str, once.collect()))
+    with pytest.raises(Exception, match="reports: more than one row for nro_incidencia=(2, word_component=COMPONENTE II|8, word_component=null)"):
+        v.with_words(cut, faults, reports, ("faults", "reports")).collect()
+    with pytest.raises(Exception, match="faults: more than one row for nro_incidencia=7, word_component=COMPONENTE II"):
+        v.with_words(cut, faults.union(faults.where(f"{v.KEY} = '7'")), reports, ("faults",)).collect()
+    annexes = spark.createDataFrame([("1", v.DATA, 1), ("9", v.VOICE, 2), ("9", v.VOICE, 3)], f"{v.KEY} string, cut_component string, a int")
+    again = joins.repeated("annexes", {v.KEY: v.KEY, "annex_component": "cut_component"})
+    out = joins.mark_join(cut, annexes, [v.KEY, "cut_component"], {"m": F.lit(True)}, dealt=[v.KEY], once=([], again))
+    with pytest.raises(Exception, match="annexes: more than one row for nro_incidencia=9, annex_component=COMPONENTE IV"):
+        out.collect()
+
+
 BREAKS = ("\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029")
 
 
